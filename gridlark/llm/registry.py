@@ -1,9 +1,18 @@
 """The queries of this subpackage by name, and SQL where it can express them."""
 
+from .embedding_dedup import op2_embedding_near_dedup
+from .line_dedup import OP6_SQL, op6_line_dedup
 from .ngram_join import op9_ngram_jaccard_join
+from .source_mix import OP7_SQL, op7_source_mix
 
 QUERIES = {
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_source_mix": op7_source_mix,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_line_dedup": OP6_SQL,
+    "op7_source_mix": OP7_SQL,
+}
