@@ -1,19 +1,25 @@
 """The queries of this subpackage by name, and SQL where it can express them."""
 
+from .decontaminate import op8_decontaminate
 from .embedding_dedup import op2_embedding_near_dedup
+from .html_extract import op4_html_extract
 from .language_id import op10_language_id
 from .license_scan import op5_license_scan
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .ngram_join import op9_ngram_jaccard_join
 from .quality_gam import op1_quality_gam
 from .source_mix import OP7_SQL, op7_source_mix
+from .token_order import op3_token_order
 
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_token_order": op3_token_order,
+    "op4_html_extract": op4_html_extract,
     "op5_license_scan": op5_license_scan,
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mix": op7_source_mix,
+    "op8_decontaminate": op8_decontaminate,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
 }
