@@ -16,15 +16,18 @@ cells lose no pair.  The common order puts shingles with low counts in a
 fixed-size table of counters first, so that passages which very many documents
 share are hardly ever cell keys.
 
-Exact copies (equal sets) are one class from the start.  Cells first link every
-member to the cell's smallest one (a combinable minimum), and only cells whose
-members are not yet in one component go to their trees; those above ``BLOCK``
-members are dealt out as pairs of blocks.  No cell is capped or dropped.
+Exact copies (equal sets) are one class from the start, and cells with the same
+members count once.  Two rounds try only each document's closest pair between
+components, so that groups of near copies grow together without all of their
+pairs; a last round tries every pair whose ends are in different components
+still.  Cells above ``BLOCK`` members are dealt out as pairs of blocks; none is
+capped or dropped.  Classes are told apart by 64-bit digests of their sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,10 @@ from .components import connected_components
 from .scratch import Scratch
 from .words import WordHashes, shingle_set
 
-GROUPS = 64
+GROUPS = 256
 COUNTERS = 1 << 15
 BLOCK = 1024
+FEW_IDS = 500_000
 LEAF = 32
 
 
@@ -48,59 +52,67 @@ def required(n: np.ndarray | int, m: np.ndarray | int):
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+    """Group counts, 255 standing for all above; what is cut off is added back to bounds."""
+    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def minima(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.minimum(p, q).sum(axis=-1, dtype=np.uint16).astype(np.int64)
 
 
 class CountVectorRTree:
-    """A packed R-tree over group counts; ``sizes`` are the row sums."""
-
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.order: list[np.ndarray] = []
-        self._split(points, np.arange(len(points)), leaf)
-        self.points, self.sizes = points, points.sum(axis=1)
-        upper = [points[x].max(axis=0) for x in self.order]
-        least = [self.sizes[x].min() for x in self.order]
-        most = [self.sizes[x].max() for x in self.order]
-        self.levels = [(np.array(upper), np.array(least), np.array(most))]
-        while len(self.levels[-1][0]) > leaf:
-            u, lo, hi = self.levels[-1]
-            cut = range(0, len(u), leaf)
-            self.levels.append(
-                (
-                    np.array([u[i : i + leaf].max(axis=0) for i in cut]),
-                    np.array([lo[i : i + leaf].min() for i in cut]),
-                    np.array([hi[i : i + leaf].max() for i in cut]),
-                )
-            )
-        self.fan = leaf
-
-    def _split(self, points: np.ndarray, rows: np.ndarray, leaf: int) -> None:
-        todo = [rows]
+    """A packed R-tree over group counts of sets with the given sizes.
+
+    A node keeps its upper corner, its smallest and largest set and the most
+    that the counts of one of its sets leave out.
+    """
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
+        self.points, self.sizes, self.fan = points, sizes, leaf
+        self.over = sizes - points.sum(axis=1, dtype=np.int64)
+        self.leaves = self._split(leaf)
+        level = tuple(
+            np.array([f(x[rows], axis=0) for rows in self.leaves])
+            for x, f in ((points, np.max), (sizes, np.min), (sizes, np.max), (self.over, np.max))
+        )
+        self.levels = [level]
+        while len(level[0]) > leaf:
+            cuts = np.arange(0, len(level[0]), leaf)
+            level = tuple(f.reduceat(x, cuts, axis=0) for x, f in zip(level, (np.maximum, np.minimum, np.maximum, np.maximum), strict=True))
+            self.levels.append(level)
+
+    def _split(self, leaf: int) -> list[np.ndarray]:
+        todo, done = [np.arange(len(self.points))], []
         while todo:
             rows = todo.pop()
             if len(rows) <= leaf:
-                self.order.append(rows)
+                done.append(rows)
                 continue
-            here = points[rows]
-            axis = int(np.argmax(here.max(axis=0) - here.min(axis=0)))
+            here = self.points[rows]
+            axis = int(np.argmax(here.max(axis=0).astype(np.int64) - here.min(axis=0)))
             rows = rows[np.argsort(here[:, axis], kind="stable")]
             todo += [rows[len(rows) // 2 :], rows[: len(rows) // 2]]
+        return done
 
-    def search(self, point: np.ndarray, n: int) -> np.ndarray:
-        """Rows whose overlap with ``point`` may reach the required one."""
+    def search(self, points: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For a few query sets at once: (query, row, slack) of the pairs whose
+        bound reaches the required overlap; slack is what it exceeds it by."""
+        over = sizes - points.sum(axis=1, dtype=np.int64)
+        box, least, most, rest = points.max(axis=0), sizes.min(), sizes.max(), over.max()
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
-            u, lo, hi = (x[nodes] for x in self.levels[depth])
-            bound = np.minimum(u, point).sum(axis=1)
-            nodes = nodes[(bound >= required(n, lo)) & (4 * lo <= 5 * n) & (5 * hi >= 4 * n)]
-            if not len(nodes):
-                return nodes
+            u, lo, hi, ex = (x[nodes] for x in self.levels[depth])
+            bound = minima(u, box) + np.minimum(ex, rest)
+            nodes = nodes[(bound >= required(least, lo)) & (4 * lo <= 5 * most) & (4 * least <= 5 * hi)]
             if depth:
-                below = len(self.levels[depth - 1][0])
                 nodes = (nodes[:, None] * self.fan + np.arange(self.fan)).ravel()
-                nodes = nodes[nodes < below]
-        rows = np.concatenate([self.order[i] for i in nodes])
-        return rows[np.minimum(self.points[rows], point).sum(axis=1) >= required(n, self.sizes[rows])]
+                nodes = nodes[nodes < len(self.levels[depth - 1][0])]
+        for rows in (self.leaves[i] for i in nodes):
+            bound = minima(points[:, None], self.points[rows][None]) + np.minimum(over[:, None], self.over[rows][None])
+            slack = bound - required(sizes[:, None], self.sizes[rows][None])
+            x, y = np.nonzero(slack >= 0)
+            yield x, rows[y], slack[x, y]
 
 
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -115,12 +127,24 @@ def _records(batch: pa.RecordBatch, *names: str) -> list[list]:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's set size and digest; last, this task's counters."""
     known, counters = WordHashes(), np.zeros(COUNTERS, np.int64)
+    held, size = [], 0
+
+    def count() -> None:
+        nonlocal size, counters
+        if held:
+            counters += np.bincount((np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        size = 0
+        held.clear()
+
     for batch in batches:
         ids, texts = _records(batch, "doc_id", "text")
         n, high, low = [], [], []
         for text in texts:
             s = shingle_set(text, known)
-            counters += np.bincount((s % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            held.append(s)
+            size += len(s)
+            if size > 1 << 20:
+                count()
             d = _digest(s)
             n.append(len(s))
             high.append(d[0])
@@ -129,6 +153,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.nulls(len(ids), pa.binary())],
             ["doc_id", "n", "high", "low", "counters"],
         )
+    count()
     none = pa.nulls(1, pa.int64())
     yield pa.record_batch([none, none, none, none, pa.array([counters.tobytes()], pa.binary())], ["doc_id", "n", "high", "low", "counters"])
 
@@ -141,7 +166,10 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["counters"])
 
 
-def _prefixes(rank: np.ndarray):
+def _prefixes(counts: np.ndarray):
+    bits = int(counts.max()).bit_length()
+    rank = (counts >> max(0, bits - 20)).astype(np.uint64) << np.uint64(44)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
         for batch in batches:
@@ -157,32 +185,28 @@ def _prefixes(rank: np.ndarray):
                     seen.clear()
                 seen.add(low)
                 p = len(s) // 5 + 1
-                # s is sorted, so a stable sort by count orders by (count, hash) everywhere alike
-                keys.append(s[np.argsort(rank[(s % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")[:p]])
-                lows.append(np.full(p, low, np.int64))
+                order = rank[(s % np.uint64(COUNTERS)).astype(np.int64)] | (s >> np.uint64(20))
+                keys.append(s[order <= np.partition(order, p - 1)[p - 1]])  # with ties, so that the order is the same everywhere
+                lows.append(np.full(len(keys[-1]), low, np.int64))
             if keys:
                 yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(lows))], ["key", "low"])
 
     return emit
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
-    for batch in batches:
-        sets = [shingle_set(x, known) for x in batch.column("text").to_pylist()]
-        yield pa.record_batch(
-            [pa.array([_digest(s)[1] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary())],
-            ["low", "shingles", "point"],
-        )
+def _of_sets(name: str, made):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(x, known) for x in batch.column("text").to_pylist()]
+            columns = [pa.array([_digest(s)[1] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([made(s).tobytes() for s in sets], pa.binary())]
+            yield pa.record_batch(columns, ["low", "n", name])
+
+    return emit
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose summed minima may reach the required overlap."""
-    for batch in batches:
-        if batch.num_rows:
-            p, q = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.int32).reshape(-1, GROUPS) for x in ("p", "q"))
-            may = np.minimum(p, q).sum(axis=1) >= required(p.sum(axis=1), q.sum(axis=1))
-            yield batch.select(["a", "b"]).filter(pa.array(may))
+def _points(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,61 +220,113 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell; a tree in each gives its pairs between components."""
-    carry: pa.Table | None = None
-    names = ["key", "i", "j"]
-
-    def cell(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        rep, comp, side = (t.column(x).to_numpy() for x in ("low", "component", "side"))
-        points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
-        cross = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        first = np.flatnonzero(side == 0) if cross else np.arange(len(rep))
-        second = np.flatnonzero(side == 1) if cross else first
-        a, b = [], []
-        if len(first) and len(second):
-            tree = CountVectorRTree(points[second])
-            for x in first:
-                y = second[tree.search(points[x], int(points[x].sum()))]
-                y = y[(comp[y] != comp[x]) & (cross | (rep[y] < rep[x]))]
-                a.append(np.full(len(y), rep[x]))
-                b.append(rep[y])
-        return tuple(np.concatenate(z).astype(np.int64) if z else np.empty(0, np.int64) for z in (a, b))
-
-    def done(t: pa.Table, last: bool) -> tuple[pa.Table | None, list]:
-        k = np.stack([t.column(x).to_numpy() for x in names])
-        cuts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
-        ends = [0, *cuts, *([t.num_rows] if last else [])]
-        return (None if last else t.slice(ends[-1])), [cell(t.slice(x, y - x)) for x, y in zip(ends, ends[1:], strict=False)]
-
-    def pairs(found: list) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64)) for i in (0, 1)], ["a", "b"])
+def _pairs_of_cells(nearest: bool):
+    """Rows sorted by cell; a tree in each cell finds its pairs between
+    components, all of them or only the closest one of each row."""
+
+    def pairs(t: pa.Table, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        low, comp, side, n, i, j = (t.column(x).to_numpy() for x in ("low", "component", "side", "n", "i", "j"))
+        points, found = _points(t.column("point")), []
+
+        def add(x: np.ndarray, y: np.ndarray, slack: np.ndarray) -> None:
+            ok = comp[x] != comp[y]
+            found.append((x[ok], y[ok], slack[ok]))
+
+        two = ends - starts == 2  # most cells; all at once
+        x, y = starts[two], starts[two] + 1
+        over = n - points.sum(axis=1, dtype=np.int64)
+        slack = minima(points[x], points[y]) + np.minimum(over[x], over[y]) - required(n[x], n[y])
+        ok = (slack >= 0) & ((i[x] == j[x]) | (side[x] != side[y]))
+        add(x[ok], y[ok], slack[ok])
+        for a, b in zip(starts[~two], ends[~two], strict=True):
+            rows = np.arange(a, b)
+            cross = i[a] != j[a]
+            left, right = (rows[side[rows] == 0], rows[side[rows] == 1]) if cross else (rows, rows)
+            if len(left) and len(right) and len(rows) > 1:
+                tree = CountVectorRTree(points[right], n[right])
+                for k in range(0, len(left), LEAF):
+                    part = left[k : k + LEAF]
+                    for x, y, slack in tree.search(points[part], n[part]):
+                        x, y = part[x], right[y]
+                        ok = slice(None) if cross or nearest else low[x] > low[y]
+                        add(x[ok], y[ok], slack[ok])
+        x, y, slack = (np.concatenate([f[k] for f in found]) for k in range(3))
+        a, b = low[x], low[y]
+        if nearest:  # each end's best
+            a, b, slack = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([slack, slack])
+            order = np.lexsort((b, -slack, a))
+            order = order[np.append(True, a[order][1:] != a[order][:-1])] if len(order) else order
+        else:
+            order = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1, return_index=True)[1]
+            a, b = np.maximum(a, b), np.minimum(a, b)
+        return pa.record_batch([pa.array(v[order].astype(np.int64)) for v in (a, b, slack)], ["a", "b", "slack"])
 
-    for batch in batches:
-        t = pa.table(batch) if carry is None else pa.concat_tables([carry, pa.table(batch)])
-        if t.num_rows:
-            carry, found = done(t.combine_chunks(), False)
-            yield pairs(found)
-    if carry is not None and carry.num_rows:
-        yield pairs(done(carry.combine_chunks(), True)[1])
-
-
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verify candidate pairs: first the bound on the points, then the sets."""
-    points = sets.select("low", "point")
-    near = (
-        pairs.join(points.select(F.col("low").alias("a"), F.col("point").alias("p")), "a")
-        .join(points.select(F.col("low").alias("b"), F.col("point").alias("q")), "b")
-        .select("a", "b", "p", "q")
-        .mapInArrow(_bounded, "a long, b long")
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: pa.Table | None = None
+        for batch in batches:
+            t = pa.table(batch) if carry is None else pa.concat_tables([carry, pa.table(batch)])
+            k = np.stack([t.column(x).to_numpy() for x in ("key", "i", "j")])
+            cuts = np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1
+            if len(cuts):
+                yield pairs(t.slice(0, cuts[-1]), np.append(0, cuts[:-1]), cuts)
+                t = t.slice(cuts[-1])
+            carry = t
+        if carry is not None and carry.num_rows:
+            yield pairs(carry, np.array([0]), np.array([carry.num_rows]))
+
+    return emit
+
+
+def _candidates(members: DataFrame, found: DataFrame | None, points: DataFrame, scratch: Scratch, name: str, nearest: bool) -> DataFrame:
+    """Pairs that cells allow between components so far."""
+    placed = members.withColumn("component", F.col("low"))
+    if found is not None:
+        placed = members.join(found, members.low == found.node, "left").select("key", "low", F.coalesce("component", "low").alias("component"))
+    placed = scratch.table(placed, f"{name}-placed")
+    split = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("m")).where("c < d")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = (
+        placed.join(split.select("key", "m"), "key")
+        .withColumn("mine", F.pmod(F.xxhash64("low"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "low", "component")
+        .join(points, "low")
     )
-    shingles = sets.select("low", "shingles")
-    return (
-        near.join(shingles.select(F.col("low").alias("a"), F.col("shingles").alias("s")), "a")
-        .join(shingles.select(F.col("low").alias("b"), F.col("shingles").alias("t")), "b")
+    cells = dealt.select("key", "i", "j", "side", "low", "component", "n", "point").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = cells.mapInArrow(_pairs_of_cells(nearest), "a long, b long, slack long")
+    if nearest:
+        pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("slack", "b")).alias("b"))
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = scratch.table(pairs, f"{name}-pairs")
+    scratch.drop(f"{name}-placed")
+    return pairs
+
+
+def _texts(docs: DataFrame, classes: DataFrame, lows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The texts of the classes ``lows``, one document for each.
+
+    The ids are broadcast where a count proves them few, else joined by a shuffle.
+    """
+    ids = scratch.table(lows.distinct().join(classes, "low").select(F.col("rep").alias("doc_id")).distinct(), name)
+    if ids.count() <= FEW_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_semi").select("text")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Verify pairs on their shingle sets."""
+    lows = pairs.select(F.explode(F.array("a", "b")).alias("low"))
+    texts = _texts(docs, classes, lows, scratch, f"{name}-ids")
+    sets = scratch.table(texts.mapInArrow(_of_sets("shingles", lambda s: s), "low long, n long, shingles binary").dropDuplicates(["low"]), f"{name}-sets")
+    found = (
+        pairs.join(sets.select(F.col("low").alias("a"), F.col("shingles").alias("s")), "a")
+        .join(sets.select(F.col("low").alias("b"), F.col("shingles").alias("t")), "b")
         .select("a", "b", "s", "t")
         .mapInArrow(_verified, "a long, b long")
     )
+    found = scratch.table(found, f"{name}-links")
+    scratch.drop(f"{name}-sets")
+    return found
 
 
 def jaccard_join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,40 +342,30 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     seen = scratch.table(docs.mapInArrow(_digests, "doc_id long, n long, high long, low long, counters binary"), "digests")
     parts = seen.where("counters is not null").select("counters")
-    counted = parts.repartition(16).mapInArrow(_summed, "counters binary").coalesce(1).mapInArrow(_summed, "counters binary").first()
-    counts = np.frombuffer(counted[0], np.int64) if counted else np.zeros(COUNTERS, np.int64)
+    counted = parts.repartition(16).mapInArrow(_summed, "counters binary").coalesce(1).mapInArrow(_summed, "counters binary").collect()
+    counts = np.frombuffer(counted[0][0], np.int64)
     digests = seen.where("counters is null").drop("counters")
     classes = scratch.table(digests.where("n > 0").groupBy("low", "high").agg(F.min("doc_id").alias("rep")), "classes")
 
     prefixes = scratch.table(docs.mapInArrow(_prefixes(counts), "key long, low long"), "prefixes")
-    shared = prefixes.groupBy("key").agg(F.min("low").alias("b"), F.max("low").alias("last")).where("b < last").select("key", "b")
-    members = scratch.table(prefixes.join(scratch.table(shared, "shared"), "key").distinct(), "members")
+    shared = prefixes.groupBy("key").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").select("key")
+    members = scratch.table(prefixes.join(scratch.table(shared, "shared"), "key").distinct(), "shared-members")
     scratch.drop("prefixes", "shared")
-
-    wanted = members.select("low").distinct().join(classes, "low").select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id").select("text")
-    sets = scratch.table(texts.mapInArrow(_sets, "low long, shingles binary, point binary").dropDuplicates(["low"]), "sets")
-
-    stars = members.where("low <> b").select(F.col("low").alias("a"), "b").distinct()
-    links = scratch.table(_links(stars, sets), "stars")
-    found = scratch.table(connected_components(links, scratch, "first"), "found")
-
-    placed = members.join(found, members.low == found.node, "left").select("key", "low", F.coalesce("component", "low").alias("component"))
-    placed = scratch.table(placed, "placed")
-    scratch.drop("members")
-    split = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("m")).where("c < d")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = (
-        placed.join(split.select("key", "m"), "key")
-        .withColumn("mine", F.pmod(F.xxhash64("low"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "low", "component")
-        .join(sets.select("low", "point"), "low")
-    )
-    cells = dealt.select("key", "i", "j", "side", "low", "component", "point").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    tried = scratch.table(cells.mapInArrow(_cells, "a long, b long").distinct(), "tried")
-    more = scratch.table(_links(tried, sets), "more")
-    final = found if more.isEmpty() else connected_components(links.unionByName(more), scratch, "final")
+    # cells with the same members have the same pairs: one of them will do
+    same = members.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("low")).alias("x"), F.bit_xor(F.xxhash64("low", F.lit(1))).alias("y"))
+    members = scratch.table(members.join(same.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "members")
+    scratch.drop("shared-members")
+
+    texts = _texts(docs, classes, members.select("low"), scratch, "ids")
+    points = texts.mapInArrow(_of_sets("point", count_vector), "low long, n long, point binary").dropDuplicates(["low"])
+    points = scratch.table(points, "points")
+
+    links, final = [], None
+    for turn in ("nearest-1", "nearest-2", "all"):
+        pairs = _candidates(members, final, points, scratch, turn, turn != "all")
+        links.append(_links(pairs, docs, classes, scratch, turn))
+        if final is None or not links[-1].isEmpty():
+            final = connected_components(reduce(DataFrame.unionByName, links), scratch, f"{turn}-cc")
 
     of_class = classes.join(final, classes.low == final.node, "left").select("low", "high", "rep", F.coalesce("component", "low").alias("component"))
     smallest = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
