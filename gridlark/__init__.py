@@ -1,0 +1 @@
+"""Detection-data curation and evaluation as Spark DataFrame operations."""
