@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0)
-
 
 def class_counts(boxes: DataFrame, classes: DataFrame) -> DataFrame:
     """Objects and distinct images of every class, zero included."""

@@ -394,16 +394,15 @@ def fp_taxonomy(spark, d):
 # latency, selection, identity ---------------------------------------------------------
 
 
-@register("SELECT model, count(*) AS n, avg(wall_ms) AS mean_ms, quantile_cont(wall_ms, 0.5) AS median_ms, quantile_cont(wall_ms, 0.95) AS p95_ms FROM fx_latency GROUP BY model", "fx_latency")
+@register("SELECT model, count(*) AS n, round(avg(wall_ms), 6) AS mean_ms, quantile_cont(wall_ms, 0.5) AS median_ms, quantile_cont(wall_ms, 0.95) AS p95_ms FROM fx_latency GROUP BY model", "fx_latency")
 def latency_stats(spark, d):
-    out = selection.latency_stats(S.latency(spark, d))
-    return out
+    return selection.latency_stats(S.latency(spark, d)).withColumn("mean_ms", F.round("mean_ms", 6))
 
 
-@register("""SELECT model, stage, count(ms) AS n, avg(ms) AS mean_ms, quantile_cont(ms, 0.5) AS median_ms, quantile_cont(ms, 0.95) AS p95_ms FROM (
+@register("""SELECT model, stage, count(ms) AS n, round(avg(ms), 6) AS mean_ms, quantile_cont(ms, 0.5) AS median_ms, quantile_cont(ms, 0.95) AS p95_ms FROM (
 SELECT model, 'wall_ms' AS stage, wall_ms AS ms FROM fx_latency UNION ALL SELECT model, 'inference', inference FROM fx_latency) GROUP BY model, stage""", "fx_latency")
 def latency_stage_stats(spark, d):
-    return selection.stage_stats(S.latency(spark, d), ["wall_ms", "inference"])
+    return selection.stage_stats(S.latency(spark, d), ["wall_ms", "inference"]).withColumn("mean_ms", F.round("mean_ms", 6))
 
 
 @register(f"""SELECT image_id, tp, fp, fn, kind, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY image_id) AS rank FROM (

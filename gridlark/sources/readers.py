@@ -25,7 +25,7 @@ def groups(spark: SparkSession, path: str) -> DataFrame:
     """A group map; ids become numbers, blanks and repeats are refused."""
     raw = csv(spark, path)
     require_columns(raw, "image_id", "group_id")
-    out = raw.withColumn("image_id", F.col("image_id").cast("long")).withColumn("group_id", F.trim("group_id"))
+    out = raw.withColumn("image_id", F.col("image_id").try_cast("long")).withColumn("group_id", F.trim("group_id"))
     assert_none(out.where("image_id is null or image_id < 0 or group_id is null or group_id = ''"), "Invalid group row")
     assert_none(out.groupBy("image_id").count().where("count > 1"), "Repeated image in the group map")
     return out

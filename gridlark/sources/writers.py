@@ -72,7 +72,10 @@ def detection_rows(predictions: DataFrame) -> DataFrame:
 
 def class_counts(predictions: DataFrame, classes: list[str]) -> DataFrame:
     """``counts_by_class``: a map with zero for absent classes."""
-    n = [F.size(F.filter("detections", lambda d, x=x: d["class_name"] == x)) for x in classes]
+    def named(x: str):
+        return lambda d: d["class_name"] == x
+
+    n = [F.size(F.filter("detections", named(x))) for x in classes]
     return predictions.withColumn("counts_by_class", F.map_from_arrays(F.array(*map(F.lit, classes)), F.array(*n)))
 
 
