@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridlark.llm.decontaminate import drop_leaks
@@ -22,11 +23,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id."""
-    joined = jaccard_join(docs, Scratch(spark, "pipeline-near")).select("doc_id", "component_id")
+    """One document of each near-duplicate group, that with the smallest id.
+
+    Of rows that repeat an id one stays; rows with a null id stay.
+    """
+    scratch = Scratch(spark, "pipeline-near")
+    joined = scratch.table(jaccard_join(docs, scratch).select("doc_id", "component_id"), "joined")
     kept = joined.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    first = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    return first.select(*docs.columns)
+    first = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*docs.columns)
+    repeated = joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return first
+    each = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c != "doc_id"])
+    one = first.join(repeated, "doc_id", "left_semi").withColumn("_row", F.row_number().over(each)).where("_row = 1").drop("_row")
+    return first.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

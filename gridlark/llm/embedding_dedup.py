@@ -253,3 +253,18 @@ def projection_dedup(
 def op2_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Every vector's links and component; see ``projection_dedup``."""
     return projection_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark, "op2"))
+
+
+OP2_SQL = """
+WITH RECURSIVE unit AS (
+  SELECT vec_id, e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) WHERE e IS NOT NULL AND len(list_filter(e, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND list_dot_product(e, e) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95
+), reach AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least_of AS (
+  SELECT e.vec_id, least(e.vec_id, coalesce(min(r.y), e.vec_id)) AS component_id FROM embeddings e LEFT JOIN reach r ON r.x = e.vec_id GROUP BY e.vec_id
+)
+SELECT c.vec_id, (SELECT count(*) FROM links l WHERE l.x = c.vec_id) AS n_links, component_id, component_id = c.vec_id AS kept FROM least_of c
+"""

@@ -120,7 +120,7 @@ def scan(docs: DataFrame, scratch: Scratch) -> DataFrame:
         return F.array_join(F.array_compact(F.array(*given)), ",")
 
     base = {x: [p] for x, p in BASE.items()}
-    weight = sum((F.when(F.size(at[p]) > 0, F.lit(sum(idf[w] for w in set(p.split())))).otherwise(F.lit(0.0)) for p in every), F.lit(0.0))
+    weight = sum((F.when(F.size(at[p]) > 0, F.lit(sum(idf[w] for w in sorted(set(p.split()))))).otherwise(F.lit(0.0)) for p in every), F.lit(0.0))
     return found.select(
         "doc_id", "n_words", n_base.cast("long").alias("n_base"), first.cast("long").alias("first_word"), last.cast("long").alias("last_word"),
         labelled(base).alias("base_labels"), labelled({**base, **FURTHER}).alias("labels"), (1 - F.exp(-weight / 10)).alias("score"),
