@@ -1,0 +1 @@
+"""No streaming operators: what this library covers is batch only."""
