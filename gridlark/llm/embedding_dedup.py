@@ -217,10 +217,10 @@ def projection_dedup(
     found = scratch.table(found, "windows")
     scratch.drop("signed")
     parts = sorted(x[0] for x in found.where("part is not null").select("part").distinct().collect())  # one per partition
-    later = dict(zip(parts[1:], parts, strict=False))
-    if later:
-        before = F.element_at(F.create_map(*[F.lit(x) for kv in later.items() for x in kv]), F.col("part"))
-        edge = found.where("part is not null").withColumn("border", F.when(F.col("side") == 0, F.col("part")).otherwise(before)).where("border is not null")
+    if len(parts) > 1:
+        before = vectors.sparkSession.createDataFrame(list(zip(parts[1:], parts, strict=False)), "part int, before int")
+        edge = found.where("part is not null").join(F.broadcast(before), "part", "left")  # a row for each partition
+        edge = edge.withColumn("border", F.when(F.col("side") == 0, F.col("part")).otherwise(F.col("before"))).where("border is not null")
         edge = edge.select("border", "side", "pos", "turn", "node", "raw").repartition("border").sortWithinPartitions("border", "side", "pos")
         across = edge.mapInArrow(_borders(window, cosine), "a long, b long")
     else:
