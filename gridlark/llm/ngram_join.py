@@ -39,7 +39,7 @@ from .components import connected_components
 from .scratch import Scratch
 from .words import WordHashes, shingle_set
 
-GROUPS = 256
+GROUPS, FINE = 256, 2048
 COUNTERS = 1 << 15
 BLOCK = 1024
 FEW_IDS = 500_000
@@ -51,14 +51,14 @@ def required(n: np.ndarray | int, m: np.ndarray | int):
     return (4 * (n + m) + 8) // 9
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
+def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """Group counts, 255 standing for all above; what is cut off is added back to bounds."""
-    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
     return np.minimum(counts, 255).astype(np.uint8)
 
 
 def minima(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return np.minimum(p, q).sum(axis=-1, dtype=np.uint16).astype(np.int64)
+    return np.minimum(p, q).sum(axis=-1, dtype=np.uint32).astype(np.int64)
 
 
 class CountVectorRTree:
@@ -194,13 +194,22 @@ def _prefixes(counts: np.ndarray):
     return emit
 
 
-def _of_sets(name: str, made):
+def _of_sets(**made):
+    """Classes with their size and what ``made`` makes of their sets."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, seen = WordHashes(), set()
         for batch in batches:
-            sets = [shingle_set(x, known) for x in batch.column("text").to_pylist()]
-            columns = [pa.array([_digest(s)[1] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([made(s).tobytes() for s in sets], pa.binary())]
-            yield pa.record_batch(columns, ["low", "n", name])
+            sets = {}
+            for text in batch.column("text").to_pylist():
+                s = shingle_set(text, known)
+                if (low := _digest(s)[1]) not in seen:  # repeats within a task add nothing
+                    if len(seen) >= 200_000:
+                        seen.clear()
+                    seen.add(low)
+                    sets[low] = s
+            columns = [pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int64())]
+            yield pa.record_batch([*columns, *[pa.array([f(s).tobytes() for s in sets.values()], pa.binary()) for f in made.values()]], ["low", "n", *made])
 
     return emit
 
@@ -209,6 +218,16 @@ def _points(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that the bound on finer groups allows."""
+    for batch in batches:
+        if batch.num_rows:
+            p, q = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(-1, FINE) for x in ("p", "q"))
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            bound = minima(p, q) + np.minimum(n - p.sum(axis=1, dtype=np.int64), m - q.sum(axis=1, dtype=np.int64))
+            yield batch.select(["a", "b"]).filter(pa.array(bound >= required(n, m)))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, s, t = _records(batch, "a", "b", "s", "t")
@@ -314,15 +333,27 @@ def _texts(docs: DataFrame, classes: DataFrame, lows: DataFrame, scratch: Scratc
 
 
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Verify pairs on their shingle sets."""
+    """Verify pairs, first by the bound on finer groups, then on their shingle sets."""
     lows = pairs.select(F.explode(F.array("a", "b")).alias("low"))
     texts = _texts(docs, classes, lows, scratch, f"{name}-ids")
-    sets = scratch.table(texts.mapInArrow(_of_sets("shingles", lambda s: s), "low long, n long, shingles binary").dropDuplicates(["low"]), f"{name}-sets")
+    made = _of_sets(fine=lambda s: count_vector(s, FINE), shingles=lambda s: s)
+    sets = scratch.table(texts.mapInArrow(made, "low long, n long, fine binary, shingles binary"), f"{name}-sets")
+    # a class that several tasks met is there more than once, which repeats a link and no more
+    fine = sets.select("low", "n", "fine")
+    close = (
+        pairs.join(fine.select(F.col("low").alias("a"), "n", F.col("fine").alias("p")), "a")
+        .join(fine.select(F.col("low").alias("b"), F.col("n").alias("m"), F.col("fine").alias("q")), "b")
+        .select("a", "b", "n", "m", "p", "q")
+        .mapInArrow(_finer, "a long, b long")
+        .distinct()
+    )
+    close = scratch.table(close, f"{name}-close")
     found = (
-        pairs.join(sets.select(F.col("low").alias("a"), F.col("shingles").alias("s")), "a")
+        close.join(sets.select(F.col("low").alias("a"), F.col("shingles").alias("s")), "a")
         .join(sets.select(F.col("low").alias("b"), F.col("shingles").alias("t")), "b")
         .select("a", "b", "s", "t")
         .mapInArrow(_verified, "a long, b long")
+        .distinct()
     )
     found = scratch.table(found, f"{name}-links")
     scratch.drop(f"{name}-sets")
@@ -357,7 +388,7 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     scratch.drop("shared-members")
 
     texts = _texts(docs, classes, members.select("low"), scratch, "ids")
-    points = texts.mapInArrow(_of_sets("point", count_vector), "low long, n long, point binary").dropDuplicates(["low"])
+    points = texts.mapInArrow(_of_sets(point=count_vector), "low long, n long, point binary").dropDuplicates(["low"])
     points = scratch.table(points, "points")
 
     links, final = [], None
