@@ -17,9 +17,9 @@ from gridlark.llm.token_order import training_order
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model, fitted on the stage's input, does not reject."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    # the text goes through the scorer twice by name only: once to be read, once to be kept
-    scored = score_documents(docs.withColumn("_read", F.col("text")), model, text_col="_read")
-    return scored.where("_score >= 0.5").select(*docs.columns)
+    # the text goes through the scorer twice: once to be read, once to be kept
+    scored = score_documents(docs.select("text", F.struct(*docs.columns).alias("doc")), model)
+    return scored.where("_score >= 0.5").select("doc.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if repeated.isEmpty():
         return first
     each = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c != "doc_id"])
-    one = first.join(repeated, "doc_id", "left_semi").withColumn("_row", F.row_number().over(each)).where("_row = 1").drop("_row")
+    ranked = first.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("doc"), F.row_number().over(each).alias("row"))
+    one = ranked.where("row = 1").select("doc.*")
     return first.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
