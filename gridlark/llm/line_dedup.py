@@ -24,6 +24,7 @@ BLANK = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_CHARS, LEAST_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
 KEY = ["h1", "h2"]
+ADDED = ("kept_text", "n_lines", "n_dropped")
 
 
 def line_key(line: Column) -> Column:
@@ -103,7 +104,8 @@ def drop_repeated_lines(docs: DataFrame, scratch: Scratch, batches: int = BATCHE
     ``LEAST_DOCS`` documents or more go, except in the largest ``doc_id`` holding
     it, where all of its lines stay.  Rows that repeat an id count as one
     document; a row with a null id keeps its lines and counts for none.  An empty
-    table gives no rows; other columns pass through.
+    table gives no rows; other columns pass through under any name, but those of
+    the added columns' names are replaced.
     """
     spark = docs.sparkSession
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
@@ -131,12 +133,17 @@ def drop_repeated_lines(docs: DataFrame, scratch: Scratch, batches: int = BATCHE
         a, b = hashes(key)
         return (F.char_length(key) < LEAST_CHARS) | ~F.array_contains("_gone", F.struct(a.alias("h1"), b.alias("h2")))
 
-    out = docs.join(gone, "doc_id", "left").withColumn("_lines", lines)
+    own = [c for c in docs.columns if c.lower() not in ADDED]
+    whole = docs.select(F.struct(*own).alias("doc"))  # so that no column clashes with those below
+    gone = gone.withColumnRenamed("doc_id", "_id")
+    out = whole.join(gone, F.col("doc.doc_id") == F.col("_id"), "left")
+    text = F.coalesce("doc.text", F.lit(""))
+    out = out.withColumn("_lines", F.split(text, "\n", -1))
     out = out.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.filter("_lines", stays)))
-    left = F.when(F.col("_gone").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.coalesce("text", F.lit("")))
-    out = out.withColumn("kept_text", left).withColumn("n_lines", F.size("_lines").cast("long"))
-    dropped = F.when(F.col("_gone").isNotNull(), F.col("n_lines") - F.size("_kept")).otherwise(F.lit(0)).cast("long")
-    return out.withColumn("n_dropped", dropped).drop("_lines", "_kept", "_gone")
+    left = F.when(F.col("_gone").isNotNull(), F.array_join("_kept", "\n")).otherwise(text)
+    n = F.size("_lines").cast("long")
+    dropped = F.when(F.col("_gone").isNotNull(), n - F.size("_kept")).otherwise(F.lit(0)).cast("long")
+    return out.select("doc.*", left.alias("kept_text"), n.alias("n_lines"), dropped.alias("n_dropped"))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

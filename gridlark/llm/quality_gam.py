@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE = 20_000
 BINS, ROUNDS, RATE, DEPTH, PAIRS, PAIR_BINS, PAIR_ROUNDS = 32, 120, 0.1, 2, 6, 8, 40
@@ -202,12 +203,13 @@ def score_documents(docs: DataFrame, model: Gam, text_col: str = "text") -> Data
     """The documents, without their text, with ``_score`` added.
 
     Null and empty texts have zero features and the score these get; repeated
-    rows score alike; an empty table gives no rows; other columns pass through.
+    rows score alike; an empty table gives no rows; other columns pass through
+    under any name, but a ``_score`` of the input is replaced.
     """
-    kept = [F.col(c) for c in docs.columns if c != text_col]
-    given = docs.select(*kept, F.col(text_col).cast("binary").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_text")
-    return given.mapInArrow(_scored(model, len(kept)), f"{schema}, _score double")
+    kept = [c for c in docs.columns if c.lower() not in (text_col.lower(), "_score")]
+    given = docs.select(*kept, F.col(text_col).cast("binary"))
+    schema = T.StructType(given.schema.fields[:-1]).add("_score", T.DoubleType())
+    return given.mapInArrow(_scored(model, len(kept)), schema)
 
 
 def op1_quality_gam(spark, sf_dir: str) -> DataFrame:

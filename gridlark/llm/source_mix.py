@@ -70,17 +70,18 @@ def mix(docs: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
 
     Texts that are null or without words have size 0 and are emitted at their
     source's rate; a null source is a source of its own; rows that repeat an id
-    share its draw; an empty table gives no rows.
+    share its draw; an empty table gives no rows; other columns pass through under
+    any name.
     """
-    own = docs.columns
     sizes = scratch.table(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "sizes")
     rates = targets(sizes).select(F.col("source").alias("_source"), F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)).alias("_rate"))
     if rates.count() <= FEW_SOURCES:
         rates = F.broadcast(rates)
-    extra = (drawn(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")
+    extra = (drawn(F.col("doc.doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")
     many = (F.floor("_rate") + extra).cast("int")
-    out = docs.join(rates, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_copies", many).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*own)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))  # so that no column clashes with those below
+    out = whole.join(rates, F.col("doc.source").eqNullSafe(F.col("_source"))).withColumn("_copies", many).where("_copies > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("doc.*")
 
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -144,6 +144,18 @@ def test_line_dedup(spark, awkward, nothing, scratch):
     assert line_dedup.drop_repeated_lines(nothing, Scratch(spark, "t")).count() == 0
 
 
+def test_clashing_names(spark, scratch):
+    names = "doc_id long, text string, source string, _text long, _score long, _gone long, _lines long, doc long, _id long, _source long, _copies long, n_lines long"
+    df = spark.createDataFrame([(i, "one line that three documents hold", "s", *range(1, 10)) for i in range(3)], names)
+    lines = line_dedup.drop_repeated_lines(df, scratch)
+    assert lines.columns == [*df.columns[:-1], "kept_text", "n_lines", "n_dropped"]
+    assert sorted((r["doc_id"], r["_gone"], r["doc"], r["kept_text"], r["n_dropped"]) for r in lines.collect()) == [(0, 3, 5, "", 1), (1, 3, 5, "", 1), (2, 3, 5, df.first()["text"], 0)]
+    mixed = source_mix.mix(df, Scratch(spark, "t"))
+    assert mixed.columns == df.columns and sorted(map(tuple, mixed.collect())) == sorted(map(tuple, df.collect()))
+    scored = quality_gam.score_documents(df, quality_gam.fit(np.empty((0, len(quality_gam.FEATURES))), np.empty(0)))
+    assert [(r["_text"], r["_score"], r["doc"]) for r in scored.collect()] == [(1, 0.5, 5)] * 3
+
+
 def test_line_runs_levels(spark, scratch):
     runs = line_dedup.LineRuns(spark, buckets=2, fanout=2)
     for k in range(5):

@@ -120,11 +120,15 @@ def test_pipeline(spark):
 def test_pipeline_on_awkward_rows(spark):
     import corpus_pipeline
 
-    schema = "doc_id long, text string, lang string, source string, n_chars long, _score string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _score string, doc string, _rate long, _row long"
     rows = [(1, None, None, None, None, "a"), (2, "", "en", "s", 0, None), (3, "x y z a b c d", "en", "s", 1, "a"), (3, "x y z a b c d", "en", "s", 1, "a"), (None, "q r s t u v", None, "s", 1, "a")]
+    rows = [(*r, "d", 7, 8) for r in rows]
     docs = spark.createDataFrame(rows, schema)
     kept = corpus_pipeline.keep_one_of_each_group(spark, docs, SMALL)
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "None"]
-    for _, stage in corpus_pipeline.STAGES[1:]:
-        assert stage(spark, docs.drop("_score"), SMALL).count() >= 0
-        assert stage(spark, docs.drop("_score").limit(0), SMALL).count() == 0
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SMALL)
+        got = [r.asDict() for r in out.collect()]
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns and all((r["doc"], r["_rate"], r["_row"]) == ("d", 7, 8) and r["_score"] in ("a", None) for r in got)
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
