@@ -172,13 +172,13 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
 
 
-def _scored(model: Gam, at: int):
+def _scored(model: Gam, at: int, keep_text: bool):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features_of(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES))
-            columns = [c for i, c in enumerate(batch.columns) if i != at]
-            names = [c for i, c in enumerate(batch.schema.names) if i != at]
-            yield pa.record_batch([*columns, pa.array(model.score(x))], [*names, "_score"])
+            texts = batch.column(at).cast(pa.binary())  # no copy
+            x = np.array([features_of(t.as_py()) for t in texts]).reshape(-1, len(FEATURES))  # one text at a time in Python
+            passed = [i for i in range(batch.num_columns) if keep_text or i != at]
+            yield pa.record_batch([*[batch.column(i) for i in passed], pa.array(model.score(x))], [*[batch.schema.names[i] for i in passed], "_score"])
 
     return emit
 
@@ -199,17 +199,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
     return fit(x[order], y[order])
 
 
-def score_documents(docs: DataFrame, model: Gam, text_col: str = "text") -> DataFrame:
-    """The documents, without their text, with ``_score`` added.
+def score_documents(docs: DataFrame, model: Gam, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """The documents, without their text unless ``keep_text``, which comes last,
+    with ``_score`` added.
 
     Null and empty texts have zero features and the score these get; repeated
     rows score alike; an empty table gives no rows; other columns pass through
     under any name, but a ``_score`` of the input is replaced.
     """
     kept = [c for c in docs.columns if c.lower() not in (text_col.lower(), "_score")]
-    given = docs.select(*kept, F.col(text_col).cast("binary"))
-    schema = T.StructType(given.schema.fields[:-1]).add("_score", T.DoubleType())
-    return given.mapInArrow(_scored(model, len(kept)), schema)
+    given = docs.select(*kept, F.col(text_col).cast("string").alias(text_col))
+    passed = [f for f in given.schema.fields if keep_text or f.name != text_col]
+    schema = T.StructType(passed).add("_score", T.DoubleType())
+    return given.mapInArrow(_scored(model, len(kept), keep_text), schema)
 
 
 def op1_quality_gam(spark, sf_dir: str) -> DataFrame:
