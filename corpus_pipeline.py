@@ -17,9 +17,10 @@ from gridlark.llm.token_order import training_order
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model, fitted on the stage's input, does not reject."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    # the text goes through the scorer twice: once to be read, once to be kept
-    scored = score_documents(docs.select("text", F.struct(*docs.columns).alias("doc")), model)
-    return scored.where("_score >= 0.5").select("doc.*")
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("rest")
+    scored = score_documents(docs.select("text", rest), model, keep_text=True)
+    own = [F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns]
+    return scored.where("_score >= 0.5").select(*own)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
