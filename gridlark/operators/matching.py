@@ -9,13 +9,17 @@ free truth of its class with the greatest IoU, of equals the one with the larger
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridlark.functions.boxes import iou, overlap_bin, short_side, size_bin
 from gridlark.functions.scores import precision_recall_f1, recall_or_null
 
 CORNERS = ("x1", "y1", "x2", "y2")
+PARTS = 1024
 
 
 def iou_pairs(dets: DataFrame, truths: DataFrame, same_class: bool = True) -> DataFrame:
@@ -99,6 +103,41 @@ def best_threshold(curve: DataFrame) -> DataFrame:
     return curve.agg(F.max(F.struct(*names)).alias("b")).select("b.*")
 
 
+def average_precision(hits: DataFrame, truths: DataFrame) -> DataFrame:
+    """``(class_id, truths, ap)`` of each class that has a truth: the mean, over the
+    recalls 0, 0.01 .. 1, of the best precision at that recall or above.
+
+    Detections of one confidence enter together; null confidences are left out.
+    Running counts go by slices of the confidence, with the sums of the slices
+    above added, so no task holds all detections of a class.
+    """
+    rows = hits.where("confidence is not null").groupBy("class_id", "confidence").agg(F.count("tj").alias("tp"), F.count("*").alias("dets"))
+    rows = rows.withColumn("part", F.floor(F.col("confidence") * PARTS))
+    above = W.partitionBy("class_id").orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    sums = rows.groupBy("class_id", "part").agg(F.sum("tp").alias("part_tp"), F.sum("dets").alias("part_dets"))
+    sums = sums.select("class_id", "part", *[F.coalesce(F.sum(f"part_{c}").over(above), zero).alias(f"above_{c}") for c in ("tp", "dets")])
+    within = W.partitionBy("class_id", "part").orderBy(F.desc("confidence")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    tp, dets = (F.col(f"above_{c}") + F.sum(c).over(within) for c in ("tp", "dets"))
+    curve = rows.join(sums, ["class_id", "part"]).select("class_id", tp.alias("tp"), dets.alias("dets"))
+    have = truths.groupBy("class_id").agg(F.count("*").alias("truths"))
+    best = curve.join(have, "class_id").groupBy("class_id", F.expr("100 * tp div truths").alias("point")).agg(F.max(F.col("tp") / F.col("dets")).alias("precision"))
+    upward = W.partitionBy("class_id").orderBy("point")  # at most 101 rows a class
+    steps = best.select(
+        "class_id",
+        (F.col("point") - F.coalesce(F.lag("point").over(upward), F.lit(-1).cast("long"))).alias("points"),
+        F.max("precision").over(upward.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("precision"),
+    )
+    ap = steps.groupBy("class_id").agg((F.sum(F.col("points") * F.col("precision")) / 101).alias("ap"))
+    return have.join(ap, "class_id", "left").select("class_id", "truths", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+def mean_average_precision(dets: DataFrame, truths: DataFrame, thresholds: list[float]) -> DataFrame:
+    """``(threshold, classes, map)``: the mean over classes at each IoU threshold."""
+    each = [average_precision(matched(dets, truths, t), truths).select(F.lit(float(t)).alias("threshold"), "ap") for t in thresholds]
+    return reduce(DataFrame.unionByName, each).groupBy("threshold").agg(F.count("*").alias("classes"), F.avg("ap").alias("map"))
+
+
 def recall_by_size(hits: DataFrame, truths: DataFrame, images: DataFrame, conf: float, imgsz: int = 640) -> DataFrame:
     """Truths and found ones by their shorter side after resizing; all bins."""
     taken = hits.where((F.col("confidence") >= conf) & F.col("tj").isNotNull()).select("image_id", "tj", F.lit(1).alias("found"))

@@ -374,6 +374,15 @@ def best_threshold(spark, d):
     return matching.best_threshold(confidence_curve(spark, d))
 
 
+@register("""SELECT class_id, any_value(n) AS truths, round(sum(coalesce(best, 0)) / 101, 6) AS ap FROM (
+SELECT t.class_id, t.n, p.k, max(c.tp::DOUBLE / c.dets) AS best FROM (SELECT class_id, count(*) AS n FROM fx_truth GROUP BY 1) t CROSS JOIN (SELECT unnest(range(101)) AS k) p
+LEFT JOIN (SELECT DISTINCT class_id, confidence, count(tj) OVER w AS tp, count(*) OVER w AS dets FROM fx_hit
+WINDOW w AS (PARTITION BY class_id ORDER BY confidence DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) c ON c.class_id = t.class_id AND 100 * c.tp >= p.k * t.n
+GROUP BY 1, 2, 3) GROUP BY class_id""", "fx_hit", "fx_truth")
+def average_precision(spark, d):
+    return matching.average_precision(_hits(spark, d), S.truths(spark, d)).withColumn("ap", F.round("ap", 6))
+
+
 @register("""SELECT size_bin, count(t.image_id) AS objects, count(h.tj) AS found, CASE WHEN count(t.image_id) > 0 THEN count(h.tj)::DOUBLE / count(t.image_id) END AS recall
 FROM (VALUES ('short_side_lt_8px'), ('short_side_8_to_16px'), ('short_side_ge_16px')) v(size_bin)
 LEFT JOIN (SELECT *, CASE WHEN least(x2 - x1, y2 - y1) * 100 / 120 < 8 THEN 'short_side_lt_8px' WHEN least(x2 - x1, y2 - y1) * 100 / 120 < 16 THEN 'short_side_8_to_16px' ELSE 'short_side_ge_16px' END AS b FROM fx_truth) t ON t.b = v.size_bin

@@ -115,3 +115,39 @@ def test_latency(spark):
     df = spark.createDataFrame([("m", float(x), 1.0) for x in range(1, 6)], "model string, wall_ms double, inference double")
     assert tuple(selection.latency_stats(df).first()) == ("m", 5, 3.0, 3.0, 4.8)
     assert selection.stage_stats(df, ["wall_ms", "inference"]).count() == 2
+
+
+def test_average_precision_equals_brute_force(spark):
+    rng = random.Random(8)
+    truths, dets = [], []
+    for image in range(12):
+        for j in range(rng.randint(0, 5)):
+            x, y = rng.randint(0, 60), rng.randint(0, 60)
+            truths.append((image, j, rng.randint(0, 2), x * 1.0, y * 1.0, x + 20.0, y + 20.0))
+        for i in range(rng.randint(0, 6)):
+            near = [t for t in truths if t[0] == image]
+            x, y = rng.choice(near)[3:5] if near else (0.0, 0.0)
+            x += rng.randint(0, 8)
+            dets.append((image, i, rng.randint(0, 2), rng.randint(0, 9) / 10, x, y, x + 20.0, y + 20.0))
+    truths.append((0, 9, 7, 0.0, 0.0, 5.0, 5.0))  # a class without detections
+    d, t = spark.createDataFrame(dets, DET), spark.createDataFrame(truths, TRUTH)
+
+    def plain(threshold):
+        taken = {(k, i): j for k in range(12) for i, j in plain_match([x for x in dets if x[0] == k], [x for x in truths if x[0] == k], threshold).items()}
+        out = {}
+        for c in {x[2] for x in truths}:
+            n, own = sum(x[2] == c for x in truths), [x for x in dets if x[2] == c]
+            points = []
+            for conf in {x[3] for x in own}:
+                kept = [x for x in own if x[3] >= conf]
+                tp = sum(taken[x[0], x[1]] is not None for x in kept)
+                points.append((tp, tp / len(kept)))
+            out[c] = sum(max((p for tp, p in points if 100 * tp >= k * n), default=0) for k in range(101)) / 101
+        return out
+
+    for threshold in (0.5, 0.75):
+        got = {r["class_id"]: r["ap"] for r in M.average_precision(M.matched(d, t, threshold), t).collect()}
+        assert got == pytest.approx(plain(threshold)) and got[7] == 0
+    means = {r["threshold"]: (r["classes"], r["map"]) for r in M.mean_average_precision(d, t, [0.5, 0.75]).collect()}
+    assert means == {x: (4, pytest.approx(sum(plain(x).values()) / 4)) for x in (0.5, 0.75)}
+    assert M.average_precision(M.matched(d.limit(0), t), t).where("ap > 0").isEmpty() and M.average_precision(M.matched(d, t), t.limit(0)).isEmpty()
