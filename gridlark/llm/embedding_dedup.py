@@ -2,9 +2,11 @@
 
 Each pass hashes every vector with its own 60 random hyperplanes and orders the
 vectors lexicographically by the concatenated bits; each vector is compared, in
-double precision, with the next ``WINDOW`` in that order.  Links verified in any
-pass are joined into components, and the links of a component are then counted
-between all of its members, in blocks.
+double precision, with the next ``WINDOW`` in that order.  A window may end inside
+a dense topic, so a sweep then compares every vector with all others, a broadcast
+chunk of fixed size at a time; its work grows with the square of the distinct
+vectors.  All links are joined into components, and the links of a component are
+then counted between all of its members, in blocks.
 
 Equal vectors are one class from the start, so a group of copies costs one row
 a pass.  Windows run across the range partitions' borders: every partition also
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,6 +29,7 @@ from .components import connected_components
 from .scratch import Scratch
 
 PASSES, WINDOW, BITS, BLOCK = 16, 48, 60, 512
+CHUNK_BYTES, CELLS = 32 << 20, 4 << 20
 SHIFT = np.uint64(1 << 63)
 
 
@@ -161,6 +165,75 @@ def _borders(window: int, cosine: float):
     return emit
 
 
+def _near(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows of unit vectors link; single precision decides where its error cannot matter."""
+    dots, slack = x32 @ y32.T, (x.shape[1] + 8) * 1.2e-7
+    near = dots >= cosine + slack
+    dots[near] = -2
+    i, j = np.nonzero(dots >= cosine - slack)
+    for k in range(0, len(i), 1 << 14):
+        p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+        near[p, q] = np.einsum("ij,ij->i", x[p], y[q]) >= cosine
+    return near
+
+
+class _Chunk:
+    """Vectors of one length that rows are compared with, and what links join among them."""
+
+    def __init__(self, node: np.ndarray, raw: list[bytes]):
+        self.node, self.x = node, _unit(raw)
+        self.x32, self.up = self.x.astype(np.float32), np.arange(len(node))
+
+    def links(self, node: np.ndarray, raw: list[bytes], cosine: float) -> Iterator[tuple[int, int]]:
+        """Links that hold the same together as all links of the rows with the chunk."""
+        x, step = _unit(raw), max(1, CELLS // len(self.node))
+        x32 = x.astype(np.float32)
+        for k in range(0, len(x), step):
+            near = _near(x[k : k + step], self.x, x32[k : k + step], self.x32, cosine)
+            near &= node[k : k + step, None] != self.node
+            for i in np.flatnonzero(near.any(axis=1)).tolist():
+                hit = np.flatnonzero(near[i])
+                root = self.up[hit]
+                while (self.up[root] != root).any():
+                    root = self.up[root]
+                root = np.unique(root)
+                self.up[hit] = self.up[root] = root[0]
+                yield from ((int(node[k + i]), int(self.node[r])) for r in root)
+
+
+def _swept(chunk, cosine: float):
+    """Links of rows with the vectors of a broadcast chunk."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {size: _Chunk(*them) for size, them in chunk.value.items()}
+        for batch in batches:
+            node, raw, found = batch.column("node").to_numpy(), batch.column("raw").to_pylist(), []
+            lengths = np.array([len(x) for x in raw])
+            for size in np.unique(lengths).tolist():
+                if size in known:
+                    rows = np.flatnonzero(lengths == size)
+                    found += known[size].links(node[rows], [raw[i] for i in rows], cosine)
+            yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return emit
+
+
+def _sweep(classes: DataFrame, cosine: float, scratch: Scratch) -> list[DataFrame]:
+    """Links between all classes, a table for each chunk."""
+    context, out = classes.sparkSession.sparkContext, []
+    total = classes.agg(F.sum(F.length("raw"))).first()[0] or 0
+    chunks = -(-total // CHUNK_BYTES)
+    dealt = classes.select("node", "raw", F.pmod(F.xxhash64("node"), F.lit(max(1, chunks))).alias("chunk"))
+    for k in range(chunks):
+        held = dealt.where(F.col("chunk") == k).select("node", "raw").toArrow()  # about CHUNK_BYTES
+        node, raw, lengths = held.column("node").to_numpy(), held.column("raw").to_pylist(), pc.binary_length(held.column("raw")).to_numpy()
+        of = {int(size): (node[lengths == size], [raw[i] for i in np.flatnonzero(lengths == size)]) for size in np.unique(lengths)}
+        chunk = context.broadcast(of)
+        out.append(scratch.table(dealt.where(F.col("chunk") >= k).select("node", "raw").mapInArrow(_swept(chunk, cosine), "a long, b long"), f"sweep-{k}"))
+        chunk.destroy()
+    return out
+
+
 def _counted(cosine: float):
     """Links of each vector within sorted blocks of one component, or between two."""
 
@@ -204,7 +277,7 @@ def projection_dedup(
     Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing; vectors of different lengths never link; equal vectors, repeated
     rows among them, count as linked; an empty table gives no rows; other columns
-    are ignored.  ``n_links`` counts all links inside the component found.
+    are ignored.  ``n_links`` counts all links, as no component lacks one.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     valid = scratch.table(source.mapInArrow(_valid, "vec_id long, node long, raw binary"), "valid")
@@ -226,6 +299,8 @@ def projection_dedup(
     else:
         across = found.select("a", "b").limit(0)
     links = found.where("a is not null").select("a", "b").unionByName(across)
+    for swept in _sweep(classes, cosine, scratch):
+        links = links.unionByName(swept)
     placed = connected_components(links, scratch)
 
     members = placed.join(classes, "node").select("component", "node", "n", "raw", "rep")

@@ -47,6 +47,25 @@ def test_embedding_links_equal_brute_force(spark, vectors, monkeypatch, block):
     assert {r[0]: tuple(r)[1:] for r in got} == linked(vectors) and len(got) == len(vectors)
 
 
+@pytest.mark.parametrize("chunk", [1 << 25, 1 << 19])
+def test_embedding_links_in_a_dense_topic(spark, monkeypatch, chunk):
+    """Near pairs among many distinct vectors of one topic, further apart than any window."""
+    monkeypatch.setattr(embedding_dedup, "CHUNK_BYTES", chunk, raising=False)
+    rng, n, pairs = np.random.default_rng(5), 6000, 300
+    x = np.sqrt(0.85) * np.eye(64)[0] + np.sqrt(0.15 / 64) * rng.standard_normal((n, 64))
+    x[n - pairs :] = x[:pairs] / np.linalg.norm(x[:pairs], axis=1)[:, None] + rng.standard_normal((pairs, 64)) * 0.31 / 8
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    component, same = np.arange(n), False
+    while not same:
+        least = np.minimum(component, np.where(near, component, n).min(axis=1))
+        component, same = least, (least == component).all()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r[0]: (r[1], r[2]) for r in embedding_dedup.projection_dedup(df, Scratch(spark, "t")).collect()}
+    assert got == {i: (int(near[i].sum()), int(component[i])) for i in range(n)}
+
+
 def test_embedding_empty_and_alone(spark):
     schema = "vec_id long, embedding array<float>"
     assert embedding_dedup.projection_dedup(spark.createDataFrame([], schema), Scratch(spark, "t")).count() == 0
