@@ -3,9 +3,12 @@
 A page is scanned once: elements that are boilerplate by tag, class, id or role
 are dropped, the rest of its text is kept with the spans of its containers, each
 under a generalised path of tags and classes (digits made alike).  A page
-proposes the tightest container that holds most of its unlinked text; proposals
-are summed per host and path in Spark, and every page is then re-extracted with
-its host's winning path, or its own where the page lacks that.
+proposes the tightest container outside of which it has no prose, heading or loose
+text; proposals are counted per host and path in Spark, and every page is then
+re-extracted with its host's winning path, or its own where the page lacks that.
+A winning container that would cut off such text on a page gives way to those
+around it there; only other containers right below the body, which the host's
+pages say are not the text, are left out.
 """
 
 from __future__ import annotations
@@ -46,7 +49,9 @@ CONTAINERS = frozenset("body div section article main table tbody tr td center b
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""", re.S)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
-DEPTH, HOLDS = 12, 0.8
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: PROSE: words without a link or block between them; fewer in a container of their own are a label.
+DEPTH, HOLDS, PROSE = 12, 0.8, 3
 
 
 def host_of(url) -> F.Column:
@@ -78,14 +83,16 @@ def step_of(tag: str, attrs: dict[str, str]) -> str:
 
 
 class Page:
-    """One scanned page: ``text``, ``spans`` of (path, start, end) and ``best``."""
+    """One scanned page: ``text``, ``spans`` of (path, start, end, levels to go up
+    where the path wins) and ``best``, the steps of its own path."""
 
     def __init__(self, source: str):
         self.parts: list[str] = []
-        self.size = self.linked = 0
+        self.size = self.linked = self.plain = self.prose = 0
+        self.run = self.headings = 0  # unlinked words since the last block; open headings
         # open elements: tag, container number or -1, whether it starts a dropped subtree
         self.open: list[tuple[str, int, bool]] = []
-        self.nodes: list[list] = []  # path, tag, parent, start, end, linked chars
+        self.nodes: list[list] = []  # path, tag, parent, start, end, linked chars, unlinked words, those of prose
         self.inside: list[int] = []
         self.dropped = self.links = 0
         self.pending = False  # white space due before the next text
@@ -93,8 +100,13 @@ class Page:
         while self.open:
             self._pop()
         self.text = "".join(self.parts)
-        self.spans = [(n[0], n[3], n[4]) for n in self.nodes if n[4] > n[3]]
-        self.best, self.score = self._tightest()
+        self.below: dict[int, list[int]] = {}
+        for k, n in enumerate(self.nodes):
+            self.below.setdefault(n[2], []).append(k)
+        at = self._tightest()
+        self.best = None if at is None else self._steps(at)
+        up = self._levels_up(None if at is None else self.nodes[at][0])
+        self.spans = [(n[0], n[3], n[4], up[n[0]]) for n in self.nodes if n[4] > n[3]]
 
     def _scan(self, source: str) -> None:
         at = 0
@@ -130,11 +142,18 @@ class Page:
         self.size += len(words)
         if self.links:
             self.linked += len(words)
+        else:
+            n = words.count(" ") + 1
+            self.run += n
+            self.plain += n
+            if self.headings or self.run >= PROSE:
+                self.prose += n
         self.pending = value[-1].isspace()
 
     def _start(self, tag: str, raw: str) -> None:
         if tag in BLOCK:
             self.pending = True
+            self.run = 0
         if tag in CLOSES_P and any(o[0] == "p" for o in self._scope()):
             self._end("p")
         if tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
@@ -150,10 +169,11 @@ class Page:
             parent = self.inside[-1] if self.inside else -1
             path = (self.nodes[parent][0] + ">" if parent >= 0 else "") + step_of(tag, attrs)
             number = len(self.nodes)
-            self.nodes.append([path, tag, parent, self.size, self.size, self.linked])
+            self.nodes.append([path, tag, parent, self.size, self.size, self.linked, self.plain, self.prose])
             self.inside.append(number)
         if tag == "a" and not self.dropped:
             self.links += 1
+        self.headings += tag in HEADINGS
         self.open.append((tag, number, drop))
 
     def _scope(self) -> Iterator[tuple[str, int, bool]]:
@@ -175,6 +195,7 @@ class Page:
     def _end(self, tag: str) -> None:
         if tag in BLOCK:
             self.pending = True
+            self.run = 0
         for k in range(len(self.open) - 1, max(-1, len(self.open) - 400), -1):
             if self.open[k][0] == tag:
                 while len(self.open) > k:
@@ -185,53 +206,81 @@ class Page:
 
     def _pop(self) -> None:
         tag, number, drop = self.open.pop()
+        self.headings -= tag in HEADINGS
         if drop:
             self.dropped = 0
             self.pending = True
         if number >= 0:
             node = self.nodes[number]
-            node[4], node[5] = self.size, self.linked - node[5]
+            node[4], node[5], node[6], node[7] = self.size, self.linked - node[5], self.plain - node[6], self.prose - node[7]
             self.inside.pop()
         if tag == "a" and not self.dropped and self.links:
             self.links -= 1
 
-    def _tightest(self) -> tuple[str | None, int]:
+    def _steps(self, at: int) -> list[str]:
+        return self.nodes[at][0].split(">")
+
+    def _loose(self, at: int) -> bool:
+        """Whether unlinked words are in a container, or the page, but in none below it."""
+        return (self.nodes[at][6] if at >= 0 else self.plain) > sum(self.nodes[k][6] for k in self.below.get(at, []))
+
+    def _levels_up(self, own: str | None) -> dict[str, int]:
+        """For each path, how many levels up a container lies that cuts off no text around it."""
+        parents: dict[str, dict[int, int]] = {}
+        for n in self.nodes:
+            held = parents.setdefault(n[0], {})
+            held[n[2]] = held.get(n[2], 0) + n[7]
+        loose = {k: self._loose(k) for k in self.below}
+        up: dict[str, int] = {}
+        for n in self.nodes:  # a parent comes before what it holds
+            if n[0] in up:
+                continue
+            up[n[0]] = 0
+            if n[0] == own or n[1] in ("article", "main"):
+                continue
+            for parent, held in parents[n[0]].items():
+                if parent >= 0 and (loose[parent] or (self.nodes[parent][1] != "body" and self.nodes[parent][7] > held)):
+                    up[n[0]] = 1 + up[self.nodes[parent][0]]
+        return up
+
+    def _tightest(self) -> int | None:
         """From the widest container down, as long as one child holds most of the
-        unlinked text; articles and mains are where it stops."""
-        if not self.nodes:
-            return None, 0
-        below: dict[int, list[int]] = {}
-        for k, n in enumerate(self.nodes):
-            below.setdefault(n[2], []).append(k)
-        weight = [max(0, n[4] - n[3] - 2 * n[5]) for n in self.nodes]
-        at, total = -1, sum(weight[k] for k in below.get(-1, []))
+        unlinked text and none of the rest is prose, a heading or loose; articles
+        and mains are where it stops."""
+        nodes, below = self.nodes, self.below
+        weight = [max(0, n[4] - n[3] - 2 * n[5]) for n in nodes]
+        total = sum(weight[k] for k in below.get(-1, []))
         if not total:
-            return None, 0
-        special = [k for k, n in enumerate(self.nodes) if n[1] in ("article", "main")]
-        if special:
-            top = max(special, key=lambda k: (weight[k], -k))
-            if weight[top] * 4 >= total:
-                inner = [k for k in special if self.nodes[k][1] == "article" and weight[k] >= HOLDS * weight[top]]
-                top = inner[-1] if inner else top
-                return self.nodes[top][0], weight[top]
-        while True:
-            now = total if at < 0 else weight[at]
+            return None
+
+        def inner(at: int) -> int | None:
+            now, prose = (total, self.prose) if at < 0 else (weight[at], nodes[at][7])
             best = max(below.get(at, []), key=lambda k: (weight[k], -k), default=None)
-            if best is None or weight[best] < HOLDS * now:
-                break
-            at = best
-        return (self.nodes[at][0], weight[at]) if at >= 0 else (None, 0)
+            return None if best is None or weight[best] < HOLDS * now or nodes[best][7] < prose or self._loose(at) else best
+
+        special = [k for k, n in enumerate(nodes) if n[1] in ("article", "main")]
+        top = max(special, key=lambda k: (weight[k], -k), default=None)
+        if top is not None and weight[top] * 4 >= total:
+            at = top
+            while (at := inner(at)) is not None:
+                if nodes[at][1] == "article":
+                    top = at
+            return top
+        at = -1
+        while (child := inner(at)) is not None:
+            at = child
+        return at if at >= 0 else None
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.list_(pa.struct([("path", pa.string()), ("start", pa.int32()), ("size", pa.int32())]))
+    span = pa.list_(pa.struct([("path", pa.string()), ("start", pa.int32()), ("size", pa.int32()), ("up", pa.int32())]))
     for batch in batches:
         pages = [Page(x or "") for x in batch.column("html").to_pylist()]
-        spans = [[{"path": p, "start": a, "size": b - a} for p, a, b in page.spans] for page in pages]
+        spans = [[{"path": p, "start": a, "size": b - a, "up": u} for p, a, b, u in page.spans] for page in pages]
         columns = [batch.column(x) for x in ("page_id", "url", "host")]
         yield pa.record_batch(
-            [*columns, pa.array([p.text for p in pages], pa.string()), pa.array(spans, span), pa.array([p.best for p in pages], pa.string()), pa.array([p.score for p in pages], pa.int64())],
-            ["page_id", "url", "host", "whole", "spans", "own", "score"],
+            [*columns, pa.array([p.text for p in pages], pa.string()), pa.array(spans, span), pa.array([p.best for p in pages], pa.list_(pa.string()))],
+            ["page_id", "url", "host", "whole", "spans", "own"],
         )
 
 
@@ -247,22 +296,23 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     empty table gives no rows; other columns are ignored.
     """
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    schema = "page_id long, url string, host string, whole string, spans array<struct<path:string,start:int,size:int>>, own string, score long"
+    schema = "page_id long, url string, host string, whole string, spans array<struct<path:string,start:int,size:int,up:int>>, own array<string>"
     scanned = scratch.table(given.mapInArrow(_scanned, schema), "scanned")
-    votes = scanned.where("own is not null").groupBy("host", "own").agg(F.sum("score").alias("score"))
-    won = scratch.table(votes.groupBy("host").agg(F.max(F.struct("score", "own")).alias("w")).select(F.col("host").alias("_host"), F.col("w.own").alias("voted")), "won")
+    votes = scanned.where("own is not null").groupBy("host", "own").agg(F.count("*").alias("pages"))
+    won = scratch.table(votes.groupBy("host").agg(F.max(F.struct("pages", F.array_join("own", ">"), "own")).alias("w")).select(F.col("host").alias("_host"), F.col("w.own").alias("voted")), "won")
     if won.count() <= FEW_HOSTS:
         won = F.broadcast(won)
     joined = scanned.join(won, F.col("host") == F.col("_host"), "left")
 
     def held(path: F.Column) -> F.Column:
         """Outermost spans of a path, in page order."""
-        return F.array_join(F.transform(F.filter("spans", lambda s: s.path == path), lambda s: F.trim(F.substring("whole", s.start + 1, s.size))), " ")
+        return F.trim(F.array_join(F.transform(F.filter("spans", lambda s: s.path == F.array_join(path, ">")), lambda s: F.trim(F.substring("whole", s.start + 1, s.size))), " "))
 
-    by_vote, by_page = held(F.col("voted")), held(F.col("own"))
-    joined = joined.withColumn("_voted", F.when(F.col("voted").isNotNull(), F.trim(by_vote)))
-    text = F.when(F.col("_voted") != "", F.col("_voted")).when(F.col("own").isNotNull(), F.trim(by_page)).otherwise(F.col("whole"))
-    path = F.when(F.col("_voted") != "", F.col("voted")).otherwise(F.col("own"))
+    up = F.get(F.filter("spans", lambda s: s.path == F.array_join("voted", ">")), F.lit(0))["up"]
+    joined = joined.withColumn("_path", F.when(up.isNotNull(), F.slice("voted", F.lit(1), F.size("voted") - up)))
+    joined = joined.withColumn("_voted", F.when(F.col("_path").isNotNull(), held(F.col("_path"))))
+    text = F.when(F.col("_voted") != "", F.col("_voted")).when(F.col("own").isNotNull(), held(F.col("own"))).otherwise(F.col("whole"))
+    path = F.array_join(F.when(F.col("_voted") != "", F.col("_path")).otherwise(F.col("own")), ">")
     return joined.select("page_id", "url", text.alias("text"), path.alias("path")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
 
 

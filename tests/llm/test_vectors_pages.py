@@ -114,6 +114,22 @@ def test_host_consensus(spark):
     assert got[9] == "Short text." and got[10].startswith("This is") and got[11] == ""
 
 
+def test_siblings_of_the_widest_child_are_kept(spark):
+    """No prose or heading is left out, on a page alone or by its host's path."""
+    rest = f"<p>{TEXT}</p>" * 5
+    alone = f"<body><div class=post><h1>Title</h1><p>An intro of some words.</p><div class=rest>{rest}</div></div></body>"
+    nested = f"<body><div class=post><div class=lead><p>An intro of some words.</p></div><div class=rest>{rest}</div></div></body>"
+    items = "".join(f"<li>Entry number {i} of a long list</li>" for i in range(400))
+    listing = f"<body><div class=post><ul>{items}</ul></div></body>"
+    other = f"<body><div class=post><p>{TEXT}</p><ul><li>One</li></ul></div></body>"
+    rows = [(1, "http://a.org/", alone), (2, "http://b.org/", nested)] + [(10 + i, "http://c.org/", other) for i in range(3)] + [(20, "http://c.org/", listing)]
+    rows += [(30 + i, "http://d.org/", listing) for i in range(3)] + [(40, "http://d.org/", other)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark, "t")).collect()}
+    plain = html_extract.html.unescape(TEXT)
+    assert got[1] == f"Title An intro of some words. {' '.join([plain] * 5)}" and got[2] == got[1][6:]
+    assert {got[k] for k in (10, 11, 12, 40)} == {f"{plain} One"} and got[20] == got[30] and got[20].count("Entry") == 400
+
+
 def test_pages_table(spark):
     out = html_extract.op4_html_extract(spark, SMALL)
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
