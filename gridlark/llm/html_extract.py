@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: PROSE: words without a link or block between them; fewer in a container of their own are a label.
-DEPTH, HOLDS, PROSE = 12, 0.8, 3
+HOLDS, PROSE = 0.8, 3
 
 
 def host_of(url) -> F.Column:
@@ -83,8 +84,8 @@ def step_of(tag: str, attrs: dict[str, str]) -> str:
 
 
 class Page:
-    """One scanned page: ``text``, ``spans`` of (path, start, end, levels to go up
-    where the path wins) and ``best``, the steps of its own path."""
+    """One scanned page: ``text``, ``spans`` of (hash of path, start, end, levels to go up
+    where the path wins) and ``best``, its own path as (hash, step) from the top."""
 
     def __init__(self, source: str):
         self.parts: list[str] = []
@@ -92,7 +93,9 @@ class Page:
         self.run = self.headings = 0  # unlinked words since the last block; open headings
         # open elements: tag, container number or -1, whether it starts a dropped subtree
         self.open: list[tuple[str, int, bool]] = []
-        self.nodes: list[list] = []  # path, tag, parent, start, end, linked chars, unlinked words, those of prose
+        self.places: dict[str, list[int]] = {}  # where each tag is open
+        self.blocks: list[int] = []  # where blocks other than p are
+        self.nodes: list[list] = []  # hash of path, tag, parent, start, end, linked chars, unlinked words, those of prose, step
         self.inside: list[int] = []
         self.dropped = self.links = 0
         self.pending = False  # white space due before the next text
@@ -154,7 +157,7 @@ class Page:
         if tag in BLOCK:
             self.pending = True
             self.run = 0
-        if tag in CLOSES_P and any(o[0] == "p" for o in self._scope()):
+        if tag in CLOSES_P and self._last("p") > (self.blocks[-1] if self.blocks else -1):
             self._end("p")
         if tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
             self._implied(tag)
@@ -165,48 +168,46 @@ class Page:
         number = -1
         if drop:
             self.dropped = 1
-        elif not self.dropped and tag in CONTAINERS and len(self.inside) < DEPTH:
+        elif not self.dropped and tag in CONTAINERS:
             parent = self.inside[-1] if self.inside else -1
-            path = (self.nodes[parent][0] + ">" if parent >= 0 else "") + step_of(tag, attrs)
+            step = step_of(tag, attrs)
+            key = xxhash.xxh64_intdigest(f"{self.nodes[parent][0] if parent >= 0 else ''}>{step}") - (1 << 63)
             number = len(self.nodes)
-            self.nodes.append([path, tag, parent, self.size, self.size, self.linked, self.plain, self.prose])
+            self.nodes.append([key, tag, parent, self.size, self.size, self.linked, self.plain, self.prose, step])
             self.inside.append(number)
         if tag == "a" and not self.dropped:
             self.links += 1
         self.headings += tag in HEADINGS
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK and tag != "p":
+            self.blocks.append(len(self.open))
         self.open.append((tag, number, drop))
 
-    def _scope(self) -> Iterator[tuple[str, int, bool]]:
-        """Open elements down to the nearest one that an implied end does not cross."""
-        for o in reversed(self.open):
-            if o[0] in BLOCK and o[0] != "p":
-                return
-            yield o
+    def _last(self, *tags: str) -> int:
+        """The place of the last of these tags that is open, or -1."""
+        return max(self.places[t][-1] if self.places.get(t) else -1 for t in tags)
 
     def _implied(self, tag: str) -> None:
         same, stop = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}.get(tag, (tag,)), ("ul", "ol", "dl", "table", "select", "menu")
-        for o in reversed(self.open):
-            if o[0] in same:
-                self._end(o[0])
-                return
-            if o[0] in stop or (o[0] == "tr" and tag != "tr"):
-                return
+        at = self._last(*same)
+        if at > self._last(*stop, *(() if tag == "tr" else ("tr",))):
+            self._end(self.open[at][0])
 
     def _end(self, tag: str) -> None:
         if tag in BLOCK:
             self.pending = True
             self.run = 0
-        for k in range(len(self.open) - 1, max(-1, len(self.open) - 400), -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if self.open[k][0] in ("article", "main", "body", "td", "table") and tag not in BLOCK:
-                return
+        at = self._last(tag)
+        if at >= 0 and (tag in BLOCK or at > self._last("article", "main", "body", "td", "table")):
+            while len(self.open) > at:
+                self._pop()
 
     def _pop(self) -> None:
         tag, number, drop = self.open.pop()
         self.headings -= tag in HEADINGS
+        self.places[tag].pop()
+        if tag in BLOCK and tag != "p":
+            self.blocks.pop()
         if drop:
             self.dropped = 0
             self.pending = True
@@ -217,21 +218,25 @@ class Page:
         if tag == "a" and not self.dropped and self.links:
             self.links -= 1
 
-    def _steps(self, at: int) -> list[str]:
-        return self.nodes[at][0].split(">")
+    def _steps(self, at: int) -> list[tuple[int, str]]:
+        out = []
+        while at >= 0:
+            out.append((self.nodes[at][0], self.nodes[at][8]))
+            at = self.nodes[at][2]
+        return out[::-1]
 
     def _loose(self, at: int) -> bool:
         """Whether unlinked words are in a container, or the page, but in none below it."""
         return (self.nodes[at][6] if at >= 0 else self.plain) > sum(self.nodes[k][6] for k in self.below.get(at, []))
 
-    def _levels_up(self, own: str | None) -> dict[str, int]:
+    def _levels_up(self, own: int | None) -> dict[int, int]:
         """For each path, how many levels up a container lies that cuts off no text around it."""
-        parents: dict[str, dict[int, int]] = {}
+        parents: dict[int, dict[int, int]] = {}
         for n in self.nodes:
             held = parents.setdefault(n[0], {})
             held[n[2]] = held.get(n[2], 0) + n[7]
         loose = {k: self._loose(k) for k in self.below}
-        up: dict[str, int] = {}
+        up: dict[int, int] = {}
         for n in self.nodes:  # a parent comes before what it holds
             if n[0] in up:
                 continue
@@ -273,13 +278,14 @@ class Page:
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.list_(pa.struct([("path", pa.string()), ("start", pa.int32()), ("size", pa.int32()), ("up", pa.int32())]))
+    span = pa.list_(pa.struct([("key", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("up", pa.int32())]))
+    step = pa.list_(pa.struct([("key", pa.int64()), ("step", pa.string())]))
     for batch in batches:
         pages = [Page(x or "") for x in batch.column("html").to_pylist()]
-        spans = [[{"path": p, "start": a, "size": b - a, "up": u} for p, a, b, u in page.spans] for page in pages]
+        spans = [[{"key": p, "start": a, "size": b - a, "up": u} for p, a, b, u in page.spans] for page in pages]
         columns = [batch.column(x) for x in ("page_id", "url", "host")]
         yield pa.record_batch(
-            [*columns, pa.array([p.text for p in pages], pa.string()), pa.array(spans, span), pa.array([p.best for p in pages], pa.list_(pa.string()))],
+            [*columns, pa.array([p.text for p in pages], pa.string()), pa.array(spans, span), pa.array([p.best and [{"key": k, "step": x} for k, x in p.best] for p in pages], step)],
             ["page_id", "url", "host", "whole", "spans", "own"],
         )
 
@@ -296,23 +302,27 @@ def extract(pages: DataFrame, scratch: Scratch) -> DataFrame:
     empty table gives no rows; other columns are ignored.
     """
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    schema = "page_id long, url string, host string, whole string, spans array<struct<path:string,start:int,size:int,up:int>>, own array<string>"
+    schema = "page_id long, url string, host string, whole string, spans array<struct<key:long,start:int,size:int,up:int>>, own array<struct<key:long,step:string>>"
     scanned = scratch.table(given.mapInArrow(_scanned, schema), "scanned")
+
+    def named(path: str) -> F.Column:
+        return F.array_join(F.transform(path, lambda x: x.step), ">")
+
     votes = scanned.where("own is not null").groupBy("host", "own").agg(F.count("*").alias("pages"))
-    won = scratch.table(votes.groupBy("host").agg(F.max(F.struct("pages", F.array_join("own", ">"), "own")).alias("w")).select(F.col("host").alias("_host"), F.col("w.own").alias("voted")), "won")
+    won = scratch.table(votes.groupBy("host").agg(F.max(F.struct("pages", named("own"), "own")).alias("w")).select(F.col("host").alias("_host"), F.col("w.own").alias("voted")), "won")
     if won.count() <= FEW_HOSTS:
         won = F.broadcast(won)
     joined = scanned.join(won, F.col("host") == F.col("_host"), "left")
 
-    def held(path: F.Column) -> F.Column:
+    def held(path: str) -> F.Column:
         """Outermost spans of a path, in page order."""
-        return F.trim(F.array_join(F.transform(F.filter("spans", lambda s: s.path == F.array_join(path, ">")), lambda s: F.trim(F.substring("whole", s.start + 1, s.size))), " "))
+        return F.trim(F.array_join(F.transform(F.filter("spans", lambda s: s.key == F.get(path, F.size(path) - 1)["key"]), lambda s: F.trim(F.substring("whole", s.start + 1, s.size))), " "))
 
-    up = F.get(F.filter("spans", lambda s: s.path == F.array_join("voted", ">")), F.lit(0))["up"]
+    up = F.get(F.filter("spans", lambda s: s.key == F.get("voted", F.size("voted") - 1)["key"]), F.lit(0))["up"]
     joined = joined.withColumn("_path", F.when(up.isNotNull(), F.slice("voted", F.lit(1), F.size("voted") - up)))
-    joined = joined.withColumn("_voted", F.when(F.col("_path").isNotNull(), held(F.col("_path"))))
-    text = F.when(F.col("_voted") != "", F.col("_voted")).when(F.col("own").isNotNull(), held(F.col("own"))).otherwise(F.col("whole"))
-    path = F.array_join(F.when(F.col("_voted") != "", F.col("_path")).otherwise(F.col("own")), ">")
+    joined = joined.withColumn("_voted", F.when(F.col("_path").isNotNull(), held("_path")))
+    text = F.when(F.col("_voted") != "", F.col("_voted")).when(F.col("own").isNotNull(), held("own")).otherwise(F.col("whole"))
+    path = F.when(F.col("_voted") != "", named("_path")).otherwise(named("own"))
     return joined.select("page_id", "url", text.alias("text"), path.alias("path")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
 
 

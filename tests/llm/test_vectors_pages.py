@@ -130,6 +130,16 @@ def test_siblings_of_the_widest_child_are_kept(spark):
     assert {got[k] for k in (10, 11, 12, 40)} == {f"{plain} One"} and got[20] == got[30] and got[20].count("Entry") == 400
 
 
+def test_many_open_and_deep_elements(spark):
+    """However many elements are open or around it, the text is found."""
+    unclosed = f"<body><nav>{'<font><b>x' * 300}</nav><article><p>{TEXT}</p></article></body>"
+    deep = f"<body>{'<div>' * 20}<article><p>{TEXT}</p></article><div>Something about this site, in words.</div>"
+    deeper = f"<body>{'<div>' * 5000}<article><p>{TEXT}</p></article>"
+    rows = [(i, f"http://h{i}.org/", x) for i, x in enumerate((unclosed, deep, deeper))]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark, "t")).collect()
+    assert [r["text"] for r in sorted(got)] == [html_extract.html.unescape(TEXT)] * 3
+
+
 def test_pages_table(spark):
     out = html_extract.op4_html_extract(spark, SMALL)
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
