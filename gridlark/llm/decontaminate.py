@@ -8,6 +8,9 @@ agree on the slots: along one alignment of document and item, one item value
 must always stand for the same document value.  So a question whose numbers or
 names were exchanged is found like a verbatim one.
 
+An item without such a window, as one of fewer than five words or dense in
+numbers, is found by its whole sequence of lower-cased words instead.
+
 The benchmark's windows first mark a bitmap of fixed size; only document windows
 that hit it leave Python, and the join with the windows themselves is exact.
 """
@@ -24,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import windows
+from .words import mixed, windows
 
 SIZE, LITERALS, COVERED, MAP_BITS, FEW_WINDOWS = 5, 3, 0.8, 24, 200_000
+_STEP, _BACK = (np.uint64(x) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
 NUMBER, NAME, UNIT = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("<number>", "<name>", "<unit>"))
 
 #: Words that are a unit when they follow a number.
@@ -78,14 +82,25 @@ def template(text: str | None, known: _Kinds) -> tuple[np.ndarray, np.ndarray, l
     return hashes[words], (number | name | unit)[words], [w for w, k in zip(raw, words.tolist(), strict=True) if k], literal[words]
 
 
-def _windows_of(text: str | None, known: _Kinds) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Window hashes, their places, the placeholder mask and the words."""
-    h, slots, words, _ = template(text, known)
+def _windows_of(text: str | None, known: _Kinds) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Window hashes, their places, the placeholder mask, the words and their hashes as they stand."""
+    h, slots, words, raw = template(text, known)
     if len(h) < SIZE:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), slots, words
+        return np.empty(0, np.uint64), np.empty(0, np.int64), slots, words, raw
     literal = np.convolve(~slots, np.ones(SIZE, np.int64), "valid")
     at = np.flatnonzero(literal >= LITERALS)
-    return windows(h, SIZE)[at], at, slots, words
+    return windows(h, SIZE)[at], at, slots, words, raw
+
+
+def _sequences(literal: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words as they stand; its cost does not grow with ``size``."""
+    n = len(literal)
+    if n < size:
+        return np.empty(0, np.uint64)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _STEP, np.uint64)]))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(literal) * power)])
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - size, _BACK, np.uint64)]))
+    return mixed((total[size:] - total[:-size]) * back + np.uint64(size))
 
 
 def _slots(slots: np.ndarray, words: list[str], at: int) -> list[str]:
@@ -96,19 +111,21 @@ def _marks(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
-ROWS = "id long, h long, at int, slots array<string>"
+#: ``whole``: the number of words where ``h`` is of an item's whole sequence, 0 where it is of a window.
+ROWS = "id long, h long, at int, slots array<string>, whole int"
 
 
-def _emitted(bitmap: np.ndarray | None):
-    """Windows of (id, text) rows; with a bitmap, those it marks, else all, less
-    those with an item's first word if a capital there may or may not be a name."""
+def _emitted(bitmap: np.ndarray | None, wholes: tuple[int, ...] = ()):
+    """Windows of (id, text) rows; with a bitmap, those it marks and sequences of
+    ``wholes`` words that it marks, else all, less those with an item's first word
+    if a capital there may or may not be a name, or the whole where none is left."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Kinds()
         for batch in batches:
-            ids, hs, ats, slots = [], [], [], []
+            ids, hs, ats, slots, sizes = [], [], [], [], []
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h, at, mask, words = _windows_of(text, known)
+                h, at, mask, words, raw = _windows_of(text, known)
                 if bitmap is not None:
                     hit = np.flatnonzero(bitmap[_marks(h)])
                 else:
@@ -118,7 +135,16 @@ def _emitted(bitmap: np.ndarray | None):
                     hs.append(int(h[k].view(np.int64)))
                     ats.append(int(at[k]))
                     slots.append(_slots(mask, words, ats[-1]))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(ats, pa.int32()), pa.array(slots, pa.list_(pa.string()))], ["id", "h", "at", "slots"])
+                    sizes.append(0)
+                for size in wholes if bitmap is not None else [len(raw)] if len(raw) and not len(hit) else []:
+                    h = _sequences(raw, size)
+                    for k in (np.flatnonzero(bitmap[_marks(h)]) if bitmap is not None else np.arange(1)).tolist():
+                        ids.append(i)
+                        hs.append(int(h[k].view(np.int64)))
+                        ats.append(k)
+                        slots.append([])
+                        sizes.append(size)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(ats, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(sizes, pa.int32())], ["id", "h", "at", "slots", "whole"])
 
     return emit
 
@@ -139,7 +165,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, covered:
     """``(doc_id, item_id, coverage)`` of the documents that hold an item.
 
     Items with fewer than five words, or without a window of three literal words,
-    match nothing; null and empty texts, and rows with a null id, hold nothing;
+    are held where all their words stand one after another, so one of a single word
+    by every document with that word; items without words match nothing; null and empty texts, and rows with a null id, hold nothing;
     rows that repeat an id count as one document; an item that is repeated in the
     benchmark is reported for each of its ids; empty tables give no rows; other
     columns are ignored.
@@ -149,13 +176,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, covered:
     packed = known.select("h").mapInArrow(_mapped, "bits binary").coalesce(1).mapInArrow(_mapped, "bits binary").collect()  # one row of fixed size
     bitmap = np.unpackbits(np.frombuffer(packed[0][0], np.uint8)).view(bool) if packed else np.zeros(1 << MAP_BITS, bool)
 
+    wholes = tuple(sorted(x[0] for x in known.where("whole > 0").select("whole").distinct().collect()))  # lengths of items
+
     given = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
-    hits = scratch.table(given.mapInArrow(_by_bitmap(shared), ROWS), "hits")
-    named = known.select(F.col("id").alias("item_id"), "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    hits = scratch.table(given.mapInArrow(_by_bitmap(shared, wholes), ROWS), "hits")
+    named = known.select(F.col("id").alias("item_id"), "h", "whole", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     if known.count() <= FEW_WINDOWS:
         named = F.broadcast(named)
-    matched = hits.withColumnRenamed("id", "doc_id").join(named, "h").withColumn("shift", F.col("at") - F.col("item_at"))
+    matched = hits.withColumnRenamed("id", "doc_id").join(named, ["h", "whole"]).withColumn("shift", F.col("at") - F.col("item_at"))
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("a"), x["slots"].alias("b")))
     lines = matched.groupBy("doc_id", "item_id", "shift").agg(
         F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
@@ -166,9 +195,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, covered:
     return found.join(sizes, "item_id").withColumn("coverage", F.col("n") / F.col("total")).where(F.col("coverage") >= covered).select("doc_id", "item_id", "coverage")
 
 
-def _by_bitmap(shared):
+def _by_bitmap(shared, wholes: tuple[int, ...]):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _emitted(np.unpackbits(shared.value).view(bool))(batches)
+        yield from _emitted(np.unpackbits(shared.value).view(bool), wholes)(batches)
 
     return emit
 

@@ -224,6 +224,22 @@ def test_decontaminate(spark, scratch):
         assert decontaminate.find_leaks(a, b, Scratch(spark, "t3")).count() == 0
 
 
+def test_items_without_windows(spark, scratch):
+    """Short and number-dense items are found by their words."""
+    items = ["Who painted Guernica?", "What is 12 + 7 * 3 - 45 / 9 + 128 ?", "Solve 3 x 4 = 12, 5 x 6 = 30, 7 x 8 = 56", "...", "one two three four five six"]
+    docs = [f"Some words before. {x} And some after." for x in items] + [items[0].upper(), "what is 12 + 7 * 3 - 45 / 9 + 129", "who painted the guernica"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {tuple(r) for r in decontaminate.find_leaks(d, bench, scratch).collect()}
+    assert got == {(i, i, 1.0) for i in (0, 1, 2, 4)} | {(5, 0, 1.0)}
+    literal = np.random.default_rng(1).integers(0, 3, 300).astype(np.uint64)
+    for size in (1, 2, 7, 300):
+        of = {}
+        for k, h in enumerate(decontaminate._sequences(literal, size).tolist()):
+            assert of.setdefault(h, tuple(literal[k : k + size])) == tuple(literal[k : k + size])
+        assert len(of) == len({tuple(literal[k : k + size]) for k in range(301 - size)})
+
+
 def test_token_order(spark, awkward, nothing, scratch, tmp_path):
     for n in (1, 2, 3, 7, 64, 1000):
         slots = token_order.feistel(np.arange(n), n, 9)
