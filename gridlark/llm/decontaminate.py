@@ -3,8 +3,9 @@
 Words become a template: numbers, units after a number, and capitalised words
 inside a sentence turn into typed placeholders, everything else is lower-cased.
 Windows of five template words are hash-joined with the benchmark's.  A document
-holds an item when windows that carry at least 80 % of the item's distinct ones
-agree on the slots: along one alignment of document and item, one item value
+holds an item when windows that agree on the slots are at least 80 % of the item's
+distinct ones, or cover at least 80 % of the words that its windows cover, or cover
+13 words in a row, as an excerpt does: along one alignment of document and item, one item value
 must always stand for the same document value.  So a question whose numbers or
 names were exchanged is found like a verbatim one.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .words import mixed, windows
 
-SIZE, LITERALS, COVERED, MAP_BITS, FEW_WINDOWS = 5, 3, 0.8, 24, 200_000
+SIZE, LITERALS, COVERED, RUN, MAP_BITS, FEW_WINDOWS = 5, 3, 0.8, 13, 24, 200_000
 _STEP, _BACK = (np.uint64(x) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
 NUMBER, NAME, UNIT = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("<number>", "<name>", "<unit>"))
 
@@ -162,7 +163,8 @@ def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, covered: float = COVERED) -> DataFrame:
-    """``(doc_id, item_id, coverage)`` of the documents that hold an item.
+    """``(doc_id, item_id, coverage)`` of the documents that hold an item;
+    coverage is the larger of the shares of its windows and of its words.
 
     Items with fewer than five words, or without a window of three literal words,
     are held where all their words stand one after another, so one of a single word
@@ -186,13 +188,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, covered:
         named = F.broadcast(named)
     matched = hits.withColumnRenamed("id", "doc_id").join(named, ["h", "whole"]).withColumn("shift", F.col("at") - F.col("item_at"))
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("a"), x["slots"].alias("b")))
+    words = F.sequence("item_at", F.col("item_at") + F.when(F.col("whole") > 0, F.col("whole")).otherwise(SIZE) - 1)
     lines = matched.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+        F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.array_sort(F.collect_set("item_at")).alias("places"), F.array_distinct(F.flatten(F.collect_set(words))).alias("words")
     )  # at most an item's windows in each
     agree = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x.a)))
-    found = lines.where(agree).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("n"))
-    sizes = known.groupBy("id").agg(F.count_distinct("h").alias("total")).withColumnRenamed("id", "item_id")
-    return found.join(sizes, "item_id").withColumn("coverage", F.col("n") / F.col("total")).where(F.col("coverage") >= covered).select("doc_id", "item_id", "coverage")
+    none = F.struct(F.lit(0).alias("first"), F.lit(0).alias("end"), F.lit(0).alias("longest"))
+
+    def longer(run: F.Column, at: F.Column) -> F.Column:
+        first, end = F.when(at <= run.end, run.first).otherwise(at), at + SIZE
+        return F.struct(first.alias("first"), end.alias("end"), F.greatest(run.longest, end - first).alias("longest"))
+
+    run = F.aggregate("places", none, longer)["longest"]
+    found = lines.where(agree).groupBy("doc_id", "item_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("m"), F.max(run).alias("run")
+    )
+    own = F.sequence("at", F.col("at") + F.when(F.col("whole") > 0, F.col("whole")).otherwise(SIZE) - 1)
+    sizes = known.groupBy("id").agg(F.count_distinct("h").alias("total"), F.size(F.array_distinct(F.flatten(F.collect_set(own)))).alias("of_words")).withColumnRenamed("id", "item_id")
+    share = F.greatest(F.col("n") / F.col("total"), F.col("m") / F.col("of_words"))
+    return found.join(sizes, "item_id").withColumn("coverage", share).where((F.col("coverage") >= covered) | (F.col("run") >= RUN)).select("doc_id", "item_id", "coverage")
 
 
 def _by_bitmap(shared, wholes: tuple[int, ...]):

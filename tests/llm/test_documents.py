@@ -224,6 +224,17 @@ def test_decontaminate(spark, scratch):
         assert decontaminate.find_leaks(a, b, Scratch(spark, "t3")).count() == 0
 
 
+def test_edited_copies_and_excerpts(spark, scratch):
+    """One edit costs one word, and thirteen words in a row are enough."""
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(64)]
+    short, long = words[:16], words[20:]
+    docs = [short[:7] + ["other"] + short[8:], long[:33], long[15:28], long[15:27], long[:12] + ["z"] * 5 + long[17:29], short[:6] + long[:6], long[:9] + ["other"] + long[9:]]
+    bench = spark.createDataFrame([(0, " ".join(short)), (1, " ".join(long))], "item_id long, text string")
+    d = spark.createDataFrame([(i, "before it " + " ".join(x) + " after it") for i, x in enumerate(docs)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.find_leaks(d, bench, scratch).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 1), (6, 1)} and got[0, 0] == 15 / 16 and got[1, 1] == 33 / 44 and got[6, 1] == 1
+
+
 def test_items_without_windows(spark, scratch):
     """Short and number-dense items are found by their words."""
     items = ["Who painted Guernica?", "What is 12 + 7 * 3 - 45 / 9 + 128 ?", "Solve 3 x 4 = 12, 5 x 6 = 30, 7 x 8 = 56", "...", "one two three four five six"]
