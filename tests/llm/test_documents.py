@@ -268,12 +268,44 @@ def test_token_order(spark, awkward, nothing, scratch, tmp_path):
         ids = np.concatenate([docs[i][k][0] for k in sorted(docs[i])]).tolist()
         assert ids[-1] == end and coder.decode(ids[:-1]) == (t or "")
     to = f"file://{tmp_path}/shards"
-    written = token_order.write_shards(out, to).collect()
-    assert sum(r["sequences"] for r in written) == len(rows)
+    index = token_order.materialise(awkward, Scratch(spark, "t1"), to, seq_len=16, per_shard=50)
+    assert sorted(tuple(r)[:6] for r in index.collect()) == [tuple(r)[:6] for r in rows]
     want = np.array([np.frombuffer(r["tokens"], np.uint16) for r in rows])
-    for start, count in ((0, len(rows)), (47, 9), (120, 3)):
-        assert (token_order.read_sequences(to, start, count, seq_len=16, per_shard=50) == want[start : start + count]).all()
+    for start, count in ((0, len(rows)), (47, 9), (120, 3), (len(rows) - 1, 9), (len(rows), 1)):
+        assert (token_order.read_sequences(to, start, count) == want[start : start + count]).all()
     assert token_order.training_order(nothing, Scratch(spark, "t")).count() == 0
+    assert token_order.materialise(nothing, Scratch(spark, "t2"), f"{to}-none").count() == 0 and not len(token_order.read_sequences(f"{to}-none", 0, 5))
+
+
+def test_token_order_is_that_of_the_rows(spark, awkward, tmp_path):
+    """Partitions of the input change no slot, and tasks with several shards write each."""
+    got = []
+    for parts, most in ((1, 64), (7, 2)):
+        token_order.MOST_SHARDS_PER_TASK, old = most, token_order.MOST_SHARDS_PER_TASK
+        to = f"file://{tmp_path}/{parts}"
+        try:
+            got.append(sorted(map(tuple, token_order.materialise(awkward.repartition(parts), Scratch(spark, "t"), to, seq_len=8, per_shard=3).collect())))
+        finally:
+            token_order.MOST_SHARDS_PER_TASK = old
+        got[-1].append(token_order.read_sequences(to, 0, 10_000).tolist())
+    assert got[0] == got[1] and len({x[1] for x in got[0][:-1]}) > 50
+
+
+def test_tokens_of_very_long_texts(spark, monkeypatch):
+    coder, end = token_order.encoding()
+    for text in (" " * 10_000_000, "x" * 10_000_000, "a" + "\n" * 1_000_001 + "b", "1" * 1_000_000):
+        assert coder.decode(token_order.encoded(coder, text).tolist()) == text
+    monkeypatch.setattr(token_order, "LONG_BLANK", 8)
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "9", "!", "\xa0", "'s"]) if rng.random() < 0.5 else rng.choice([" ", "\n", "\t", "\u2003"]) * int(rng.integers(1, 20)) for _ in range(12))
+        assert "".join(token_order.pieces(text)) == text
+        if not any(len(x) >= 8 for x in re.findall(r"\s+", text)):
+            assert token_order.encoded(coder, text).tolist() == coder.encode(text, disallowed_special=())
+    monkeypatch.setattr(token_order, "LONG_BLANK", 8)
+    for text in ("ab" + " " * 9 + "cd  e", "ab" + " " * 30, " " * 20 + "\nx"):  # runs of spaces have no tokens that cross a cut
+        assert token_order.encoded(coder, text).tolist() == coder.encode(text, disallowed_special=())
+    assert token_order.id_type(65_535).itemsize == 2 and token_order.id_type(65_536).itemsize == 4
 
 
 def test_quality_on_awkward_rows(spark, awkward, nothing):
