@@ -11,7 +11,7 @@ from gridlark.llm.ngram_join import jaccard_join
 from gridlark.llm.quality_gam import score_documents, train
 from gridlark.llm.scratch import Scratch
 from gridlark.llm.source_mix import mix
-from gridlark.llm.token_order import training_order
+from gridlark.llm.token_order import materialise
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def order_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences at their global slots."""
-    return training_order(docs, Scratch(spark, "pipeline-order"))
+    """Token sequences at their global slots, in shards that this writes."""
+    return materialise(docs, Scratch(spark, "pipeline-order"))
 
 
 STAGES = [
