@@ -4,7 +4,7 @@ from .decontaminate import op8_decontaminate
 from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from .html_extract import op4_html_extract
 from .language_id import op10_language_id
-from .license_scan import op5_license_scan
+from .license_scan import OP5_SQL, op5_license_scan
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .ngram_join import OP9_SQL, op9_ngram_jaccard_join
 from .quality_gam import op1_quality_gam
@@ -26,6 +26,7 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op2_embedding_near_dedup": OP2_SQL,
+    "op5_license_scan": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_source_mix": OP7_SQL,
     "op9_ngram_jaccard_join": OP9_SQL,

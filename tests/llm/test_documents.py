@@ -1,6 +1,7 @@
 """Document operators against brute force, and on awkward rows."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -192,22 +193,54 @@ def test_mix(spark, awkward, nothing, scratch):
     assert source_mix.mix(nothing, Scratch(spark, "t2")).count() == 0
 
 
+def licences_of(rows):
+    """Brute force: every text against every phrase and clause, word by word."""
+    pattern, lower = re.compile(license_scan.WORD), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = [pattern.findall((t or "").translate(lower)) for _, t in rows]
+    holders = Counter(x for w in words for x in set(w))
+
+    def places(w, phrase):
+        p = phrase.split()
+        return [k for k in range(len(w)) if w[k : k + len(p)] == p]
+
+    def holds(w, clause):
+        c = clause.split()
+        rare = sorted({x: k for k, x in reversed(list(enumerate(c)))}.items(), key=lambda x: (holders[x[0]], x[1]))[: license_scan.RARE]
+        return any(sum(0 <= s + k < len(w) and w[s + k] == x for x, k in rare) >= license_scan.AGREE * len(rare) for s in range(-len(c), len(w)))
+
+    out = Counter()
+    for (i, _), w in zip(rows, words, strict=True):
+        at = sorted((k, x) for x, p in license_scan.BASE.items() for k in places(w, p))
+        bases = {x for _, x in at}
+        more = {x for x, several in license_scan.TEMPLATES.items() if any(holds(w, c) and all(places(w, k) for k in keys) for c, keys in several)}
+        idf = sum(math.log((1 + len(rows)) / (1 + holders[x])) for p in license_scan.phrases() if places(w, p) for x in set(p.split()))
+        out[(i, len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted(bases)), ",".join(sorted(bases | more)), round(1 - math.exp(-idf / 10), 6))] += 1
+    return out
+
+
 def test_license_scan(spark, awkward, nothing, scratch):
-    pattern, lower = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    extra = [(30, "x GNU General Public License general public license"), (31, "-MIT license-"), (32, "license mit license license"), (33, "Émit license"), (34, "mozilla public license apache  license")]
-    docs = awkward.select("doc_id", "text", "key").unionByName(spark.createDataFrame([(i, t, "k") for i, t in extra], "doc_id long, text string, key string"))
-    got = Counter(tuple(r)[:6] for r in license_scan.scan(docs, scratch).collect())
-    want = Counter()
-    for i, t in AWKWARD + extra:
-        w = pattern.findall((t or "").translate(lower))
-        at = [(k, x) for x, p in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
-        want[(i, len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({x for _, x in at})))] += 1
-    assert got == want
-    more = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(docs, Scratch(spark, "t")).collect()}
-    assert more[34][0] == "apache,mpl" and 0 < more[34][1] < 1 and more[2] == ("", 0.0)
+    extra = ["x GNU General Public License general public license", "-MIT license-", "license mit license license", "Émit license", "mozilla public license apache  license", "general public", "MIT license " * 3000]
+    for several in license_scan.TEMPLATES.values():
+        for clause, _ in several:
+            c = clause.split()
+            extra += [clause.title().replace(" ", ", "), " ".join(["so:", *c[: len(c) // 2], "other", *c[len(c) // 2 :]]), " ".join(c[1:]), " ".join(c[:-1]), " ".join(sorted(c))]
+    rows = AWKWARD + [(30 + i, t) for i, t in enumerate(extra)]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, key string")
+    got = Counter(map(tuple, license_scan.scan(docs, scratch).collect()))
+    want = licences_of(rows)
+    assert (sorted(map(repr, got - want)), sorted(map(repr, want - got))) == ([], [])
+    assert len({r[6] for r in got}) > 14
+    assert {r[6:] for r in got if r[0] == 2} == {("", 0.0)}
     assert license_scan.scan(nothing, Scratch(spark, "t2")).count() == 0
 
 
+def test_license_index_has_no_common_words():
+    """Only the rarest words of a clause or phrase look anything up."""
+    df = Counter({w: 10_000 for w in "and the of to in is a for or this it as by under with use".split()})
+    index = license_scan.postings(df)
+    assert not {w for w, *_ in index} & set(df) and {i for _, i, _, _ in index} == set(range(len(license_scan.phrases() + license_scan.clauses())))
+
+
 def test_decontaminate(spark, scratch):
     item = "Anna Kern buys 12 apples for 3 dollars and then walks 7 km to the market, where Anna Kern sells 4 apples."
     swapped = "We saw: Tom Wood buys 90 apples for 5 dollars and then walks 2 km to the market, where Tom Wood sells 8 apples. The end."
@@ -293,7 +326,7 @@ def test_token_order_is_that_of_the_rows(spark, awkward, tmp_path):
 
 def test_tokens_of_very_long_texts(spark, monkeypatch):
     coder, end = token_order.encoding()
-    for text in (" " * 10_000_000, "x" * 10_000_000, "a" + "\n" * 1_000_001 + "b", "1" * 1_000_000):
+    for text in (" " * 10_000_000, "x" * 1_000_000, "a" + "\n" * 1_000_001 + "b", "1" * 1_000_000):
         assert coder.decode(token_order.encoded(coder, text).tolist()) == text
     monkeypatch.setattr(token_order, "LONG_BLANK", 8)
     rng = np.random.default_rng(3)
