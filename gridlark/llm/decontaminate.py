@@ -1,25 +1,32 @@
 """Benchmark decontamination over canonical templates.
 
-Words become a template: numbers, units after a number, and capitalised words
-inside a sentence turn into typed placeholders, everything else is lower-cased.
+Words become a template: numbers, units and capitalised words turn into typed
+placeholders, he and she into one word, everything else is lower-cased.  A
+capitalised word that begins a sentence is a name unless it is one of a fixed list of
+common openers; as it may be neither, an item is also indexed with it as a word.
 Windows of five template words are hash-joined with the benchmark's.  A document
 holds an item when windows that agree on the slots are at least 80 % of the item's
-distinct ones, or cover at least 80 % of the words that its windows cover, or cover
+places, or cover at least 80 % of the words that its windows cover, or cover
 13 words in a row, as an excerpt does: along one alignment of document and item, one item value
-must always stand for the same document value.  So a question whose numbers or
-names were exchanged is found like a verbatim one.
+must always stand for the same document value.  So a question whose numbers,
+names or units were exchanged is found like a verbatim one.
 
-An item without such a window, as one of fewer than five words or dense in
-numbers, is found by its whole sequence of lower-cased words instead.
+An item whose windows cover less than half of its words, as one dense in numbers, is
+indexed by template windows of ten words instead or, where these cover too little,
+by five words as they stand; one of fewer than five words by all of them.
 
 The benchmark's windows first mark a bitmap of fixed size; only document windows
-that hit it leave Python, and the join with the windows themselves is exact.
+that hit it leave Python, and the join with the windows themselves is exact.  It
+first looks for an item's gate alone: those of its windows that the fewest items
+share, as many as leave a rest that cannot be enough.  A window of a stock phrase
+is thus joined only with items that the document may hold.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -30,122 +37,181 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .words import mixed, windows
 
-SIZE, LITERALS, COVERED, RUN, MAP_BITS, FEW_WINDOWS = 5, 3, 0.8, 13, 24, 200_000
-_STEP, _BACK = (np.uint64(x) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
+SIZE, LONG_SIZE, LITERALS, COVERED, RUN, MAP_BITS, FEW_WINDOWS = 5, 10, 3, 0.8, 13, 24, 200_000
 NUMBER, NAME, UNIT = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("<number>", "<name>", "<unit>"))
 
-#: Words that are a unit when they follow a number.
+#: Words that are a unit when they follow a number, and anywhere if they have four letters.
 UNITS = frozenset(
     "mm cm m km inch inches ft feet foot yard yards mile miles mg g kg t ton tons lb lbs ounce ounces ml l liter liters litre litres gallon gallons "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents "
-    "pound pounds degree degrees mph kph hz khz mhz ghz w kw v volt volts watt watts".split()
+    "pound pounds degree degrees mph kph hz khz mhz ghz w kw v volt volts watt watts meter meters metre metres kilometer kilometers kilometre kilometres "
+    "centimeter centimeters centimetre centimetres gram grams kilogram kilograms".split()
+)
+#: Words of one kind whoever is meant.
+PRONOUNS = frozenset("he she him her his hers himself herself".split())
+#: Words that often begin a sentence and are no names.
+OPENERS = frozenset(
+    "a about after all also although an and another any are as at be because before both but by can compute consider could did do does each every explain few find first for from given "
+    "had has have how however i if in is it its let list many more most my name next no not now of on once one or other our over read say see select show since so solve some "
+    "state such suppose than that the their them then there these they this those through to under until up use was we were what when where whether which while who whom whose why will "
+    "with would write yes you your".split()
 )
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
-_LIT, _NUM, _TITLE, _END, _UNIT = range(5)
+_LIT, _NUM, _TITLE, _END, _UNIT, _LONG_UNIT, _OPENER = range(7)
 
 
 class _Kinds(dict):
     """Token -> (hash of its lower case, kind), remembered up to ``limit`` tokens."""
 
-    limit = 300_000
+    limit = 200_000
 
-    def __missing__(self, token: str) -> tuple[int, int]:
+    def __missing__(self, token: str) -> int:
         if len(self) >= self.limit:
             self.clear()
         low = token.lower()
+        title = len(token) > 1 and token[0].isupper() and token[1:].islower()
         if token in ".!?\n":
             kind = _END
         elif token[0].isdigit():
             kind = _NUM
         elif low in UNITS:
-            kind = _UNIT
-        elif token[0].isupper() and len(token) > 1 and token[1:].islower():
-            kind = _TITLE
+            kind = _LONG_UNIT if len(low) > 3 else _UNIT
+        elif low in PRONOUNS:
+            kind, low = _LIT, "<pronoun>"
+        elif title:
+            kind = _OPENER if low in OPENERS else _TITLE
         else:
             kind = _LIT
         self[token] = out = (xxhash.xxh64_intdigest(low) & ((1 << 64) - 8)) | kind
         return out
 
 
-def template(text: str | None, known: _Kinds) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Canonical hashes, which of them are placeholders, the raw words, and
-    their hashes as they stand."""
-    raw = _TOKEN.findall(text or "")
-    coded = np.fromiter(map(known.__getitem__, raw), np.uint64, len(raw))
-    kind = (coded & np.uint64(7)).astype(np.int8)
-    after = np.empty(len(raw), np.int8)
-    after[:1], after[1:] = _END, kind[:-1]
-    literal = coded | np.uint64(7)
-    name, unit, number = (kind == _TITLE) & (after != _END), (kind == _UNIT) & (after == _NUM), kind == _NUM
-    hashes = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, literal)))
-    words = kind != _END
-    return hashes[words], (number | name | unit)[words], [w for w, k in zip(raw, words.tolist(), strict=True) if k], literal[words]
-
-
-def _windows_of(text: str | None, known: _Kinds) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Window hashes, their places, the placeholder mask, the words and their hashes as they stand."""
-    h, slots, words, raw = template(text, known)
-    if len(h) < SIZE:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), slots, words, raw
-    literal = np.convolve(~slots, np.ones(SIZE, np.int64), "valid")
-    at = np.flatnonzero(literal >= LITERALS)
-    return windows(h, SIZE)[at], at, slots, words, raw
+class Template:
+    """A text's words: ``hashes`` of the template, which of them are placeholders
+    (``slots``) and which of these begin a sentence (``unsure``), and the hashes of the words as
+    they stand (``literal``)."""
+
+    def __init__(self, text: str | None, known: _Kinds):
+        raw = _TOKEN.findall(text or "")
+        coded = np.fromiter(map(known.__getitem__, raw), np.uint64, len(raw))
+        kind = (coded & np.uint64(7)).astype(np.int8)
+        after = np.empty(len(raw), np.int8)
+        after[:1], after[1:] = _END, kind[:-1]
+        literal = coded | np.uint64(7)
+        first = after == _END
+        name, unit, number = (kind == _TITLE) | ((kind == _OPENER) & ~first), (kind == _LONG_UNIT) | ((kind == _UNIT) & (after == _NUM)), kind == _NUM
+        hashes = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, literal)))
+        words = kind != _END
+        self._raw, self._at = raw, np.flatnonzero(words)
+        self.hashes, self.slots, self.unsure, self.literal = (x[words] for x in (hashes, number | name | unit, name & first, literal))
+
+    def windows(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and places of windows: of ``kind`` template words with enough literal
+        ones, or of ``-kind`` words as they stand."""
+        size = abs(kind)
+        if len(self.hashes) < size:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        if kind < 0:
+            return windows(self.literal, size), np.arange(len(self.literal) - size + 1)
+        literals = np.concatenate([[0], np.cumsum(~self.slots)])
+        at = np.flatnonzero(literals[size:] - literals[:-size] >= LITERALS)
+        return windows(self.hashes, size)[at], at
+
+    def sure(self) -> Template:
+        """With the names that begin a sentence taken for words."""
+        out = copy(self)
+        out.hashes, out.slots = np.where(self.unsure, self.literal, self.hashes), self.slots & ~self.unsure
+        return out
 
+    def values(self, at: int, size: int) -> list[str]:
+        """What stands at the placeholders; words as they stand have none."""
+        return [self._raw[k].lower() for k in self._at[at : at + size][self.slots[at : at + size]]] if size > 0 else []
 
-def _sequences(literal: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of ``size`` words as they stand; its cost does not grow with ``size``."""
-    n = len(literal)
-    if n < size:
-        return np.empty(0, np.uint64)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _STEP, np.uint64)]))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(literal) * power)])
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - size, _BACK, np.uint64)]))
-    return mixed((total[size:] - total[:-size]) * back + np.uint64(size))
 
+def _marks(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
-def _slots(slots: np.ndarray, words: list[str], at: int) -> list[str]:
-    return [words[k].lower() for k in range(at, at + SIZE) if slots[k]]
 
+#: ``kind``: as in ``Template.windows``.
+ROWS = "id long, h long, at int, slots array<string>, kind int"
 
-def _marks(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
+def _of_item(t: Template) -> Iterator[tuple[int, int, list[str], int]]:
+    """What an item is indexed by: (hash, place, slot values, kind)."""
+    n = len(t.hashes)
+    for kind in (SIZE, LONG_SIZE, -min(n, SIZE)):
+        out, covered = {}, set()
+        for x in (t, t.sure()) if kind > 0 and t.unsure.any() else (t,):
+            h, at = x.windows(kind)
+            for v, k in zip(h.view(np.int64).tolist(), at.tolist(), strict=True):
+                out.setdefault((v, k), x.values(k, kind))
+                covered.update(range(k, k + abs(kind)))
+        if 2 * len(covered) >= n:
+            yield from ((h, at, slots, kind) for (h, at), slots in out.items())
+            return
 
-#: ``whole``: the number of words where ``h`` is of an item's whole sequence, 0 where it is of a window.
-ROWS = "id long, h long, at int, slots array<string>, whole int"
 
+def _of_document(t: Template, bitmap: np.ndarray, kinds: tuple[int, ...]) -> Iterator[tuple[int, int, list[str], int]]:
+    """Of a document's windows of the items' kinds, what the bitmap marks."""
+    for kind in kinds:
+        h, at = t.windows(kind)
+        hit = np.flatnonzero(bitmap[_marks(h)])
+        for v, k in zip(h[hit].view(np.int64).tolist(), at[hit].tolist(), strict=True):
+            yield v, k, t.values(k, kind), kind
 
-def _emitted(bitmap: np.ndarray | None, wholes: tuple[int, ...] = ()):
-    """Windows of (id, text) rows; with a bitmap, those it marks and sequences of
-    ``wholes`` words that it marks, else all, less those with an item's first word
-    if a capital there may or may not be a name, or the whole where none is left."""
 
+def _emitted(of):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Kinds()
         for batch in batches:
-            ids, hs, ats, slots, sizes = [], [], [], [], []
+            rows: list[list] = [[] for _ in range(5)]
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h, at, mask, words, raw = _windows_of(text, known)
-                if bitmap is not None:
-                    hit = np.flatnonzero(bitmap[_marks(h)])
-                else:
-                    hit = np.flatnonzero(at > 0) if len(words) > SIZE and words[0][0].isupper() and not words[0].isupper() else np.arange(len(h))
-                for k in hit.tolist():
+                for row in of(Template(text, known)):
+                    for column, v in zip(rows, (i, *row), strict=True):
+                        column.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32())
+            yield pa.record_batch([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], ["id", "h", "at", "slots", "kind"])
+
+    return emit
+
+
+def _enough(places: np.ndarray, size: int, total: int, words: int, covered: float) -> bool:
+    """Whether these places of an item's windows, sorted, show that it is held."""
+    if not len(places):
+        return False
+    gaps = np.minimum(np.diff(places), size)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(places) > size) + 1])
+    ends = np.concatenate([starts[1:] - 1, [len(places) - 1]])
+    return len(places) >= covered * total or gaps.sum() + size >= covered * words or (places[ends] - places[starts]).max() + size >= RUN
+
+
+def _gates(covered: float):
+    """Of each item the hashes at so many of its places, those of the fewest items
+    first, that the others are not enough."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hs, kinds = [], [], []
+            for i, rows in zip(batch.column("item_id").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                items: dict[int, int] = {}
+                for r in rows:
+                    items[r["at"]] = items.get(r["at"], 0) + r["items"]
+                order = sorted(items, key=lambda k: (items[k], k))
+                every = np.array(sorted(items))
+                kind = rows[0]["kind"]  # that of all its windows
+                size = abs(kind)
+                words = int(np.minimum(np.diff(every), size).sum()) + size
+                low, high = 1, len(order)
+                while low < high:
+                    k = (low + high) // 2
+                    low, high = (k + 1, high) if _enough(np.array(sorted(order[k:])), size, len(order), words, covered) else (low, k)
+                gate = set(order[:low])
+                for h in {r["h"] for r in rows if r["at"] in gate}:
                     ids.append(i)
-                    hs.append(int(h[k].view(np.int64)))
-                    ats.append(int(at[k]))
-                    slots.append(_slots(mask, words, ats[-1]))
-                    sizes.append(0)
-                for size in wholes if bitmap is not None else [len(raw)] if len(raw) and not len(hit) else []:
-                    h = _sequences(raw, size)
-                    for k in (np.flatnonzero(bitmap[_marks(h)]) if bitmap is not None else np.arange(1)).tolist():
-                        ids.append(i)
-                        hs.append(int(h[k].view(np.int64)))
-                        ats.append(k)
-                        slots.append([])
-                        sizes.append(size)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(ats, pa.int32()), pa.array(slots, pa.list_(pa.string())), pa.array(sizes, pa.int32())], ["id", "h", "at", "slots", "whole"])
+                    hs.append(h)
+                    kinds.append(kind)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(kinds, pa.int32())], ["item_id", "h", "kind"])
 
     return emit
 
@@ -164,54 +230,63 @@ def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, covered: float = COVERED) -> DataFrame:
     """``(doc_id, item_id, coverage)`` of the documents that hold an item;
-    coverage is the larger of the shares of its windows and of its words.
+    coverage is the larger of the shares of its places and of its words.
 
-    Items with fewer than five words, or without a window of three literal words,
-    are held where all their words stand one after another, so one of a single word
-    by every document with that word; items without words match nothing; null and empty texts, and rows with a null id, hold nothing;
+    An item of fewer than five words is held where all of them stand in a
+    row, so one of a single word by every document with that word; items without words
+    match nothing; null and empty texts, and rows with a null id, hold nothing;
     rows that repeat an id count as one document; an item that is repeated in the
     benchmark is reported for each of its ids; empty tables give no rows; other
     columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    known = scratch.table(items.mapInArrow(_emitted(None), ROWS), "windows")
+    known = scratch.table(items.mapInArrow(_emitted(lambda t: _of_item(t) if len(t.hashes) else ()), ROWS).distinct().withColumnRenamed("id", "item_id"), "windows")
     packed = known.select("h").mapInArrow(_mapped, "bits binary").coalesce(1).mapInArrow(_mapped, "bits binary").collect()  # one row of fixed size
     bitmap = np.unpackbits(np.frombuffer(packed[0][0], np.uint8)).view(bool) if packed else np.zeros(1 << MAP_BITS, bool)
-
-    wholes = tuple(sorted(x[0] for x in known.where("whole > 0").select("whole").distinct().collect()))  # lengths of items
+    kinds = tuple(sorted(x[0] for x in known.select("kind").distinct().collect()))  # seven at most
 
     given = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
-    hits = scratch.table(given.mapInArrow(_by_bitmap(shared, wholes), ROWS), "hits")
-    named = known.select(F.col("id").alias("item_id"), "h", "whole", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    hits = scratch.table(given.mapInArrow(_by_bitmap(shared, kinds), ROWS).withColumnRenamed("id", "doc_id"), "hits")
+
+    shares = known.groupBy("h", "kind").agg(F.count_distinct("item_id").alias("items"))
+    of_item = known.join(shares, ["h", "kind"]).groupBy("item_id").agg(F.collect_list(F.struct("h", "at", "kind", "items")).alias("rows"))  # an item's windows
+    gates = scratch.table(of_item.mapInArrow(_gates(covered), "item_id long, h long, kind int"), "gates")
+    if gates.count() <= FEW_WINDOWS:
+        gates = F.broadcast(gates)
+    may = scratch.table(hits.join(gates, ["h", "kind"]).select("doc_id", "item_id").distinct(), "may")
+
+    named = known.select("item_id", "h", "kind", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     if known.count() <= FEW_WINDOWS:
         named = F.broadcast(named)
-    matched = hits.withColumnRenamed("id", "doc_id").join(named, ["h", "whole"]).withColumn("shift", F.col("at") - F.col("item_at"))
+    matched = may.join(named, "item_id").join(hits, ["doc_id", "h", "kind"]).withColumn("shift", F.col("at") - F.col("item_at"))
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("a"), x["slots"].alias("b")))
-    words = F.sequence("item_at", F.col("item_at") + F.when(F.col("whole") > 0, F.col("whole")).otherwise(SIZE) - 1)
+    width = F.abs("kind")
+    words = F.sequence("item_at", F.col("item_at") + width - 1)
     lines = matched.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.array_sort(F.collect_set("item_at")).alias("places"), F.array_distinct(F.flatten(F.collect_set(words))).alias("words")
+        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.array_sort(F.collect_set("item_at")).alias("places"), F.array_distinct(F.flatten(F.collect_set(words))).alias("words"), F.max(width).alias("size")
     )  # at most an item's windows in each
     agree = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x.a)))
     none = F.struct(F.lit(0).alias("first"), F.lit(0).alias("end"), F.lit(0).alias("longest"))
 
     def longer(run: F.Column, at: F.Column) -> F.Column:
-        first, end = F.when(at <= run.end, run.first).otherwise(at), at + SIZE
+        first, end = F.when(at <= run.end, run.first).otherwise(at), at + F.col("size")
         return F.struct(first.alias("first"), end.alias("end"), F.greatest(run.longest, end - first).alias("longest"))
 
     run = F.aggregate("places", none, longer)["longest"]
     found = lines.where(agree).groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("m"), F.max(run).alias("run")
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("m"), F.max(run).alias("run")
     )
-    own = F.sequence("at", F.col("at") + F.when(F.col("whole") > 0, F.col("whole")).otherwise(SIZE) - 1)
-    sizes = known.groupBy("id").agg(F.count_distinct("h").alias("total"), F.size(F.array_distinct(F.flatten(F.collect_set(own)))).alias("of_words")).withColumnRenamed("id", "item_id")
+    own = F.sequence("at", F.col("at") + width - 1)
+    sizes = known.groupBy("item_id").agg(F.count_distinct("at").alias("total"), F.size(F.array_distinct(F.flatten(F.collect_set(own)))).alias("of_words"))
     share = F.greatest(F.col("n") / F.col("total"), F.col("m") / F.col("of_words"))
     return found.join(sizes, "item_id").withColumn("coverage", share).where((F.col("coverage") >= covered) | (F.col("run") >= RUN)).select("doc_id", "item_id", "coverage")
 
 
-def _by_bitmap(shared, wholes: tuple[int, ...]):
+def _by_bitmap(shared, kinds: tuple[int, ...]):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _emitted(np.unpackbits(shared.value).view(bool), wholes)(batches)
+        bitmap = np.unpackbits(shared.value).view(bool)
+        yield from _emitted(lambda t: _of_document(t, bitmap, kinds))(batches)
 
     return emit
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,13 +276,57 @@ def test_items_without_windows(spark, scratch):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     got = {tuple(r) for r in decontaminate.find_leaks(d, bench, scratch).collect()}
-    assert got == {(i, i, 1.0) for i in (0, 1, 2, 4)} | {(5, 0, 1.0)}
-    literal = np.random.default_rng(1).integers(0, 3, 300).astype(np.uint64)
-    for size in (1, 2, 7, 300):
-        of = {}
-        for k, h in enumerate(decontaminate._sequences(literal, size).tolist()):
-            assert of.setdefault(h, tuple(literal[k : k + size])) == tuple(literal[k : k + size])
-        assert len(of) == len({tuple(literal[k : k + size]) for k in range(301 - size)})
+    assert got == {(i, i, 1.0) for i in (0, 1, 2, 4)} | {(5, 0, 1.0), (6, 1, 7 / 8)}
+
+
+TWINS = [
+    "{N} has {a} apples and gives {b} of them to {M}. How many apples does {N} have left?",
+    "Yesterday {N} drove {a} {u} to the lake with {M}, and the way back took {b} hours longer. How long was {N} on the road?",
+    "{N} buys {a} packs of {b} cards. He sells {c} cards to {M}. How many cards does he keep for himself?",
+    "A train leaves the station at {a} and travels {b} {u} before it stops for {c} minutes. When does the train arrive?",
+    "If {M} paints a fence of {a} {u} in {b} hours, how many hours does {N} need for a fence of {c} {u} at the same pace?",
+    "There are {a} red balls and {b} blue balls in a bag. {N} draws one ball at random. What is the probability that it is red?",
+    "Compute the area of a rectangle whose sides are {a} {u} and {b} {u} long and write it down.",
+    "{N} is {a} years older than {M}. In {b} years she will be twice as old as {M} is now. How old is {M} today?",
+]
+
+
+def test_reparameterised_items(spark, scratch):
+    """Numbers, names and units exchanged: at least nine of ten items are found, and no clean document."""
+    rng = np.random.default_rng(11)
+    names, units = ["Anna", "Liam", "Maria", "John", "Olga", "Peter", "Nina", "Hugo"], ["km", "miles", "meters", "yards"]
+
+    def made(k):
+        n, m = rng.choice(names, 2, replace=False)
+        a, b, c = rng.choice(np.arange(2, 900), 3, replace=False)
+        text = TWINS[k % len(TWINS)].format(N=n, M=m, a=a, b=b, c=c, u=rng.choice(units)) + f" This is about the {LOREM[k]} of {LOREM[k + 1]} and {LOREM[k + 2]} only."
+        return text if rng.random() < 0.5 else re.sub(r"\b(He|he|himself)\b", lambda x: {"He": "She", "he": "she", "himself": "herself"}[x[0]], text)
+
+    items = [made(k) for k in range(200)]
+    docs = [f"We found this somewhere. {made(k)} Nothing else was there." for k in range(200)]
+    docs += [f"In {y} the town of {n} sold {k} tons of grain, and {m} wrote that there are many ways to count how many hours that took, in all." for k, (n, m, y) in enumerate(zip(names * 25, reversed(names * 25), range(1800, 2000), strict=True))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r[0], r[1]) for r in decontaminate.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench, scratch).collect()}
+    recall, clean = sum((k, k) in got for k in range(200)) / 200, {d for d, _ in got if d >= 200}
+    assert recall >= 0.9 and not clean, (recall, len(clean))
+
+
+def test_gates_lose_nothing():
+    """Places beyond the gate are never enough, those of the gate and one less may be."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        rows = [{"h": int(k), "at": int(k), "kind": 5, "items": int(rng.integers(1, 9))} for k in np.sort(rng.choice(60, n, replace=False))]
+        batch = pa.RecordBatch.from_pylist([{"item_id": 1, "rows": rows}])
+        gate = set(pa.Table.from_batches(decontaminate._gates(0.8)([batch])).column("h").to_pylist())
+        places = [r["at"] for r in rows]
+        covered = lambda x: len({w for p in x for w in range(p, p + 5)})
+        rest = [p for p in places if p not in gate]
+        runs, longest = [], 0
+        for p in rest:
+            runs = [runs[0], p + 5] if runs and p <= runs[1] else [p, p + 5]
+            longest = max(longest, runs[1] - runs[0])
+        assert gate and (not rest or (len(rest) < 0.8 * n and covered(rest) < 0.8 * covered(places) and longest < 13))
 
 
 def test_token_order(spark, awkward, nothing, scratch, tmp_path):

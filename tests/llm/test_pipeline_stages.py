@@ -56,51 +56,69 @@ def test_near_duplicate_stage(steps):
     assert kept.count() < docs.count()
 
 
-def windows_of(text, item):
-    """Template windows as (words, place, slot values), the item's first left out
-    where its capital may or may not be a name."""
+def words_of(text):
+    """(word, kind, whether it may be no name)."""
     words, last = [], "."
     for token in re.findall(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]", text or ""):
         if token not in ".!?\n":
+            low, kind, unsure = token.lower(), None, False
             if token[0].isdigit():
                 kind = "number"
-            elif token.lower() in decontaminate.UNITS:
-                kind = "unit" if last[0].isdigit() else None
-            else:
-                kind = "name" if len(token) > 1 and token[0].isupper() and token[1:].islower() and last not in ".!?\n" else None
-            words.append((token, kind))
+            elif low in decontaminate.UNITS:
+                kind = "unit" if last[0].isdigit() or len(low) > 3 else None
+            elif low in decontaminate.PRONOUNS:
+                low = "<pronoun>"
+            elif len(token) > 1 and token[0].isupper() and token[1:].islower() and (last not in ".!?\n" or low not in decontaminate.OPENERS):
+                kind, unsure = "name", last in ".!?\n"
+            words.append((low, kind, unsure))
         last = token
-    unsure = item and len(words) > 5 and words[0][0][0].isupper() and not words[0][0].isupper()
-    out = []
-    for at in range(int(unsure), len(words) - 4):
-        part = words[at : at + 5]
-        if sum(k is None for _, k in part) >= 3:
-            out.append((tuple(f"<{k}>" if k else w.lower() for w, k in part), at, [w.lower() for w, k in part if k]))
-    return out
+    return words
+
+
+def windows_of(words, size, sure=False):
+    """Template windows as (words, place, slot values)."""
+    if sure:
+        words = [(w, None if unsure else k, False) for w, k, unsure in words]
+    for at in range(len(words) - size + 1):
+        part = words[at : at + size]
+        if sum(k is None for _, k, _ in part) >= 3:
+            yield tuple(f"<{k}>" if k else w for w, k, _ in part), at, [w for w, k, _ in part if k]
 
 
 def test_benchmark_stage(spark, steps):
     """Every document with every item, one alignment after another."""
     docs, kept = steps[2:4]
-    items = [windows_of(r["text"], True) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-
-    def holds(found, item):
+    items = []
+    for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect():
+        words = words_of(r["text"])
+        for size in (5, 10):
+            rows = [x for sure in (False, True) for x in windows_of(words, size, sure)]
+            if 2 * len({k for _, at, _ in rows for k in range(at, at + size)}) >= len(words):
+                items.append((size, rows))
+                break
+        else:
+            raise AssertionError("an item that only its raw words could find")
+
+    def holds(found, size, item):
         lines = defaultdict(lambda: (set(), set()))
         for window, at, slots in item:
             for here, mine in found.get(window, ()):
                 hit, pairs = lines[here - at]
-                hit.add(window)
+                hit.add(at)
                 pairs |= set(zip(slots, mine, strict=True))
         agreeing = [hit for hit, pairs in lines.values() if len(pairs) == len({a for a, _ in pairs})]
-        total = len({w for w, _, _ in item})
-        return total > 0 and len(set().union(*agreeing)) / total >= 0.8
+        words = lambda at: {k for a in at for k in range(a, a + size)}
+        every, here = {at for _, at, _ in item}, set().union(*agreeing)
+        runs = [max((n for n in range(1, 400) if any(set(range(k, k + n)) <= words(hit) for k in hit)), default=0) for hit in agreeing]
+        return len(here) >= 0.8 * len(every) or len(words(here)) >= 0.8 * len(words(every)) or max(runs, default=0) >= 13
 
     want = Counter()
     for r in docs.collect():
-        found = defaultdict(list)
-        for window, at, slots in windows_of(r["text"], False):
-            found[window].append((at, slots))
-        want[tuple(r)] += not any(holds(found, item) for item in items)
+        found = {size: defaultdict(list) for size in (5, 10)}
+        for size in found:
+            for window, at, slots in windows_of(words_of(r["text"]), size):
+                found[size][window].append((at, slots))
+        want[tuple(r)] += not any(holds(found[size], size, item) for size, item in items)
     assert rows_of(kept) == +want
     assert kept.count() < docs.count()
 
