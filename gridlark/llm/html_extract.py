@@ -1,7 +1,9 @@
 """HTML main text by consensus paths of a host.
 
-A page is scanned once: elements that are boilerplate by tag, class, id or role
-are dropped, the rest of its text is kept with the spans of its containers, each
+A page is scanned once: elements that are boilerplate by tag, role or a whole class
+or id are dropped, and so are forms and elements with a class or id that says so in
+part, unless they hold the page's text, in which case it is scanned again with them.
+The rest of its text is kept with the spans of its containers, each
 under a generalised path of tags and classes (digits made alike).  A page
 proposes the tightest container outside of which it has no prose, heading or loose
 text; proposals are counted per host and path in Spark, and every page is then
@@ -33,23 +35,29 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - frozenset("br button option td th tr tbody thead tfoot caption legend select body html head".split())
 
+#: Elements whose text is never the article's.
 DROPPED_TAGS = frozenset(
-    "head script style title textarea xmp iframe noembed noframes noscript template nav header footer aside form button select option menu dialog svg canvas object "
-    "audio video map input label fieldset".split()
+    "head script style title textarea xmp iframe noembed noframes noscript template nav header footer aside button select option menu dialog svg canvas object "
+    "audio video map input".split()
 )
+#: Elements with such a class or id, as a whole, are dropped.
 DROPPED_WORDS = frozenset(
     "ad ads adbox adsbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead "
     "topbar footer sidebar sidebars rail widget widgets comment comments commentlist disqus reply replies respond discussion cookie cookies cookiebar consent gdpr notice notices alert popup "
     "modal overlay newsletter subscribe subscription signup signin login share sharing sharebar social related recommended recommendations trending pagination pager toolbar skip copyright "
     "search searchbox form hidden".split()
 )
+#: Of a class or id in parts, those after which a part says what else is on the page.
+BESIDE = frozenset("with has no without hide show toggle is not".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-KEPT_WORDS = frozenset("article post entry story content".split())
+KEPT_WORDS = frozenset("article post entry story content main".split())
 CONTAINERS = frozenset("body div section article main table tbody tr td center blockquote figure ul ol dl span".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""", re.S)
-_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?/a-zA-Z])")
+_INSIDE = re.compile(r"""(?:[^>"']|"[^"]*+"|'[^']*+')*+>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*+")
+_ATTR = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++))|\b(hidden)\b""", re.S)
+_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: PROSE: words without a link or block between them; fewer in a container of their own are a label.
 HOLDS, PROSE = 0.8, 3
@@ -64,18 +72,27 @@ def _attributes(raw: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw.strip(" /\n") else {}
 
 
-def is_boilerplate(tag: str, attrs: dict[str, str]) -> bool:
+def boilerplate(tag: str, attrs: dict[str, str]) -> str | None:
+    """``"sure"`` for elements that are never the article, ``"maybe"`` for those that
+    may yet hold it: forms, and classes and ids that only in part say so."""
     if tag in DROPPED_TAGS:
-        return True
-    if not attrs or tag in ("html", "body"):
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-        return True
-    words = {w.lower() for w in _WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
-    hit = words & DROPPED_WORDS
-    return bool(hit) and not (hit == {"header"} and words & KEPT_WORDS)
+        return "sure"
+    if tag in ("html", "body"):
+        return None
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in DROPPED_ROLES - {"form"}:
+        return "sure"
+    if re.search(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", attrs.get("style", ""), re.I):
+        return "sure"
+    tokens = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+    mine = tag in ("article", "main") or any(x.lower() in KEPT_WORDS for x in tokens)
+    if any(x.lower() in DROPPED_WORDS for x in tokens):
+        return "maybe" if mine else "sure"
+    for x in tokens if not mine else ():
+        parts = [p.lower() for p in _PARTS.findall(x)]
+        for k, p in enumerate(parts):
+            if p in DROPPED_WORDS and not BESIDE & set(parts[:k]) and not (p == "header" and KEPT_WORDS & set(parts)):
+                return "maybe"
+    return "maybe" if tag == "form" or attrs.get("role", "").lower() == "form" else None
 
 
 def step_of(tag: str, attrs: dict[str, str]) -> str:
@@ -88,43 +105,91 @@ class Page:
     where the path wins) and ``best``, its own path as (hash, step) from the top."""
 
     def __init__(self, source: str):
+        self.stays: frozenset[int] = frozenset()
+        self._read(source)
+        if stays := self._staying():
+            self.stays = frozenset(stays)
+            self._read(source)
+        self.text = "".join(self.parts)
+        self.below: dict[int, list[int]] = {}
+        for k, n in enumerate(self.nodes):
+            self.below.setdefault(n[2], []).append(k)
+        at = self._tightest()
+        self.best = None if at is None else self._steps(at)
+        up = self._levels_up(None if at is None else self.nodes[at][0])
+        self.spans = [(n[0], n[3], n[4], up[n[0]]) for n in self.nodes if n[4] > n[3]]
+
+    def _read(self, source: str) -> None:
         self.parts: list[str] = []
         self.size = self.linked = self.plain = self.prose = 0
         self.run = self.headings = 0  # unlinked words since the last block; open headings
-        # open elements: tag, container number or -1, whether it starts a dropped subtree
-        self.open: list[tuple[str, int, bool]] = []
+        # open elements: tag, container number or -1, whether it starts a dropped subtree, number of a doubtful one or -1
+        self.open: list[tuple[str, int, bool, int]] = []
         self.places: dict[str, list[int]] = {}  # where each tag is open
         self.blocks: list[int] = []  # where blocks other than p are
         self.nodes: list[list] = []  # hash of path, tag, parent, start, end, linked chars, unlinked words, those of prose, step
         self.inside: list[int] = []
+        self.doubtful: list[list] = []  # of each element that is maybe boilerplate: the one around it, its prose outside others, whether it holds an article
+        self.doubts: list[int] = []  # the open ones
         self.dropped = self.links = 0
         self.pending = False  # white space due before the next text
         self._scan(source)
         while self.open:
             self._pop()
-        self.text = "".join(self.parts)
-        self.below: dict[int, list[int]] = {}
-        for k, n in enumerate(self.nodes):
-            self.below.setdefault(n[2], []).append(k)
-        at = self._tightest()
-        self.best = None if at is None else self._steps(at)
-        up = self._levels_up(None if at is None else self.nodes[at][0])
-        self.spans = [(n[0], n[3], n[4], up[n[0]]) for n in self.nodes if n[4] > n[3]]
+
+    def _staying(self) -> list[int]:
+        """Doubtful elements that are no boilerplate: the largest of those side by
+        side where without them no prose is left, or where it has an article or
+        heading and more prose than all else; then the same inside it."""
+        below: dict[int, list[int]] = {}
+        for k, (around, _, _) in enumerate(self.doubtful):
+            below.setdefault(around, []).append(k)
+        whole, holds = [d[1] for d in self.doubtful], [d[2] for d in self.doubtful]
+        for k in range(len(self.doubtful) - 1, -1, -1):
+            if (around := self.doubtful[k][0]) >= 0:
+                whole[around] += whole[k]
+                holds[around] |= holds[k]
+        left, beside, out = self.prose, list(below.get(-1, [])), []
+        rest = sum(whole[k] for k in beside)
+        while beside:
+            best = max(beside, key=lambda k: (whole[k], -k))
+            if not whole[best] or (left and not (holds[best] and whole[best] > left + rest - whole[best])):
+                break
+            out.append(best)
+            beside.remove(best)
+            beside += below.get(best, [])
+            left += self.doubtful[best][1]
+            rest -= self.doubtful[best][1]
+        return out
 
     def _scan(self, source: str) -> None:
-        at = 0
-        while m := _TAG.search(source, at):
-            self._text(source[at : m.start()])
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
+        """Tags by one look ahead each; a tag that the page's end cuts off goes with all after it."""
+        at, last = 0, source.rfind(">")
+        while m := _OPEN.search(source, at):
+            start, mark = m.start(), m.group()
+            self._text(source[at:start])
+            if mark in ("<!--", "<![CDATA["):
+                end = source.find("-->" if mark == "<!--" else "]]>", m.end())
+                at = len(source) if end < 0 else end + 3
+                continue
+            if start > last:
+                return
+            if mark in ("<!", "<?"):
+                at = source.find(">", start) + 1
+                continue
+            closing = mark == "</"
+            name = _NAME.match(source, start + 1 + closing)
+            if not name:  # "</" before something else
+                at = source.find(">", start) + 1
                 continue
-            if m[1] or m[4]:
+            inside = _INSIDE.match(source, name.end())
+            at = inside.end() if inside else source.find(">", start) + 1
+            tag, raw = name.group().lower(), source[name.end() : at - 1]
+            if closing:
                 self._end(tag)
                 continue
-            raw = m[3] if m[2] else m[6]
             if tag in RAW:
-                close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                close = re.compile(rf"</{tag}\s*+>", re.I).search(source, at)
                 at = close.end() if close else len(source)
                 continue
             self._start(tag, raw)
@@ -138,6 +203,12 @@ class Page:
         if not words:
             self.pending = True
             return
+        if self.doubts:
+            if not self.links:
+                self.run += words.count(" ") + 1
+                if self.run >= PROSE:
+                    self.doubtful[self.doubts[-1]][1] += words.count(" ") + 1
+            return
         if (self.pending or value[0].isspace()) and self.size:
             self.parts.append(" ")
             self.size += 1
@@ -163,12 +234,23 @@ class Page:
             self._implied(tag)
         if tag in VOID:
             return
-        attrs = _attributes(raw)
-        drop = not self.dropped and is_boilerplate(tag, attrs)
-        number = -1
+        drop, doubt, number, verdict = False, -1, -1, None
+        if not self.dropped:
+            attrs = _attributes(raw)
+            verdict = boilerplate(tag, attrs)
+            drop = verdict == "sure"
+            if verdict == "maybe":
+                doubt = len(self.doubtful)
+                self.doubtful.append([self.doubts[-1] if self.doubts else -1, 0, False])
+                if doubt in self.stays:
+                    doubt = -1
+            if doubt >= 0:
+                self.doubts.append(doubt)
+            if self.doubts and verdict is None and tag in ("article", "main", "h1"):
+                self.doubtful[self.doubts[-1]][2] = True
         if drop:
             self.dropped = 1
-        elif not self.dropped and tag in CONTAINERS:
+        elif not self.dropped and not self.doubts and tag in CONTAINERS:
             parent = self.inside[-1] if self.inside else -1
             step = step_of(tag, attrs)
             key = xxhash.xxh64_intdigest(f"{self.nodes[parent][0] if parent >= 0 else ''}>{step}") - (1 << 63)
@@ -181,7 +263,7 @@ class Page:
         self.places.setdefault(tag, []).append(len(self.open))
         if tag in BLOCK and tag != "p":
             self.blocks.append(len(self.open))
-        self.open.append((tag, number, drop))
+        self.open.append((tag, number, drop, doubt))
 
     def _last(self, *tags: str) -> int:
         """The place of the last of these tags that is open, or -1."""
@@ -203,7 +285,7 @@ class Page:
                 self._pop()
 
     def _pop(self) -> None:
-        tag, number, drop = self.open.pop()
+        tag, number, drop, doubt = self.open.pop()
         self.headings -= tag in HEADINGS
         self.places[tag].pop()
         if tag in BLOCK and tag != "p":
@@ -211,6 +293,9 @@ class Page:
         if drop:
             self.dropped = 0
             self.pending = True
+        if doubt >= 0:
+            self.doubts.pop()
+            self.pending = True
         if number >= 0:
             node = self.nodes[number]
             node[4], node[5], node[6], node[7] = self.size, self.linked - node[5], self.plain - node[6], self.prose - node[7]

@@ -1,5 +1,8 @@
 """Vectors and pages against brute force, and the pipeline."""
 
+import time
+from html.parser import HTMLParser
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +133,87 @@ def test_siblings_of_the_widest_child_are_kept(spark):
     assert {got[k] for k in (10, 11, 12, 40)} == {f"{plain} One"} and got[20] == got[30] and got[20].count("Entry") == 400
 
 
+def page_text(html):
+    return html_extract.Page(html).text
+
+
+def test_classes_that_say_so_in_part():
+    """Theme classes and forms around or on the article do not drop it, those beside it go."""
+    plain = html_extract.html.unescape(TEXT)
+    side = "<div class='site-footer'>All about this site, in a few words.</div><div class='main-nav'><a>x</a> and some more words here</div>"
+    for page in (
+        f"<body><div class='content-area with-sidebar'><p>{TEXT}</p></div>{side}",
+        f"<body><div class='layout no-sidebar'><article><p>{TEXT}</p></article></div>{side}",
+        f"<body><article class='post share-card'><p>{TEXT}</p></article>{side}",
+        f"<body><div class='notice-board'><h1>{TEXT}</h1></div>{side}",
+        f"<body><form id=aspnetForm><div class=page-header-wrap>A site of some words</div><div><p>{TEXT}</p></div></form>",
+        f"<body><div><label>{TEXT}</label></div>{side}",
+        f"<body><form><div class='search-results'><div class='ad-free'><p>{TEXT}</p></div><form><label>Your name</label></form></div></form>",
+        f"<body><article><p>{TEXT}</p></article><div class='comment-list'><article class=comment><p>{TEXT} {TEXT} {TEXT}</p></article></div><form>Say what you think of all this</form>",
+    ):
+        assert page_text(page) == plain, page
+    assert page_text("<body><div class=sidebar>Words of a page that is nothing else</div>") == ""
+
+
+def test_scanner_is_linear():
+    """Tags that never end, quotes that never close and long runs of white space."""
+    start = time.perf_counter()
+    for page in ("<div " * 200_000, '<a title="' * 100_000, "<a x='" * 100_000 + ">", "<" * 1_000_000, "<p a" + " " * 1_000_000 + ">x", "<p " + "a" * 1_000_000 + ">x", "<!--" * 250_000, "</ " * 300_000, "<div class='with-nav'>" * 20_000 + "x y z"):
+        page_text(page)
+    assert time.perf_counter() - start < 20
+    assert page_text(f"<body><article><p>{TEXT}</p></article>" + "<div " * 8000) == html_extract.html.unescape(TEXT)
+    assert page_text("<p title='a > b'>x</p><p title=\"it's\">y</p><br/>z < 3 <!DOCTYPE x><b>w</b></ x>") == "x y z < 3 w"
+
+
+class Tree(HTMLParser):
+    """Every text with the elements it is in, by the library's parser."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.open, self.texts = [], []
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "li", "div", "ul", "table") and any(t == "p" for t, _ in self.open[-1:]):
+            self.open.pop()
+        if tag in html_extract.BLOCK:
+            self.texts.append(([], " "))
+        if tag not in html_extract.VOID:
+            self.open.append((tag, dict(attrs)))
+
+    def handle_endtag(self, tag):
+        if tag in html_extract.BLOCK:
+            self.texts.append(([], " "))
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.texts.append((list(self.open), data))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_pages_equal_a_plain_extractor(spark, sf):
+    """The article's text as a parser sees it, less whatever is not part of it."""
+    dropped = {"script", "style", "nav", "footer", "aside", "header", "form", "title", "button", "noscript"}
+    classes = {"ad", "ads", "comments", "comment", "sidebar", "cookie", "menu", "nav", "footer", "share", "related", "newsletter", "banner"}
+
+    def main(source):
+        out = []
+        for around, text in Tree(source or "").texts:
+            inside = [t for t, _ in around]
+            if not around:
+                out.append(text)
+            elif "article" in inside and not dropped & set(inside) and not any(classes & set((a.get("class") or "").split()) for _, a in around):
+                out.append(text)
+        return " ".join("".join(out).split())
+
+    pages = {r["page_id"]: main(r["html"]) for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in html_extract.op4_html_extract(spark, f"/root/testdata/{sf}").collect()}
+    assert {k: (got[k], v) for k, v in pages.items() if got[k] != v} == {}
+
+
 def test_many_open_and_deep_elements(spark):
     """However many elements are open or around it, the text is found."""
     unclosed = f"<body><nav>{'<font><b>x' * 300}</nav><article><p>{TEXT}</p></article></body>"
