@@ -9,29 +9,31 @@ rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 UNKNOWN = "und"
-DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE, PIECE, LEVEL = 128, 110_000, 400, 6
-_LETTER = re.compile(r"[^\W\d_]")
-_SPACE = re.compile(r"[^\w']+|\d+")
+LANGUAGES, DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE, PIECE, LEVEL = 128, 128, 110_000, 400, 6
+#: Of a long sampled text this many parts of this many characters, spread over all of it, may be learned.
+PARTS, PART = 8, 1_000
+_LETTER = regex.compile(r"\p{L}")
+_SPACE = regex.compile(r"[^\p{L}\p{M}']+")
 
 
 def plain(text: str) -> str:
-    """Lower case, with one space for anything but letters."""
+    """Lower case, with one space for anything but letters, their marks and apostrophes."""
     return _SPACE.sub(" ", text.lower())
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and any(m.group().isalpha() for m in _LETTER.finditer(text))
+    return bool(text) and _LETTER.search(text) is not None
 
 
 class Compressors:
@@ -52,25 +54,32 @@ class Compressors:
         return np.array([sum(len(c.compress(p)) for p in pieces) for c in self.each], np.float64)
 
 
-def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> dict[str, bytes]:
+def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, languages: int = LANGUAGES) -> dict[str, bytes]:
     """Dictionaries from ``(doc_id, text, lang)`` rows, null languages aside.
 
-    At most ``per_language`` documents of a language, lowest id hashes first; the
-    ids are chosen without their texts, so a hot language costs no more.
+    The fit is bounded: the ``languages`` that most rows have, at most
+    ``per_language`` documents of each, lowest id hashes first, and
+    ``BYTES_PER_LANGUAGE`` of their text.  A text gives all of itself or, if long,
+    ``PARTS`` parts from its start to its end; what short ones leave of the bytes goes to the
+    others' further parts.  Ids are chosen without their texts, so a hot language
+    costs no more; rows that repeat an id give one text.
     """
+    rows = docs.where("lang is not null and text is not null")
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
     ranked = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", ranked).where(F.col("k") <= per_language)
-    size = F.ceil(F.lit(BYTES_PER_LANGUAGE) / 8).cast("int")
-    some = docs.join(F.broadcast(ids.select("doc_id", "lang", "k")), ["doc_id", "lang"]).select("lang", "k", F.substring("text", F.lit(1), size).alias("text"))
-    out: dict[str, list[bytes]] = {}
-    for lang, _, text in sorted(map(tuple, some.collect())):
-        out.setdefault(lang, []).append(plain(text).encode("utf-8", "replace"))
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(most.select("lang")), "lang").withColumn("k", ranked).where(F.col("k") <= per_language)
+    n = F.char_length("text")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring("text", F.floor((n - PART) * i / (PARTS - 1)).cast("int") + 1, F.lit(PART)))
+    some = docs.join(F.broadcast(ids.select("doc_id", "lang", "k")), ["doc_id", "lang"]).select("lang", "k", F.when(n <= PARTS * PART, F.array("text")).otherwise(spread).alias("parts"))
+    some = some.groupBy("lang", "k").agg(F.min("parts").alias("parts"))
+    of: dict[str, list[list[bytes]]] = {}
+    for lang, _, parts in sorted(map(tuple, some.collect())):  # at most 128 x 128 rows of 8,000 characters
+        of.setdefault(lang, []).append([plain(x).encode("utf-8", "replace") for x in parts])
     samples = {}
-    for lang, texts in out.items():
-        texts = [t for t in texts if t.strip()]
-        if texts:
-            share = max(256, BYTES_PER_LANGUAGE // len(texts))
-            samples[lang] = b" ".join(x[:share] for x in texts)[:BYTES_PER_LANGUAGE]
+    for lang, texts in of.items():
+        turns = [t[k] for k in range(PARTS) for t in texts if k < len(t) and t[k].strip()]  # every text's first part, then the second ones
+        if turns:
+            samples[lang] = b" ".join(turns)[:BYTES_PER_LANGUAGE]
     return samples
 
 

@@ -103,47 +103,49 @@ def drop_repeated_lines(docs: DataFrame, scratch: Scratch, batches: int = BATCHE
     Lines whose key has ``LEAST_CHARS`` code points or more and is found in
     ``LEAST_DOCS`` documents or more go, except in the largest ``doc_id`` holding
     it, where all of its lines stay.  Rows that repeat an id count as one
-    document; a row with a null id keeps its lines and counts for none.  An empty
+    document, each keeping or losing its own lines; a row with a null id keeps its lines and counts for none.  An empty
     table gives no rows; other columns pass through under any name, but those of
     the added columns' names are replaced.
     """
     spark = docs.sparkSession
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    keyed = docs.where("doc_id is not null").select("doc_id", F.explode(lines).alias("line")).select("doc_id", line_key(F.col("line")).alias("key"))
+    text = F.coalesce("text", F.lit(""))
+    lines = F.split(text, "\n", -1)
+    # rows that repeat an id may differ in text, so a line's place needs the text's hash as well
+    keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64(text).alias("of"), F.posexplode(lines).alias("pos", "line"))
+    keyed = keyed.select("doc_id", "of", "pos", line_key(F.col("line")).alias("key"))
     h1, h2 = hashes(F.col("key"))
-    keyed = keyed.where(F.char_length("key") >= LEAST_CHARS).select("doc_id", h1.alias("h1"), h2.alias("h2"))
+    keyed = keyed.where(F.char_length("key") >= LEAST_CHARS).select("doc_id", "of", "pos", h1.alias("h1"), h2.alias("h2"))
     keyed = scratch.table(keyed, "keys")
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     runs = LineRuns(spark)
-    if low is not None:
-        cuts = [high + 1 - (high + 1 - low) * i // batches for i in range(batches)] + [low]
-        for upper, lower in zip(cuts, cuts[1:], strict=False):
-            runs.add(keyed.where((F.col("doc_id") < upper) & (F.col("doc_id") >= lower)))
-        doomed = runs.merged().where(F.col("n") >= LEAST_DOCS)
-    else:
-        doomed = spark.createDataFrame([], "h1 long, h2 long, n long, last long")
-    doomed = scratch.table(doomed.select(*KEY, "last"), "doomed")
-    runs.close()
-    gone = keyed.join(doomed, KEY).where("doc_id <> last").select("doc_id", F.struct(*KEY).alias("h")).distinct()
-    gone = scratch.table(gone.groupBy("doc_id").agg(F.collect_list("h").alias("_gone")), "gone")
+    try:
+        if low is not None:
+            cuts = [high - (high + 1 - low) * i // batches for i in range(batches)] + [low - 1]
+            for upper, below in zip(cuts, cuts[1:], strict=False):
+                if upper > below:
+                    runs.add(keyed.where(F.col("doc_id").between(below + 1, upper)).select("doc_id", "h1", "h2"))
+            doomed = runs.merged().where(F.col("n") >= LEAST_DOCS)
+        else:
+            doomed = spark.createDataFrame([], "h1 long, h2 long, n long, last long")
+        doomed = scratch.table(doomed.select(*KEY, "last"), "doomed")
+    finally:
+        runs.close()
+    gone = keyed.join(doomed, KEY).where("doc_id <> last").select("doc_id", "of", "pos").distinct()
+    gone = scratch.table(gone.groupBy("doc_id", "of").agg(F.collect_list("pos").alias("_gone")), "gone")  # places in one text
     scratch.drop("keys", "doomed")
 
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        a, b = hashes(key)
-        return (F.char_length(key) < LEAST_CHARS) | ~F.array_contains("_gone", F.struct(a.alias("h1"), b.alias("h2")))
-
     own = [c for c in docs.columns if c.lower() not in ADDED]
     whole = docs.select(F.struct(*own).alias("doc"))  # so that no column clashes with those below
-    gone = gone.withColumnRenamed("doc_id", "_id")
-    out = whole.join(gone, F.col("doc.doc_id") == F.col("_id"), "left")
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("of").alias("_of"), "_gone")
     text = F.coalesce("doc.text", F.lit(""))
+    out = whole.join(gone, (F.col("doc.doc_id") == F.col("_id")) & (F.xxhash64(text) == F.col("_of")), "left")
     out = out.withColumn("_lines", F.split(text, "\n", -1))
-    out = out.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.filter("_lines", stays)))
-    left = F.when(F.col("_gone").isNotNull(), F.array_join("_kept", "\n")).otherwise(text)
-    n = F.size("_lines").cast("long")
-    dropped = F.when(F.col("_gone").isNotNull(), n - F.size("_kept")).otherwise(F.lit(0)).cast("long")
-    return out.select("doc.*", left.alias("kept_text"), n.alias("n_lines"), dropped.alias("n_dropped"))
+    n = F.size("_lines")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), "_gone"), lambda i: F.get("_lines", i))  # by a hash set, whatever the numbers
+    left = F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")).otherwise(text)
+    dropped = F.when(F.col("_gone").isNotNull(), F.size("_gone")).otherwise(F.lit(0))
+    out = out.select("doc", F.struct(left.alias("kept_text"), n.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped")).alias("added"))
+    return out.select("doc.*", "added.*")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 Words are summed per source, targets follow from the sources' weights by water
 filling, and each document is emitted ``floor(rate)`` times plus one more copy
-with the fraction's probability, decided by a seeded hash of its id.
+with the fraction's probability, decided by a seeded hash of its id.  Each source takes,
+of ``SEEDS`` seeds, that whose copies come nearest to its target, so that a source
+of few documents of very different length does not miss it by chance; one aggregate
+weighs all seeds at once.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from .scratch import Scratch
 
 MOST = 3
 FEW_SOURCES = 100_000
+SEEDS = 64
 
 
 def words_in(text) -> F.Column:
@@ -49,23 +53,46 @@ def targets(sizes: DataFrame) -> DataFrame:
     return by.select("source", "source_size", target.alias("target"))
 
 
-def drawn(doc_id, seed: int) -> F.Column:
-    """A number in [0, 1) from the id alone."""
-    hexed = F.substring(F.md5(F.concat(F.lit(f"mix-{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8)
-    return F.conv(hexed, 16, 10).cast("long") / F.lit(4294967296.0)
+def drawn(doc_id) -> F.Column:
+    """32 bits from the id alone."""
+    hexed = F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8)
+    return F.conv(hexed, 16, 10).cast("long")
 
 
-def copies_of(sizes: DataFrame, seed: int = 0) -> DataFrame:
-    """Adds ``source_size``, ``target`` and ``copies`` to ``(source, size, doc_id, ...)``."""
-    by = targets(sizes).withColumnRenamed("source", "_source")
-    if by.count() <= FEW_SOURCES:
-        by = F.broadcast(by)
-    rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
-    extra = (drawn(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return sizes.join(by, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", F.floor(rate) + extra).drop("_source")
+def uniform(bits, seed) -> F.Column:
+    """A number in [0, 1) of the drawn bits and a seed below ``SEEDS``: by an odd factor, so each is as even as the bits."""
+    factor = seed * F.lit(7_985_862).cast("long") + F.lit(1_640_531_527).cast("long")
+    return (bits * factor) % F.lit(4294967296) / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
+def rates_of(sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(_source, source_size, target, rate, seed)`` of ``(source, size, doc_id)``."""
+    by = scratch.table(targets(sizes).withColumnRenamed("source", "_source").withColumn("rate", F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))), "targets")
+    few = by.count() <= FEW_SOURCES
+    near = F.broadcast(by) if few else by
+    rated = sizes.select("source", "size", drawn(F.col("doc_id")).alias("bits")).join(near, F.col("source").eqNullSafe(F.col("_source")))
+    part = F.col("rate") - F.floor("rate")
+    extra = [F.sum(F.when(uniform(F.col("bits"), F.lit(s)) < part, F.col("size")).otherwise(0)).alias(f"e{s}") for s in range(SEEDS)]
+    sums = rated.groupBy("_source").agg(*extra)
+    joined = by.join(sums.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+    off = [F.struct(F.abs(F.floor("rate") * F.col("source_size") + F.col(f"e{s}") - F.col("target")).alias("off"), F.lit(s).alias("seed")) for s in range(SEEDS)]
+    best = joined.select("_source", "source_size", "target", "rate", F.array_min(F.array(*off))["seed"].alias("seed"))
+    best = scratch.table(best, "rates")
+    return F.broadcast(best) if few else best
+
+
+def copies(doc_id) -> F.Column:
+    extra = uniform(drawn(doc_id), F.col("seed")) < F.col("rate") - F.floor("rate")
+    return F.floor("rate") + extra.cast("long")
+
+
+def copies_of(sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds ``source_size``, ``target`` and ``copies`` to ``(source, size, doc_id)``."""
+    rates = rates_of(sizes, scratch)
+    return sizes.join(rates, F.col("source").eqNullSafe(F.col("_source"))).select(*sizes.columns, "source_size", "target", copies(F.col("doc_id")).alias("copies"))
+
+
+def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents of the mix, each as often as it is taken, columns as given.
 
     Texts that are null or without words have size 0 and are emitted at their
@@ -74,21 +101,17 @@ def mix(docs: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
     any name.
     """
     sizes = scratch.table(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "sizes")
-    rates = targets(sizes).select(F.col("source").alias("_source"), F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)).alias("_rate"))
-    if rates.count() <= FEW_SOURCES:
-        rates = F.broadcast(rates)
-    extra = (drawn(F.col("doc.doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")
-    many = (F.floor("_rate") + extra).cast("int")
+    rates = rates_of(sizes, scratch)
     whole = docs.select(F.struct(*docs.columns).alias("doc"))  # so that no column clashes with those below
-    out = whole.join(rates, F.col("doc.source").eqNullSafe(F.col("_source"))).withColumn("_copies", many).where("_copies > 0")
+    out = whole.join(rates, F.col("doc.source").eqNullSafe(F.col("_source"))).withColumn("_copies", copies(F.col("doc.doc_id")).cast("int")).where("_copies > 0")
     return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("doc.*")
 
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
     """What the mix takes of each document; see ``copies_of``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sizes = Scratch(spark, "op7").table(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "sizes")
-    out = copies_of(sizes)
+    scratch = Scratch(spark, "op7")
+    out = copies_of(scratch.table(docs.select("doc_id", "source", words_in(F.col("text")).alias("size")), "sizes"), scratch)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
@@ -112,11 +135,17 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, CASE WHEN k >= k1 THEN level1 * w ELSE (3 * source_size)::DOUBLE END AS target FROM levels, first_open
 ), rated AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
     CASE WHEN t.source_size = 0 THEN 0.0::DOUBLE ELSE t.target / t.source_size::DOUBLE END AS rate,
-    ('0x' || substr(md5('mix-0:' || coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+    ('0x' || substr(md5('mix:' || coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS bits
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), tried AS (
+  SELECT *, ((bits * (seed * 7985862 + 1640531527)) % 4294967296) / 4294967296.0::DOUBLE < rate - floor(rate) AS extra FROM rated, range(64) r(seed)
+), missed AS (
+  SELECT source, seed, abs(floor(any_value(rate)) * any_value(source_size) + sum(CASE WHEN extra THEN size ELSE 0 END)::BIGINT - any_value(target)) AS off FROM tried GROUP BY source, seed
+), ranked AS (
+  SELECT source, seed, row_number() OVER (PARTITION BY source ORDER BY off, seed) AS place FROM missed
 )
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM rated
+SELECT t.doc_id, t.size, t.source_size, t.target, (t.size * (floor(t.rate) + CASE WHEN t.extra THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM tried t JOIN ranked k ON t.seed = k.seed AND t.source IS NOT DISTINCT FROM k.source WHERE k.place = 1
 """

@@ -137,12 +137,19 @@ def test_mix_stage(steps):
         if not more:
             break
         full |= more
+    rate = {s: (3 * size[s] if s in full else level * weight[s]) / size[s] if size[s] else 0 for s in size}
+    bits = lambda r: int(hashlib.md5(f"mix:{r['doc_id']}".encode()).hexdigest()[:8], 16)
+
+    def taken(r, seed):
+        x = rate[r["source"]]
+        return math.floor(x) + (bits(r) * (seed * 7_985_862 + 1_640_531_527) % 2**32 / 2**32 < x - math.floor(x))
+
+    rows, words = docs.collect(), lambda r: len(re.findall(r"[^\x20\x09-\x0d]+", r["text"] or ""))
+    off = {s: [abs(sum(words(r) * taken(r, k) for r in rows if r["source"] == s) - rate[s] * size[s]) for k in range(64)] for s in size}
     want = Counter()
-    for r in docs.collect():
-        s = r["source"]
-        rate = (3 * size[s] if s in full else level * weight[s]) / size[s] if size[s] else 0
-        draw = int(hashlib.md5(f"mix-0:{r['doc_id']}".encode()).hexdigest()[:8], 16) / 2**32
-        want[tuple(r)] += math.floor(rate) + (draw < rate - math.floor(rate))
+    for r in rows:
+        mine = off[r["source"]]
+        want[tuple(r)] += taken(r, mine.index(min(mine)))
     assert rows_of(mixed) == +want
 
 
