@@ -16,12 +16,13 @@ cells lose no pair.  The common order puts shingles with low counts in a
 fixed-size table of counters first, so that passages which very many documents
 share are hardly ever cell keys.
 
-Exact copies (equal sets) are one class from the start, and cells with the same
-members count once.  Two rounds try only each document's closest pair between
-components, so that groups of near copies grow together without all of their
-pairs; a last round tries every pair whose ends are in different components
-still.  Cells above ``BLOCK`` members are dealt out as pairs of blocks; none is
-capped or dropped.  Classes are told apart by 64-bit digests of their sets.
+Texts are read once; what follows works on their sets.  Exact copies (equal sets) are
+one class from the start, and cells with the same members count once.  Two rounds
+try only each document's closest pair between components, so that groups of near
+copies grow together without all of their pairs; a last round tries every pair whose
+ends are in different components still.  Cells above ``BLOCK`` members are dealt out
+as pairs of blocks; none is capped or dropped.  Classes are told apart by 64-bit
+digests of their sets.
 """
 
 from __future__ import annotations
@@ -124,10 +125,17 @@ def _records(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(x).to_pylist() for x in names]
 
 
+DIGESTS = "doc_id long, n long, high long, low long, set binary, point binary, counters binary"
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's set size and digest; last, this task's counters."""
-    known, counters = WordHashes(), np.zeros(COUNTERS, np.int64)
-    held, size = [], 0
+    """Each document's set size and digest, with the set and its point where the
+    task meets it for the first time; last, this task's counters."""
+    known, seen, counters = WordHashes(), set(), np.zeros(COUNTERS, np.int64)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    names = ["doc_id", "n", "high", "low", "set", "point", "counters"]
+    rows: list[list] = [[] for _ in names]
+    held, size, made = [], 0, 0
 
     def count() -> None:
         nonlocal size, counters
@@ -136,26 +144,36 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 0
         held.clear()
 
+    def flush() -> pa.RecordBatch:
+        nonlocal rows, made
+        out = pa.record_batch([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], names)
+        rows, made = [[] for _ in names], 0
+        return out
+
     for batch in batches:
-        ids, texts = _records(batch, "doc_id", "text")
-        n, high, low = [], [], []
-        for text in texts:
-            s = shingle_set(text, known)
+        texts = batch.column("text")
+        for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+            s = shingle_set(text.as_py(), known)  # one text at a time in Python
             held.append(s)
             size += len(s)
             if size > 1 << 20:
                 count()
-            d = _digest(s)
-            n.append(len(s))
-            high.append(d[0])
-            low.append(d[1])
-        yield pa.record_batch(
-            [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.nulls(len(ids), pa.binary())],
-            ["doc_id", "n", "high", "low", "counters"],
-        )
+            high, low = _digest(s)
+            raw = point = None
+            if len(s) and low not in seen:  # copies within a task add nothing
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen.add(low)
+                raw, point = s.tobytes(), count_vector(s).tobytes()
+                made += len(raw)
+            for column, v in zip(rows, (doc, len(s), high, low, raw, point, None), strict=True):
+                column.append(v)
+            if made > 8 << 20:
+                yield flush()
     count()
-    none = pa.nulls(1, pa.int64())
-    yield pa.record_batch([none, none, none, none, pa.array([counters.tobytes()], pa.binary())], ["doc_id", "n", "high", "low", "counters"])
+    for column, v in zip(rows, (None, None, None, None, None, None, counters.tobytes()), strict=True):
+        column.append(v)
+    yield flush()
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,19 +189,10 @@ def _prefixes(counts: np.ndarray):
     rank = (counts >> max(0, bits - 20)).astype(np.uint64) << np.uint64(44)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), set()
         for batch in batches:
             keys, lows = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text, known)
-                if not len(s):
-                    continue
-                low = _digest(s)[1]
-                if low in seen:  # copies within a task add nothing
-                    continue
-                if len(seen) >= 200_000:
-                    seen.clear()
-                seen.add(low)
+            for low, raw in zip(batch.column("low").to_pylist(), batch.column("set"), strict=True):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
                 p = len(s) // 5 + 1
                 order = rank[(s % np.uint64(COUNTERS)).astype(np.int64)] | (s >> np.uint64(20))
                 keys.append(s[order <= np.partition(order, p - 1)[p - 1]])  # with ties, so that the order is the same everywhere
@@ -194,24 +203,11 @@ def _prefixes(counts: np.ndarray):
     return emit
 
 
-def _of_sets(**made):
-    """Classes with their size and what ``made`` makes of their sets."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), set()
-        for batch in batches:
-            sets = {}
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text, known)
-                if (low := _digest(s)[1]) not in seen:  # repeats within a task add nothing
-                    if len(seen) >= 200_000:
-                        seen.clear()
-                    seen.add(low)
-                    sets[low] = s
-            columns = [pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int64())]
-            yield pa.record_batch([*columns, *[pa.array([f(s).tobytes() for s in sets.values()], pa.binary()) for f in made.values()]], ["low", "n", *made])
-
-    return emit
+def _finer_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``fine``, the counts of finer groups, to ``(low, n, set)``."""
+    for batch in batches:
+        fine = [count_vector(np.frombuffer(x.as_buffer(), np.uint64), FINE).tobytes() for x in batch.column("set")]
+        yield pa.record_batch([*[batch.column(x) for x in ("low", "n", "set")], pa.array(fine, pa.binary())], ["low", "n", "set", "fine"])
 
 
 def _points(column) -> np.ndarray:
@@ -297,47 +293,59 @@ def _pairs_of_cells(nearest: bool):
 
 
 def _candidates(members: DataFrame, found: DataFrame | None, points: DataFrame, scratch: Scratch, name: str, nearest: bool) -> DataFrame:
-    """Pairs that cells allow between components so far."""
+    """Pairs that cells allow between components so far.
+
+    Cells above ``BLOCK`` members never meet in one task: there are few of them, at
+    most one for ``BLOCK`` rows, so the rows are told theirs and dealt out as pairs
+    of blocks.  Before any component is known, each of their members is paired with
+    the cell's first only, which joins most of a large group in linear work.
+    """
     placed = members.withColumn("component", F.col("low"))
     if found is not None:
         placed = members.join(found, members.low == found.node, "left").select("key", "low", F.coalesce("component", "low").alias("component"))
     placed = scratch.table(placed, f"{name}-placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("m")).where("c < d")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = (
-        placed.join(split.select("key", "m"), "key")
-        .withColumn("mine", F.pmod(F.xxhash64("low"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "low", "component")
-        .join(points, "low")
-    )
-    cells = dealt.select("key", "i", "j", "side", "low", "component", "n", "point").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    split = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("low").alias("first"), F.count("*").alias("m")).where("c < d")
+    split = scratch.table(split.select("key", "first", "m"), f"{name}-split")
+    hot = split.where(F.col("m") > BLOCK)
+    many = hot.count()
+    if many <= FEW_IDS:
+        hot = F.broadcast(hot)
+    cold = placed.join(hot, "key", "left_anti") if many else placed
+    whole = F.lit(0)
+    dealt = cold.join(split.where(F.col("m") <= BLOCK).select("key"), "key").select("key", whole.alias("i"), whole.alias("j"), whole.alias("side"), "low", "component")
+    if many and found is not None:
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        large = placed.join(hot, "key").withColumn("mine", F.pmod(F.xxhash64("low"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        large = large.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "low", "component")
+        dealt = dealt.unionByName(large)
+    cells = dealt.join(points, "low").select("key", "i", "j", "side", "low", "component", "n", "point").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = cells.mapInArrow(_pairs_of_cells(nearest), "a long, b long, slack long")
     if nearest:
         pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("slack", "b")).alias("b"))
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = scratch.table(pairs, f"{name}-pairs")
-    scratch.drop(f"{name}-placed")
+    pairs = pairs.select("a", "b")
+    if many and found is None:
+        pairs = pairs.unionByName(placed.join(hot, "key").where("low <> first").select(F.col("low").alias("a"), F.col("first").alias("b")))
+    pairs = scratch.table(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-pairs")
+    scratch.drop(f"{name}-placed", f"{name}-split")
     return pairs
 
 
-def _texts(docs: DataFrame, classes: DataFrame, lows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The texts of the classes ``lows``, one document for each.
+def _of_classes(sets: DataFrame, lows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows of ``sets`` of the classes ``lows``.
 
-    The ids are broadcast where a count proves them few, else joined by a shuffle.
+    These are broadcast where a count proves them few, else joined by a shuffle.
     """
-    ids = scratch.table(lows.distinct().join(classes, "low").select(F.col("rep").alias("doc_id")).distinct(), name)
-    if ids.count() <= FEW_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_semi").select("text")
+    lows = scratch.table(lows.distinct(), name)
+    if lows.count() <= FEW_IDS:
+        lows = F.broadcast(lows)
+    return sets.join(lows, "low", "left_semi")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _links(pairs: DataFrame, seen: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Verify pairs, first by the bound on finer groups, then on their shingle sets."""
     lows = pairs.select(F.explode(F.array("a", "b")).alias("low"))
-    texts = _texts(docs, classes, lows, scratch, f"{name}-ids")
-    made = _of_sets(fine=lambda s: count_vector(s, FINE), shingles=lambda s: s)
-    sets = scratch.table(texts.mapInArrow(made, "low long, n long, fine binary, shingles binary"), f"{name}-sets")
+    sets = _of_classes(seen.where("set is not null").select("low", "n", "set"), lows, scratch, f"{name}-ids")
+    sets = scratch.table(sets.mapInArrow(_finer_points, "low long, n long, set binary, fine binary"), f"{name}-sets")
     # a class that several tasks met is there more than once, which repeats a link and no more
     fine = sets.select("low", "n", "fine")
     close = (
@@ -349,8 +357,8 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scrat
     )
     close = scratch.table(close, f"{name}-close")
     found = (
-        close.join(sets.select(F.col("low").alias("a"), F.col("shingles").alias("s")), "a")
-        .join(sets.select(F.col("low").alias("b"), F.col("shingles").alias("t")), "b")
+        close.join(sets.select(F.col("low").alias("a"), F.col("set").alias("s")), "a")
+        .join(sets.select(F.col("low").alias("b"), F.col("set").alias("t")), "b")
         .select("a", "b", "s", "t")
         .mapInArrow(_verified, "a long, b long")
         .distinct()
@@ -371,14 +379,14 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    seen = scratch.table(docs.mapInArrow(_digests, "doc_id long, n long, high long, low long, counters binary"), "digests")
+    seen = scratch.table(docs.mapInArrow(_digests, DIGESTS), "digests")
     parts = seen.where("counters is not null").select("counters")
     counted = parts.repartition(16).mapInArrow(_summed, "counters binary").coalesce(1).mapInArrow(_summed, "counters binary").collect()
     counts = np.frombuffer(counted[0][0], np.int64)
-    digests = seen.where("counters is null").drop("counters")
+    digests = seen.where("counters is null").select("doc_id", "n", "high", "low")
     classes = scratch.table(digests.where("n > 0").groupBy("low", "high").agg(F.min("doc_id").alias("rep")), "classes")
 
-    prefixes = scratch.table(docs.mapInArrow(_prefixes(counts), "key long, low long"), "prefixes")
+    prefixes = scratch.table(seen.where("set is not null").select("low", "set").mapInArrow(_prefixes(counts), "key long, low long"), "prefixes")
     shared = prefixes.groupBy("key").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").select("key")
     members = scratch.table(prefixes.join(scratch.table(shared, "shared"), "key").distinct(), "shared-members")
     scratch.drop("prefixes", "shared")
@@ -387,14 +395,13 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     members = scratch.table(members.join(same.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "members")
     scratch.drop("shared-members")
 
-    texts = _texts(docs, classes, members.select("low"), scratch, "ids")
-    points = texts.mapInArrow(_of_sets(point=count_vector), "low long, n long, point binary").dropDuplicates(["low"])
-    points = scratch.table(points, "points")
+    points = _of_classes(seen.where("point is not null").select("low", "n", "point"), members.select("low"), scratch, "ids")
+    points = scratch.table(points.dropDuplicates(["low"]), "points")
 
     links, final = [], None
     for turn in ("nearest-1", "nearest-2", "all"):
         pairs = _candidates(members, final, points, scratch, turn, turn != "all")
-        links.append(_links(pairs, docs, classes, scratch, turn))
+        links.append(_links(pairs, seen, scratch, turn))
         if final is None or not links[-1].isEmpty():
             final = connected_components(reduce(DataFrame.unionByName, links), scratch, f"{turn}-cc")
 

@@ -113,6 +113,13 @@ def test_jaccard_blocks_of_hot_cells(spark, scratch, monkeypatch):
     assert {r[0]: (r[1], r[2]) for r in got} == components_of(rows)
 
 
+def test_jaccard_links_rows_without_an_id(spark, scratch):
+    """A row with a null id has its text's links, whoever else has none."""
+    rows = [(5, prose(0, 60)), (None, prose(0, 58)), (9, prose(0, 56) + " x"), (None, prose(100, 160)), (None, prose(100, 160))]
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()
+    assert Counter((r[0], r[2]) for r in got) == Counter([(5, 5), (None, 5), (9, 5), (None, None), (None, None)])
+
+
 def test_tree_finds_all_points_in_reach():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
