@@ -16,8 +16,7 @@ cells lose no pair.  The common order puts shingles with low counts in a
 fixed-size table of counters first, so that passages which very many documents
 share are hardly ever cell keys.
 
-Texts are read once; what follows works on their sets.  Exact copies (equal sets) are
-one class from the start, and cells with the same members count once.  Two rounds
+Exact copies (equal sets) are one class from the start, and cells with the same members count once.  Two rounds
 try only each document's closest pair between components, so that groups of near
 copies grow together without all of their pairs; a last round tries every pair whose
 ends are in different components still.  Cells above ``BLOCK`` members are dealt out
@@ -125,17 +124,36 @@ def _records(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(x).to_pylist() for x in names]
 
 
-DIGESTS = "doc_id long, n long, high long, low long, set binary, point binary, counters binary"
+DIGESTS = "doc_id long, n long, high long, low long, point binary, counters binary"
+FLUSH = 8 << 20
+
+
+def _texts_of(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    """One text at a time in Python."""
+    return (x.as_py() for x in batch.column("text"))
+
+
+class _Seen(set):
+    """Remembers up to ``limit`` digests; copies within a task add nothing."""
+
+    limit = 100_000
+
+    def new(self, x: int) -> bool:
+        if x in self:
+            return False
+        if len(self) >= self.limit:
+            self.clear()
+        self.add(x)
+        return True
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's set size and digest, with the set and its point where the
-    task meets it for the first time; last, this task's counters."""
-    known, seen, counters = WordHashes(), set(), np.zeros(COUNTERS, np.int64)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    names = ["doc_id", "n", "high", "low", "set", "point", "counters"]
-    rows: list[list] = [[] for _ in names]
-    held, size, made = [], 0, 0
+    """Each document's set size and digest, with the point where the task meets its
+    set for the first time; last, this task's counters."""
+    known, seen, counters = WordHashes(), _Seen(), np.zeros(COUNTERS, np.int64)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    names = ["doc_id", "n", "high", "low", "point", "counters"]
+    held, size = [], 0
 
     def count() -> None:
         nonlocal size, counters
@@ -144,36 +162,21 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 0
         held.clear()
 
-    def flush() -> pa.RecordBatch:
-        nonlocal rows, made
-        out = pa.record_batch([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], names)
-        rows, made = [[] for _ in names], 0
-        return out
-
     for batch in batches:
-        texts = batch.column("text")
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-            s = shingle_set(text.as_py(), known)  # one text at a time in Python
+        rows: list[list] = [[] for _ in names]
+        for doc, text in zip(batch.column("doc_id").to_pylist(), _texts_of(batch), strict=True):
+            s = shingle_set(text, known)
             held.append(s)
             size += len(s)
-            if size > 1 << 20:
+            if size > 1 << 19:
                 count()
             high, low = _digest(s)
-            raw = point = None
-            if len(s) and low not in seen:  # copies within a task add nothing
-                if len(seen) >= 200_000:
-                    seen.clear()
-                seen.add(low)
-                raw, point = s.tobytes(), count_vector(s).tobytes()
-                made += len(raw)
-            for column, v in zip(rows, (doc, len(s), high, low, raw, point, None), strict=True):
+            point = count_vector(s).tobytes() if len(s) and seen.new(low) else None
+            for column, v in zip(rows, (doc, len(s), high, low, point, None), strict=True):
                 column.append(v)
-            if made > 8 << 20:
-                yield flush()
+        yield pa.record_batch([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], names)
     count()
-    for column, v in zip(rows, (None, None, None, None, None, None, counters.tobytes()), strict=True):
-        column.append(v)
-    yield flush()
+    yield pa.record_batch([*[pa.nulls(1, k) for k in kinds[:-1]], pa.array([counters.tobytes()], pa.binary())], names)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +192,13 @@ def _prefixes(counts: np.ndarray):
     rank = (counts >> max(0, bits - 20)).astype(np.uint64) << np.uint64(44)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = WordHashes(), _Seen()
         for batch in batches:
             keys, lows = [], []
-            for low, raw in zip(batch.column("low").to_pylist(), batch.column("set"), strict=True):
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
+            for text in _texts_of(batch):
+                s = shingle_set(text, known)
+                if not len(s) or not seen.new(low := _digest(s)[1]):
+                    continue
                 p = len(s) // 5 + 1
                 order = rank[(s % np.uint64(COUNTERS)).astype(np.int64)] | (s >> np.uint64(20))
                 keys.append(s[order <= np.partition(order, p - 1)[p - 1]])  # with ties, so that the order is the same everywhere
@@ -203,11 +209,25 @@ def _prefixes(counts: np.ndarray):
     return emit
 
 
-def _finer_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds ``fine``, the counts of finer groups, to ``(low, n, set)``."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes with the size of their set, the set and its counts of finer groups."""
+    known, seen = WordHashes(), _Seen()
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        return pa.record_batch([pa.array(v, k) for v, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["low", "n", "set", "fine"])
+
     for batch in batches:
-        fine = [count_vector(np.frombuffer(x.as_buffer(), np.uint64), FINE).tobytes() for x in batch.column("set")]
-        yield pa.record_batch([*[batch.column(x) for x in ("low", "n", "set")], pa.array(fine, pa.binary())], ["low", "n", "set", "fine"])
+        rows, size = [], 0
+        for text in _texts_of(batch):
+            s = shingle_set(text, known)
+            if len(s) and seen.new(low := _digest(s)[1]):
+                rows.append((low, len(s), s.tobytes(), count_vector(s, FINE).tobytes()))
+                size += 8 * len(s) + FINE
+                if size > FLUSH:
+                    yield made(rows)
+                    rows, size = [], 0
+        yield made(rows)
 
 
 def _points(column) -> np.ndarray:
@@ -330,22 +350,22 @@ def _candidates(members: DataFrame, found: DataFrame | None, points: DataFrame,
     return pairs
 
 
-def _of_classes(sets: DataFrame, lows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The rows of ``sets`` of the classes ``lows``.
+def _few(ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Distinct ids, broadcast where a count proves them few."""
+    ids = scratch.table(ids.distinct(), name)
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
 
-    These are broadcast where a count proves them few, else joined by a shuffle.
-    """
-    lows = scratch.table(lows.distinct(), name)
-    if lows.count() <= FEW_IDS:
-        lows = F.broadcast(lows)
-    return sets.join(lows, "low", "left_semi")
 
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Verify pairs, first by the bound on finer groups, then on their shingle sets.
 
-def _links(pairs: DataFrame, seen: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Verify pairs, first by the bound on finer groups, then on their shingle sets."""
-    lows = pairs.select(F.explode(F.array("a", "b")).alias("low"))
-    sets = _of_classes(seen.where("set is not null").select("low", "n", "set"), lows, scratch, f"{name}-ids")
-    sets = scratch.table(sets.mapInArrow(_finer_points, "low long, n long, set binary, fine binary"), f"{name}-sets")
+    The texts of a class are those of its smallest id; where it has none, all texts
+    without an id are read.
+    """
+    lows = pairs.select(F.explode(F.array("a", "b")).alias("low")).distinct()
+    ids = _few(lows.join(classes, "low").select("rep"), scratch, f"{name}-ids")
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    sets = scratch.table(texts.mapInArrow(_sets, "low long, n long, set binary, fine binary"), f"{name}-sets")
     # a class that several tasks met is there more than once, which repeats a link and no more
     fine = sets.select("low", "n", "fine")
     close = (
@@ -386,7 +406,7 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     digests = seen.where("counters is null").select("doc_id", "n", "high", "low")
     classes = scratch.table(digests.where("n > 0").groupBy("low", "high").agg(F.min("doc_id").alias("rep")), "classes")
 
-    prefixes = scratch.table(seen.where("set is not null").select("low", "set").mapInArrow(_prefixes(counts), "key long, low long"), "prefixes")
+    prefixes = scratch.table(docs.mapInArrow(_prefixes(counts), "key long, low long"), "prefixes")
     shared = prefixes.groupBy("key").agg(F.min("low").alias("first"), F.max("low").alias("last")).where("first < last").select("key")
     members = scratch.table(prefixes.join(scratch.table(shared, "shared"), "key").distinct(), "shared-members")
     scratch.drop("prefixes", "shared")
@@ -395,13 +415,13 @@ def jaccard_join(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     members = scratch.table(members.join(same.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "members")
     scratch.drop("shared-members")
 
-    points = _of_classes(seen.where("point is not null").select("low", "n", "point"), members.select("low"), scratch, "ids")
+    points = seen.where("point is not null").select("low", "n", "point").join(_few(members.select("low"), scratch, "ids"), "low", "left_semi")
     points = scratch.table(points.dropDuplicates(["low"]), "points")
 
     links, final = [], None
     for turn in ("nearest-1", "nearest-2", "all"):
         pairs = _candidates(members, final, points, scratch, turn, turn != "all")
-        links.append(_links(pairs, seen, scratch, turn))
+        links.append(_links(pairs, docs, classes, scratch, turn))
         if final is None or not links[-1].isEmpty():
             final = connected_components(reduce(DataFrame.unionByName, links), scratch, f"{turn}-cc")
 

@@ -19,7 +19,7 @@ _S = np.uint64(32)
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to ``limit`` of them."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
