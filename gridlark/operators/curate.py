@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -76,11 +77,15 @@ def _cuts(sized: DataFrame) -> DataFrame:
     away = lambda share: F.struct(F.abs(F.col("before") - F.col("total") * share).alias("d"), "k")
     c = c.withColumn("a", F.min(F.when((F.col("k") >= 1) & (F.col("k") < F.col("groups") - 1), away(0.7))).over(every)["k"])
     c = c.withColumn("b", F.min(F.when(F.col("k") > F.col("a"), away(0.9))).over(every)["k"])
-    return c.withColumn("split", F.when(F.col("k") < F.col("a"), "train").when(F.col("k") < F.col("b"), "val").otherwise("test"))
+    few = F.raise_error(F.lit("Fewer than three independent groups: no train, val and test without leakage"))
+    return c.withColumn("split", F.when(F.col("groups") < 3, few.cast("string")).when(F.col("k") < F.col("a"), "train").when(F.col("k") < F.col("b"), "val").otherwise("test"))
 
 
 def split_groups(images: DataFrame, components: DataFrame, seed: int = 42) -> DataFrame:
-    """``(root, n, split)`` in hash order, counting representatives only."""
+    """``(root, n, split)`` in hash order, counting representatives only.
+
+    Fewer than three groups are an error as soon as a split is read.
+    """
     n = representatives(images).join(components, "group_id").groupBy("root").agg(F.count("*").alias("n"))
     sized = n.select(F.col("root").alias("group"), "n", hash_order(seed, F.col("root")).alias("place"))
     return _cuts(sized).select(F.col("group").alias("root"), "n", "split")
@@ -105,23 +110,36 @@ def assign_splits(images: DataFrame, components: DataFrame, seed: int = 42) -> D
 def round_robin(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """``n`` rows taken in turn from each group, groups by their first row."""
     own = W.partitionBy(group)
-    placed = rows.withColumn("_turn", F.row_number().over(own.orderBy(order))).withColumn("_first", F.min(order).over(own))
+    # no group gives more than n rows, so a task keeps no more of one; what is kept still has its first row
+    placed = rows.withColumn("_turn", F.row_number().over(own.orderBy(order))).where(F.col("_turn") <= n).withColumn("_first", F.min(order).over(own))
     return placed.orderBy("_turn", "_first").limit(n).drop("_turn", "_first")
 
 
 def background_sample(negatives: DataFrame, group: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` negatives in turn from the groups by name, seeded order in each."""
-    placed = negatives.withColumn("_turn", F.row_number().over(W.partitionBy(group).orderBy(hash_order(seed, F.col("image_id")), "image_id")))
+    placed = negatives.withColumn("_turn", F.row_number().over(W.partitionBy(group).orderBy(hash_order(seed, F.col("image_id")), "image_id"))).where(F.col("_turn") <= n)
     return placed.orderBy("_turn", group).limit(n).drop("_turn")
 
 
 def linspace_sample(rows: DataFrame, order: str, k: int) -> DataFrame:
-    """``k`` rows evenly spaced in order, first and last among them."""
-    total = rows.count()
+    """``k`` rows evenly spaced by a unique column, first and last among them.
+
+    The column alone is sorted, by range partitions; their counts, one number a
+    partition, say in which of them and where the wanted places are.
+    """
+    ids = rows.select(order).repartitionByRange(order).sortWithinPartitions(order).select(order, F.monotonically_increasing_id().alias("_id"))
+    ids = _cut(ids)
+    counts = sorted(map(tuple, ids.groupBy(F.shiftright("_id", 33)).count().collect()))
+    total = sum(n for _, n in counts)
     k = min(k, total)
-    wanted = [i * (total - 1) // (k - 1) for i in range(k)] if k > 1 else [0] * k
-    numbered = rows.withColumn("place", F.row_number().over(W.orderBy(order)) - 1)
-    return numbered.where(F.col("place").isin(wanted))
+    wanted = sorted({i * (total - 1) // (k - 1) for i in range(k)} if k > 1 else set(range(k)))
+    at, before = {}, 0
+    for part, n in counts:
+        at |= {(part << 33) + p - before: p for p in wanted if before <= p < before + n}
+        before += n
+    places = F.create_map(*[F.lit(x) for kv in at.items() for x in kv]) if at else F.lit(None).cast("map<bigint,int>")
+    chosen = ids.where(F.col("_id").isin(list(at))).select(order, F.try_element_at(places, F.col("_id")).cast("int").alias("place"))
+    return rows.join(F.broadcast(chosen), order)  # k rows
 
 
 def contact_sheet(rows: DataFrame, group: str, order: str, n: int = 8) -> DataFrame:
@@ -132,6 +150,26 @@ def contact_sheet(rows: DataFrame, group: str, order: str, n: int = 8) -> DataFr
     return placed.where("_i % _s = 0 and _i div _s < " + str(n)).drop("_i", "_s")
 
 
+def union_of_ids(*parts: DataFrame, key: str = "image_id") -> DataFrame:
+    """Every id that one of the parts has, once."""
+    return reduce(DataFrame.union, [p.select(key) for p in parts]).distinct()
+
+
+def concatenated(*parts: DataFrame) -> DataFrame:
+    """All rows of all parts, repeats too, by column name."""
+    return reduce(DataFrame.unionByName, parts)
+
+
+def available(rows: DataFrame, listing: DataFrame, key: str) -> DataFrame:
+    """Rows whose file is in a listing."""
+    return rows.join(listing.select(key), key, "left_semi")
+
+
+def overridden(record: Column, **fields: Column) -> Column:
+    """A struct with some fields replaced or added."""
+    return reduce(lambda c, kv: c.withField(*kv), fields.items(), record)
+
+
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(hash_order(seed, F.col(key)), key).limit(n)
 

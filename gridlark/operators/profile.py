@@ -56,3 +56,13 @@ def distinct_bases(groups: DataFrame) -> DataFrame:
     """The set of group bases, and whether any is unverified."""
     basis = F.coalesce("basis", F.lit("unspecified"))
     return groups.agg(F.sort_array(F.collect_set(basis)).alias("bases"), F.bool_or(basis.rlike("unverified|heuristic")).alias("unverified"))
+
+
+def objects_of_representatives(boxes: DataFrame, representatives: DataFrame) -> DataFrame:
+    """Objects per class on the images that stand for their copies."""
+    return boxes.join(representatives.select("image_id"), "image_id", "left_semi").groupBy("class_id").agg(F.count("*").alias("objects"))
+
+
+def component_counts(components: DataFrame) -> DataFrame:
+    """One row: groups and the components that they fall into."""
+    return components.agg(F.count("*").alias("groups"), F.count_distinct("root").alias("components"))

@@ -88,6 +88,33 @@ def count_mismatches(labels: DataFrame, manifest: DataFrame, key: str = "image")
     return manifest.join(have, key, "left").withColumn("found", F.coalesce("found", F.lit(0))).where("found <> objects")
 
 
+def unmapped_classes(used: DataFrame, mapping: DataFrame, key: str = "class_id") -> DataFrame:
+    """Classes that a model uses and a class map lacks, once each."""
+    return missing_keys(used, mapping, key).select(key).distinct()
+
+
+def readable(images: DataFrame, status: str = "status") -> DataFrame:
+    """Images that could be decoded."""
+    return images.where(F.col(status) != "missing_or_corrupt")
+
+
+def changed_keys(record: DataFrame, frozen: DataFrame, keys: list[str]) -> DataFrame:
+    """``(key, was, now)`` of those keys of a one-row record that differ from the frozen one."""
+    rows = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"a.{k}").cast("string").alias("was"), F.col(f"b.{k}").cast("string").alias("now")) for k in keys])
+    both = frozen.alias("a").crossJoin(F.broadcast(record.limit(1)).alias("b"))  # one row each
+    return both.select(F.inline(rows)).where(~F.col("was").eqNullSafe(F.col("now")))
+
+
+def validation_counters(images: DataFrame, annotations: DataFrame) -> DataFrame:
+    """One row: images, repeated ones among them, annotations, those with a valid box and on a known image."""
+    n = images.agg(F.count("*").alias("images"), (F.count("*") - F.count_distinct("sha256")).alias("duplicates"))
+    known = images.select(F.col("image_id"), F.lit(1).alias("_known"))
+    a = annotations.join(known, "image_id", "left").agg(
+        F.count("*").alias("annotations"), F.count_if(valid_bbox(F.col("bbox"))).alias("valid_boxes"), F.count("_known").alias("on_known_images")
+    )
+    return n.crossJoin(a)  # one row each
+
+
 def splits_lacking_classes(objects: DataFrame, classes: int) -> DataFrame:
     return objects.groupBy("split").agg(F.count_distinct("class_id").alias("n")).where(F.col("n") < classes)
 

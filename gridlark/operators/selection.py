@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import ConstraintError, differing_columns
@@ -89,3 +89,19 @@ def held_out_gate(selection: DataFrame, identity: str) -> None:
         raise ConstraintError("The selection was changed after it was frozen")
     if row["dataset_identity"] != identity:
         raise ConstraintError("The dataset is not the one that the selection was made on")
+
+
+def richest_image(hits: DataFrame) -> DataFrame:
+    """The image with most correct detections, then most classes among them, then the smallest id."""
+    n = hits.where("tj is not null").groupBy("image_id").agg(F.count("*").alias("tp"), F.count_distinct("class_id").alias("classes"))
+    return n.orderBy(F.desc("tp"), F.desc("classes"), "image_id").limit(1)
+
+
+def with_latency(comparison: DataFrame, latency: DataFrame, name: str = "name", key: str = "model") -> DataFrame:
+    """Compared models with their latency, null where it was not measured."""
+    return comparison.join(latency.withColumnRenamed(key, name), name, "left")
+
+
+def points_apart(metric: Column, base: Column) -> Column:
+    """The difference of two shares in percentage points, to two places, half to even."""
+    return F.bround((metric - base) * 100, 2)

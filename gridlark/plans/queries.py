@@ -1,7 +1,7 @@
 """The library's operators bound to the driver's tables, and their SQL.
 
 ``register`` keeps a query's two forms side by side; ``oracle.py`` hands out the
-SQL half.
+SQL half; ``checks.py`` adds the queries of constraints and records.
 """
 
 from __future__ import annotations
@@ -474,3 +474,6 @@ def dataset_identity(spark, d):
 SELECT b AS bin, lo + b * ((hi - lo) / 25) AS low, lo + (b + 1) * ((hi - lo) / 25) AS high, (SELECT count(*) FROM p WHERE p.bin = b) AS n FROM e, range(25) r(b)""")
 def histogram_bins(spark, d):
     return profile.histogram(S.table(spark, d, "part"), "p_retailprice", 25)
+
+
+from gridlark.plans import checks  # noqa: E402, F401  registers its queries, which use the above

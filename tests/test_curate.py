@@ -104,3 +104,21 @@ def test_histogram_edges(spark):
     df = spark.createDataFrame([(float(x),) for x in (0, 1, 2, 4)], "v double")
     assert [r["n"] for r in profile.histogram(df, "v", 4).orderBy("bin").collect()] == [1, 1, 1, 1]
     assert sum(r["n"] for r in profile.histogram(df.where("v = 1"), "v", 3).collect()) == 1
+
+
+def test_fewer_than_three_groups_have_no_split(spark):
+    """Two independent groups cannot fill train, val and test."""
+    rows = [(i, f"g{i % 2}", f"h{i}") for i in range(8)]
+    images = spark.createDataFrame(rows, "image_id long, group_id string, sha256 string")
+    components = spark.createDataFrame([("g0", "g0"), ("g1", "g1")], "group_id string, root string")
+    with pytest.raises(Exception, match="Fewer than three"):
+        curate.assign_splits(images, components).collect()
+    assert curate.assign_splits(images.limit(0), components).count() == 0
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 7, 50])
+def test_linspace_of_any_size(spark, k):
+    rows = spark.range(40, numPartitions=5).selectExpr("39 - id AS image_id")
+    got = {(r["image_id"], r["place"]) for r in curate.linspace_sample(rows, "image_id", k).collect()}
+    n = min(k, 40)
+    assert got == {(p, p) for p in ({i * 39 // (n - 1) for i in range(n)} if n > 1 else set(range(n)))}
