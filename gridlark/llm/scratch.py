@@ -14,7 +14,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate data."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -29,10 +28,10 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.clear)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write ``df`` and return what reads it back."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _delete(self, path: str) -> None:

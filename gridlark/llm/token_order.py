@@ -160,9 +160,7 @@ def training_order(docs: DataFrame, scratch: Scratch, tokenizer: str = TOKENIZER
     given = given.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
     given = given.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     rows = given.mapInArrow(_tokenised(tokenizer, seq_len), "part int, i long, doc_id long, seq_no int, n_tokens int, tokens binary")
-    path = f"{scratch.root}/sequences"
-    rows.write.option("compression", "zstd").parquet(path)
-    rows = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    rows = scratch.table(rows, "sequences", compression="zstd")
     parts = rows.groupBy("part").agg((F.max("i") + 1).alias("n"))  # a row for each task that wrote
     parts = parts.select("part", "n", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"))
     parts = scratch.table(parts, "parts")
