@@ -11,15 +11,30 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for intermediate data."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_intermediate").rstrip("/")
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession):
+    """Remove a write's shuffle files when it ends, not when the driver next collects
+    garbage: what was written is not computed again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Scratch:
     """The intermediate tables of one call of an operator."""
 
@@ -31,7 +46,8 @@ class Scratch:
     def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write ``df`` and return what reads it back."""
         path = f"{self.root}/{name}"
-        df.write.options(**options).parquet(path)
+        with short_shuffles(self.spark):
+            df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _delete(self, path: str) -> None:
