@@ -18,6 +18,7 @@ import base64
 import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .scratch import Scratch
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that the public vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SEQ_LEN, PER_SHARD, ROUNDS, MOST_SHARDS_PER_TASK = 512, 16_384, 6, 64
+SEQ_LEN, PER_SHARD, ROUNDS, MOST_SHARDS_PER_TASK, WAVES = 512, 16_384, 6, 64, 2
 #: The pattern's engine fails on runs of white space of several times this length.
 LONG_BLANK = 100_000
 #: Fixed value: the characters that Unicode calls white space.
@@ -134,26 +135,20 @@ def _sequences(part: int, rows: list[list]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([part] * len(rows[0]), pa.int32()), *[pa.array(v, k) for v, k in zip(rows, kinds, strict=True)]], ["part", "i", "doc_id", "seq_no", "n_tokens", "tokens"])
 
 
-def _slotted(n: int, key: int):
+def _slotted(n: int, key: int, low: int, high: int):
+    """Slots of the rows' numbers; rows whose slot is not in ``low`` .. ``high - 1`` stay behind."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = feistel(batch.column("index").to_numpy(), n, key)
-            yield pa.record_batch([pa.array(slots), *[batch.column(x) for x in ("doc_id", "seq_no", "n_tokens", "tokens")]], ["slot", "doc_id", "seq_no", "n_tokens", "tokens"])
+            out = pa.record_batch([pa.array(slots), *[batch.column(x) for x in ("doc_id", "seq_no", "n_tokens", "tokens")]], ["slot", "doc_id", "seq_no", "n_tokens", "tokens"])
+            yield out if low == 0 and high >= n else out.filter(pa.array((slots >= low) & (slots < high)))
 
     return emit
 
 
-def training_order(docs: DataFrame, scratch: Scratch, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = 20) -> DataFrame:
-    """``(slot, shard, byte_offset, doc_id, seq_no, n_tokens, tokens)``, ordered by
-    slot within a partition; a partition holds whole shards, one after another.
-
-    ``tokens`` are ``seq_len`` little-endian ids of 16 bits (32 where the vocabulary
-    needs them); after the ``n_tokens`` real ones, the last of a document being the
-    end mark, comes padding with the end mark.  A null or empty text is the end mark
-    alone; repeated rows are separate documents; null ids pass through, first in
-    number; an empty table gives no rows; other columns are ignored.  The slots are
-    the same however the rows are partitioned.
-    """
+def _numbered(docs: DataFrame, scratch: Scratch, tokenizer: str, seq_len: int) -> tuple[DataFrame, int]:
+    """``(index, doc_id, seq_no, n_tokens, tokens)`` of all sequences, and how many there are."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # equal rows may share an id, and a task should not need all of them: any order among them is the same
     order = ["doc_id", "h", "row"]
@@ -165,16 +160,40 @@ def training_order(docs: DataFrame, scratch: Scratch, tokenizer: str = TOKENIZER
     parts = parts.select("part", "n", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"))
     parts = scratch.table(parts, "parts")
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // per_shard))
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_task = min(MOST_SHARDS_PER_TASK, -(-shards // tasks))
-    numbered = rows.join(F.broadcast(parts.select("part", "first")), "part").select((F.col("first") + F.col("i")).alias("index"), "doc_id", "seq_no", "n_tokens", "tokens")
-    placed = numbered.mapInArrow(_slotted(total, key), "slot long, doc_id long, seq_no int, n_tokens int, tokens binary")
-    placed = placed.repartitionById(-(-shards // in_task), F.floor(F.col("slot") / (per_shard * in_task)).cast("int")).sortWithinPartitions("slot")
+    numbered = rows.join(F.broadcast(parts.select("part", "first")), "part")
+    return numbered.select((F.col("first") + F.col("i")).alias("index"), "doc_id", "seq_no", "n_tokens", "tokens"), total
+
+
+def _placed(numbered: DataFrame, total: int, per_shard: int, key: int, shards: range) -> DataFrame:
+    """The rows of some shards, in order; a partition holds whole shards."""
+    low, high = shards.start * per_shard, min(total, shards.stop * per_shard)
+    tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_task = min(MOST_SHARDS_PER_TASK, -(-len(shards) // tasks))
+    placed = numbered.mapInArrow(_slotted(total, key, low, high), "slot long, doc_id long, seq_no int, n_tokens int, tokens binary")
+    placed = placed.repartitionById(-(-len(shards) // in_task), F.floor((F.col("slot") - low) / (per_shard * in_task)).cast("int")).sortWithinPartitions("slot")
     shard = F.floor(F.col("slot") / per_shard)
     return placed.select("slot", shard.cast("int").alias("shard"), ((F.col("slot") % per_shard) * F.length("tokens")).alias("byte_offset"), "doc_id", "seq_no", "n_tokens", "tokens")
 
 
+def _shards(total: int, per_shard: int) -> int:
+    return max(1, -(-total // per_shard))
+
+
+def training_order(docs: DataFrame, scratch: Scratch, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = 20) -> DataFrame:
+    """``(slot, shard, byte_offset, doc_id, seq_no, n_tokens, tokens)``, ordered by
+    slot within a partition; a partition holds whole shards, one after another.
+
+    ``tokens`` are ``seq_len`` little-endian ids of 16 bits (32 where the vocabulary
+    needs them); after the ``n_tokens`` real ones, the last of a document being the
+    end mark, comes padding with the end mark.  A null or empty text is the end mark
+    alone; repeated rows are separate documents; null ids pass through, first in
+    number; an empty table gives no rows; other columns are ignored.  The slots are
+    the same however the rows are partitioned.
+    """
+    numbered, total = _numbered(docs, scratch, tokenizer, seq_len)
+    return _placed(numbered, total, per_shard, key, range(_shards(total, per_shard)))
+
+
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
@@ -215,20 +234,27 @@ def write_shards(ordered: DataFrame, to: str) -> DataFrame:
     return ordered.mapInArrow(write, "slot long, shard int, byte_offset long, doc_id long, seq_no int, n_tokens int, digest long")
 
 
-def materialise(docs: DataFrame, scratch: Scratch, to: str | None = None, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = 20) -> DataFrame:
+def materialise(docs: DataFrame, scratch: Scratch, to: str | None = None, tokenizer: str = TOKENIZER, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = 20, waves: int = WAVES) -> DataFrame:
     """Write the documents' shards below ``to`` (a folder of ``scratch`` where none is
     named, which goes with it) and return the index of all sequences:
     ``(slot, shard, byte_offset, doc_id, seq_no, n_tokens, digest)``.
 
     Rows are treated as by ``training_order``; an empty table writes no shard.  A
-    ``manifest.json`` beside the shards says how to read them.
+    ``manifest.json`` beside the shards says how to read them.  Shards are written in
+    ``waves``, ranges of them: each reads all sequences and shuffles its own, so that
+    the disk holds the shuffle files of one wave beside the shards.
     """
     to = to or f"{scratch.root}/shards"
-    index = scratch.table(write_shards(training_order(docs, scratch, tokenizer, seq_len, per_shard, key), to), "index")
+    numbered, total = _numbered(docs, scratch, tokenizer, seq_len)
+    n = _shards(total, per_shard)
+    waves = min(waves, n)
+    cuts = [n * i // waves for i in range(waves + 1)]
+    parts = [scratch.table(write_shards(_placed(numbered, total, per_shard, key, range(a, b)), to), f"index-{a}") for a, b in zip(cuts, cuts[1:], strict=False)]
+    index = reduce(DataFrame.unionByName, parts)
     scratch.drop("sequences", "parts")
     system, base = fs.FileSystem.from_uri(to)
     system.create_dir(base, recursive=True)
-    facts = {"sequences": index.count(), "seq_len": seq_len, "per_shard": per_shard, "type": id_type(encoding(tokenizer)[1]).str, "key": key}
+    facts = {"sequences": total, "seq_len": seq_len, "per_shard": per_shard, "type": id_type(encoding(tokenizer)[1]).str, "key": key}
     with system.open_output_stream(f"{base}/manifest.json") as f:
         f.write(json.dumps(facts).encode())
     return index
