@@ -51,7 +51,7 @@ def prepare(spark: SparkSession, annotations: str, groups: str, digests: str, ou
     corners = B.clip(*[F.get("bbox", i) for i in range(4)], F.col("width"), F.col("height"))
     boxes = a.select("image_id", "class_id", *[c.alias(n) for c, n in zip(corners, CORNERS, strict=True)])
     quality.assert_none(boxes.where(~B.has_area(*[F.col(c) for c in CORNERS])), "Box outside its image")
-    quality.assert_none(curate.duplicate_conflicts(images, boxes), "Duplicate pixels have conflicting annotations")
+    quality.assert_none(curate.duplicate_conflicts(images, boxes), "Copies of an image differ in their boxes")
     components = curate.group_components(images)
     split = curate.assign_splits(images, components, seed).select("image_id", "split")
     writers.csv(curate.exact_dedup(images).join(split, "image_id"), f"{output}/split_manifest", ["image_id", "file_name", "group_id", "split", "sha256", "duplicate_of"])
@@ -90,6 +90,29 @@ def evaluate(spark: SparkSession, per_image: str, output: str, grid: list[float]
     writers.json_rows(matching.fp_taxonomy(hits, dets, truths, conf, match_iou), f"{output}/false_positives")
 
 
+def analyze(spark: SparkSession, per_image: str, images: str, output: str, conf: float, match_iou: float = 0.5) -> None:
+    """Recall by object size and kinds of false positives of per-image records."""
+    dets, truths, _ = nested(readers.per_image(spark, per_image))
+    sizes = readers.csv(spark, images).select("image_id", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
+    hits = matching.matched(dets, truths, match_iou)
+    writers.json_rows(matching.recall_by_size(hits, truths, sizes, conf), f"{output}/recall_by_size")
+    writers.json_rows(matching.fp_taxonomy(hits, dets, truths, conf, match_iou), f"{output}/false_positives")
+
+
+def select(spark: SparkSession, runs: str, manifest: str, output: str, conf: float, metric: str = "mAP50_95") -> None:
+    """The best run, frozen with its confidence and the dataset's identity."""
+    best = selection.best_model(selection.renamed_metrics(spark.read.json(runs)), metric)
+    identity = curate.table_identity(readers.csv(spark, manifest)).first()["identity"]
+    writers.json_rows(selection.frozen(best, conf, identity), output)
+
+
+def gate(spark: SparkSession, chosen: str, manifest: str) -> str:
+    """The frozen selection's name, if neither it nor the dataset was changed since."""
+    row = spark.read.json(chosen)
+    selection.held_out_gate(row, curate.table_identity(readers.csv(spark, manifest)).first()["identity"])
+    return row.first()["name"]
+
+
 def latency(spark: SparkSession, samples: str, output: str, stages: list[str]) -> None:
     writers.json_rows(selection.stage_stats(spark.read.json(samples), stages), output)
 
@@ -111,6 +134,9 @@ COMMANDS = {
     audit: [("--annotations", str), ("--output", str)],
     prepare: [("--annotations", str), ("--groups", str), ("--digests", str), ("--output", str), ("--seed", int, 42), ("--tile", int, None), ("--overlap", float, 0.0)],
     evaluate: [("--per-image", str), ("--output", str), ("--grid", float, [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]), ("--match-iou", float, 0.5)],
+    analyze: [("--per-image", str), ("--images", str), ("--output", str), ("--conf", float), ("--match-iou", float, 0.5)],
+    select: [("--runs", str), ("--manifest", str), ("--output", str), ("--conf", float), ("--metric", str, "mAP50_95")],
+    gate: [("--chosen", str), ("--manifest", str)],
     latency: [("--samples", str), ("--output", str), ("--stages", str, ["wall_ms"])],
     summarize: [("--runs", str), ("--output", str), ("--same", str, ["seed"])],
     verify: [("--manifest", str), ("--reference", str)],

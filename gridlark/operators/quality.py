@@ -134,7 +134,7 @@ def require_columns(df: DataFrame, *names: str) -> None:
 def confidence_grid(values: list[float]) -> list[float]:
     """Distinct and sorted; every value in (0, 1]."""
     if not values or any(not 0 < v <= 1 for v in values):
-        raise ConstraintError("Confidence grid must contain values in (0, 1]")
+        raise ConstraintError("A confidence of the grid is not above 0 and at most 1, or there is none")
     return sorted(set(values))
 
 

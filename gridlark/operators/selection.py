@@ -60,10 +60,10 @@ def renamed_metrics(rows: DataFrame) -> DataFrame:
 def compare_runs(runs: DataFrame, same: list[str], required: list[str] = ()) -> DataFrame:
     """Runs side by side, if there are two or more and ``same`` columns agree."""
     if runs.limit(2).count() < 2:
-        raise ConstraintError("Provide at least two completed experiments")
+        raise ConstraintError("Fewer than two runs to compare")
     off = differing_columns(runs, same, list(required))
     if off:
-        raise ConstraintError(f"Experiments differ in {off}")
+        raise ConstraintError(f"Runs disagree on {off}")
     return renamed_metrics(runs)
 
 

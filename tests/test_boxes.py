@@ -17,12 +17,12 @@ def lits(*v):
 
 
 def test_clip_and_normalise(spark):
-    corners = B.clip(*lits(-2, 2, 8, 10), F.lit(10), F.lit(8))
-    assert value(spark, *corners) == (0, 2, 6, 8)
-    assert value(spark, *B.normalised(*corners, F.lit(10), F.lit(8))) == pytest.approx((0.3, 0.625, 0.6, 0.75))
-    assert value(spark, B.was_clipped(corners, *lits(-2, 2, 8, 10))) == (True,)
-    back = B.denormalised(*lits(0.3, 0.625, 0.6, 0.75), F.lit(10), F.lit(8))
-    assert value(spark, *back) == pytest.approx((0, 2, 6, 8))
+    corners = B.clip(*lits(5, -3, 10, 6), F.lit(12), F.lit(8))
+    assert value(spark, *corners) == (5, 0, 12, 3)
+    shares = (17 / 24, 3 / 16, 7 / 12, 3 / 8)
+    assert value(spark, *B.normalised(*corners, F.lit(12), F.lit(8))) == pytest.approx(shares)
+    assert value(spark, B.was_clipped(corners, *lits(5, -3, 10, 6))) == (True,)
+    assert value(spark, *B.denormalised(*lits(*shares), F.lit(12), F.lit(8))) == pytest.approx((5, 0, 12, 3))
 
 
 @pytest.mark.parametrize("bbox", [None, [], [0.0, 0.0, 0.0, 2.0], [0.0, 0.0, float("nan"), 1.0], [0.0, 0.0, float("inf"), 1.0], [1.0, 2.0, 3.0], [None, 0.0, 1.0, 1.0], [1.7e308, 0.0, 1.7e308, 1.0]])

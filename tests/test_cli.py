@@ -3,36 +3,38 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridlark import cli
 from gridlark.operators.quality import ConstraintError
 
-IMAGES = [{"id": i, "file_name": f"batch_0{i}_img_1.jpg", "width": 12, "height": 8} for i in range(1, 7)]
-BOXES = [{"id": i, "image_id": i, "category_id": 9, "bbox": [4, 2, 6, 4]} for i in range(1, 6)]
+IMAGES = [{"id": i, "file_name": f"batch_0{i}_img_1.jpg", "width": 20, "height": 10} for i in range(11, 19)]
+BOXES = [{"id": i, "image_id": i, "category_id": 4, "bbox": [3, 1, 9, 7]} for i in range(11, 18)]
+GROUPS = dict(zip(range(11, 19), ["north", "south", "south", "east", "west", "west", "east", "north"], strict=True))
 
 
 @pytest.fixture
 def document(tmp_path):
     path = tmp_path / "coco.json"
-    path.write_text(json.dumps({"images": IMAGES, "annotations": BOXES, "categories": [{"id": 9, "name": "litter"}]}))
+    path.write_text(json.dumps({"images": IMAGES, "annotations": BOXES, "categories": [{"id": 4, "name": "bottle"}]}))
     return str(path)
 
 
 def test_audit(spark, tmp_path, document):
     cli.main(["audit", "--annotations", document, "--output", str(tmp_path / "out")])
-    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "out/classes"), header=True).collect()] == [("9", "litter", "5", "5")]
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "out/classes"), header=True).collect()] == [("4", "bottle", "7", "7")]
     assert spark.read.csv(str(tmp_path / "out/images"), header=True).where("objects = 0").count() == 1
 
 
 def test_prepare(spark, tmp_path, document):
-    (tmp_path / "groups.csv").write_text("image_id,group_id\n" + "".join(f"{i},{g}\n" for i, g in enumerate("ABABCD", 1)))
-    spark.createDataFrame([(i, "same" if i < 3 else str(i)) for i in range(1, 7)], "image_id long, sha256 string").write.parquet(str(tmp_path / "digests"))
-    cli.prepare(spark, document, str(tmp_path / "groups.csv"), str(tmp_path / "digests"), str(tmp_path / "out"), tile=6)
+    (tmp_path / "groups.csv").write_text("image_id,group_id\n" + "".join(f"{i},{g}\n" for i, g in GROUPS.items()))
+    spark.createDataFrame([(i, "same" if i < 13 else str(i)) for i in GROUPS], "image_id long, sha256 string").write.parquet(str(tmp_path / "digests"))
+    cli.prepare(spark, document, str(tmp_path / "groups.csv"), str(tmp_path / "digests"), str(tmp_path / "out"), tile=10)
     manifest = {r["image_id"]: r for r in spark.read.csv(str(tmp_path / "out/split_manifest"), header=True).collect()}
-    assert len({manifest[str(i)]["split"] for i in (1, 2, 3, 4)}) == 1 and manifest["2"]["duplicate_of"] == "1" and manifest["1"]["duplicate_of"] is None
+    assert len({manifest[str(i)]["split"] for i in (11, 12, 13, 18)}) == 1 and manifest["12"]["duplicate_of"] == "11" and manifest["11"]["duplicate_of"] is None
     tiles = spark.read.parquet(str(tmp_path / "out/tiles"))
-    assert tiles.count() == 5 * 4 and tiles.where("objects = 1").count() == 4 * 4
-    assert spark.read.parquet(str(tmp_path / "out/labels")).where("w > 0 and w <= 1").count() == 16
+    assert tiles.count() == 7 * 2 and tiles.where("objects = 1").count() == 6 * 2
+    assert spark.read.parquet(str(tmp_path / "out/labels")).where("w > 0 and w <= 1").count() == 12
     with pytest.raises(Exception, match="(?i)exists"):
         cli.prepare(spark, document, str(tmp_path / "groups.csv"), str(tmp_path / "digests"), str(tmp_path / "out"))
 
@@ -61,3 +63,29 @@ def test_latency_and_summarize(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"name": "a", "seed": 1}\n{"name": "b", "seed": 1}\n')
     cli.summarize(spark, str(tmp_path / "r.json"), str(tmp_path / "c"), ["seed"])
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
+
+
+def test_analyze(spark, tmp_path):
+    tall, flat = [0.0, 0.0, 30.0, 30.0], [50.0, 50.0, 70.0, 54.0]
+    found = [{"class_id": 0, "class_name": "bag", "confidence": 0.8, "xyxy": tall}]
+    rows = [{"image": "a", "tp": 1, "fp": 0, "fn": 1, "detections": found, "truth": [{"class_id": 0, "xyxy": tall}, {"class_id": 0, "xyxy": flat}]}]
+    (tmp_path / "rows.json").write_text(json.dumps(rows))
+    (tmp_path / "images.csv").write_text("image_id,width,height\na,640,320\n")
+    cli.analyze(spark, str(tmp_path / "rows.json"), str(tmp_path / "images.csv"), str(tmp_path / "out"), 0.5)
+    got = {r["size_bin"]: (r["objects"], r["found"]) for r in spark.read.json(str(tmp_path / "out/recall_by_size")).collect()}
+    assert got == {"short_side_lt_8px": (1, 0), "short_side_8_to_16px": (0, 0), "short_side_ge_16px": (1, 1)}
+    assert sum(r["n"] for r in spark.read.json(str(tmp_path / "out/false_positives")).collect()) == 0
+
+
+def test_select_and_gate(spark, tmp_path):
+    (tmp_path / "runs.json").write_text('{"name": "a", "seed": 1, "mAP50_95": 0.3}\n{"name": "b", "seed": 1, "mAP50_95": 0.5}\n')
+    (tmp_path / "m.csv").write_text("a,b\n1,2\n3,4\n")
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    chosen = str(tmp_path / "chosen")
+    cli.select(spark, str(tmp_path / "runs.json"), str(tmp_path / "m.csv"), chosen, 0.25)
+    assert cli.gate(spark, chosen, str(tmp_path / "m.csv")) == "b"
+    with pytest.raises(ConstraintError, match="dataset"):
+        cli.gate(spark, chosen, str(tmp_path / "other.csv"))
+    spark.read.json(chosen).withColumn("conf", F.lit(0.3)).write.json(str(tmp_path / "changed"))
+    with pytest.raises(ConstraintError, match="changed"):
+        cli.gate(spark, str(tmp_path / "changed"), str(tmp_path / "m.csv"))

@@ -13,18 +13,25 @@ SIZES = {
 }
 
 
-def six(spark):
-    return spark.createDataFrame([(i + 1, g, s, 12, 8) for i, (g, s) in enumerate(zip("ABABCD", ["x", "x", "3", "4", "5", "6"], strict=True))], IMAGES)
+#: A copy links "north" with "south"; "east" and "west" stand alone.
+PHOTOS = [(11, "north", "a"), (12, "south", "a"), (13, "south", "b"), (14, "east", "c"), (15, "west", "d"), (16, "west", "e"), (17, "east", "f"), (18, "north", "g")]
+BOXES = "image_id long, class_id int, x1 double, y1 double, x2 double, y2 double"
+
+
+def photos(spark):
+    return spark.createDataFrame([(*p, 20, 10) for p in PHOTOS], IMAGES)
 
 
 def test_linked_groups_share_a_split(spark):
-    imgs = six(spark)
+    imgs = photos(spark)
     roots = {r[0]: r[1] for r in curate.group_components(imgs).collect()}
-    assert roots == {"A": "A", "B": "A", "C": "C", "D": "D"}
+    assert roots == {"north": "north", "south": "north", "east": "east", "west": "west"}
     split = {r["image_id"]: r["split"] for r in curate.assign_splits(imgs, curate.group_components(imgs)).collect()}
-    assert len({split[i] for i in (1, 2, 3, 4)}) == 1 and set(split.values()) == {"train", "val", "test"}
+    for together in ((11, 12, 13, 18), (14, 17), (15, 16)):
+        assert len({split[i] for i in together}) == 1
+    assert set(split.values()) == {"train", "val", "test"}
     dup = {r["image_id"]: r["duplicate_of"] for r in curate.exact_dedup(imgs).collect()}
-    assert dup[2] == 1 and sum(v is None for v in dup.values()) == 5 and curate.representatives(imgs).count() == 5
+    assert {k: v for k, v in dup.items() if v is not None} == {12: 11} and curate.representatives(imgs).count() == 7
 
 
 def test_long_chain_of_groups(spark):
@@ -41,23 +48,23 @@ def test_published_split_sizes(spark):
 
 
 def test_conflicting_copies(spark):
-    box = spark.createDataFrame([(1, 0, 1.0, 1.0, 2.0, 2.0), (2, 0, 1.0, 1.0, 2.0, 3.0)], "image_id long, class_id int, x1 double, y1 double, x2 double, y2 double")
-    assert [tuple(r) for r in curate.duplicate_conflicts(six(spark), box).collect()] == [("x", 2, 2)]
-    same = box.withColumn("y2", F.lit(2.0)).unionByName(box.withColumn("y2", F.lit(9.0)))
-    assert curate.duplicate_conflicts(six(spark), same).isEmpty()
+    box = spark.createDataFrame([(11, 0, 3.0, 1.0, 12.0, 8.0), (12, 0, 3.0, 1.0, 12.0, 7.0)], BOXES)
+    assert [tuple(r) for r in curate.duplicate_conflicts(photos(spark), box).collect()] == [("a", 2, 2)]
+    same = box.withColumn("y2", F.lit(7.0)).unionByName(box.withColumn("y2", F.lit(9.0)))
+    assert curate.duplicate_conflicts(photos(spark), same).isEmpty()
 
 
 def test_tiles(spark):
-    tiles = tiling.tile_grid(six(spark), 6)
-    assert tiles.count() == 24
-    box = spark.createDataFrame([(i, 0, 4.0, 2.0, 10.0, 6.0) for i in range(1, 6)], "image_id long, class_id int, x1 double, y1 double, x2 double, y2 double")
+    tiles = tiling.tile_grid(photos(spark), 10)
+    assert tiles.count() == 16
+    box = spark.createDataFrame([(i, 0, 3.0, 1.0, 12.0, 8.0) for i in range(11, 18)], BOXES)
     n = tiling.tile_counts(tiles, tiling.boxes_in_tiles(tiles, box)).collect()
-    assert {r["objects"] for r in n if r["image_id"] < 6} == {1} and {r["objects"] for r in n if r["image_id"] == 6} == {0}
-    assert tiling.tile_grid(six(spark), None).count() == 6
-    touching = box.withColumn("x2", F.lit(6.0))
-    assert tiling.boxes_in_tiles(tiles.where("left = 6"), touching).isEmpty()
-    small = tiling.tile_grid(six(spark).limit(1), 50).collect()
-    assert [(r["left"], r["top"], r["right"], r["bottom"]) for r in small] == [(0, 0, 12, 8)]
+    assert {r["objects"] for r in n if r["image_id"] < 18} == {1} and {r["objects"] for r in n if r["image_id"] == 18} == {0}
+    assert tiling.tile_grid(photos(spark), None).count() == 8
+    touching = box.withColumn("x2", F.lit(10.0))
+    assert tiling.boxes_in_tiles(tiles.where("left = 10"), touching).isEmpty()
+    small = tiling.tile_grid(photos(spark).limit(1), 50).collect()
+    assert [(r["left"], r["top"], r["right"], r["bottom"]) for r in small] == [(0, 0, 20, 10)]
 
 
 def test_rescale(spark):
@@ -78,7 +85,7 @@ def test_quarantine_keeps_boxes_that_only_stick_out(spark):
         quality.validated(imgs, spark.createDataFrame([(1, 1, 9, boxes[1])], "id long, image_id long, category_id int, bbox array<double>"), cats)
     with pytest.raises(quality.ConstraintError, match="Repeated category name"):
         quality.validated(imgs, spark.createDataFrame([], "id long, image_id long, category_id int, bbox array<double>"), spark.createDataFrame([(1, "a"), (2, "a")], "id int, name string"))
-    assert quality.uncovered(six(spark), six(spark).where("image_id > 1")).count() == 1
+    assert quality.uncovered(photos(spark), photos(spark).where("image_id > 11")).count() == 1
 
 
 def test_samples(spark):
@@ -92,10 +99,10 @@ def test_samples(spark):
 
 
 def test_identity_and_diff(spark):
-    df = six(spark)
+    df = photos(spark)
     one = curate.table_identity(df).first()
     assert one == curate.table_identity(df.orderBy(F.desc("image_id")).repartition(3)).first()
-    assert one != curate.table_identity(df.withColumn("sha256", F.when(F.col("image_id") == 4, "y").otherwise(F.col("sha256")))).first()
+    assert one != curate.table_identity(df.withColumn("sha256", F.when(F.col("image_id") == 14, "y").otherwise(F.col("sha256")))).first()
     assert curate.manifest_diff(df, df).isEmpty()
     assert {tuple(r)[-1] for r in curate.manifest_diff(df, df.union(df.limit(1))).collect()} == {"only_second"}
 
