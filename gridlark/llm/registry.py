@@ -10,6 +10,7 @@ from .ngram_join import OP9_SQL, op9_ngram_jaccard_join
 from .quality_gam import op1_quality_gam
 from .source_mix import OP7_SQL, op7_source_mix
 from .token_order import op3_token_order
+from .vector_codes import OP11_SQL, op11_vector_codes
 
 QUERIES = {
     "op1_quality_gam": op1_quality_gam,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
@@ -30,4 +32,5 @@ ORACLE: dict[str, str] = {
     "op6_line_dedup": OP6_SQL,
     "op7_source_mix": OP7_SQL,
     "op9_ngram_jaccard_join": OP9_SQL,
+    "op11_vector_codes": OP11_SQL,
 }
