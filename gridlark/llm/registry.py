@@ -1,5 +1,6 @@
 """The queries of this subpackage by name, and SQL where it can express them."""
 
+from .conversation_repair import OP12_SQL, op12_conversation_repair
 from .decontaminate import op8_decontaminate
 from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from .html_extract import op4_html_extract
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
     "op11_vector_codes": op11_vector_codes,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLE: dict[str, str] = {
     "op7_source_mix": OP7_SQL,
     "op9_ngram_jaccard_join": OP9_SQL,
     "op11_vector_codes": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }
