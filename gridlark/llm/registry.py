@@ -3,6 +3,7 @@
 from .conversation_repair import OP12_SQL, op12_conversation_repair
 from .decontaminate import op8_decontaminate
 from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
+from .fingerprints import op13_document_fingerprints
 from .html_extract import op4_html_extract
 from .language_id import op10_language_id
 from .license_scan import OP5_SQL, op5_license_scan
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_vector_codes": op11_vector_codes,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_document_fingerprints": op13_document_fingerprints,
 }
 
 ORACLE: dict[str, str] = {
