@@ -47,7 +47,7 @@ def prepare(spark: SparkSession, annotations: str, groups: str, digests: str, ou
     quality.assert_none(quality.uncovered(images, group_map), "Image without a group")
     images = images.join(group_map, "image_id").join(spark.read.parquet(digests), "image_id")
     classes = curate.reindexed(doc["categories"])
-    a = doc["annotations"].join(F.broadcast(classes.select(F.col("source_id").alias("category_id"), F.col("id").alias("class_id"))), "category_id").join(images.select("image_id", "width", "height"), "image_id")
+    a = doc["annotations"].join(classes.select(F.col("source_id").alias("category_id"), F.col("id").alias("class_id")), "category_id").join(images.select("image_id", "width", "height"), "image_id")
     corners = B.clip(*[F.get("bbox", i) for i in range(4)], F.col("width"), F.col("height"))
     boxes = a.select("image_id", "class_id", *[c.alias(n) for c, n in zip(corners, CORNERS, strict=True)])
     quality.assert_none(boxes.where(~B.has_area(*[F.col(c) for c in CORNERS])), "Box outside its image")

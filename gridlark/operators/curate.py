@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridlark.operators.order import running_sums, same_keys
+from gridlark.scratch import Scratch
+
 
 def exact_dedup(images: DataFrame) -> DataFrame:
     """Adds ``original``, the lowest id with the same content, and ``duplicate_of``."""
@@ -28,19 +31,6 @@ def duplicate_conflicts(images: DataFrame, boxes: DataFrame) -> DataFrame:
     return all_.groupBy("sha256").agg(F.count("*").alias("copies"), F.count_distinct("b").alias("versions")).where("versions > 1")
 
 
-def _shared(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_intermediate").rstrip("/")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder, so that lost executors lose nothing."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(_shared(df.sparkSession))
-    return df.checkpoint()
-
-
 def group_components(images: DataFrame) -> DataFrame:
     """``(group_id, root)``: groups linked by shared contents, named by the
     smallest group.
@@ -49,16 +39,18 @@ def group_components(images: DataFrame) -> DataFrame:
     smallest label to its groups, and on by the label's own label, until nothing
     changes.
     """
-    edges = _cut(images.select("group_id", "sha256").distinct())
+    scratch, turn = Scratch(images.sparkSession, "groups"), 0
+    edges = scratch.table(images.select("group_id", "sha256").distinct(), "edges")
     labels = edges.select("group_id").distinct().withColumn("root", F.col("group_id"))
     while True:
         by_content = edges.join(labels, "group_id").groupBy("sha256").agg(F.min("root").alias("m"))
         near = edges.join(by_content, "sha256").groupBy("group_id").agg(F.min("m").alias("m"))
         hop = near.join(labels.select(F.col("group_id").alias("m"), F.col("root").alias("next")), "m", "left")
-        new = _cut(labels.join(hop, "group_id").select("group_id", F.least("root", "m", "next").alias("root"), F.col("root").alias("old")))
-        changed = new.where("root <> old").limit(1).count()
-        labels = new.drop("old")
-        if not changed:
+        new = scratch.table(labels.join(hop, "group_id").select("group_id", F.least("root", "m", "next").alias("root"), F.col("root").alias("old")), f"labels-{turn}")
+        if turn:
+            scratch.drop(f"labels-{turn - 1}")
+        labels, turn = new.drop("old"), turn + 1
+        if new.where("root <> old").isEmpty():
             return labels
 
 
@@ -69,14 +61,18 @@ def hash_order(seed: int, *keys: Column) -> Column:
 
 def _cuts(sized: DataFrame) -> DataFrame:
     """Split from running sums over ``(group, n, place)``: the first cut is the
-    place whose sum is nearest 70 %, the second, further on, nearest 90 %.  One
-    row per group goes through the window."""
-    run = W.orderBy("place")
-    every = W.partitionBy()
-    c = sized.select("group", "n", (F.row_number().over(run) - 1).alias("k"), (F.sum("n").over(run) - F.col("n")).alias("before"), F.sum("n").over(every).alias("total"), F.count("*").over(every).alias("groups"))
+    place whose sum is nearest 70 %, the second, further on, nearest 90 %.
+
+    The sums run over ranges of places, the cuts are combinable minima, so no
+    task sees all groups.
+    """
+    c = running_sums(sized.select("group", "n", "place", F.lit(1).cast("long").alias("one")), [], ["place"], ["n", "one"], Scratch(sized.sparkSession, "cuts"))
+    c = c.select("group", "n", F.col("before_one").alias("k"), F.col("before_n").alias("before"))
     away = lambda share: F.struct(F.abs(F.col("before") - F.col("total") * share).alias("d"), "k")
-    c = c.withColumn("a", F.min(F.when((F.col("k") >= 1) & (F.col("k") < F.col("groups") - 1), away(0.7))).over(every)["k"])
-    c = c.withColumn("b", F.min(F.when(F.col("k") > F.col("a"), away(0.9))).over(every)["k"])
+    one = lambda df: F.broadcast(df)  # noqa: E731  one row
+    c = c.crossJoin(one(c.agg(F.sum("n").alias("total"), F.count("*").alias("groups"))))
+    c = c.crossJoin(one(c.agg(F.min(F.when((F.col("k") >= 1) & (F.col("k") < F.col("groups") - 1), away(0.7)))["k"].alias("a"))))
+    c = c.crossJoin(one(c.agg(F.min(F.when(F.col("k") > F.col("a"), away(0.9)))["k"].alias("b"))))
     few = F.raise_error(F.lit("Fewer than three independent groups: no train, val and test without leakage"))
     return c.withColumn("split", F.when(F.col("groups") < 3, few.cast("string")).when(F.col("k") < F.col("a"), "train").when(F.col("k") < F.col("b"), "val").otherwise("test"))
 
@@ -128,7 +124,7 @@ def linspace_sample(rows: DataFrame, order: str, k: int) -> DataFrame:
     partition, say in which of them and where the wanted places are.
     """
     ids = rows.select(order).repartitionByRange(order).sortWithinPartitions(order).select(order, F.monotonically_increasing_id().alias("_id"))
-    ids = _cut(ids)
+    ids = Scratch(rows.sparkSession, "linspace").table(ids, "ids")
     counts = sorted(map(tuple, ids.groupBy(F.shiftright("_id", 33)).count().collect()))
     total = sum(n for _, n in counts)
     k = min(k, total)
@@ -143,11 +139,12 @@ def linspace_sample(rows: DataFrame, order: str, k: int) -> DataFrame:
 
 
 def contact_sheet(rows: DataFrame, group: str, order: str, n: int = 8) -> DataFrame:
-    """Every k-th row of a group so that about ``n`` remain, then the first ``n``."""
-    own = W.partitionBy(group)
-    step = F.greatest(F.lit(1), F.floor(F.count("*").over(own) / n))
-    placed = rows.withColumn("_i", F.row_number().over(own.orderBy(order)) - 1).withColumn("_s", step)
-    return placed.where("_i % _s = 0 and _i div _s < " + str(n)).drop("_i", "_s")
+    """Every k-th row of a group by a unique column so that about ``n`` remain, then the first ``n``."""
+    scratch = Scratch(rows.sparkSession, "sheet")
+    placed = running_sums(rows.select(group, order, F.lit(1).cast("long").alias("_one")), [group], [order], ["_one"], scratch)
+    step = rows.groupBy(group).agg(F.greatest(F.lit(1), F.floor(F.count("*") / n)).alias("_s"))
+    chosen = same_keys(placed, step, [group]).where(F.expr(f"before__one % _s = 0 and before__one div _s < {int(n)}"))
+    return rows.join(chosen.select(order), order, "left_semi")
 
 
 def union_of_ids(*parts: DataFrame, key: str = "image_id") -> DataFrame:
@@ -182,7 +179,7 @@ def reindexed(categories: DataFrame) -> DataFrame:
 def remapped(annotations: DataFrame, mapping: DataFrame) -> DataFrame:
     """Annotations of mapped categories, with the target's id; ``mapping`` is
     ``(category_id, target)``, one row per category."""
-    return annotations.join(F.broadcast(mapping), "category_id").drop("category_id").withColumnRenamed("target", "category_id")
+    return annotations.join(mapping, "category_id").drop("category_id").withColumnRenamed("target", "category_id")
 
 
 def rescaled(annotations: DataFrame, scales: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def annotation_issues(annotations: DataFrame, images: DataFrame, categories: Dat
     """
     known = images.select(F.col("id").alias("image_id"), F.col("width").alias("_w"), F.col("height").alias("_h"))
     named = categories.select(F.col("id").alias("category_id"), F.lit(True).alias("_c"))
-    a = annotations.join(known, "image_id", "left").join(F.broadcast(named), "category_id", "left")
+    a = annotations.join(known, "image_id", "left").join(named, "category_id", "left")
     b = [F.get("bbox", i) for i in range(4)]
     number = F.coalesce(F.size("bbox") == 4, F.lit(False))
     for x in b:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlark.scratch import Scratch
+
+from .order import percentiles, same_keys
 from .quality import ConstraintError, differing_columns
 
 #: Metric columns of run records and their short names.
@@ -13,15 +16,17 @@ METRICS = {"metrics/precision(B)": "precision", "metrics/recall(B)": "recall", "
 
 def latency_stats(samples: DataFrame, key: str = "model", value: str = "wall_ms") -> DataFrame:
     """Exact mean, median and linear 95th percentile by key."""
-    return samples.groupBy(key).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean_ms"), F.percentile(value, 0.5).alias("median_ms"), F.percentile(value, 0.95).alias("p95_ms")
-    )
+    return _stats(samples, [key], value)
 
 
 def stage_stats(samples: DataFrame, stages: list[str], key: str = "model") -> DataFrame:
     """The same for each stage column, as rows."""
-    long = samples.unpivot([key], stages, "stage", "ms")
-    return long.groupBy(key, "stage").agg(F.count("ms").alias("n"), F.avg("ms").alias("mean_ms"), F.percentile("ms", 0.5).alias("median_ms"), F.percentile("ms", 0.95).alias("p95_ms"))
+    return _stats(samples.unpivot([key], stages, "stage", "ms"), [key, "stage"], "ms")
+
+
+def _stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    plain = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean_ms"))
+    return same_keys(plain, percentiles(rows, by, value, {"median_ms": 0.5, "p95_ms": 0.95}, Scratch(rows.sparkSession, "latency")), by)
 
 
 def best_model(rows: DataFrame, metric: str = "mAP50_95", name: str = "name") -> DataFrame:

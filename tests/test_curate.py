@@ -129,3 +129,29 @@ def test_linspace_of_any_size(spark, k):
     got = {(r["image_id"], r["place"]) for r in curate.linspace_sample(rows, "image_id", k).collect()}
     n = min(k, 40)
     assert got == {(p, p) for p in ({i * 39 // (n - 1) for i in range(n)} if n > 1 else set(range(n)))}
+
+
+def test_running_sums_and_percentiles(spark):
+    import random
+
+    from gridlark.operators.order import percentiles, running_sums
+    from gridlark.scratch import Scratch
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([1, 2, 5, None]), rng.choice([0.5, 1.5, float(i), None, float("nan")])) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, o long, v long, x double").repartition(7)
+    for by in ([], ["g"]):
+        got = {r.o: r.before_v for r in running_sums(df, by, ["o"], ["v"], Scratch(spark, "t")).collect()}
+        so_far, want = {}, {}
+        for g, o, v, _ in rows:
+            k = g if by else 0
+            want[o] = so_far.get(k, 0)
+            so_far[k] = want[o] + (v or 0)
+        assert got == want
+    got = {r.g: (r.m, r.p) for r in percentiles(df, ["g"], "x", {"m": 0.5, "p": 0.95}, Scratch(spark, "t")).collect()}
+    want = {r.g: (r.m, r.p) for r in df.groupBy("g").agg(F.percentile("x", 0.5).alias("m"), F.percentile("x", 0.95).alias("p")).collect()}
+    assert {k: tuple(map(str, v)) for k, v in got.items()} == {k: tuple(map(str, v)) for k, v in want.items()}
+    none = df.withColumn("x", F.lit(None).cast("double")).where("g = 'a'")
+    assert [tuple(r) for r in percentiles(none, ["g"], "x", {"m": 0.5}, Scratch(spark, "t")).collect()] == [("a", None)]
+    plan = running_sums(df, [], ["o"], ["v"], Scratch(spark, "t"))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
