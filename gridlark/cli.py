@@ -57,7 +57,7 @@ def prepare(spark: SparkSession, annotations: str, groups: str, digests: str, ou
     writers.csv(curate.exact_dedup(images).join(split, "image_id"), f"{output}/split_manifest", ["image_id", "file_name", "group_id", "split", "sha256", "duplicate_of"])
     kept = curate.representatives(images)
     tiles = tiling.tile_grid(kept, tile, overlap)
-    parts = tiling.boxes_in_tiles(tiles, boxes)
+    parts = tiling.boxes_in_tiles(tiles, boxes) if tile is None else tiling.boxes_on_grid(kept, boxes, tile, overlap)
     counts = tiling.tile_counts(tiles, parts).join(split, "image_id")
     writers.parquet(counts, f"{output}/tiles", "split")
     size = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")

@@ -9,50 +9,221 @@ free truth of its class with the greatest IoU, of equals the one with the larger
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridlark.functions.boxes import iou, overlap_bin, short_side, size_bin
+from gridlark.functions.boxes import finite, has_area, iou, overlap_bin, short_side, size_bin
 from gridlark.functions.scores import precision_recall_f1, recall_or_null
+from gridlark.operators.quality import ConstraintError
+from gridlark.scratch import Scratch
 
 CORNERS = ("x1", "y1", "x2", "y2")
 PARTS = 1024
+#: Boxes of an image, or detections of a class in it, from which they are taken apart.
+DENSE = 512
+#: Rounds go on while one settles at least this share of the waiting detections.
+SETTLING = 1 / 8
 
 
-def iou_pairs(dets: DataFrame, truths: DataFrame, same_class: bool = True) -> DataFrame:
-    """Every detection with every truth of its image, and of its class if asked."""
-    t = truths.select("image_id", "tj", F.col("class_id").alias("t_class"), *[F.col(c).alias(f"t_{c}") for c in CORNERS])
-    on = (dets["image_id"] == t["image_id"]) & (dets["class_id"] == t["t_class"]) if same_class else dets["image_id"] == t["image_id"]
+def _solid(boxes: DataFrame) -> DataFrame:
+    """Boxes that can overlap with anything."""
+    corners = [F.col(c) for c in CORNERS]
+    ok = has_area(*corners)
+    for c in corners:
+        ok = ok & finite(c)
+    return boxes.where(ok)
+
+
+def _grids(dets: DataFrame, truths: DataFrame, dense: int) -> DataFrame:
+    """``(image_id, edge_x, edge_y)`` of images with many boxes.
+
+    A cell is as wide and high as its image's boxes in the quadratic mean, so a
+    box touches a number of cells that is constant on average, and at most about
+    the image's number of boxes.
+    """
+    both = dets.select("image_id", *CORNERS).unionByName(truths.select("image_id", *CORNERS))
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    sized = both.groupBy("image_id").agg(F.count("*").alias("n"), F.sqrt(F.avg(w * w)).alias("edge_x"), F.sqrt(F.avg(h * h)).alias("edge_y"))
+    return sized.where(F.col("n") > dense).drop("n")
+
+
+def _cell(at: Column, edge: str) -> Column:
+    return F.coalesce(F.floor(at / F.col(edge)), F.lit(0).cast("long"))
+
+
+def _in_cells(boxes: DataFrame, grids: DataFrame) -> DataFrame:
+    """A row for each grid cell that a box touches; an image without a grid is one cell."""
+    out = boxes.join(grids, "image_id", "left")
+    for axis in ("x", "y"):
+        low, high = (_cell(F.col(f"{axis}{k}"), f"edge_{axis}") for k in (1, 2))
+        out = out.withColumn(f"cell_{axis}", F.explode(F.sequence(low, high)))
+    return out
+
+
+def iou_pairs(dets: DataFrame, truths: DataFrame, same_class: bool = True, dense: int = DENSE) -> DataFrame:
+    """Detections with the truths of their image, and of their class if asked, that
+    they overlap with.
+
+    Boxes without an area or with a corner that is not finite overlap with none.
+    Images with more than ``dense`` boxes are cut into grid cells; a pair is found
+    in the cell of its intersection's first corner only, and what does not overlap
+    is no row of the join.
+    """
+    dets, truths = _solid(dets), _solid(truths)
+    grids = _grids(dets, truths, dense)
+    d = _in_cells(dets.select("image_id", "di", "class_id", "confidence", *CORNERS), grids)
+    t = _in_cells(truths.select("image_id", "tj", "class_id", *CORNERS), grids)
+    t = t.select(*[F.col(c).alias(f"t_{c}") for c in ("image_id", "tj", "class_id", "cell_x", "cell_y", *CORNERS)])
+    keys = ["image_id", "cell_x", "cell_y", *(["class_id"] if same_class else [])]
+    on = [F.col(k) == F.col(f"t_{k}") for k in keys]
+    for axis in ("x", "y"):
+        on += [F.col(f"{axis}1") < F.col(f"t_{axis}2"), F.col(f"t_{axis}1") < F.col(f"{axis}2")]
+        on.append(_cell(F.greatest(f"{axis}1", f"t_{axis}1"), f"edge_{axis}") == F.col(f"cell_{axis}"))
     overlap = iou(tuple(F.col(c) for c in CORNERS), tuple(F.col(f"t_{c}") for c in CORNERS))
-    return dets.join(t, on).select(dets["image_id"], dets["class_id"], "di", "tj", "confidence", overlap.alias("iou"))
+    return d.join(t, on).select("image_id", "class_id", "di", F.col("t_tj").alias("tj"), "confidence", overlap.alias("iou"))
+
+
+GROUP = ["image_id", "class_id"]
+
+
+def _turn() -> Column:
+    """What detections are ordered by."""
+    return F.struct((-F.col("confidence")).alias("order"), "di")
+
+
+def _folded(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
+    """``(image_id, class_id, di, tjs)``: each group's detections in order, with the
+    truth taken at each threshold; one state a threshold, one pass."""
+    cands = F.sort_array(F.collect_list(F.struct("iou", "tj")), asc=False)
+    turns = pairs.groupBy(*GROUP, "di", "confidence").agg(cands.alias("cands"))
+    turns = turns.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("order"), "di", "cands"))).alias("dets"))
+    di, tj = (pairs.schema[c].dataType.simpleString() for c in ("di", "tj"))
+    limits = F.array(*[F.lit(float(t)) for t in thresholds])
+
+    def step(acc: Column, d: Column) -> Column:
+        def first_free(limit: Column, k: Column) -> Column:
+            return F.get(F.filter(d["cands"], lambda c: (c["iou"] >= limit) & ~F.array_contains(F.get(acc["used"], k), c["tj"])), 0)["tj"]
 
+        free = F.transform(limits, first_free)
+        used = F.zip_with(acc["used"], free, lambda u, f: F.when(f.isNotNull(), F.concat(u, F.array(f))).otherwise(u))
+        return F.struct(used.alias("used"), F.concat(acc["res"], F.array(F.struct(d["di"].alias("di"), free.alias("tjs")))).alias("res"))
 
-def matched(dets: DataFrame, truths: DataFrame, threshold: float = 0.5) -> DataFrame:
+    zero = F.struct(F.array(*[F.array().cast(f"array<{tj}>")] * len(thresholds)).alias("used"), F.array().cast(f"array<struct<di:{di},tjs:array<{tj}>>>").alias("res"))
+    return turns.select(*GROUP, F.inline(F.aggregate("dets", zero, step)["res"]))
+
+
+def _in_turn(thresholds: list[float]):
+    """The same over sorted rows, one pair at a time."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, di, used, got = None, None, [], None
+        for batch in batches:
+            out = []
+            for image, cls, d, tj, overlap in zip(*(batch.column(c).to_pylist() for c in (*GROUP, "di", "tj", "iou")), strict=True):
+                if (image, cls) != group:
+                    group, di, used = (image, cls), None, [set() for _ in thresholds]
+                if d != di:
+                    di, got = d, [None] * len(thresholds)
+                for k, limit in enumerate(thresholds):
+                    if got[k] is None and overlap >= limit and tj not in used[k]:
+                        got[k] = tj
+                        used[k].add(tj)
+                        out.append((image, cls, d, k, tj))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            types = [batch.schema.field(c).type for c in (*GROUP, "di")] + [pa.int32(), batch.schema.field("tj").type]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [*GROUP, "di", "k", "tj"])
+
+    return emit
+
+
+def _streamed(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
+    """``(image_id, class_id, di, k, tj)``: what is taken at each threshold's number;
+    a task keeps the taken truths of one group."""
+    schema = T.StructType([*[pairs.schema[c] for c in (*GROUP, "di")], T.StructField("k", T.IntegerType()), pairs.schema["tj"]])
+    order = [*GROUP, F.asc_nulls_first(-F.col("confidence")), "di", F.desc("iou"), F.desc("tj")]
+    return pairs.repartition(*GROUP).sortWithinPartitions(*order).mapInArrow(_in_turn(thresholds), schema)
+
+
+def _settled(pairs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """``(image_id, class_id, di, tj)`` of groups of any size, in rounds.
+
+    A detection takes its best free truth once it is the first in turn of all
+    waiting ones that have this truth as a candidate: none before it can take it.
+    Detections stacked on the same truths settle one by one; once rounds settle
+    little, those that are left are few and go in turn, group by group.
+    """
+    waiting, turn, out = scratch.table(pairs.select(*GROUP, "di", "confidence", "tj", "iou"), "waiting-0"), 0, []
+    while True:
+        best = waiting.groupBy(*GROUP, "di").agg(F.max_by("tj", F.struct("iou", "tj")).alias("tj"))
+        first = waiting.groupBy(*GROUP, "tj").agg(F.min_by("di", _turn()).alias("di"))
+        settled = scratch.table(best.join(first, [*GROUP, "di", "tj"]), f"settled-{turn}")
+        out.append(settled)
+        left = waiting.join(settled, [*GROUP, "di"], "left_anti").join(settled, [*GROUP, "tj"], "left_anti")
+        turn += 1
+        left = scratch.table(left.select(*waiting.columns), f"waiting-{turn}")
+        scratch.drop(f"waiting-{turn - 1}")
+        waiting = left
+        some, rest = settled.count(), waiting.select(*GROUP, "di").distinct().count()
+        if not rest:
+            break
+        if some < SETTLING * (some + rest):
+            out.append(_streamed(waiting, [threshold]).drop("k"))
+            break
+    taken = out[0]
+    for more in out[1:]:
+        taken = taken.unionByName(more)
+    return taken
+
+
+def _dense_groups(dets: DataFrame, dense: int) -> DataFrame:
+    return dets.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > dense).select(*GROUP)
+
+
+def _above_zero(threshold: float) -> float:
+    if not 0 < threshold <= 1:
+        raise ConstraintError("An IoU threshold is above 0 and at most 1")
+    return float(threshold)
+
+
+def matched(dets: DataFrame, truths: DataFrame, threshold: float = 0.5, dense: int = DENSE) -> DataFrame:
     """Each detection with the truth it takes: ``(image_id, class_id, di,
     confidence, tj)``, ``tj`` null for a false positive.
 
     Only candidates that reach the threshold matter: a detection takes its best
-    free one, and one below the threshold is never taken.  So detections without
-    a candidate need no turn, and each (image, class) folds the others in order.
+    free one, and one below the threshold is never taken.  Each (image, class)
+    folds its detections in order; one with more than ``dense`` is settled in rounds.
     """
-    pairs = iou_pairs(dets, truths).where(F.col("iou") >= threshold)
-    best = F.transform(F.sort_array(F.collect_list(F.struct("iou", "tj")), asc=False), lambda c: c["tj"])
-    turn = pairs.groupBy("image_id", "class_id", "di", "confidence").agg(best.alias("cands"))
-    turn = turn.groupBy("image_id", "class_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("order"), "di", "cands"))).alias("dets"))
-
-    def step(acc, d):
-        free = F.get(F.array_except(d["cands"], acc["used"]), 0)
-        used = F.when(free.isNotNull(), F.concat(acc["used"], F.array(free))).otherwise(acc["used"])
-        return F.struct(used.alias("used"), F.concat(acc["res"], F.array(F.struct(d["di"].alias("di"), free.alias("tj")))).alias("res"))
-
-    ints = turn.schema["dets"].dataType.elementType
-    di, tj = ints["di"].dataType.simpleString(), ints["cands"].dataType.elementType.simpleString()
-    zero = F.struct(F.array().cast(f"array<{tj}>").alias("used"), F.array().cast(f"array<struct<di:{di},tj:{tj}>>").alias("res"))
-    taken = turn.select("image_id", "class_id", F.inline(F.aggregate("dets", zero, step)["res"])).where("tj is not null")
-    return dets.select("image_id", "class_id", "di", "confidence").join(taken, ["image_id", "class_id", "di"], "left")
+    threshold = _above_zero(threshold)
+    pairs = iou_pairs(dets, truths, dense=dense).where(F.col("iou") >= threshold)
+    folded = lambda p: _folded(p, [threshold]).select(*GROUP, "di", F.get("tjs", 0).alias("tj")).where("tj is not null")
+    large = _dense_groups(dets, dense)
+    if large.isEmpty():
+        taken = folded(pairs)
+    else:
+        settled = _settled(pairs.join(large, GROUP, "left_semi"), threshold, Scratch(dets.sparkSession, "settled"))
+        taken = folded(pairs.join(large, GROUP, "left_anti")).unionByName(settled)
+    return dets.select(*GROUP, "di", "confidence").join(taken, [*GROUP, "di"], "left")
+
+
+def matched_at(dets: DataFrame, truths: DataFrame, thresholds: list[float], dense: int = DENSE) -> DataFrame:
+    """``matched`` at several thresholds, as rows with ``threshold``, from one pass over the pairs."""
+    limits = sorted({_above_zero(t) for t in thresholds})
+    if not limits:
+        raise ConstraintError("No IoU threshold")
+    pairs = iou_pairs(dets, truths, dense=dense).where(F.col("iou") >= limits[0])
+    each = lambda p: _folded(p, limits).select(*GROUP, "di", F.posexplode("tjs").alias("k", "tj")).where("tj is not null")
+    large = _dense_groups(dets, dense)
+    if large.isEmpty():
+        taken = each(pairs)
+    else:
+        taken = each(pairs.join(large, GROUP, "left_anti")).unionByName(_streamed(pairs.join(large, GROUP, "left_semi"), limits))
+    numbers = F.posexplode(F.array(*[F.lit(t) for t in limits])).alias("k", "threshold")
+    return dets.select(*GROUP, "di", "confidence", numbers).join(taken, [*GROUP, "di", "k"], "left").drop("k")
 
 
 def per_image_counts(hits: DataFrame, truths: DataFrame, images: DataFrame, conf: float = 0.0) -> DataFrame:
@@ -111,31 +282,40 @@ def average_precision(hits: DataFrame, truths: DataFrame) -> DataFrame:
     Running counts go by slices of the confidence, with the sums of the slices
     above added, so no task holds all detections of a class.
     """
-    rows = hits.where("confidence is not null").groupBy("class_id", "confidence").agg(F.count("tj").alias("tp"), F.count("*").alias("dets"))
+    have = truths.groupBy("class_id").agg(F.count("*").alias("truths"))
+    ap = _areas(hits, have, ["class_id"])
+    return have.join(ap, "class_id", "left").select("class_id", "truths", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+def _areas(hits: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, ap)``, ``class_id`` among the keys."""
+    rows = hits.where("confidence is not null").groupBy(*keys, "confidence").agg(F.count("tj").alias("tp"), F.count("*").alias("dets"))
     rows = rows.withColumn("part", F.floor(F.col("confidence") * PARTS))
-    above = W.partitionBy("class_id").orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
+    above = W.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
-    sums = rows.groupBy("class_id", "part").agg(F.sum("tp").alias("part_tp"), F.sum("dets").alias("part_dets"))
-    sums = sums.select("class_id", "part", *[F.coalesce(F.sum(f"part_{c}").over(above), zero).alias(f"above_{c}") for c in ("tp", "dets")])
-    within = W.partitionBy("class_id", "part").orderBy(F.desc("confidence")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = rows.groupBy(*keys, "part").agg(F.sum("tp").alias("part_tp"), F.sum("dets").alias("part_dets"))
+    sums = sums.select(*keys, "part", *[F.coalesce(F.sum(f"part_{c}").over(above), zero).alias(f"above_{c}") for c in ("tp", "dets")])
+    within = W.partitionBy(*keys, "part").orderBy(F.desc("confidence")).rowsBetween(W.unboundedPreceding, W.currentRow)
     tp, dets = (F.col(f"above_{c}") + F.sum(c).over(within) for c in ("tp", "dets"))
-    curve = rows.join(sums, ["class_id", "part"]).select("class_id", tp.alias("tp"), dets.alias("dets"))
-    have = truths.groupBy("class_id").agg(F.count("*").alias("truths"))
-    best = curve.join(have, "class_id").groupBy("class_id", F.expr("100 * tp div truths").alias("point")).agg(F.max(F.col("tp") / F.col("dets")).alias("precision"))
-    upward = W.partitionBy("class_id").orderBy("point")  # at most 101 rows a class
+    curve = rows.join(sums, [*keys, "part"]).select(*keys, tp.alias("tp"), dets.alias("dets"))
+    best = curve.join(have, "class_id").groupBy(*keys, F.expr("100 * tp div truths").alias("point")).agg(F.max(F.col("tp") / F.col("dets")).alias("precision"))
+    upward = W.partitionBy(*keys).orderBy("point")  # at most 101 rows of a key
     steps = best.select(
-        "class_id",
+        *keys,
         (F.col("point") - F.coalesce(F.lag("point").over(upward), F.lit(-1).cast("long"))).alias("points"),
         F.max("precision").over(upward.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("precision"),
     )
-    ap = steps.groupBy("class_id").agg((F.sum(F.col("points") * F.col("precision")) / 101).alias("ap"))
-    return have.join(ap, "class_id", "left").select("class_id", "truths", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    return steps.groupBy(*keys).agg((F.sum(F.col("points") * F.col("precision")) / 101).alias("ap"))
 
 
 def mean_average_precision(dets: DataFrame, truths: DataFrame, thresholds: list[float]) -> DataFrame:
-    """``(threshold, classes, map)``: the mean over classes at each IoU threshold."""
-    each = [average_precision(matched(dets, truths, t), truths).select(F.lit(float(t)).alias("threshold"), "ap") for t in thresholds]
-    return reduce(DataFrame.unionByName, each).groupBy("threshold").agg(F.count("*").alias("classes"), F.avg("ap").alias("map"))
+    """``(threshold, classes, map)``: the mean over classes at each IoU threshold, all from one matching pass."""
+    limits = sorted({float(t) for t in thresholds})
+    have = truths.groupBy("class_id").agg(F.count("*").alias("truths"))
+    keys = ["threshold", "class_id"]
+    ap = _areas(matched_at(dets, truths, limits), have, keys)
+    every = have.select("class_id", F.explode(F.array(*[F.lit(t) for t in limits])).alias("threshold"))
+    return every.join(ap, keys, "left").groupBy("threshold").agg(F.count("*").alias("classes"), F.avg(F.coalesce("ap", F.lit(0.0))).alias("map"))
 
 
 def recall_by_size(hits: DataFrame, truths: DataFrame, images: DataFrame, conf: float, imgsz: int = 640) -> DataFrame:

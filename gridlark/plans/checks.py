@@ -196,14 +196,25 @@ def percentage_points(spark, d):
     return S.table(spark, d, "part").select("p_partkey", selection.points_apart(F.col("p_size") / F.lit(64.0), F.lit(0.25)).alias("points"))
 
 
-AP = """cnt AS (SELECT class_id, confidence, count(tj) AS tp, count(*) AS dets FROM fx_hit GROUP BY 1, 2), have AS (SELECT class_id, count(*) AS truths FROM fx_truth GROUP BY 1),
-curve AS (SELECT class_id, sum(tp) OVER w AS tp, sum(dets) OVER w AS dets FROM cnt WINDOW w AS (PARTITION BY class_id ORDER BY confidence DESC)),
-ap AS (SELECT h.class_id, avg(coalesce((SELECT max(c.tp / c.dets::DOUBLE) FROM curve c WHERE c.class_id = h.class_id AND 100 * c.tp >= r.p * h.truths), 0)) AS ap FROM have h, range(101) r(p) GROUP BY h.class_id)"""
-
-
-@register(f"SELECT * FROM (WITH {AP} SELECT 0.5::DOUBLE AS threshold, count(*) AS classes, round(avg(ap), 9) AS map FROM ap)", "fx_hit", "fx_truth")
+LIMITS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
+AT_LIMITS = f"""lim AS (SELECT unnest({LIMITS}::DOUBLE[]) AS threshold),
+turn_at AS (SELECT threshold, image_id, class_id, di, list(tj ORDER BY iou DESC, tj DESC) AS cands, row_number() OVER (PARTITION BY threshold, image_id, class_id ORDER BY confidence DESC, di) AS k
+  FROM fx_pair JOIN lim ON iou >= threshold GROUP BY threshold, image_id, class_id, di, confidence),
+step_at AS (SELECT threshold, image_id, class_id, 0::BIGINT AS k, NULL::INTEGER AS di, NULL::INTEGER AS tj, []::INTEGER[] AS used FROM (SELECT DISTINCT threshold, image_id, class_id FROM turn_at)
+  UNION ALL SELECT s.threshold, s.image_id, s.class_id, t.k, t.di, f.tj, CASE WHEN f.tj IS NULL THEN s.used ELSE list_append(s.used, f.tj) END
+  FROM step_at s JOIN turn_at t ON s.threshold = t.threshold AND s.image_id = t.image_id AND s.class_id = t.class_id AND t.k = s.k + 1,
+  LATERAL (SELECT list_filter(t.cands, lambda c: NOT list_contains(s.used, c))[1] AS tj) f),
+hit_at AS (SELECT l.threshold, d.image_id, d.class_id, d.di, d.confidence, s.tj FROM fx_det d CROSS JOIN lim l
+  LEFT JOIN step_at s ON d.image_id = s.image_id AND d.class_id = s.class_id AND d.di = s.di AND s.threshold = l.threshold),
+cnt AS (SELECT threshold, class_id, confidence, count(tj) AS tp, count(*) AS dets FROM hit_at GROUP BY 1, 2, 3), have AS (SELECT class_id, count(*) AS truths FROM fx_truth GROUP BY 1),
+curve AS (SELECT threshold, class_id, sum(tp) OVER w AS tp, sum(dets) OVER w AS dets FROM cnt WINDOW w AS (PARTITION BY threshold, class_id ORDER BY confidence DESC)),
+ap AS (SELECT threshold, class_id, sum(coalesce(best, 0)) / 101 AS ap FROM (SELECT l.threshold, h.class_id, r.p, max(c.tp / c.dets::DOUBLE) AS best FROM lim l CROSS JOIN have h CROSS JOIN range(101) r(p)
+  LEFT JOIN curve c ON c.threshold = l.threshold AND c.class_id = h.class_id AND 100 * c.tp >= r.p * h.truths GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+@register(f"SELECT * FROM (WITH RECURSIVE {AT_LIMITS} SELECT threshold, count(*) AS classes, round(avg(ap), 9) AS map FROM ap GROUP BY threshold)", "fx_pair")
 def mean_average_precision(spark, d):
-    return matching.mean_average_precision(S.detections(spark, d), S.truths(spark, d), [0.5]).withColumn("map", F.round("map", 9))
+    return matching.mean_average_precision(S.detections(spark, d), S.truths(spark, d), LIMITS).withColumn("map", F.round("map", 9))
 
 
 @register("""SELECT name, 0.4::DOUBLE AS conf, 'table' AS dataset_identity, true AS unchanged FROM (SELECT p_brand AS name, max(p_retailprice) AS m FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)""")

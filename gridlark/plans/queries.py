@@ -311,7 +311,7 @@ def tile_grid(spark, d):
 
 
 def _parts(spark, d):
-    return tiling.boxes_in_tiles(tile_grid(spark, d), S.boxes(spark, d).select("image_id", "idx", "class_id", "x1", "y1", "x2", "y2"))
+    return tiling.boxes_on_grid(S.box_images(spark, d), S.boxes(spark, d).select("image_id", "idx", "class_id", "x1", "y1", "x2", "y2"), 48, 0.25)
 
 
 @register(f"SELECT * FROM (WITH {GRID}, {PARTS} SELECT * FROM fx_part)", "fx_box", "fx_box_image")
@@ -336,7 +336,21 @@ def _hits(spark, d):
 
 @register("SELECT * FROM fx_pair WHERE iou > 0", "fx_pair")
 def iou_pairs(spark, d):
-    return matching.iou_pairs(S.detections(spark, d), S.truths(spark, d)).where("iou > 0")
+    return matching.iou_pairs(S.detections(spark, d), S.truths(spark, d))
+
+
+def _scenes(spark, d):
+    return S.scenes(S.detections(spark, d), "di"), S.scenes(S.truths(spark, d), "tj")
+
+
+@register("SELECT * FROM fx_scene_pair", "fx_scene_pair")
+def iou_pairs_dense(spark, d):
+    return matching.iou_pairs(*_scenes(spark, d))
+
+
+@register("SELECT * FROM fx_scene_hit", "fx_scene_hit")
+def greedy_match_dense(spark, d):
+    return matching.matched(*_scenes(spark, d))
 
 
 @register("SELECT * FROM fx_hit", "fx_hit")

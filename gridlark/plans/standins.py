@@ -50,6 +50,14 @@ def detections(spark, sf_dir) -> DataFrame:
     return b.select("image_id", F.col("idx").alias("di"), "class_id", conf.alias("confidence"), (F.col("x1") + shift).alias("x1"), "y1", (F.col("x2") + shift).alias("x2"), "y2")
 
 
+def scenes(rows: DataFrame, number: str) -> DataFrame:
+    """A hundred images side by side as one, which holds thousands of boxes."""
+    i = F.col("image_id")
+    right, down = 150 * (i % 10), 130 * (F.expr("image_id div 10") % 10)
+    moved = {"x1": F.col("x1") + right, "x2": F.col("x2") + right, "y1": F.col("y1") + down, "y2": F.col("y2") + down}
+    return rows.withColumns({number: ((i % 100) * 1000 + F.col(number)).cast("int"), **moved}).withColumn("image_id", F.expr("image_id div 100"))
+
+
 def box_images(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 10").alias("image_id"), F.lit(120).alias("width"), F.lit(100).alias("height")).distinct()
 
@@ -82,7 +90,18 @@ SQL = {
       LATERAL (SELECT list_filter(t.cands, lambda c: NOT list_contains(s.used, c))[1] AS tj) f""",
     "fx_hit": "SELECT d.image_id, d.class_id, d.di, d.confidence, s.tj FROM fx_det d LEFT JOIN fx_step s ON d.image_id = s.image_id AND d.class_id = s.class_id AND d.di = s.di",
 }
+_SCENE = """SELECT image_id // 100 AS image_id, ((image_id % 100) * 1000 + {0})::INTEGER AS {0}, class_id{1}, x1 + 150 * (image_id % 10) AS x1,
+  y1 + 130 * (image_id // 10 % 10) AS y1, x2 + 150 * (image_id % 10) AS x2, y2 + 130 * (image_id // 10 % 10) AS y2 FROM {2}"""
+SQL |= {"fx_scene_truth": _SCENE.format("tj", "", "fx_truth"), "fx_scene_det": _SCENE.format("di", ", confidence", "fx_det")}
+SQL["fx_scene_pair"] = SQL["fx_pair"].replace("fx_det", "fx_scene_det").replace("fx_truth", "fx_scene_truth") + "\n      WHERE i > 0"
+SQL["fx_scene_turn"] = SQL["fx_turn"].replace("fx_pair", "fx_scene_pair")
+SQL["fx_scene_step"] = SQL["fx_step"].replace("fx_step", "fx_scene_step").replace("fx_turn", "fx_scene_turn")
+SQL["fx_scene_hit"] = SQL["fx_hit"].replace("fx_det", "fx_scene_det").replace("fx_step", "fx_scene_step")
 _NEEDS = {"fx_truth": ["fx_box"], "fx_det": ["fx_box"], "fx_pair": ["fx_det", "fx_truth"], "fx_turn": ["fx_pair"], "fx_step": ["fx_turn"], "fx_hit": ["fx_det", "fx_step"]}
+_NEEDS |= {
+    "fx_scene_truth": ["fx_truth"], "fx_scene_det": ["fx_det"], "fx_scene_pair": ["fx_scene_det", "fx_scene_truth"], "fx_scene_turn": ["fx_scene_pair"],
+    "fx_scene_step": ["fx_scene_turn"], "fx_scene_hit": ["fx_scene_det", "fx_scene_step"],
+}
 
 
 def with_sql(body: str, *names: str) -> str:

@@ -155,3 +155,21 @@ def test_running_sums_and_percentiles(spark):
     assert [tuple(r) for r in percentiles(none, ["g"], "x", {"m": 0.5}, Scratch(spark, "t")).collect()] == [("a", None)]
     plan = running_sums(df, [], ["o"], ["v"], Scratch(spark, "t"))._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize(("tile", "overlap"), [(10, 0.0), (10, 0.35), (7, 0.5), (50, 0.1), (3, 0.9)])
+def test_tiles_of_a_box_by_arithmetic(spark, tile, overlap):
+    import random
+
+    rng = random.Random(9)
+    sizes = [(i, rng.randint(1, 60), rng.randint(1, 45)) for i in range(25)]
+    boxes = []
+    for i, w, h in sizes:
+        for k in range(12):
+            x, y = rng.choice([rng.uniform(-5, w), float(rng.randint(0, w))]), rng.choice([rng.uniform(-5, h), float(rng.randint(0, h))])
+            boxes.append((i, k, x, y, x + rng.choice([0.0, 0.5, 3.0, 10.0, 80.0]), y + rng.choice([0.25, 7.0, 20.0])))
+    imgs = spark.createDataFrame(sizes, "image_id long, width int, height int")
+    given = spark.createDataFrame(boxes, "image_id long, idx int, x1 double, y1 double, x2 double, y2 double")
+    want = tiling.boxes_in_tiles(tiling.tile_grid(imgs, tile, overlap), given)
+    got = tiling.boxes_on_grid(imgs, given, tile, overlap)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))

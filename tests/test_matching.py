@@ -151,3 +151,62 @@ def test_average_precision_equals_brute_force(spark):
     means = {r["threshold"]: (r["classes"], r["map"]) for r in M.mean_average_precision(d, t, [0.5, 0.75]).collect()}
     assert means == {x: (4, pytest.approx(sum(plain(x).values()) / 4)) for x in (0.5, 0.75)}
     assert M.average_precision(M.matched(d.limit(0), t), t).where("ap > 0").isEmpty() and M.average_precision(M.matched(d, t), t.limit(0)).isEmpty()
+
+
+def crowd(seed, n, spread, classes=2):
+    """One image full of boxes, many of them stacked."""
+    rng = random.Random(seed)
+    spots = [(rng.uniform(-spread, spread), rng.uniform(-spread, spread)) for _ in range(n // 6)]
+
+    def box():
+        x, y = rng.choice(spots)
+        x, y, s = x + rng.randint(0, 3), y + rng.randint(0, 3), rng.choice([8.0, 10.0, 10.0, 200.0 if rng.random() < 0.01 else 9.0])
+        return x, y, x + s, y + s
+
+    truths = [(1, j, rng.randrange(classes), *box()) for j in range(n)]
+    dets = [(1, j, rng.randrange(classes), rng.choice([0.2, 0.5, 0.5, 0.7, 0.9]), *box()) for j in range(n)]
+    return dets, truths
+
+
+def test_grid_cells_lose_and_repeat_no_pair(spark):
+    dets, truths = crowd(4, 700, 90)
+    dets += [(1, 9001, 0, 0.5, 0.0, 0.0, 0.0, 5.0), (1, 9002, 0, 0.5, float("nan"), 0.0, 1.0, 5.0), (1, 9003, 0, 0.5, 0.0, 0.0, float("inf"), 5.0)]
+    d, t = spark.createDataFrame(dets, DET), spark.createDataFrame(truths, TRUTH)
+    for same in (True, False):
+        rows = M.iou_pairs(d, t, same, dense=100).collect()
+        got = {(r["di"], r["tj"]): r["iou"] for r in rows}
+        want = {(x[1], y[1]): v for x in dets[:700] for y in truths if (not same or x[2] == y[2]) and (v := plain_iou(x[4:], y[3:])) > 0}
+        assert len(rows) == len(got) == len(want) and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_dense_groups_settle_as_the_fold_does(spark):
+    dets, truths = crowd(5, 1500, 120)
+    d, t = spark.createDataFrame(dets, DET), spark.createDataFrame(truths, TRUTH)
+    want = plain_match(dets, truths, 0.4)
+    assert {r["di"]: r["tj"] for r in M.matched(d, t, 0.4, dense=50).collect()} == want
+    assert {r["di"]: r["tj"] for r in M.matched(d, t, 0.4, dense=10**6).collect()} == want
+    for limit in (0.4, 0.75):
+        for dense in (50, 10**6):
+            rows = M.matched_at(d, t, [0.75, 0.4], dense=dense).where(F.col("threshold") == limit).collect()
+            assert {r["di"]: r["tj"] for r in rows} == plain_match(dets, truths, limit)
+    for bad in (0.0, 1.5):
+        with pytest.raises(quality.ConstraintError):
+            M.matched(d, t, bad)
+
+
+def test_dense_image_of_50000_boxes(spark):
+    rng = random.Random(6)
+    truths = [(1, j, 0, x := rng.randrange(2000) * 5.0, y := rng.randrange(200) * 5.0, x + 10.0, y + 10.0) for j in range(25_000)]
+    dets = [(1, j, 0, rng.randrange(100) / 100, x := rng.randrange(2000) * 5.0 + 1, y := rng.randrange(200) * 5.0, x + 10.0, y + 10.0) for j in range(25_000)]
+    by_cell = {}
+    for q in truths:
+        by_cell.setdefault((int(q[3] // 10), int(q[4] // 10)), []).append(q)
+    free, want = set(range(len(truths))), {}
+    for q in sorted(dets, key=lambda q: (-q[3], q[1])):
+        cx, cy = int(q[4] // 10), int(q[5] // 10)
+        near = [x for i in (-1, 0, 1) for j in (-1, 0, 1) for x in by_cell.get((cx + i, cy + j), ()) if x[1] in free]
+        best = max(((plain_iou(q[4:], x[3:]), x[1]) for x in near), default=(0.0, None))
+        want[q[1]] = best[1] if best[0] >= 0.3 else None
+        free.discard(want[q[1]])
+    got = {r["di"]: r["tj"] for r in M.matched(spark.createDataFrame(dets, DET), spark.createDataFrame(truths, TRUTH), 0.3).collect()}
+    assert got == want
