@@ -24,43 +24,49 @@ from gridlark.scratch import Scratch
 
 CORNERS = ("x1", "y1", "x2", "y2")
 PARTS = 1024
-#: Boxes of an image, or detections of a class in it, from which they are taken apart.
+#: Truths of an image, or of a class in it, beyond which they are taken apart.
 DENSE = 512
 #: Rounds go on while one settles at least this share of the waiting detections.
 SETTLING = 1 / 8
 
 
-def _solid(boxes: DataFrame) -> DataFrame:
-    """Boxes that can overlap with anything."""
+def _is_solid() -> Column:
+    """Whether a box can overlap with anything."""
     corners = [F.col(c) for c in CORNERS]
     ok = has_area(*corners)
     for c in corners:
         ok = ok & finite(c)
-    return boxes.where(ok)
+    return ok
 
 
-def _grids(dets: DataFrame, truths: DataFrame, dense: int) -> DataFrame:
-    """``(image_id, edge_x, edge_y)`` of images with many boxes.
+def _grids(truths: DataFrame, dense: int) -> DataFrame | None:
+    """The grid of each image with many truths, none if there is no such image.
 
-    A cell is as wide and high as its image's boxes in the quadratic mean, so a
-    box touches a number of cells that is constant on average, and at most about
-    the image's number of boxes.
+    A cell is as wide and high as the truths in the quadratic mean, or as a share
+    of what they cover that gives no more cells than truths: so a truth touches a
+    number of cells that is constant on average.
     """
-    both = dets.select("image_id", *CORNERS).unionByName(truths.select("image_id", *CORNERS))
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    sized = both.groupBy("image_id").agg(F.count("*").alias("n"), F.sqrt(F.avg(w * w)).alias("edge_x"), F.sqrt(F.avg(h * h)).alias("edge_y"))
-    return sized.where(F.col("n") > dense).drop("n")
+    size = {"x": F.col("x2") - F.col("x1"), "y": F.col("y2") - F.col("y1")}
+    parts = [x for k, v in size.items() for x in (F.sqrt(F.avg(v * v)).alias(f"mean_{k}"), F.min(f"{k}1").alias(f"low_{k}"), F.max(f"{k}2").alias(f"high_{k}"))]
+    crowded = truths.groupBy("image_id").agg(F.count("*").alias("n"), *parts).where(F.col("n") > dense)
+    edge = [F.greatest(f"mean_{k}", (F.col(f"high_{k}") - F.col(f"low_{k}")) / F.sqrt("n")).alias(f"edge_{k}") for k in size]
+    if crowded.isEmpty():
+        return None
+    # written, so that a join knows its size and that of crowds is not computed for each side
+    return Scratch(truths.sparkSession, "grids").table(crowded.select("image_id", *edge, *[f"{e}_{k}" for k in size for e in ("low", "high")]), "grids")
 
 
-def _cell(at: Column, edge: str) -> Column:
-    return F.coalesce(F.floor(at / F.col(edge)), F.lit(0).cast("long"))
+def _cell(at: Column, axis: str) -> Column:
+    """The grid cell of a place; truths' first and last cells take what lies beyond them."""
+    inside = F.least(F.greatest(at, f"low_{axis}"), f"high_{axis}")
+    return F.coalesce(F.floor((inside - F.col(f"low_{axis}")) / F.col(f"edge_{axis}")), F.lit(0).cast("long"))
 
 
 def _in_cells(boxes: DataFrame, grids: DataFrame) -> DataFrame:
     """A row for each grid cell that a box touches; an image without a grid is one cell."""
     out = boxes.join(grids, "image_id", "left")
     for axis in ("x", "y"):
-        low, high = (_cell(F.col(f"{axis}{k}"), f"edge_{axis}") for k in (1, 2))
+        low, high = (_cell(F.col(f"{axis}{k}"), axis) for k in (1, 2))
         out = out.withColumn(f"cell_{axis}", F.explode(F.sequence(low, high)))
     return out
 
@@ -70,22 +76,34 @@ def iou_pairs(dets: DataFrame, truths: DataFrame, same_class: bool = True, dense
     they overlap with.
 
     Boxes without an area or with a corner that is not finite overlap with none.
-    Images with more than ``dense`` boxes are cut into grid cells; a pair is found
+    Images with more than ``dense`` truths are cut into grid cells; a pair is found
     in the cell of its intersection's first corner only, and what does not overlap
     is no row of the join.
     """
-    dets, truths = _solid(dets), _solid(truths)
-    grids = _grids(dets, truths, dense)
-    d = _in_cells(dets.select("image_id", "di", "class_id", "confidence", *CORNERS), grids)
-    t = _in_cells(truths.select("image_id", "tj", "class_id", *CORNERS), grids)
-    t = t.select(*[F.col(c).alias(f"t_{c}") for c in ("image_id", "tj", "class_id", "cell_x", "cell_y", *CORNERS)])
-    keys = ["image_id", "cell_x", "cell_y", *(["class_id"] if same_class else [])]
+    truths = truths.where(_is_solid())
+    return _pairs(dets.where(_is_solid()), truths, same_class, _grids(truths, dense))
+
+
+def _pairs(dets: DataFrame, truths: DataFrame, same_class: bool, grids: DataFrame | None, least: float = 0.0, how: str = "inner") -> DataFrame:
+    """``iou_pairs`` on given grids, of boxes that are solid, with an IoU of ``least`` or
+    more; ``how`` may keep detections without a pair where there are no grids."""
+    d = dets.select("image_id", "di", "class_id", "confidence", *CORNERS)
+    t = truths.select("image_id", "tj", "class_id", *CORNERS)
+    keys = ["image_id", *(["class_id"] if same_class else [])]
+    if grids is not None:
+        d, t, keys = _in_cells(d, grids), _in_cells(t, grids), [*keys, "cell_x", "cell_y"]
+    t = t.select(*[F.col(c).alias(f"t_{c}") for c in dict.fromkeys([*keys, "tj", *CORNERS])])
     on = [F.col(k) == F.col(f"t_{k}") for k in keys]
     for axis in ("x", "y"):
         on += [F.col(f"{axis}1") < F.col(f"t_{axis}2"), F.col(f"t_{axis}1") < F.col(f"{axis}2")]
-        on.append(_cell(F.greatest(f"{axis}1", f"t_{axis}1"), f"edge_{axis}") == F.col(f"cell_{axis}"))
+        if grids is not None:
+            on.append(_cell(F.greatest(f"{axis}1", f"t_{axis}1"), axis) == F.col(f"cell_{axis}"))
     overlap = iou(tuple(F.col(c) for c in CORNERS), tuple(F.col(f"t_{c}") for c in CORNERS))
-    return d.join(t, on).select("image_id", "class_id", "di", F.col("t_tj").alias("tj"), "confidence", overlap.alias("iou"))
+    if how != "inner":
+        on.append(_is_solid())
+    if least:
+        on.append(overlap >= least)
+    return d.join(t, on, how).select("image_id", "class_id", "di", F.col("t_tj").alias("tj"), "confidence", overlap.alias("iou"))
 
 
 GROUP = ["image_id", "class_id"]
@@ -96,55 +114,43 @@ def _turn() -> Column:
     return F.struct((-F.col("confidence")).alias("order"), "di")
 
 
-def _folded(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
-    """``(image_id, class_id, di, tjs)``: each group's detections in order, with the
-    truth taken at each threshold; one state a threshold, one pass."""
-    cands = F.sort_array(F.collect_list(F.struct("iou", "tj")), asc=False)
-    turns = pairs.groupBy(*GROUP, "di", "confidence").agg(cands.alias("cands"))
-    turns = turns.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("order"), "di", "cands"))).alias("dets"))
-    di, tj = (pairs.schema[c].dataType.simpleString() for c in ("di", "tj"))
-    limits = F.array(*[F.lit(float(t)) for t in thresholds])
-
-    def step(acc: Column, d: Column) -> Column:
-        def first_free(limit: Column, k: Column) -> Column:
-            return F.get(F.filter(d["cands"], lambda c: (c["iou"] >= limit) & ~F.array_contains(F.get(acc["used"], k), c["tj"])), 0)["tj"]
-
-        free = F.transform(limits, first_free)
-        used = F.zip_with(acc["used"], free, lambda u, f: F.when(f.isNotNull(), F.concat(u, F.array(f))).otherwise(u))
-        return F.struct(used.alias("used"), F.concat(acc["res"], F.array(F.struct(d["di"].alias("di"), free.alias("tjs")))).alias("res"))
-
-    zero = F.struct(F.array(*[F.array().cast(f"array<{tj}>")] * len(thresholds)).alias("used"), F.array().cast(f"array<struct<di:{di},tjs:array<{tj}>>>").alias("res"))
-    return turns.select(*GROUP, F.inline(F.aggregate("dets", zero, step)["res"]))
-
-
 def _in_turn(thresholds: list[float]):
-    """The same over sorted rows, one pair at a time."""
+    """Each detection with what it takes at each threshold, over sorted pairs, one at a time."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, di, used, got = None, None, [], None
+        group, now, used, got = None, None, [], []
         for batch in batches:
-            out = []
-            for image, cls, d, tj, overlap in zip(*(batch.column(c).to_pylist() for c in (*GROUP, "di", "tj", "iou")), strict=True):
-                if (image, cls) != group:
-                    group, di, used = (image, cls), None, [set() for _ in thresholds]
-                if d != di:
-                    di, got = d, [None] * len(thresholds)
-                for k, limit in enumerate(thresholds):
-                    if got[k] is None and overlap >= limit and tj not in used[k]:
-                        got[k] = tj
-                        used[k].add(tj)
-                        out.append((image, cls, d, k, tj))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            types = [batch.schema.field(c).type for c in (*GROUP, "di")] + [pa.int32(), batch.schema.field("tj").type]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [*GROUP, "di", "k", "tj"])
+            done = []
+            for image, cls, di, conf, tj, overlap in zip(*(batch.column(c).to_pylist() for c in (*GROUP, "di", "confidence", "tj", "iou")), strict=True):
+                if (image, cls) != group or (di, conf) != now:
+                    if now is not None:
+                        done.append((*group, *now, got))
+                    if (image, cls) != group:
+                        group, used = (image, cls), [set() for _ in thresholds]
+                    now, got = (di, conf), [None] * len(thresholds)
+                if tj is not None:
+                    for k, limit in enumerate(thresholds):
+                        if got[k] is None and overlap >= limit and tj not in used[k]:
+                            got[k] = tj
+                            used[k].add(tj)
+            kinds = batch.schema
+            yield _batch(done, kinds)
+        if now is not None:
+            yield _batch([(*group, *now, got)], kinds)
 
     return emit
 
 
+def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 5
+    types = [*[kinds.field(c).type for c in (*GROUP, "di", "confidence")], pa.list_(kinds.field("tj").type)]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [*GROUP, "di", "confidence", "tjs"])
+
+
 def _streamed(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
-    """``(image_id, class_id, di, k, tj)``: what is taken at each threshold's number;
-    a task keeps the taken truths of one group."""
-    schema = T.StructType([*[pairs.schema[c] for c in (*GROUP, "di")], T.StructField("k", T.IntegerType()), pairs.schema["tj"]])
+    """``(image_id, class_id, di, confidence, tjs)``: the truth taken at each threshold,
+    of every detection in ``pairs``; a task keeps the taken truths of one group."""
+    schema = T.StructType([*[pairs.schema[c] for c in (*GROUP, "di", "confidence")], T.StructField("tjs", T.ArrayType(pairs.schema["tj"].dataType))])
     order = [*GROUP, F.asc_nulls_first(-F.col("confidence")), "di", F.desc("iou"), F.desc("tj")]
     return pairs.repartition(*GROUP).sortWithinPartitions(*order).mapInArrow(_in_turn(thresholds), schema)
 
@@ -172,7 +178,7 @@ def _settled(pairs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
         if not rest:
             break
         if some < SETTLING * (some + rest):
-            out.append(_streamed(waiting, [threshold]).drop("k"))
+            out.append(_streamed(waiting, [threshold]).select(*GROUP, "di", F.get("tjs", 0).alias("tj")).where("tj is not null"))
             break
     taken = out[0]
     for more in out[1:]:
@@ -180,8 +186,8 @@ def _settled(pairs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     return taken
 
 
-def _dense_groups(dets: DataFrame, dense: int) -> DataFrame:
-    return dets.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > dense).select(*GROUP)
+def _dense_groups(truths: DataFrame, grids: DataFrame, dense: int) -> DataFrame:
+    return truths.join(grids, "image_id", "left_semi").groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > dense).select(*GROUP)
 
 
 def _above_zero(threshold: float) -> float:
@@ -195,35 +201,34 @@ def matched(dets: DataFrame, truths: DataFrame, threshold: float = 0.5, dense: i
     confidence, tj)``, ``tj`` null for a false positive.
 
     Only candidates that reach the threshold matter: a detection takes its best
-    free one, and one below the threshold is never taken.  Each (image, class)
-    folds its detections in order; one with more than ``dense`` is settled in rounds.
+    free one, and one below the threshold is never taken.  The sorted pairs of an
+    (image, class) are gone through once; one with more than ``dense`` truths is
+    settled in rounds before.
     """
-    threshold = _above_zero(threshold)
-    pairs = iou_pairs(dets, truths, dense=dense).where(F.col("iou") >= threshold)
-    folded = lambda p: _folded(p, [threshold]).select(*GROUP, "di", F.get("tjs", 0).alias("tj")).where("tj is not null")
-    large = _dense_groups(dets, dense)
-    if large.isEmpty():
-        taken = folded(pairs)
-    else:
-        settled = _settled(pairs.join(large, GROUP, "left_semi"), threshold, Scratch(dets.sparkSession, "settled"))
-        taken = folded(pairs.join(large, GROUP, "left_anti")).unionByName(settled)
-    return dets.select(*GROUP, "di", "confidence").join(taken, [*GROUP, "di"], "left")
+    threshold, truths = _above_zero(threshold), truths.where(_is_solid())
+    grids = _grids(truths, dense)
+    if grids is None:
+        return _streamed(_pairs(dets, truths, True, None, threshold, "left"), [threshold]).select(*GROUP, "di", "confidence", F.get("tjs", 0).alias("tj"))
+    pairs, large = _pairs(dets.where(_is_solid()), truths, True, grids, threshold), _dense_groups(truths, grids, dense)
+    settled = _settled(pairs.join(large, GROUP, "left_semi"), threshold, Scratch(dets.sparkSession, "settled"))
+    rest = _streamed(pairs.join(large, GROUP, "left_anti"), [threshold]).select(*GROUP, "di", F.get("tjs", 0).alias("tj"))
+    return dets.select(*GROUP, "di", "confidence").join(rest.unionByName(settled), [*GROUP, "di"], "left")
 
 
-def matched_at(dets: DataFrame, truths: DataFrame, thresholds: list[float], dense: int = DENSE) -> DataFrame:
+def matched_at(dets: DataFrame, truths: DataFrame, thresholds: list[float]) -> DataFrame:
     """``matched`` at several thresholds, as rows with ``threshold``, from one pass over the pairs."""
     limits = sorted({_above_zero(t) for t in thresholds})
     if not limits:
         raise ConstraintError("No IoU threshold")
-    pairs = iou_pairs(dets, truths, dense=dense).where(F.col("iou") >= limits[0])
-    each = lambda p: _folded(p, limits).select(*GROUP, "di", F.posexplode("tjs").alias("k", "tj")).where("tj is not null")
-    large = _dense_groups(dets, dense)
-    if large.isEmpty():
-        taken = each(pairs)
+    truths = truths.where(_is_solid())
+    grids = _grids(truths, DENSE)
+    if grids is None:
+        taken = _streamed(_pairs(dets, truths, True, None, limits[0], "left"), limits)
     else:
-        taken = each(pairs.join(large, GROUP, "left_anti")).unionByName(_streamed(pairs.join(large, GROUP, "left_semi"), limits))
-    numbers = F.posexplode(F.array(*[F.lit(t) for t in limits])).alias("k", "threshold")
-    return dets.select(*GROUP, "di", "confidence", numbers).join(taken, [*GROUP, "di", "k"], "left").drop("k")
+        found = _streamed(_pairs(dets.where(_is_solid()), truths, True, grids, limits[0]), limits).drop("confidence")
+        taken = dets.select(*GROUP, "di", "confidence").join(found, [*GROUP, "di"], "left")
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.get("tjs", k).alias("tj")) for k, t in enumerate(limits)])).alias("at")
+    return taken.select(*GROUP, "di", "confidence", each).select(*GROUP, "di", "confidence", "at.threshold", "at.tj")
 
 
 def per_image_counts(hits: DataFrame, truths: DataFrame, images: DataFrame, conf: float = 0.0) -> DataFrame:
@@ -333,8 +338,10 @@ def recall_by_size(hits: DataFrame, truths: DataFrame, images: DataFrame, conf:
 def fp_taxonomy(hits: DataFrame, dets: DataFrame, truths: DataFrame, conf: float, match_iou: float = 0.5) -> DataFrame:
     """False positives by their best overlap with any truth of the image; all bins."""
     wrong = hits.where((F.col("confidence") >= conf) & F.col("tj").isNull()).select("image_id", "di")
-    best = iou_pairs(dets.join(wrong, ["image_id", "di"], "left_semi"), truths, same_class=False).groupBy("image_id", "di").agg(F.max("iou").alias("iou"))
-    n = wrong.join(best, ["image_id", "di"], "left").groupBy(overlap_bin(F.coalesce("iou", F.lit(0.0)), match_iou).alias("overlap")).agg(F.count("*").alias("n"))
+    boxes = dets.select("image_id", "di", "class_id", "confidence", *CORNERS).join(wrong, ["image_id", "di"])
+    boxes = Scratch(hits.sparkSession, "wrong").table(boxes, "wrong")  # computed once, read for its pairs and for those without
+    best = iou_pairs(boxes, truths, same_class=False).groupBy("image_id", "di").agg(F.max("iou").alias("iou"))
+    n = boxes.join(best, ["image_id", "di"], "left").groupBy(overlap_bin(F.coalesce("iou", F.lit(0.0)), match_iou).alias("overlap")).agg(F.count("*").alias("n"))
     names = hits.sparkSession.createDataFrame([(x,) for x in ("overlap_lt_0.1", "overlap_0.1_to_match_iou", "duplicate_or_assignment_conflict")], "overlap string")
     return names.join(n, "overlap", "left").select("overlap", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
