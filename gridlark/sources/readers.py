@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark import schemas
 from gridlark.operators.quality import ConstraintError, assert_none, require_columns
+from gridlark.sources.coco import documents as coco_documents
 
 
 def coco(spark: SparkSession, path: str, strict: bool = True) -> dict[str, DataFrame]:
-    """``images``, ``annotations`` and ``categories`` of a COCO document.
+    """``images``, ``annotations`` and ``categories`` of COCO documents of any size.
 
     The strict form fails where one of the lists is absent.
     """
-    doc = spark.read.schema(schemas.COCO).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
-    lists = ("images", "annotations", "categories")
-    if strict:
-        assert_none(doc.where(" or ".join(f"{x} is null" for x in lists)).select(*[F.size(x).alias(x) for x in lists]), "A COCO document needs images, annotations and categories")
-    return {x: doc.select(F.inline(x)) for x in lists}
+    return coco_documents(spark, path, {"images": schemas.IMAGE, "annotations": schemas.ANNOTATION, "categories": schemas.CATEGORY}, strict)
 
 
 def groups(spark: SparkSession, path: str) -> DataFrame:
@@ -65,6 +64,20 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("path", *[F.expr(f"try_cast(t[{i}] as double)").alias(n) for i, n in enumerate(names)])
 
 
+def expected_labels(spark: SparkSession, path: str, stems: DataFrame) -> DataFrame:
+    """``labels`` of a folder that has one file ``<stem>.txt`` for each of ``stems``.
+
+    Files and names are compared before a line is read: a missing or an unlisted
+    file is an error that names it, never an image without objects.
+    """
+    # a scan skips empty files; the index that Spark has made of the folder does not
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).inputFiles()
+    listed = spark.createDataFrame([(unquote(f.rsplit("/", 1)[-1].removesuffix(".txt")),) for f in found], "stem string")
+    assert_none(listing_mismatch(stems.select("stem"), listed, "stem"), "Label files and manifest differ")
+    rows = labels(spark, path)
+    return rows.select(F.regexp_extract("path", r"([^/]*)\.txt$", 1).alias("stem"), *[c for c in rows.columns if c != "path"])
+
+
 def label_tally(spark: SparkSession, path: str) -> DataFrame:
     """Objects by class over a folder of label files."""
     first = F.get(F.split(F.trim("value"), r"\s+"), 0)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.operators.quality import ConstraintError
+from gridlark.sources.sinks import write_files
 
 
 def csv(df: DataFrame, path: str, columns: list[str]) -> None:
@@ -54,14 +55,9 @@ def label_text(labels: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def label_files(labels: DataFrame, images: DataFrame, path: str) -> None:
-    """Label texts, one folder per image stem."""
-    label_text(labels, images).repartition("stem").write.mode("errorifexists").partitionBy("stem").text(path)
-
-
-def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
-    """One row with the JSON of a COCO document of a subset that fits one file."""
-    parts = [df.agg(F.sort_array(F.collect_list(F.struct(*["id", *[c for c in df.columns if c != "id"]]))).alias(n)) for n, df in (("images", images), ("annotations", annotations), ("categories", categories))]
-    return parts[0].crossJoin(parts[1]).crossJoin(parts[2]).select(F.to_json(F.struct("images", "annotations", "categories")).alias("value"))  # single rows
+    """One text file for each image, ``<stem>.txt``, empty ones included."""
+    texts = label_text(labels, images)
+    write_files(texts.select(F.concat("stem", F.lit(".txt")).alias("name"), F.when(F.col("text") != "", F.concat("text", F.lit("\n"))).otherwise("").alias("text")), path)
 
 
 def detection_rows(predictions: DataFrame) -> DataFrame:

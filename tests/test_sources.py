@@ -9,6 +9,7 @@ from gridlark.operators.detector import detect
 from gridlark.operators.quality import ConstraintError
 from gridlark.sources import readers as R
 from gridlark.sources import writers as K
+from gridlark.sources.sinks import coco_file
 
 COCO = {
     "images": [{"id": i, "file_name": f"batch_1/{i}.jpg", "width": 12, "height": 8} for i in (1, 2)],
@@ -21,7 +22,7 @@ def test_coco_round_trip(spark, tmp_path):
     (tmp_path / "a.json").write_text("\ufeff" + json.dumps(COCO), encoding="utf-8")
     doc = R.coco(spark, str(tmp_path / "a.json"))
     assert doc["images"].count() == 2 and doc["annotations"].first()["bbox"] == [4, 2, 6, 4]
-    K.coco_document(doc["images"], doc["annotations"], doc["categories"]).write.text(str(tmp_path / "b"))
+    coco_file(doc["images"], doc["annotations"], doc["categories"], str(tmp_path / "b"))
     again = R.coco(spark, str(tmp_path / "b"))
     assert all(again[k].exceptAll(doc[k]).isEmpty() and doc[k].exceptAll(again[k]).isEmpty() for k in ("images", "categories"))
     (tmp_path / "c.json").write_text('{"images": []}')
@@ -51,9 +52,20 @@ def test_labels(spark, tmp_path):
     imgs = spark.createDataFrame([("a",), ("empty",)], "stem string")
     assert {r[0]: r[1] for r in K.label_text(lines, imgs).collect()} == {"a": "0 0.5 0.5 0.25 0.2\n1 0.1 0.1 0.1 0.1", "empty": ""}
     K.label_files(lines, imgs, str(tmp_path / "labels"))
-    back = R.labels(spark, str(tmp_path / "labels/stem=a"))
-    assert back.drop("path").exceptAll(labels.drop("stem").withColumn("class_id", F.col("class_id").cast("double"))).isEmpty() and back.count() == 2
-    assert {r[0]: r[1] for r in R.label_tally(spark, str(tmp_path / "labels/*")).collect()} == {"0": 1, "1": 1}
+    assert sorted(p.name for p in (tmp_path / "labels").iterdir() if not p.name.startswith(".")) == ["a.txt", "empty.txt"] and (tmp_path / "labels/empty.txt").read_text() == ""
+    back = R.expected_labels(spark, str(tmp_path / "labels"), imgs)
+    assert back.exceptAll(labels.withColumn("class_id", F.col("class_id").cast("double"))).isEmpty() and back.count() == 2
+    assert {r[0]: r[1] for r in R.label_tally(spark, str(tmp_path / "labels")).collect()} == {"0": 1, "1": 1}
+    for stems, name in (([("a",)], "empty"), ([("a",), ("empty",), ("gone",)], "gone")):
+        with pytest.raises(ConstraintError, match=name):
+            R.expected_labels(spark, str(tmp_path / "labels"), spark.createDataFrame(stems, "stem string"))
+    with pytest.raises(Exception, match="exists"):
+        K.label_files(lines, imgs, str(tmp_path / "labels"))
+    with pytest.raises(Exception, match="cannot be written"):
+        K.label_files(lines, imgs, "nowhere://a/b")
+    with pytest.raises(Exception, match="same file"):
+        K.label_files(lines, imgs.union(imgs), str(tmp_path / "twice"))
+    assert not [p for p in tmp_path.iterdir() if "_stage" in p.name or p.name == "twice"]
     (tmp_path / "bad.txt").write_text("0 1 1 1\n")
     with pytest.raises(ConstraintError):
         R.labels(spark, str(tmp_path / "bad.txt"))
@@ -83,3 +95,29 @@ def test_records(spark, tmp_path):
     assert R.epoch_history(spark, str(tmp_path / "h.csv")).columns == ["epoch", "metrics/mAP50-95(B)"]
     with pytest.raises(ConstraintError):
         R.one(spark.range(2), "row")
+
+
+ODD = ["plain", 'a "quoted" } { name', "back\\\\slash\\", "[x] {y} }}", "é } 字 \U0001f600", 'end\\"', "", "line\nbreak } \t"]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_documents_in_pieces(spark, tmp_path, indent):
+    images = [{"id": i, "file_name": ODD[i % len(ODD)] + str(i), "width": 12, "height": i, "extra": {"a": [{"b": "}"}], "c": [[1], ["{"]]}} for i in range(900)]
+    notes = [{"id": i, "image_id": i, "category_id": 1, "bbox": [1, 2.5, 3, 4], "segmentation": [[1, 2], [3, 4]]} for i in range(700)]
+    doc = {"info": {"year": 1, "by": [{"images": [{"id": 7}]}], "s": '"images": [ {'}, "tags": ["x{", "}"], "images": images, "licenses": [{"id": 5}], "version": 1.5, "annotations": notes, "none": [], "categories": []}
+    text = json.dumps(doc, indent=indent, ensure_ascii=False)
+    (tmp_path / "a.json").write_text(text + ("\n" if indent else ""), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = R.coco(spark, str(tmp_path / "a.json"))
+        assert spark.read.option("lineSep", "}").text(str(tmp_path / "a.json")).rdd.getNumPartitions() > 8
+        assert {(r["id"], r["file_name"], r["height"]) for r in got["images"].collect()} == {(x["id"], x["file_name"], x["height"]) for x in images}
+        assert got["images"].count() == 900 and got["annotations"].count() == 700 and got["categories"].count() == 0
+        assert got["annotations"].where("id = 3").first()["bbox"] == [1, 2.5, 3, 4] and got["annotations"].first()["segmentation"] == [[1, 2], [3, 4]]
+        for bad in (text[:-1], text[: len(text) // 2], "[]", "", text.replace('"categories"', '"other"'), text.replace('"id": 3,', '"id": "x",', 1)):
+            (tmp_path / "bad.json").write_text(bad, encoding="utf-8")
+            with pytest.raises(Exception):  # noqa: B017, PT011  a constraint, or Spark's error for a malformed element
+                R.coco(spark, str(tmp_path / "bad.json"))["images"].collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
