@@ -490,4 +490,4 @@ def histogram_bins(spark, d):
     return profile.histogram(S.table(spark, d, "part"), "p_retailprice", 25)
 
 
-from gridlark.plans import checks  # noqa: E402, F401  registers its queries, which use the above
+from gridlark.plans import checks, files  # noqa: E402, F401  they register their queries, which use the above
