@@ -1,5 +1,5 @@
 """Operators for preparing language-model training data, one module each.
 
-Nothing outside this subpackage imports it.  ``entry_queries`` registers the
-``opN_*`` queries and their SQL; the operators keep general interfaces.
+Nothing outside this subpackage imports it.  ``registry`` names the ``opN_*``
+queries and their SQL; the operators keep general interfaces.
 """

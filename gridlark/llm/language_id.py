@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 UNKNOWN = "und"
-LANGUAGES, DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE, PIECE, LEVEL = 128, 128, 110_000, 400, 6
+DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE, PIECE, LEVEL = 128, 110_000, 400, 6
+#: Up to ``SHARED`` languages each have a whole sample, more of them share as much; beyond ``LANGUAGES`` fitting is refused.
+SHARED, LANGUAGES = 128, 1024
 #: Of a long sampled text this many parts of this many characters, spread over all of it, may be learned.
 PARTS, PART = 8, 1_000
 _LETTER = regex.compile(r"\p{L}")
@@ -57,29 +59,35 @@ class Compressors:
 def learn(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, languages: int = LANGUAGES) -> dict[str, bytes]:
     """Dictionaries from ``(doc_id, text, lang)`` rows, null languages aside.
 
-    The fit is bounded: the ``languages`` that most rows have, at most
-    ``per_language`` documents of each, lowest id hashes first, and
-    ``BYTES_PER_LANGUAGE`` of their text.  A text gives all of itself or, if long,
-    ``PARTS`` parts from its start to its end; what short ones leave of the bytes goes to the
-    others' further parts.  Ids are chosen without their texts, so a hot language
-    costs no more; rows that repeat an id give one text.
+    Every language is learned.  The fit is bounded: at most ``per_language``
+    documents of each, lowest id hashes first, and ``BYTES_PER_LANGUAGE`` of their
+    text; more than ``SHARED`` languages share what ``SHARED`` of them may have, and
+    more than ``languages`` are an error, as a column of so many is no language.
+    A text gives all of itself or, if long, ``PARTS`` parts from its start to its
+    end; what short ones leave of the bytes goes to the others' further parts.
+    Ids are chosen without their texts, so a hot language costs no more; rows that
+    repeat an id give one text.
     """
     rows = docs.where("lang is not null and text is not null")
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    n_languages = len(rows.select("lang").distinct().limit(languages + 1).collect())
+    if n_languages > languages:
+        raise ValueError(f"More than {languages} languages to learn")
+    share = max(1, n_languages / SHARED)
+    per_language, most_bytes = max(1, int(per_language / share)), int(BYTES_PER_LANGUAGE / share)
     ranked = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(most.select("lang")), "lang").withColumn("k", ranked).where(F.col("k") <= per_language)
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", ranked).where(F.col("k") <= per_language)
     n = F.char_length("text")
     spread = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring("text", F.floor((n - PART) * i / (PARTS - 1)).cast("int") + 1, F.lit(PART)))
     some = docs.join(F.broadcast(ids.select("doc_id", "lang", "k")), ["doc_id", "lang"]).select("lang", "k", F.when(n <= PARTS * PART, F.array("text")).otherwise(spread).alias("parts"))
     some = some.groupBy("lang", "k").agg(F.min("parts").alias("parts"))
     of: dict[str, list[list[bytes]]] = {}
-    for lang, _, parts in sorted(map(tuple, some.collect())):  # at most 128 x 128 rows of 8,000 characters
+    for lang, _, parts in sorted(map(tuple, some.collect())):  # at most 128 x 128 rows of 8,000 characters, or one for each of 1,024 languages
         of.setdefault(lang, []).append([plain(x).encode("utf-8", "replace") for x in parts])
     samples = {}
     for lang, texts in of.items():
         turns = [t[k] for k in range(PARTS) for t in texts if k < len(t) and t[k].strip()]  # every text's first part, then the second ones
         if turns:
-            samples[lang] = b" ".join(turns)[:BYTES_PER_LANGUAGE]
+            samples[lang] = b" ".join(turns)[:most_bytes]
     return samples
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import time
 import unicodedata
@@ -460,11 +461,26 @@ def test_languages_by_brute_force(spark):
 
 
 def test_language_learning_is_bounded(spark):
-    """Marks stay, long texts are learned from all over, only frequent languages are."""
+    """Marks stay, long texts are learned from all over, every language is."""
     assert language_id.plain("हिन्दी, été 3_x!") == "हिन्दी été x "
     rows = [(i, f"a{i} " * 5 + "start " * 20_000 + "late " * 20_000, "xx") for i in range(3)] + [(10 + i, "kurz", "yy") for i in range(2)] + [(20, "seldom", "zz"), (21, None, "zz"), (22, "1 2", "qq"), (23, "1", "qq")]
-    got = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=3)
-    assert set(got) == {"xx", "yy"} and got["xx"].count(b"late") > 1000 < got["xx"].count(b"start") and got["yy"] == b"kurz kurz"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.learn(docs)
+    assert set(got) == {"xx", "yy", "zz"} and got["xx"].count(b"late") > 1000 < got["xx"].count(b"start") and got["yy"] == b"kurz kurz"
+    with pytest.raises(ValueError, match="More than 3 languages"):
+        language_id.learn(docs, languages=3)
+
+
+def test_a_language_is_learned_however_rare(spark):
+    """131 languages of own words each; the rarest has one document."""
+    rng = random.Random(1)
+    words = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for k in range(131)}
+    text = lambda k: " ".join(rng.choice(words[k]) for _ in range(120))
+    rows = [(200 * k + i, text(k), f"l{k:03d}") for k in range(130) for i in range(2)] + [(90_000, text(130), "rare")]
+    samples = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(samples) == 131 and all(len(x) <= language_id.BYTES_PER_LANGUAGE * 128 // 131 for x in samples.values())
+    fresh = spark.createDataFrame([(1, text(130)), (2, text(7)), (3, text(129))], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(fresh, samples).collect()} == {1: "rare", 2: "l007", 3: "l129"}
 
 
 def test_language_on_awkward_rows(spark, awkward, nothing):
