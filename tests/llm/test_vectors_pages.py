@@ -46,27 +46,41 @@ def vectors():
 def test_embedding_links_equal_brute_force(spark, vectors, monkeypatch, block):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors.items()], "vec_id long, embedding array<float>, node int, raw string")
-    got = embedding_dedup.projection_dedup(df, Scratch(spark, "t"), window=24).collect()
+    got = embedding_dedup.projection_dedup(df, Scratch(spark, "t")).collect()
     assert {r[0]: tuple(r)[1:] for r in got} == linked(vectors) and len(got) == len(vectors)
 
 
-@pytest.mark.parametrize("chunk", [1 << 25, 1 << 19])
-def test_embedding_links_in_a_dense_topic(spark, monkeypatch, chunk):
-    """Near pairs among many distinct vectors of one topic, further apart than any window."""
-    monkeypatch.setattr(embedding_dedup, "CHUNK_BYTES", chunk, raising=False)
-    rng, n, pairs = np.random.default_rng(5), 6000, 300
+@pytest.mark.parametrize(("n", "partitions"), [(6000, 3), (6000, 40), (50_000, 8)])
+def test_embedding_links_in_a_dense_topic(spark, n, partitions):
+    """Near pairs among many distinct vectors of one topic, all of them at a cosine of about 0.85."""
+    rng, pairs = np.random.default_rng(5), 300
     x = np.sqrt(0.85) * np.eye(64)[0] + np.sqrt(0.15 / 64) * rng.standard_normal((n, 64))
     x[n - pairs :] = x[:pairs] / np.linalg.norm(x[:pairs], axis=1)[:, None] + rng.standard_normal((pairs, 64)) * 0.31 / 8
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    near = u @ u.T >= 0.95
-    np.fill_diagonal(near, False)
-    component, same = np.arange(n), False
-    while not same:
-        least = np.minimum(component, np.where(near, component, n).min(axis=1))
-        component, same = least, (least == component).all()
+    near = {(i, n - pairs + i) for i in range(pairs) if u[i] @ u[n - pairs + i] >= 0.95}
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r[0]: (r[1], r[2]) for r in embedding_dedup.projection_dedup(df, Scratch(spark, "t")).collect()}
-    assert got == {i: (int(near[i].sum()), int(component[i])) for i in range(n)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r[0]: (r[1], r[2]) for r in embedding_dedup.projection_dedup(df, Scratch(spark, "t")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    found = sum(got[i][1] == got[j][1] for i, j in near)
+    assert len(got) == n and len(near) > 100 and found >= 0.9 * len(near)
+    members = {}
+    for i, (_, component) in got.items():
+        members.setdefault(component, []).append(i)
+    for them in members.values():  # every link counted within a component, none below the cosine
+        dots = u[them] @ u[them].T >= 0.95
+        np.fill_diagonal(dots, False)
+        assert dots.sum(axis=1).tolist() == [got[i][0] for i in them]
+
+
+def test_embedding_passes_find_what_is_not_equal(spark, vectors):
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    direction = {i: tuple((np.array(v, np.float64) / np.abs(v).max()).tolist()) for i, v in vectors.items() if linked(vectors)[i][0]}
+    got = {r[0]: r[1] for r in embedding_dedup.projection_dedup(df, Scratch(spark, "t"), passes=0).collect()}
+    assert got == {i: sum(direction[j] == direction[i] for j in direction if j != i) if i in direction else 0 for i in vectors}
 
 
 def test_embedding_empty_and_alone(spark):
