@@ -81,6 +81,7 @@ def scaled_polygon(polygon: Column, sx: Column, sy: Column) -> Column:
     return F.transform(polygon, lambda v, i: v * F.when(i % 2 == 0, sx).otherwise(sy))
 
 
+# The names and limits of the bins.
 def size_bin(side: Column) -> Column:
     return F.when(side < 8, "short_side_lt_8px").when(side < 16, "short_side_8_to_16px").otherwise("short_side_ge_16px")
 

@@ -20,11 +20,6 @@ def recall_or_null(found: Column, objects: Column) -> Column:
     return F.try_divide(found.cast("double"), objects.cast("double"))
 
 
-def points_apart(a: Column, b: Column) -> Column:
-    """Difference in percentage points."""
-    return (a - b) * 100
-
-
 def shown(x: Column, digits: int = 4) -> Column:
     """Rounded half to even, as reports show values."""
     return F.bround(x, digits)

@@ -50,7 +50,7 @@ def annotation_issues(annotations: DataFrame, images: DataFrame, categories: Dat
     number = F.coalesce(F.size("bbox") == 4, F.lit(False))
     for x in b:
         number = number & F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
-    issue = (
+    issue = (  # Fixed values: the names of the issues
         F.when(F.col("_w").isNull() | F.col("_c").isNull(), "unknown image or category")
         .when(~number, "invalid numeric bbox")
         .when((b[2] <= 0) | (b[3] <= 0) | (F.col("_w") <= 0) | (F.col("_h") <= 0), "nonpositive dimensions")
@@ -115,6 +115,13 @@ def validation_counters(images: DataFrame, annotations: DataFrame) -> DataFrame:
     return n.crossJoin(a)  # one row each
 
 
+def enough_images(images: DataFrame, least: int = 100) -> None:
+    """Refuse a selection with too few images for an experiment."""
+    n = images.limit(least).count()
+    if n < least:
+        raise ConstraintError(f"{n} images; an experiment needs at least {least}")
+
+
 def splits_lacking_classes(objects: DataFrame, classes: int) -> DataFrame:
     return objects.groupBy("split").agg(F.count_distinct("class_id").alias("n")).where(F.col("n") < classes)
 

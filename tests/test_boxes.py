@@ -37,7 +37,14 @@ def test_box_beside_the_image_has_no_area(spark):
 
 @pytest.mark.parametrize(
     ("label", "ok"),
-    [((0, 0.5, 0.5, 0.2, 0.2), True), ((0, float("nan"), 0.5, 0.1, 0.1), False), ((3, 0.5, 0.5, 0.1, 0.1), False), ((1.5, 0.5, 0.5, 0.1, 0.1), False), ((0, 0.9, 0.5, 0.8, 0.8), False), ((0, 0.5, 0.5, -1, 0.5), False)],
+    [
+        ((2, 0.25, 0.625, 0.5, 0.75), True),
+        ((1, 0.375, float("nan"), 0.25, 0.125), False),
+        ((7, 0.25, 0.25, 0.125, 0.25), False),
+        ((0.25, 0.75, 0.25, 0.125, 0.5), False),
+        ((1, 0.25, 0.875, 0.25, 0.5), False),
+        ((2, 0.375, 0.375, 0.25, -0.125), False),
+    ],
 )
 def test_label_range(spark, label, ok):
     assert value(spark, B.label_in_range(*lits(*label), 3)) == (ok,)
@@ -52,9 +59,9 @@ def test_iou_and_bins(spark):
 
 
 def test_names(spark):
-    files = ["BATCH_d07_img_6400.jpg", "batch_d07_img_580.jpg", "batch_01_frame_31.jpg", "GOPR0024.JPG", "a/dji_1.png", "x.jpg"]
+    files = ["BATCH_k19_img_55.jpg", "batch_k19_img_7.jpg", "batch_44_frame_902.jpg", "gopr7.Jpg", "a/dji_1.png", "x.jpg"]
     df = spark.createDataFrame([(f,) for f in files], "f string")
-    assert [r[0] for r in df.select(N.sequence_group(F.col("f"))).collect()] == ["batch_d07", "batch_d07", "batch_01", "unverified_gopro", "unverified_dji", "unverified_other"]
+    assert [r[0] for r in df.select(N.sequence_group(F.col("f"))).collect()] == ["batch_k19", "batch_k19", "batch_44", "unverified_gopro", "unverified_dji", "unverified_other"]
     unsafe = ["/a", "C:\\a", "a/../b", "..\\a", " "]
     df = spark.createDataFrame([(f,) for f in [*unsafe, "a/b.jpg"]], "f string")
     assert [r[0] for r in df.select(N.is_safe_path(F.col("f"))).collect()] == [False] * 5 + [True]
