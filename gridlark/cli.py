@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridlark.functions import boxes as B
 from gridlark.functions import names as N
-from gridlark.operators import curate, matching, profile, quality, selection, tiling
+from gridlark.operators import curate, matching, profile, quality, selection, tiling, trace
 from gridlark.session import session
 from gridlark.sources import readers, writers
 
@@ -113,6 +113,35 @@ def gate(spark: SparkSession, chosen: str, manifest: str) -> str:
     return row.first()["name"]
 
 
+def _chain(spark: SparkSession, selected: dict, manifest: str, report: str, weights: str) -> DataFrame:
+    """Digests of all that a final test rests on: manifest rows by split, selection by key, files by name."""
+    out = trace.leaves("dataset", readers.csv(spark, manifest), "split").unionByName(trace.record_leaf(spark, "selection", selected))
+    for part, path in (("report", report), ("weights", weights)):
+        found = readers.file_digests(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("path"), "sha256")
+        out = out.unionByName(trace.file_leaves(part, found))
+    return out
+
+
+def freeze(spark: SparkSession, runs: str, manifest: str, report: str, weights: str, output: str, conf: float, metric: str = "mAP50_95") -> None:
+    """The best run with its confidence, and digests of all that it rests on."""
+    best = selection.best_model(selection.renamed_metrics(spark.read.json(runs)), metric).withColumn("conf", F.lit(float(conf)))
+    writers.json_rows(best, f"{output}/selection")
+    writers.parquet(_chain(spark, readers.one(spark.read.json(f"{output}/selection"), "selection").asDict(), manifest, report, weights), f"{output}/leaves")
+
+
+def final_test(spark: SparkSession, chosen: str, manifest: str, report: str, weights: str, per_image: str, output: str, match_iou: float = 0.5) -> str:
+    """Scores of held-out records at the frozen confidence, if no link of the chain was changed."""
+    selected = readers.one(spark.read.json(f"{chosen}/selection"), "selection").asDict()
+    trace.assert_untampered(spark.read.parquet(f"{chosen}/leaves"), _chain(spark, selected, manifest, report, weights))
+    dets, truths, images = nested(readers.per_image(spark, per_image))
+    hits, conf = matching.matched(dets, truths, match_iou), selected["conf"]
+    writers.json_rows(matching.confidence_curve(hits, truths, [conf]), f"{output}/totals")
+    writers.json_rows(matching.class_scores(hits, truths, conf), f"{output}/classes")
+    writers.json_rows(matching.error_rows(hits, dets, truths, images, conf), f"{output}/per_image")
+    writers.json_rows(matching.fp_taxonomy(hits, dets, truths, conf, match_iou), f"{output}/false_positives")
+    return selected["name"]
+
+
 def latency(spark: SparkSession, samples: str, output: str, stages: list[str]) -> None:
     writers.json_rows(selection.stage_stats(spark.read.json(samples), stages), output)
 
@@ -137,6 +166,8 @@ COMMANDS = {
     analyze: [("--per-image", str), ("--images", str), ("--output", str), ("--conf", float), ("--match-iou", float, 0.5)],
     select: [("--runs", str), ("--manifest", str), ("--output", str), ("--conf", float), ("--metric", str, "mAP50_95")],
     gate: [("--chosen", str), ("--manifest", str)],
+    freeze: [("--runs", str), ("--manifest", str), ("--report", str), ("--weights", str), ("--output", str), ("--conf", float), ("--metric", str, "mAP50_95")],
+    final_test: [("--chosen", str), ("--manifest", str), ("--report", str), ("--weights", str), ("--per-image", str), ("--output", str), ("--match-iou", float, 0.5)],
     latency: [("--samples", str), ("--output", str), ("--stages", str, ["wall_ms"])],
     summarize: [("--runs", str), ("--output", str), ("--same", str, ["seed"])],
     verify: [("--manifest", str), ("--reference", str)],

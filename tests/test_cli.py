@@ -89,3 +89,26 @@ def test_select_and_gate(spark, tmp_path):
     spark.read.json(chosen).withColumn("conf", F.lit(0.3)).write.json(str(tmp_path / "changed"))
     with pytest.raises(ConstraintError, match="changed"):
         cli.gate(spark, str(tmp_path / "changed"), str(tmp_path / "m.csv"))
+
+
+def test_final_test_scores_behind_the_chain(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "runs.json").write_text('{"name": "a", "mAP50_95": 0.3}\n{"name": "b", "mAP50_95": 0.5}\n')
+    (tmp_path / "m.csv").write_text("image_id,split\n1,train\n2,val\n3,test\n")
+    for folder, text in (("report", "scores"), ("weights", "numbers")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / f"{folder}.txt").write_text(text)
+    box = [0.0, 0.0, 10.0, 10.0]
+    found = [{"class_id": 0, "class_name": "bag", "confidence": c, "xyxy": box} for c in (0.8, 0.1)]
+    (tmp_path / "rows.json").write_text(json.dumps([{"image": "t", "tp": 0, "fp": 0, "fn": 0, "detections": found, "truth": [{"class_id": 0, "xyxy": box}]}]))
+    given = ["--manifest", at("m.csv"), "--report", at("report"), "--weights", at("weights")]
+    cli.main(["freeze", "--runs", at("runs.json"), "--conf", "0.25", "--output", at("frozen"), *given])
+    run = lambda out: cli.main(["final_test", "--chosen", at("frozen"), "--per-image", at("rows.json"), "--output", at(out), *given])
+    run("out")
+    assert (r := spark.read.json(at("out/totals")).first()) and (r["conf"], r["tp"], r["fp"], r["fn"]) == (0.25, 1, 0, 0)
+    for name, text, link in (("m.csv", "image_id,split\n1,train\n2,val\n9,test\n", "dataset/test"), ("report/report.txt", "other", "report/report.txt"), ("weights/weights.txt", "other", "weights/weights.txt")):
+        before = (tmp_path / name).read_text()
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ConstraintError, match=link):
+            run("again")
+        (tmp_path / name).write_text(before)
