@@ -194,6 +194,19 @@ def training_order(docs: DataFrame, scratch: Scratch, tokenizer: str = TOKENIZER
     return _placed(numbered, total, per_shard, key, range(_shards(total, per_shard)))
 
 
+#: Hadoop's names of stores that pyarrow knows by another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder of shards and the folder in it; one that pyarrow has none for is an error."""
+    scheme, sep, rest = path.partition("://")
+    try:
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if sep else path)
+    except (pa.ArrowInvalid, NotImplementedError) as e:
+        raise ValueError(f"Shards cannot be written to or read from {path}: name another folder by `to` or spark.checkpoint.dir ({e})") from None
+
+
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
@@ -211,7 +224,7 @@ def write_shards(ordered: DataFrame, to: str) -> DataFrame:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(to)
+        system, base = store(to)
         system.create_dir(base, recursive=True)
         shard, out, part = None, None, f"{base}/.{uuid.uuid4().hex}"
 
@@ -242,17 +255,23 @@ def materialise(docs: DataFrame, scratch: Scratch, to: str | None = None, tokeni
     Rows are treated as by ``training_order``; an empty table writes no shard.  A
     ``manifest.json`` beside the shards says how to read them.  Shards are written in
     ``waves``, ranges of them: each reads all sequences and shuffles its own, so that
-    the disk holds the shuffle files of one wave beside the shards.
+    the disk holds the shuffle files of one wave beside the shards.  A folder on a
+    store that shards cannot be written to, or one that holds further shards of
+    another run, is an error before any is written.
     """
     to = to or f"{scratch.root}/shards"
+    system, base = store(to)
     numbered, total = _numbered(docs, scratch, tokenizer, seq_len)
     n = _shards(total, per_shard)
+    there = system.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    stale = [f.base_name for f in there if f.base_name.startswith("shard-") and f.base_name >= shard_name(n if total else 0)]
+    if stale:
+        raise ValueError(f"{to} holds shards of another run: {sorted(stale)[:3]}")
     waves = min(waves, n)
     cuts = [n * i // waves for i in range(waves + 1)]
     parts = [scratch.table(write_shards(_placed(numbered, total, per_shard, key, range(a, b)), to), f"index-{a}") for a, b in zip(cuts, cuts[1:], strict=False)]
     index = reduce(DataFrame.unionByName, parts)
     scratch.drop("sequences", "parts")
-    system, base = fs.FileSystem.from_uri(to)
     system.create_dir(base, recursive=True)
     facts = {"sequences": total, "seq_len": seq_len, "per_shard": per_shard, "type": id_type(encoding(tokenizer)[1]).str, "key": key}
     with system.open_output_stream(f"{base}/manifest.json") as f:
@@ -263,7 +282,7 @@ def materialise(docs: DataFrame, scratch: Scratch, to: str | None = None, tokeni
 def read_sequences(at: str, start: int, count: int) -> np.ndarray:
     """``count`` sequences, or as many as there are, from slot ``start`` on, read
     sequentially from the shards."""
-    system, base = fs.FileSystem.from_uri(at)
+    system, base = store(at)
     with system.open_input_stream(f"{base}/manifest.json") as f:
         facts = json.loads(f.read())
     seq_len, per_shard, kind = facts["seq_len"], facts["per_shard"], np.dtype(facts["type"])

@@ -492,3 +492,16 @@ def test_language_on_awkward_rows(spark, awkward, nothing):
     assert {r["lang_pred"] for r in language_id.identify(two, samples, min_margin=9.0).collect()} == {"und"}
     assert language_id.identify(nothing, samples).count() == 0 and language_id.learn(nothing) == {}
     assert {r["lang_pred"] for r in language_id.identify(two, {}).collect()} == {"und"}
+
+
+def test_shards_go_where_they_can_be_written(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some text of document {i} " * 40) for i in range(40)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="cannot be written"):
+        token_order.materialise(docs, Scratch(spark, "t"), to="nowhere://bucket/shards")
+    assert token_order.store("s3a://bucket/shards?region=us-east-1")[1] == "bucket/shards"  # a region, so that none is looked up
+    to = f"file://{tmp_path}/shards"
+    token_order.materialise(docs, Scratch(spark, "t"), to=to, seq_len=16, per_shard=20)
+    token_order.materialise(docs, Scratch(spark, "t"), to=to, seq_len=16, per_shard=20)
+    assert len(list((tmp_path / "shards").glob("shard-*"))) > 2
+    with pytest.raises(ValueError, match="another run"):
+        token_order.materialise(docs.limit(3), Scratch(spark, "t"), to=to, seq_len=16, per_shard=20)
