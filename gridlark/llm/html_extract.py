@@ -1,8 +1,11 @@
 """HTML main text by consensus paths of a host.
 
-A page is scanned once: elements that are boilerplate by tag, role or a whole class
-or id are dropped, and so are forms and elements with a class or id that says so in
-part, unless they hold the page's text, in which case it is scanned again with them.
+A page is scanned once: elements that are boilerplate by tag or role and readers'
+comments are dropped.  So are forms and elements with a class or id that says so in
+part, unless they hold the page's text; elements with such a class or id as a whole,
+unless they hold the page's only article; and sections of an article with such an id,
+unless they have a heading and text of their own.  Where one stays, the page is scanned
+again with it.
 The rest of its text is kept with the spans of its containers, each
 under a generalised path of tags and classes (digits made alike).  A page
 proposes the tightest container outside of which it has no prose, heading or loose
@@ -40,19 +43,28 @@ DROPPED_TAGS = frozenset(
     "head script style title textarea xmp iframe noembed noframes noscript template nav header footer aside button select option menu dialog svg canvas object "
     "audio video map input".split()
 )
-#: Elements with such a class or id, as a whole, are dropped.
+#: Elements with such a class or id, as a whole, are dropped unless they hold the only article.
 DROPPED_WORDS = frozenset(
     "ad ads adbox adsbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead "
     "topbar footer sidebar sidebars rail widget widgets comment comments commentlist disqus reply replies respond discussion cookie cookies cookiebar consent gdpr notice notices alert popup "
     "modal overlay newsletter subscribe subscription signup signin login share sharing sharebar social related recommended recommendations trending pagination pager toolbar skip copyright "
     "search searchbox form hidden".split()
 )
+#: Of these, what readers write; it never stays for its size.
+READERS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+#: Of these, what a section of an article may be about, by its id.
+TOPICS = frozenset("discussion search menu menus notice notices form consent alert navigation sponsor".split())
+#: Of these, what a heading may be called.
+TITLES = frozenset("header masthead banner".split())
+#: Elements that an article ends where they are left open.
+LEFT_OPEN = frozenset("nav header footer aside menu dialog".split())
 #: Of a class or id in parts, those after which a part says what else is on the page.
 BESIDE = frozenset("with has no without hide show toggle is not".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 KEPT_WORDS = frozenset("article post entry story content main".split())
 CONTAINERS = frozenset("body div section article main table tbody tr td center blockquote figure ul ol dl span".split())
 
+_COMMENT_END = re.compile(r"--!?>")
 _OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?/a-zA-Z])")
 _INSIDE = re.compile(r"""(?:[^>"']|"[^"]*+"|'[^']*+')*+>""", re.S)
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*+")
@@ -61,6 +73,9 @@ _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: PROSE: words without a link or block between them; fewer in a container of their own are a label.
 HOLDS, PROSE = 0.8, 3
+#: What a doubtful element holds; a wrapper of the article has OUTWEIGHS times the prose of articles outside.
+ARTICLE, MAIN, TITLE, HEADING, OTHERS = 1, 2, 4, 8, 16
+OUTWEIGHS = 4
 
 
 def host_of(url) -> F.Column:
@@ -72,9 +87,20 @@ def _attributes(raw: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw.strip(" /\n") else {}
 
 
-def boilerplate(tag: str, attrs: dict[str, str]) -> str | None:
-    """``"sure"`` for elements that are never the article, ``"maybe"`` for those that
-    may yet hold it: forms, and classes and ids that only in part say so."""
+def _is_own(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether an element says that it is the article."""
+    return tag in ("article", "main") or any(x.lower() in KEPT_WORDS for x in _names(attrs))
+
+
+def _names(attrs: dict[str, str]) -> list[str]:
+    return f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+
+
+def boilerplate(tag: str, attrs: dict[str, str], inside: bool = False) -> str | None:
+    """``"sure"`` for elements that are never the article, and for those that may yet
+    hold it: ``"maybe"`` for forms, and classes and ids that only in part say so,
+    ``"class"`` for whole ones, ``"readers"`` for those of comments, ``"section"`` for a
+    section ``inside`` an article whose id may be its topic."""
     if tag in DROPPED_TAGS:
         return "sure"
     if tag in ("html", "body"):
@@ -83,15 +109,21 @@ def boilerplate(tag: str, attrs: dict[str, str]) -> str | None:
         return "sure"
     if re.search(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", attrs.get("style", ""), re.I):
         return "sure"
-    tokens = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
-    mine = tag in ("article", "main") or any(x.lower() in KEPT_WORDS for x in tokens)
-    if any(x.lower() in DROPPED_WORDS for x in tokens):
-        return "maybe" if mine else "sure"
-    for x in tokens if not mine else ():
+    tokens, harmless = _names(attrs), TITLES if tag in HEADINGS else frozenset()
+    whole = {x.lower() for x in tokens} & DROPPED_WORDS - harmless
+    if whole:
+        if any(x.lower() in KEPT_WORDS for x in tokens):
+            return "maybe"
+        if tag == "section" and inside and whole <= TOPICS and not whole & set(attrs.get("class", "").lower().split()):
+            return "section"
+        if whole & READERS:
+            return "readers" if tag in ("article", "main") else "sure"
+        return "maybe" if tag in ("article", "main") else "class"
+    for x in tokens if not _is_own(tag, attrs) else ():
         parts = [p.lower() for p in _PARTS.findall(x)]
         for k, p in enumerate(parts):
-            if p in DROPPED_WORDS and not BESIDE & set(parts[:k]) and not (p == "header" and KEPT_WORDS & set(parts)):
-                return "maybe"
+            if p in DROPPED_WORDS - harmless and not BESIDE & set(parts[:k]) and not (p == "header" and KEPT_WORDS & set(parts)):
+                return "readers" if p in READERS else "maybe"
     return "maybe" if tag == "form" or attrs.get("role", "").lower() == "form" else None
 
 
@@ -106,6 +138,7 @@ class Page:
 
     def __init__(self, source: str):
         self.stays: frozenset[int] = frozenset()
+        self.source, self.balance = source, {}
         self._read(source)
         if stays := self._staying():
             self.stays = frozenset(stays)
@@ -123,14 +156,15 @@ class Page:
         self.parts: list[str] = []
         self.size = self.linked = self.plain = self.prose = 0
         self.run = self.headings = 0  # unlinked words since the last block; open headings
-        # open elements: tag, container number or -1, whether it starts a dropped subtree, number of a doubtful one or -1
-        self.open: list[tuple[str, int, bool, int]] = []
+        # open elements: tag, container number or -1, whether it starts a dropped subtree, number of a doubtful one or -1, whether it is an article
+        self.open: list[tuple[str, int, bool, int, bool]] = []
         self.places: dict[str, list[int]] = {}  # where each tag is open
         self.blocks: list[int] = []  # where blocks other than p are
         self.nodes: list[list] = []  # hash of path, tag, parent, start, end, linked chars, unlinked words, those of prose, step
         self.inside: list[int] = []
-        self.doubtful: list[list] = []  # of each element that is maybe boilerplate: the one around it, its prose outside others, whether it holds an article
+        self.doubtful: list[list] = []  # of each element that is maybe boilerplate: the one around it, its prose outside others, what it holds, why
         self.doubts: list[int] = []  # the open ones
+        self.own = self.own_prose = 0  # open articles; prose in them
         self.dropped = self.links = 0
         self.pending = False  # white space due before the next text
         self._scan(source)
@@ -140,27 +174,35 @@ class Page:
     def _staying(self) -> list[int]:
         """Doubtful elements that are no boilerplate: the largest of those side by
         side where without them no prose is left, or where it has an article or
-        heading and more prose than all else; then the same inside it."""
+        heading and more prose than all else; then the same inside it.  Of whole
+        classes only what wraps the article, of readers' only what wraps the page is in
+        question.  Sections stay by themselves."""
+        whole, holds, why = [d[1] for d in self.doubtful], [d[2] for d in self.doubtful], [d[3] for d in self.doubtful]
         below: dict[int, list[int]] = {}
-        for k, (around, _, _) in enumerate(self.doubtful):
-            below.setdefault(around, []).append(k)
-        whole, holds = [d[1] for d in self.doubtful], [d[2] for d in self.doubtful]
         for k in range(len(self.doubtful) - 1, -1, -1):
-            if (around := self.doubtful[k][0]) >= 0:
-                whole[around] += whole[k]
-                holds[around] |= holds[k]
+            around = self.doubtful[k][0]
+            wraps = {"class": holds[k] & (ARTICLE | MAIN) and whole[k] > OUTWEIGHS * self.own_prose, "readers": holds[k] & (MAIN | TITLE), "section": False}.get(why[k], True)
+            if wraps:
+                below.setdefault(around, []).insert(0, k)
+            if around >= 0:
+                whole[around] += whole[k] if wraps else 0
+                holds[around] |= holds[k] if wraps else holds[k] & OTHERS
         left, beside, out = self.prose, list(below.get(-1, [])), []
         rest = sum(whole[k] for k in beside)
         while beside:
             best = max(beside, key=lambda k: (whole[k], -k))
-            if not whole[best] or (left and not (holds[best] and whole[best] > left + rest - whole[best])):
+            if not whole[best] or (left and not (holds[best] & (ARTICLE | MAIN | TITLE) and whole[best] > left + rest - whole[best])):
                 break
             out.append(best)
             beside.remove(best)
             beside += below.get(best, [])
             left += self.doubtful[best][1]
             rest -= self.doubtful[best][1]
-        return out
+        stays = set(out)
+        for k, (around, prose, _, reason) in enumerate(self.doubtful):
+            if reason == "section" and prose and holds[k] & HEADING and not holds[k] & OTHERS and (around < 0 or around in stays):
+                stays.add(k)
+        return sorted(stays)
 
     def _scan(self, source: str) -> None:
         """Tags by one look ahead each; a tag that the page's end cuts off goes with all after it."""
@@ -168,9 +210,13 @@ class Page:
         while m := _OPEN.search(source, at):
             start, mark = m.start(), m.group()
             self._text(source[at:start])
-            if mark in ("<!--", "<![CDATA["):
-                end = source.find("-->" if mark == "<!--" else "]]>", m.end())
-                at = len(source) if end < 0 else end + 3
+            if mark == "<!--":  # "<!-->" and "<!--->" are whole comments
+                short = next((n for x, n in ((">", 1), ("->", 2)) if source.startswith(x, m.end())), 0)
+                end = None if short else _COMMENT_END.search(source, m.end())
+                at = m.end() + short if short else end.end() if end else len(source)
+                continue
+            if mark == "<![CDATA[":  # in HTML a comment up to the next ">"
+                at = source.find(">", m.end()) + 1 or len(source)
                 continue
             if start > last:
                 return
@@ -222,9 +268,13 @@ class Page:
             self.plain += n
             if self.headings or self.run >= PROSE:
                 self.prose += n
+                self.own_prose += n if self.own else 0
         self.pending = value[-1].isspace()
 
     def _start(self, tag: str, raw: str) -> None:
+        if self.dropped and tag in ("article", "main") and self._left_open(self.open[self.dropping][0]):
+            while len(self.open) > self.dropping:
+                self._pop()
         if tag in BLOCK:
             self.pending = True
             self.run = 0
@@ -234,22 +284,25 @@ class Page:
             self._implied(tag)
         if tag in VOID:
             return
-        drop, doubt, number, verdict = False, -1, -1, None
+        drop, doubt, number, verdict, own = False, -1, -1, None, False
         if not self.dropped:
             attrs = _attributes(raw)
-            verdict = boilerplate(tag, attrs)
+            verdict = boilerplate(tag, attrs, self.own > 0)
             drop = verdict == "sure"
-            if verdict == "maybe":
+            if self.doubts:
+                found = {"article": ARTICLE, "main": MAIN, "h1": TITLE | HEADING}.get(tag, HEADING if tag in HEADINGS else 0) if verdict is None else 0
+                others = verdict == "readers" or tag == "form" or (drop and not READERS.isdisjoint(x.lower() for x in _names(attrs)))
+                self.doubtful[self.doubts[-1]][2] |= found | (OTHERS if others else 0)
+            if verdict and not drop:
                 doubt = len(self.doubtful)
-                self.doubtful.append([self.doubts[-1] if self.doubts else -1, 0, False])
+                self.doubtful.append([self.doubts[-1] if self.doubts else -1, 0, 0, verdict])
                 if doubt in self.stays:
                     doubt = -1
             if doubt >= 0:
                 self.doubts.append(doubt)
-            if self.doubts and verdict is None and tag in ("article", "main", "h1"):
-                self.doubtful[self.doubts[-1]][2] = True
+            own = not drop and doubt < 0 and _is_own(tag, attrs)
         if drop:
-            self.dropped = 1
+            self.dropped, self.dropping = 1, len(self.open)
         elif not self.dropped and not self.doubts and tag in CONTAINERS:
             parent = self.inside[-1] if self.inside else -1
             step = step_of(tag, attrs)
@@ -263,7 +316,16 @@ class Page:
         self.places.setdefault(tag, []).append(len(self.open))
         if tag in BLOCK and tag != "p":
             self.blocks.append(len(self.open))
-        self.open.append((tag, number, drop, doubt))
+        self.own += own
+        self.open.append((tag, number, drop, doubt, own))
+
+    def _left_open(self, tag: str) -> bool:
+        """Whether the page opens such elements more often than it closes them."""
+        if tag not in LEFT_OPEN:
+            return False
+        if tag not in self.balance:
+            self.balance[tag] = sum(-1 if m[1] else 1 for m in re.finditer(rf"<(/?){tag}(?![a-zA-Z0-9:-])", self.source, re.I))
+        return self.balance[tag] > 0
 
     def _last(self, *tags: str) -> int:
         """The place of the last of these tags that is open, or -1."""
@@ -285,7 +347,8 @@ class Page:
                 self._pop()
 
     def _pop(self) -> None:
-        tag, number, drop, doubt = self.open.pop()
+        tag, number, drop, doubt, own = self.open.pop()
+        self.own -= own
         self.headings -= tag in HEADINGS
         self.places[tag].pop()
         if tag in BLOCK and tag != "p":

@@ -169,6 +169,33 @@ def test_classes_that_say_so_in_part():
     assert page_text("<body><div class=sidebar>Words of a page that is nothing else</div>") == ""
 
 
+MORE = "Some words on what readers had to say, which are many more than the article has, and go on and on for as long as it takes. "
+EVERYDAY = {
+    "widget around the article": (f"<body><div class='widget'><article><p>{TEXT}</p></article></div><div class=footer>All about this site, in words</div>", "{}"),
+    "a restaurant's menu": (f"<body><div id='menu'><main><h1>Our menu</h1><p>{TEXT}</p></main></div>", "Our menu {}"),
+    "wrapper in a wrapper": (f"<body><div class='layout-sidebar'><div class='banner'><article><p>{TEXT}</p></article></div></div>", "{}"),
+    "teasers in a sidebar": (f"<body><div class=post><p>{TEXT}</p></div><div class=sidebar><article><p>{MORE}</p></article><article><p>{MORE}</p></article></div>", "{}"),
+    "a paper's sections": (f"<body><article><p>{TEXT}</p><section id='discussion'><h2>Discussion</h2><p>We find this and that.</p></section><section id=search><h2>Search</h2><p>How we looked for it.</p></section></article>", "{} Discussion We find this and that. Search How we looked for it."),
+    "readers' discussion": (f"<body><article><p>{TEXT}</p><section id='discussion'><h2>Discussion</h2><div class=comment><p>{MORE}</p></div></section></article>", "{}"),
+    "a search box": (f"<body><article><p>{TEXT}</p><section id='search'><h2>Search</h2><p>Look for other things here.</p><form><input></form></section></article>", "{}"),
+    "title called header": (f"<body><div class='post'><h1 class='header'>A title</h1><p>{TEXT}</p></div>", "A title {}"),
+    "nav left open": (f"<body><nav><a href=/>Home</a><ul><li>One of many<article><p>{TEXT}</p></article><footer>foot</footer>", "{}"),
+    "nav with an article in it": (f"<body><nav><article>A teaser of some words</article></nav><article><p>{TEXT}</p></article>", "{}"),
+    "empty comments": (f"<body><article><!--><p>{TEXT}</p><!---><p>One.</p><!-- x --!><p>Two.</p><!-- a > b --></article>", "{} One. Two."),
+    "cdata": (f"<body><article><![CDATA[ x ]><p>{TEXT}</p></article>", "{}"),
+    "cdata, closed": (f"<body><article><![CDATA[ x ]]><p>{TEXT}</p></article>", "{}"),
+    "comments as articles": (f"<body><div class=post><p>{TEXT}</p></div><div class='comments-section'><article><p>{MORE}</p></article><article><p>{MORE}</p></article></div>", "{}"),
+    "a theme with comments": (f"<body><div class='comments-enabled'><h1>Title</h1><p>{TEXT}</p></div>", "Title {}"),
+    "a notice only": ("<body><div class='notice'>This page has gone to another place</div>", ""),
+}
+
+
+@pytest.mark.parametrize("name", EVERYDAY)
+def test_everyday_pages(name):
+    page, want = EVERYDAY[name]
+    assert page_text(page) == want.format(html_extract.html.unescape(TEXT))
+
+
 def test_scanner_is_linear():
     """Tags that never end, quotes that never close and long runs of white space."""
     start = time.perf_counter()
