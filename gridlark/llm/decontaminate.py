@@ -11,13 +11,20 @@ places, or cover at least 80 % of the words that its windows cover, or cover
 must always stand for the same document value.  So a question whose numbers,
 names or units were exchanged is found like a verbatim one.
 
+Scripts without spaces have a word for each character, of which an excerpt needs twice as many.
+
+Items that share all windows and whose values are alike in the same places are one
+class, found or not found as one, so a template with thousands of items is joined and
+reported once.  Windows that take a name for a word are an item's own, beside its class;
+they matter only where a document holds one of them.
+
 An item whose windows cover less than half of its words, as one dense in numbers, is
 indexed by template windows of ten words instead or, where these cover too little,
 by five words as they stand; one of fewer than five words by all of them.
 
 The benchmark's windows first mark a bitmap of fixed size; only document windows
 that hit it leave Python, and the join with the windows themselves is exact.  It
-first looks for an item's gate alone: those of its windows that the fewest items
+first looks for a class's gate alone: those of its windows that the fewest classes
 share, as many as leave a rest that cannot be enough.  A window of a stock phrase
 is thus joined only with items that the document may hold.
 """
@@ -57,7 +64,12 @@ OPENERS = frozenset(
     "with would write yes you your".split()
 )
 
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
+#: Blocks of scripts that are written without spaces (Thai, Lao, Myanmar, Khmer, kana, Bopomofo, Han).
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+ENDS = ".!?\n\u3002\uff01\uff1f"
+
+_TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|[^\W\d_{UNSPACED}]+|[{UNSPACED}]|[{ENDS}]")
+_CHARACTER = re.compile(f"[{UNSPACED}]")
 _LIT, _NUM, _TITLE, _END, _UNIT, _LONG_UNIT, _OPENER = range(7)
 
 
@@ -71,7 +83,7 @@ class _Kinds(dict):
             self.clear()
         low = token.lower()
         title = len(token) > 1 and token[0].isupper() and token[1:].islower()
-        if token in ".!?\n":
+        if token in ENDS:
             kind = _END
         elif token[0].isdigit():
             kind = _NUM
@@ -135,21 +147,47 @@ def _marks(h: np.ndarray) -> np.ndarray:
 
 #: ``kind``: as in ``Template.windows``.
 ROWS = "id long, h long, at int, slots array<string>, kind int"
+#: ``form``: windows that are joined as one, those of the class itself or with an item's ``own``; ``run``: words in a row that are enough.
+FORMS = "item_id long, class long, form long, run int, h long, at int, slots array<string>, kind int, own boolean"
 
 
-def _of_item(t: Template) -> Iterator[tuple[int, int, list[str], int]]:
-    """What an item is indexed by: (hash, place, slot values, kind)."""
+def _of_item(t: Template) -> tuple[int, dict[tuple[int, int], list[str]], dict[tuple[int, int], list[str]]]:
+    """What an item is indexed by: the kind of its windows, slot values by (hash, place)
+    of the template's, and of those that take a name for a word."""
     n = len(t.hashes)
     for kind in (SIZE, LONG_SIZE, -min(n, SIZE)):
-        out, covered = {}, set()
+        found: list[dict] = []
         for x in (t, t.sure()) if kind > 0 and t.unsure.any() else (t,):
             h, at = x.windows(kind)
-            for v, k in zip(h.view(np.int64).tolist(), at.tolist(), strict=True):
-                out.setdefault((v, k), x.values(k, kind))
-                covered.update(range(k, k + abs(kind)))
-        if 2 * len(covered) >= n:
-            yield from ((h, at, slots, kind) for (h, at), slots in out.items())
-            return
+            found.append({(v, k): x.values(k, kind) for v, k in zip(h.view(np.int64).tolist(), at.tolist(), strict=True)})
+        template, own = found[0], {x: v for x, v in found[-1].items() if x not in found[0]}
+        if 2 * len({w for _, k in (*template, *own) for w in range(k, k + abs(kind))}) >= n:
+            return (kind, template, own) if template else (kind, own, {})
+    raise AssertionError("words as they stand cover all of an item")
+
+
+def _forms(t: Template) -> Iterator[tuple[int, int, int, int, int, list[str], int, bool]]:
+    """An item's class, and rows of the class's form and of its own form if it has one:
+    all in ``FORMS`` but the id.  Values are numbers in order of first use, for only their
+    likeness matters."""
+    kind, template, own = _of_item(t)
+    unspaced = sum(1 for k in t._at.tolist() if _CHARACTER.match(t._raw[k]))
+    run = RUN * (2 if 2 * unspaced > len(t.hashes) else 1)
+    numbers: dict[str, str] = {}
+
+    def canonical(rows: dict) -> list[tuple[int, int, list[str]]]:
+        return [(at, h, [numbers.setdefault(v, str(len(numbers))) for v in slots]) for (h, at), slots in sorted(rows.items(), key=lambda x: x[0][::-1])]
+
+    def digest(*rows: list) -> int:
+        return xxhash.xxh64_intdigest(repr((kind, run, rows))) - (1 << 63)
+
+    shared, mine = canonical(template), canonical(own)
+    of_class = digest(shared)
+    for form, rows in ((of_class, [(shared, False)]), (digest(shared, mine), [(shared, False), (mine, True)])):
+        if rows[-1][0]:
+            for several, is_own in rows:
+                for at, h, slots in several:
+                    yield of_class, form, run, h, at, slots, kind, is_own
 
 
 def _of_document(t: Template, bitmap: np.ndarray, kinds: tuple[int, ...]) -> Iterator[tuple[int, int, list[str], int]]:
@@ -161,57 +199,67 @@ def _of_document(t: Template, bitmap: np.ndarray, kinds: tuple[int, ...]) -> Ite
             yield v, k, t.values(k, kind), kind
 
 
-def _emitted(of):
+def _emitted(of, schema: pa.Schema):
+    """Rows of ``schema``, an id and what ``of`` makes of a text's template."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Kinds()
         for batch in batches:
-            rows: list[list] = [[] for _ in range(5)]
+            rows: list[list] = [[] for _ in schema]
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for row in of(Template(text, known)):
                     for column, v in zip(rows, (i, *row), strict=True):
                         column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32())
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], ["id", "h", "at", "slots", "kind"])
+            yield pa.record_batch([pa.array(v, f.type) for v, f in zip(rows, schema, strict=True)], schema=schema)
 
     return emit
 
 
-def _enough(places: np.ndarray, size: int, total: int, words: int, covered: float) -> bool:
-    """Whether these places of an item's windows, sorted, show that it is held."""
+_LONG, _INT, _SLOTS = pa.int64(), pa.int32(), pa.list_(pa.string())
+_ROWS = pa.schema([("id", _LONG), ("h", _LONG), ("at", _INT), ("slots", _SLOTS), ("kind", _INT)])
+_FORMS = pa.schema([("item_id", _LONG), ("class", _LONG), ("form", _LONG), ("run", _INT), ("h", _LONG), ("at", _INT), ("slots", _SLOTS), ("kind", _INT), ("own", pa.bool_())])
+
+
+def _enough(places: np.ndarray, size: int, total: int, words: int, covered: float, run: int) -> bool:
+    """Whether these places of a form's windows, sorted, show that it is held."""
     if not len(places):
         return False
     gaps = np.minimum(np.diff(places), size)
     starts = np.concatenate([[0], np.flatnonzero(np.diff(places) > size) + 1])
     ends = np.concatenate([starts[1:] - 1, [len(places) - 1]])
-    return len(places) >= covered * total or gaps.sum() + size >= covered * words or (places[ends] - places[starts]).max() + size >= RUN
+    return len(places) >= covered * total or gaps.sum() + size >= covered * words or (places[ends] - places[starts]).max() + size >= run
 
 
 def _gates(covered: float):
-    """Of each item the hashes at so many of its places, those of the fewest items
-    first, that the others are not enough."""
+    """Of each form the hashes at so many of its places, those of the fewest forms
+    first, that the others are not enough; or its own hashes, without which its class
+    is found in its stead, where fewer forms share these."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hs, kinds = [], [], []
-            for i, rows in zip(batch.column("item_id").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                items: dict[int, int] = {}
+            forms, hs, kinds = [], [], []
+            for form, run, rows in zip(batch.column("form").to_pylist(), batch.column("run").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                shared: dict[int, int] = {}
                 for r in rows:
-                    items[r["at"]] = items.get(r["at"], 0) + r["items"]
-                order = sorted(items, key=lambda k: (items[k], k))
-                every = np.array(sorted(items))
+                    shared[r["at"]] = shared.get(r["at"], 0) + r["forms"]
+                order = sorted(shared, key=lambda k: (shared[k], k))
+                every = np.array(sorted(shared))
                 kind = rows[0]["kind"]  # that of all its windows
                 size = abs(kind)
                 words = int(np.minimum(np.diff(every), size).sum()) + size
                 low, high = 1, len(order)
                 while low < high:
                     k = (low + high) // 2
-                    low, high = (k + 1, high) if _enough(np.array(sorted(order[k:])), size, len(order), words, covered) else (low, k)
-                gate = set(order[:low])
-                for h in {r["h"] for r in rows if r["at"] in gate}:
-                    ids.append(i)
-                    hs.append(h)
-                    kinds.append(kind)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(kinds, pa.int32())], ["item_id", "h", "kind"])
+                    low, high = (k + 1, high) if _enough(np.array(sorted(order[k:])), size, len(order), words, covered, run) else (low, k)
+                own = [r for r in rows if r["own"]]
+                if own and sum(r["forms"] for r in own) < sum(shared[k] for k in order[:low]):
+                    gate = {r["h"] for r in own}
+                else:
+                    gate = {r["h"] for r in rows if r["at"] in set(order[:low])}
+                forms += [form] * len(gate)
+                hs += gate
+                kinds += [kind] * len(gate)
+            yield pa.record_batch([pa.array(forms, _LONG), pa.array(hs, _LONG), pa.array(kinds, _INT)], ["form", "h", "kind"])
 
     return emit
 
@@ -228,19 +276,42 @@ def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([np.packbits(out).tobytes()], pa.binary())], ["bits"])
 
 
+def _indexed(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """``FORMS`` of the benchmark's items."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
+    return scratch.table(items.mapInArrow(_emitted(lambda t: _forms(t) if len(t.hashes) else (), _FORMS), FORMS), "items")
+
+
+def _classes(indexed: DataFrame) -> DataFrame:
+    """``(class, first, n_items)``."""
+    return indexed.groupBy("class").agg(F.min("item_id").alias("first"), F.count_distinct("item_id").alias("n_items"))
+
+
+def template_classes(benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(item_id, class_item, n_items)``: of each item the smallest one of its class, and
+    how many there are; ``find_leaks`` reports the smallest.
+
+    An item that repeats an id with another text has a row for each class; items
+    without words are in no class; rows with a null id are ignored; empty tables give no rows.
+    """
+    indexed = _indexed(benchmark, scratch)
+    return indexed.select("item_id", "class").distinct().join(_classes(indexed), "class").select("item_id", F.col("first").alias("class_item"), "n_items")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, covered: float = COVERED) -> DataFrame:
-    """``(doc_id, item_id, coverage)`` of the documents that hold an item;
-    coverage is the larger of the shares of its places and of its words.
+    """``(doc_id, item_id, n_items, coverage)``, one row for each document and class of
+    items that it holds: the class's smallest item and its number of items, which
+    ``template_classes`` lists; coverage is the larger of the shares of its places and of its words.
 
     An item of fewer than five words is held where all of them stand in a
     row, so one of a single word by every document with that word; items without words
     match nothing; null and empty texts, and rows with a null id, hold nothing;
     rows that repeat an id count as one document; an item that is repeated in the
-    benchmark is reported for each of its ids; empty tables give no rows; other
+    benchmark is in the class of the first; empty tables give no rows; other
     columns are ignored.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    known = scratch.table(items.mapInArrow(_emitted(lambda t: _of_item(t) if len(t.hashes) else ()), ROWS).distinct().withColumnRenamed("id", "item_id"), "windows")
+    indexed = _indexed(benchmark, scratch)
+    known = scratch.table(indexed.select("form", "run", "h", "at", "slots", "kind", "own").distinct(), "windows")
     packed = known.select("h").mapInArrow(_mapped, "bits binary").coalesce(1).mapInArrow(_mapped, "bits binary").collect()  # one row of fixed size
     bitmap = np.unpackbits(np.frombuffer(packed[0][0], np.uint8)).view(bool) if packed else np.zeros(1 << MAP_BITS, bool)
     kinds = tuple(sorted(x[0] for x in known.select("kind").distinct().collect()))  # seven at most
@@ -249,21 +320,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, covered:
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
     hits = scratch.table(given.mapInArrow(_by_bitmap(shared, kinds), ROWS).withColumnRenamed("id", "doc_id"), "hits")
 
-    shares = known.groupBy("h", "kind").agg(F.count_distinct("item_id").alias("items"))
-    of_item = known.join(shares, ["h", "kind"]).groupBy("item_id").agg(F.collect_list(F.struct("h", "at", "kind", "items")).alias("rows"))  # an item's windows
-    gates = scratch.table(of_item.mapInArrow(_gates(covered), "item_id long, h long, kind int"), "gates")
+    shares = known.groupBy("h", "kind").agg(F.count_distinct("form").alias("forms"))
+    of_form = known.join(shares, ["h", "kind"]).groupBy("form", "run").agg(F.collect_list(F.struct("h", "at", "kind", "own", "forms")).alias("rows"))  # an item's windows
+    gates = scratch.table(of_form.mapInArrow(_gates(covered), "form long, h long, kind int"), "gates")
     if gates.count() <= FEW_WINDOWS:
         gates = F.broadcast(gates)
-    may = scratch.table(hits.join(gates, ["h", "kind"]).select("doc_id", "item_id").distinct(), "may")
+    may = scratch.table(hits.join(gates, ["h", "kind"]).select("doc_id", "form").distinct(), "may")
 
-    named = known.select("item_id", "h", "kind", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    named = known.select("form", "run", "h", "kind", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     if known.count() <= FEW_WINDOWS:
         named = F.broadcast(named)
-    matched = may.join(named, "item_id").join(hits, ["doc_id", "h", "kind"]).withColumn("shift", F.col("at") - F.col("item_at"))
+    matched = may.join(named, "form").join(hits, ["doc_id", "h", "kind"]).withColumn("shift", F.col("at") - F.col("item_at"))
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("a"), x["slots"].alias("b")))
     width = F.abs("kind")
     words = F.sequence("item_at", F.col("item_at") + width - 1)
-    lines = matched.groupBy("doc_id", "item_id", "shift").agg(
+    lines = matched.groupBy("doc_id", "form", "shift").agg(
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.array_sort(F.collect_set("item_at")).alias("places"), F.array_distinct(F.flatten(F.collect_set(words))).alias("words"), F.max(width).alias("size")
     )  # at most an item's windows in each
     agree = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x.a)))
@@ -273,20 +344,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, covered:
         first, end = F.when(at <= run.end, run.first).otherwise(at), at + F.col("size")
         return F.struct(first.alias("first"), end.alias("end"), F.greatest(run.longest, end - first).alias("longest"))
 
-    run = F.aggregate("places", none, longer)["longest"]
-    found = lines.where(agree).groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("m"), F.max(run).alias("run")
+    longest = F.aggregate("places", none, longer)["longest"]
+    found = lines.where(agree).groupBy("doc_id", "form").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("m"), F.max(longest).alias("longest")
     )
     own = F.sequence("at", F.col("at") + width - 1)
-    sizes = known.groupBy("item_id").agg(F.count_distinct("at").alias("total"), F.size(F.array_distinct(F.flatten(F.collect_set(own)))).alias("of_words"))
+    sizes = known.groupBy("form", "run").agg(F.count_distinct("at").alias("total"), F.size(F.array_distinct(F.flatten(F.collect_set(own)))).alias("of_words"))
     share = F.greatest(F.col("n") / F.col("total"), F.col("m") / F.col("of_words"))
-    return found.join(sizes, "item_id").withColumn("coverage", share).where((F.col("coverage") >= covered) | (F.col("run") >= RUN)).select("doc_id", "item_id", "coverage")
+    held = found.join(sizes, "form").withColumn("coverage", share).where((F.col("coverage") >= covered) | (F.col("longest") >= F.col("run")))
+    of_class = indexed.select("form", "class").distinct()
+    per_class = held.join(of_class, "form").groupBy("doc_id", "class").agg(F.max("coverage").alias("coverage"))
+    return per_class.join(_classes(indexed), "class").select("doc_id", F.col("first").alias("item_id"), "n_items", "coverage")
 
 
 def _by_bitmap(shared, kinds: tuple[int, ...]):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.unpackbits(shared.value).view(bool)
-        yield from _emitted(lambda t: _of_document(t, bitmap, kinds))(batches)
+        yield from _emitted(lambda t: _of_document(t, bitmap, kinds), _ROWS)(batches)
 
     return emit
 
@@ -302,3 +376,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataF
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items; see ``find_leaks``."""
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark, "op8"))
+
+
+def benchmark_template_classes(spark, sf_dir: str) -> DataFrame:
+    """Which benchmark items are one; see ``template_classes``."""
+    return template_classes(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark, "op8-classes"))

@@ -1,7 +1,7 @@
 """The queries of this subpackage by name, and SQL where it can express them."""
 
 from .conversation_repair import OP12_SQL, op12_conversation_repair
-from .decontaminate import op8_decontaminate
+from .decontaminate import benchmark_template_classes, op8_decontaminate
 from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from .fingerprints import op13_document_fingerprints
 from .html_extract import op4_html_extract
@@ -28,6 +28,7 @@ QUERIES = {
     "op11_vector_codes": op11_vector_codes,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_document_fingerprints": op13_document_fingerprints,
+    "benchmark_template_classes": benchmark_template_classes,
 }
 
 ORACLE: dict[str, str] = {

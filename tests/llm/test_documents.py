@@ -252,6 +252,15 @@ def test_license_index_has_no_common_words():
     assert not {w for w, *_ in index} & set(df) and {i for _, i, _, _ in index} == set(range(len(license_scan.phrases() + license_scan.clauses())))
 
 
+def leaks(docs, bench, scratch):
+    """{(doc_id, item_id): coverage}, every item of a class that is found."""
+    found = decontaminate.find_leaks(docs, bench, scratch).withColumnRenamed("item_id", "class_item").drop("n_items")
+    members = decontaminate.template_classes(bench, Scratch(bench.sparkSession, "members")).drop("n_items")
+    rows = found.join(members, "class_item").collect()
+    assert len({(r["doc_id"], r["item_id"]) for r in rows}) == len(rows)
+    return {(r["doc_id"], r["item_id"]): r["coverage"] for r in rows}
+
+
 def test_decontaminate(spark, scratch):
     item = "Anna Kern buys 12 apples for 3 dollars and then walks 7 km to the market, where Anna Kern sells 4 apples."
     swapped = "We saw: Tom Wood buys 90 apples for 5 dollars and then walks 2 km to the market, where Tom Wood sells 8 apples. The end."
@@ -259,7 +268,7 @@ def test_decontaminate(spark, scratch):
     docs = [(1, f"Before. {item} After."), (2, swapped), (3, mixed), (4, "Nothing of the kind here, at all, not once in this text."), (5, None), (6, ""), (7, item.upper()), (None, item), (8, " ".join([item] * 3)), (9, "anna kern buys 12 apples")]
     bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, ""), (None, "x y z a b c d e")], "item_id long, text string")
     d = spark.createDataFrame([(i, t, 1, "h") for i, t in docs], "doc_id long, text string, id int, h string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(d, bench, scratch).collect()}
+    got = set(leaks(d, bench, scratch))
     assert {(1, 1), (2, 1), (8, 1)} <= got and not {x for x, _ in got} & {4, 5, 6, 9, None}
     assert (3, 1) not in got  # one name of the item stands for two of the document's
     kept = decontaminate.drop_leaks(d, bench, Scratch(spark, "t"))
@@ -275,7 +284,7 @@ def test_edited_copies_and_excerpts(spark, scratch):
     docs = [short[:7] + ["other"] + short[8:], long[:33], long[15:28], long[15:27], long[:12] + ["z"] * 5 + long[17:29], short[:6] + long[:6], long[:9] + ["other"] + long[9:]]
     bench = spark.createDataFrame([(0, " ".join(short)), (1, " ".join(long))], "item_id long, text string")
     d = spark.createDataFrame([(i, "before it " + " ".join(x) + " after it") for i, x in enumerate(docs)], "doc_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.find_leaks(d, bench, scratch).collect()}
+    got = leaks(d, bench, scratch)
     assert set(got) == {(0, 0), (1, 1), (2, 1), (6, 1)} and got[0, 0] == 15 / 16 and got[1, 1] == 33 / 44 and got[6, 1] == 1
 
 
@@ -285,7 +294,7 @@ def test_items_without_windows(spark, scratch):
     docs = [f"Some words before. {x} And some after." for x in items] + [items[0].upper(), "what is 12 + 7 * 3 - 45 / 9 + 129", "who painted the guernica"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    got = {tuple(r) for r in decontaminate.find_leaks(d, bench, scratch).collect()}
+    got = {(*k, v) for k, v in leaks(d, bench, scratch).items()}
     assert got == {(i, i, 1.0) for i in (0, 1, 2, 4)} | {(5, 0, 1.0), (6, 1, 7 / 8)}
 
 
@@ -316,18 +325,58 @@ def test_reparameterised_items(spark, scratch):
     docs = [f"We found this somewhere. {made(k)} Nothing else was there." for k in range(200)]
     docs += [f"In {y} the town of {n} sold {k} tons of grain, and {m} wrote that there are many ways to count how many hours that took, in all." for k, (n, m, y) in enumerate(zip(names * 25, reversed(names * 25), range(1800, 2000), strict=True))]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(r[0], r[1]) for r in decontaminate.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench, scratch).collect()}
+    got = set(leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench, scratch))
     recall, clean = sum((k, k) in got for k in range(200)) / 200, {d for d, _ in got if d >= 200}
     assert recall >= 0.9 and not clean, (recall, len(clean))
 
 
+def test_items_of_one_template_are_one_class(spark, scratch):
+    """One row a document and class however many items have the template; likeness of values is part of it."""
+    n = 3000
+    names = [f"{chr(65 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}en" for k in range(n)]
+    items = [f"What is {k + 2} plus {k + 3}?" for k in range(n)] + [f"What is {k} plus {k}?" for k in range(2, 12)]
+    items += [f"{x} has {k + 5} apples and gives {k + 3} of them to a friend. How many are left now?" for k, x in enumerate(names)]
+    docs = [f"Before it. What is {k + 900} plus {k + 77}? After it." for k in range(n)] + ["Say what is 8 plus 8?", "Nothing is here at all."]
+    docs += [f"Once more. {names[k]} has {k + 9} apples and gives {k} of them to a friend. How many are left now?" for k in range(200)]
+    docs += [f"and then {names[5].lower()} has 6 apples and gives 3 of them to a friend. How many are left now?"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_items"] for r in decontaminate.find_leaks(d, bench, scratch).collect()}
+    # equal values may stand for different ones of the item, not the other way round
+    want = {(k, 0): n for k in range(n)} | {(n, 0): n, (n, n): 10} | {(n + 2 + k, n + 10): n for k in range(201)}
+    assert got == want
+    members = decontaminate.template_classes(bench, Scratch(spark, "t")).collect()
+    assert sorted(r["item_id"] for r in members) == list(range(len(items)))
+    assert Counter((r["class_item"], r["n_items"]) for r in members) == {(0, n): n, (n, 10): 10, (n + 10, n): n}
+
+
+def test_scripts_without_spaces(spark, scratch):
+    """An item is found inside a sentence, and a common phrase of it is no leak."""
+    items = ["\u65e5\u672c\u306e\u9996\u90fd\u306f\u3069\u3053\u3067\u3059\u304b\u3001\u305d\u306e\u4eba\u53e3\u306f\u4f55\u4eba\u3067\u3059\u304b", "\u0e01\u0e23\u0e38\u0e07\u0e40\u0e17\u0e1e\u0e40\u0e1b\u0e47\u0e19\u0e40\u0e21\u0e37\u0e2d\u0e07\u0e2b\u0e25\u0e27\u0e07"]
+    around = "\u4eca\u65e5\u306f{}\u3068\u805e\u304b\u308c\u307e\u3057\u305f"
+    docs = [around.format(items[0]), f"\u0e02\u0e2d{items[1]}\u0e19\u0e30", around.format(items[0][:10]), "plain words of no such script", around.format(items[0] * 2)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = set(leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench, scratch))
+    assert got == {(0, 0), (1, 1), (4, 0)}
+
+
+def test_a_very_long_text_and_item(spark, scratch):
+    rng = np.random.default_rng(4)
+    words = [f"{chr(97 + a)}{chr(97 + b)}w" for a in range(26) for b in range(26)]
+    long = " ".join(rng.choice(words, 300_000))
+    bench = spark.createDataFrame([(1, long[4000:4400]), (2, long[8000:90_000])], "item_id long, text string")
+    d = spark.createDataFrame([(1, long), (2, long[4000:4400]), (3, " ".join(rng.choice(words, 20_000)))], "doc_id long, text string")
+    got = set(leaks(d, bench, scratch))
+    assert {(1, 1), (1, 2), (2, 1)} <= got and not {x for x in got if x[0] == 3}
+
+
 def test_gates_lose_nothing():
     """Places beyond the gate are never enough, those of the gate and one less may be."""
     rng = np.random.default_rng(2)
     for _ in range(200):
         n = int(rng.integers(1, 40))
-        rows = [{"h": int(k), "at": int(k), "kind": 5, "items": int(rng.integers(1, 9))} for k in np.sort(rng.choice(60, n, replace=False))]
-        batch = pa.RecordBatch.from_pylist([{"item_id": 1, "rows": rows}])
+        rows = [{"h": int(k), "at": int(k), "kind": 5, "own": False, "forms": int(rng.integers(1, 9))} for k in np.sort(rng.choice(60, n, replace=False))]
+        batch = pa.RecordBatch.from_pylist([{"form": 1, "run": 13, "rows": rows}])
         gate = set(pa.Table.from_batches(decontaminate._gates(0.8)([batch])).column("h").to_pylist())
         places = [r["at"] for r in rows]
         covered = lambda x: len({w for p in x for w in range(p, p + 5)})
