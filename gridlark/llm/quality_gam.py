@@ -169,7 +169,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Gam:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features_of(x) for x in batch.column("text").to_pylist()]
-        yield pa.record_batch([batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
 
 def _scored(model: Gam, at: int, keep_text: bool):
@@ -187,12 +187,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
     """Fit on at most ``sample`` labelled documents, lowest id hashes first.
 
     Rows whose crc32 of the id, as text, leaves 1 when divided by 3 are held out.
+    An id that documents or labels repeat counts once for each of its labels, with the
+    least features among its texts.
     """
     known = labels.where("quality in (0, 1)").select(F.col("doc_id"), F.col("quality").cast("double").alias("label"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(some), "doc_id").select("label", "text")
-    got = rows.mapInArrow(_measured, "label double, x array<double>").toArrow()
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
+    measured = rows.mapInArrow(_measured, "doc_id long, label double, x array<double>")
+    got = measured.groupBy("doc_id", "label").agg(F.min("x").alias("x")).toArrow()  # two rows an id at most
     y = got.column("label").to_numpy()
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(len(y), len(FEATURES))
     order = np.lexsort((*x.T, y))  # rows arrive in any order; sums do not depend on it

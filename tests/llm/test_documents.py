@@ -458,6 +458,20 @@ def test_quality_on_awkward_rows(spark, awkward, nothing):
     assert quality_gam.score_documents(awkward, empty).where("_score <> 0.5").isEmpty()
 
 
+def test_quality_fit_counts_an_id_once(spark, monkeypatch):
+    """However often documents and labels repeat an id, the fit sees no more rows than it may."""
+    seen = []
+    monkeypatch.setattr(quality_gam, "fit", lambda x, y: seen.append((x.tolist(), y.tolist())))
+    docs = [(i, f"Some text of number {i}, with {'more ' * i}words.") for i in range(30)]
+    labels = [(i, i % 2) for i in range(30)]
+    schema = "doc_id long, text string", "doc_id long, quality int"
+    for d, s in ((docs, labels), (docs + docs[:9] * 50, labels + labels[:5] * 4)):
+        quality_gam.train(spark.createDataFrame(d, schema[0]), spark.createDataFrame(s, schema[1]))
+    assert seen[0] == seen[1] and 10 < len(seen[0][1]) < 30
+    quality_gam.train(spark.createDataFrame(docs + docs[:9] * 50, schema[0]), spark.createDataFrame(labels, schema[1]), sample=7)
+    assert len(seen[2][1]) == 7
+
+
 def test_quality_interaction_is_learned():
     rng = np.random.default_rng(3)
     x = rng.random((3000, len(quality_gam.FEATURES)))
