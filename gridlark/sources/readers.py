@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gridlark import schemas
 from gridlark.operators.quality import ConstraintError, assert_none, require_columns
+from gridlark.scratch import Scratch
+from gridlark.sources import folders
 from gridlark.sources.coco import documents as coco_documents
 
 
@@ -56,12 +59,24 @@ def epoch_history(spark: SparkSession, path: str) -> DataFrame:
     return raw.toDF(*[c.strip() for c in raw.columns])
 
 
-def labels(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, class_id, cx, cy, w, h)`` of label files; other than five tokens in a line is refused."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.split(F.trim("value"), r"\s+").alias("t")).where(F.get("t", 0) != "")
-    assert_none(lines.where(F.size("t") != 5), "A label line needs five tokens")
+def _label_lines(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """``(name, value)``: the lines of a folder's files, or of one file."""
+    if not folders.readable(path):
+        return spark.read.option("pathGlobFilter", f"*{suffix}").text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1).alias("name"), "value")
+    found = folders.contents(folders.names(spark, path, suffix), path, unpack=True)
+    text = F.regexp_replace(F.col("content").cast("string"), r"^\x{feff}", "")
+    return found.select("name", F.explode(F.split(text, r"\r\n|\r|\n")).alias("value"))
+
+
+def labels(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """``(path, class_id, cx, cy, w, h)`` of label files, ``path`` being their name;
+    other than five tokens in a line is refused.  Files are read once."""
     names = ("class_id", "cx", "cy", "w", "h")
-    return lines.select("path", *[F.expr(f"try_cast(t[{i}] as double)").alias(n) for i, n in enumerate(names)])
+    lines = _label_lines(spark, path, suffix).select(F.col("name").alias("path"), F.split(F.trim("value"), r"\s+").alias("t")).where(F.get("t", 0) != "")
+    parsed = lines.select("path", *[F.expr(f"try_cast(get(t, {i}) as double)").alias(n) for i, n in enumerate(names)], F.when(F.size("t") != 5, F.col("t")).alias("t"))
+    held = Scratch(spark, "labels").table(parsed, "rows")
+    assert_none(held.where("t is not null").select("path", "t"), "A label line needs five tokens")
+    return held.drop("t")
 
 
 def expected_labels(spark: SparkSession, path: str, stems: DataFrame) -> DataFrame:
@@ -70,18 +85,21 @@ def expected_labels(spark: SparkSession, path: str, stems: DataFrame) -> DataFra
     Files and names are compared before a line is read: a missing or an unlisted
     file is an error that names it, never an image without objects.
     """
-    # a scan skips empty files; the index that Spark has made of the folder does not
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).inputFiles()
-    listed = spark.createDataFrame([(unquote(f.rsplit("/", 1)[-1].removesuffix(".txt")),) for f in found], "stem string")
+    if folders.readable(path):
+        listed = folders.names(spark, path, ".txt").select(F.regexp_extract("name", r"(?s)^(.*)\.txt$", 1).alias("stem"))
+    else:
+        # a scan skips empty files; the index that Spark has made of the folder does not
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).inputFiles()
+        listed = spark.createDataFrame([(unquote(f.rsplit("/", 1)[-1].removesuffix(".txt")),) for f in found], "stem string")
     assert_none(listing_mismatch(stems.select("stem"), listed, "stem"), "Label files and manifest differ")
-    rows = labels(spark, path)
-    return rows.select(F.regexp_extract("path", r"([^/]*)\.txt$", 1).alias("stem"), *[c for c in rows.columns if c != "path"])
+    rows = labels(spark, path, ".txt")
+    return rows.select(F.regexp_extract("path", r"(?s)^(.*)\.txt$", 1).alias("stem"), *[c for c in rows.columns if c != "path"])
 
 
 def label_tally(spark: SparkSession, path: str) -> DataFrame:
     """Objects by class over a folder of label files."""
     first = F.get(F.split(F.trim("value"), r"\s+"), 0)
-    return spark.read.text(path).select(first.alias("class_id")).where("class_id <> ''").groupBy("class_id").agg(F.count("*").alias("objects"))
+    return _label_lines(spark, path).select(first.alias("class_id")).where("class_id <> ''").groupBy("class_id").agg(F.count("*").alias("objects"))
 
 
 def files(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
@@ -91,8 +109,13 @@ def files(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256, MD5 and CRC-32 of each file."""
-    return files(spark, path, content=True).select("path", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"), F.crc32("content").alias("crc32"))
+    """SHA-256, MD5 and CRC-32 of each file below a folder."""
+    if folders.is_folder(path):
+        root = path if ":" in path else f"file:{os.path.abspath(path)}"
+        found = folders.contents(folders.names(spark, path, recursive=True), path).withColumn("path", F.concat(F.lit(root.rstrip("/") + "/"), "name"))
+    else:
+        found = files(spark, path, content=True)
+    return found.select("path", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"), F.crc32("content").alias("crc32"))
 
 
 def listing_mismatch(manifest: DataFrame, listed: DataFrame, key: str) -> DataFrame:

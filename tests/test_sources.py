@@ -121,3 +121,54 @@ def test_documents_in_pieces(spark, tmp_path, indent):
                 R.coco(spark, str(tmp_path / "bad.json"))["images"].collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_commit_moves_one_folder_however_many_files(monkeypatch, tmp_path):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    from gridlark.sources import sinks
+
+    class Counting:
+        def __init__(self):
+            self.moved, self.local = 0, fs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.local, name)
+
+        def move(self, a, b):
+            self.moved += 1
+            self.local.move(a, b)
+
+    there = Counting()
+    monkeypatch.setattr(sinks, "file_system", lambda path: (there, path))
+    monkeypatch.setattr(sinks.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    writer, rows = sinks.FileWriter(str(tmp_path / "out"), False), [(f"d/{i}.txt", str(i)) for i in range(40)]
+    batch = lambda n: pa.record_batch([list(x) for x in zip(*rows[:n], strict=True)], ["name", "text"])
+    writer.write(iter([batch(10)]))  # an attempt that is lost
+    done, there.moved = writer.write(iter([batch(40)])), 0
+    writer.commit([done])
+    assert there.moved == 1 and {p.name: p.read_text() for p in (tmp_path / "out/d").iterdir()} == {f"{i}.txt": str(i) for i in range(40)}
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+@pytest.fixture(scope="module")
+def many(tmp_path_factory):
+    """Six hundred small files, one of them empty, and what readers pass over."""
+    at = tmp_path_factory.mktemp("many")
+    for i in range(600):
+        (at / f"{i} é%20.txt").write_text("" if i == 7 else f"﻿{i % 3} 0.5 0.5 0.25 0.2\r\n\n" + "1 0.1 0.1 0.1 0.1" * (i % 2), encoding="utf-8")
+    for hidden in (".hidden.txt", "_hidden.txt"):
+        (at / hidden).write_text("x")
+    (at / "below").mkdir()
+    (at / "below/b.bin").write_bytes(b"\x00\xff")
+    return at
+
+
+def test_labels_of_many_files(spark, many):
+    stems = spark.createDataFrame([(f"{i} é%20",) for i in range(600)], "stem string")
+    got = R.expected_labels(spark, str(many), stems)
+    assert got.count() == 898 and {(r["stem"], r["class_id"]) for r in got.where("w = 0.25").collect()} == {(f"{i} é%20", float(i % 3)) for i in range(600) if i != 7}
+    assert not any(p.endswith("%20.txt") for p in got.inputFiles())  # what was read is kept, files are not read again
