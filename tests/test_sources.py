@@ -172,3 +172,9 @@ def test_labels_of_many_files(spark, many):
     got = R.expected_labels(spark, str(many), stems)
     assert got.count() == 898 and {(r["stem"], r["class_id"]) for r in got.where("w = 0.25").collect()} == {(f"{i} é%20", float(i % 3)) for i in range(600) if i != 7}
     assert not any(p.endswith("%20.txt") for p in got.inputFiles())  # what was read is kept, files are not read again
+
+
+def test_tally_of_many_files(spark, many):
+    got = R.label_tally(spark, str(many))
+    assert {r[0]: r[1] for r in got.collect()} == {"0": 200, "1": 199 + 299, "2": 200}
+    assert not got.inputFiles()  # no list of the files in the driver
