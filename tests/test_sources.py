@@ -178,3 +178,13 @@ def test_tally_of_many_files(spark, many):
     got = R.label_tally(spark, str(many))
     assert {r[0]: r[1] for r in got.collect()} == {"0": 200, "1": 199 + 299, "2": 200}
     assert not got.inputFiles()  # no list of the files in the driver
+
+
+def test_digests_of_many_files(spark, many):
+    import hashlib
+    import zlib
+
+    got = R.file_digests(spark, str(many))
+    want = {(f"file:{p}", hashlib.sha256(p.read_bytes()).hexdigest(), hashlib.md5(p.read_bytes()).hexdigest(), zlib.crc32(p.read_bytes())) for p in many.rglob("*") if p.is_file() and "hidden" not in p.name}
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 601
+    assert got.rdd.getNumPartitions() == 4 and not got.inputFiles()  # no list of the files in the driver, tasks by share
