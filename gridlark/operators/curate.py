@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from gridlark.operators.order import running_sums, same_keys
 from gridlark.scratch import Scratch
 
+#: Rows of a mapping that each task may hold.
+SMALL = 100_000
+
 
 def exact_dedup(images: DataFrame) -> DataFrame:
     """Adds ``original``, the lowest id with the same content, and ``duplicate_of``."""
@@ -178,8 +181,13 @@ def reindexed(categories: DataFrame) -> DataFrame:
 
 def remapped(annotations: DataFrame, mapping: DataFrame) -> DataFrame:
     """Annotations of mapped categories, with the target's id; ``mapping`` is
-    ``(category_id, target)``, one row per category."""
-    return annotations.join(mapping, "category_id").drop("category_id").withColumnRenamed("target", "category_id")
+    ``(category_id, target)``, one row per category.
+
+    A few categories hold all annotations, so a shuffle by category would give them
+    to as few tasks; a mapping of at most ``SMALL`` rows goes to every task instead.
+    """
+    small = mapping.limit(SMALL + 1).count() <= SMALL
+    return annotations.join(F.broadcast(mapping) if small else mapping, "category_id").drop("category_id").withColumnRenamed("target", "category_id")
 
 
 def rescaled(annotations: DataFrame, scales: DataFrame) -> DataFrame:

@@ -173,3 +173,14 @@ def test_tiles_of_a_box_by_arithmetic(spark, tile, overlap):
     want = tiling.boxes_in_tiles(tiling.tile_grid(imgs, tile, overlap), given)
     got = tiling.boxes_on_grid(imgs, given, tile, overlap)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_a_remap_shuffles_no_annotations(spark, monkeypatch):
+    mapping = spark.createDataFrame([("A", 2), ("N", 0)], "category_id string, target int")
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 4 == 0, "A").when(F.col("id") % 4 == 1, "N").otherwise("R").alias("category_id"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    got = curate.remapped(rows, mapping)
+    assert "BuildRight" in plan(got) and "SortMergeJoin" not in plan(got)  # the mapping goes to the tasks
+    monkeypatch.setattr(curate, "SMALL", 1)
+    more = curate.remapped(rows, mapping)
+    assert "BuildRight" not in plan(more) and sorted(map(tuple, more.collect())) == sorted(map(tuple, got.collect())) and got.count() == 500
