@@ -42,14 +42,14 @@ def _is_solid() -> Column:
 def _grids(truths: DataFrame, dense: int) -> DataFrame | None:
     """The grid of each image with many truths, none if there is no such image.
 
-    A cell is as wide and high as the truths in the quadratic mean, or as a share
-    of what they cover that gives no more cells than truths: so a truth touches a
-    number of cells that is constant on average.
+    A cell is twice as wide and high as the truths in the quadratic mean, or as a
+    share of what they cover that gives no more cells than truths: so a truth touches
+    about two cells on average, which is what is shuffled.
     """
     size = {"x": F.col("x2") - F.col("x1"), "y": F.col("y2") - F.col("y1")}
     parts = [x for k, v in size.items() for x in (F.sqrt(F.avg(v * v)).alias(f"mean_{k}"), F.min(f"{k}1").alias(f"low_{k}"), F.max(f"{k}2").alias(f"high_{k}"))]
     crowded = truths.groupBy("image_id").agg(F.count("*").alias("n"), *parts).where(F.col("n") > dense)
-    edge = [F.greatest(f"mean_{k}", (F.col(f"high_{k}") - F.col(f"low_{k}")) / F.sqrt("n")).alias(f"edge_{k}") for k in size]
+    edge = [F.greatest(2 * F.col(f"mean_{k}"), (F.col(f"high_{k}") - F.col(f"low_{k}")) / F.sqrt("n")).alias(f"edge_{k}") for k in size]
     if crowded.isEmpty():
         return None
     # written, so that a join knows its size and that of crowds is not computed for each side
@@ -63,12 +63,13 @@ def _cell(at: Column, axis: str) -> Column:
 
 
 def _in_cells(boxes: DataFrame, grids: DataFrame) -> DataFrame:
-    """A row for each grid cell that a box touches; an image without a grid is one cell."""
+    """A row for each grid cell that a box touches, and whether the box begins in it along
+    each axis; an image without a grid is one cell."""
     out = boxes.join(grids, "image_id", "left")
     for axis in ("x", "y"):
         low, high = (_cell(F.col(f"{axis}{k}"), axis) for k in (1, 2))
-        out = out.withColumn(f"cell_{axis}", F.explode(F.sequence(low, high)))
-    return out
+        out = out.withColumn(f"cell_{axis}", F.explode(F.sequence(low, high))).withColumn(f"first_{axis}", F.col(f"cell_{axis}") == low)
+    return out.select(*boxes.columns, *[f"{c}_{axis}" for c in ("cell", "first") for axis in ("x", "y")])  # the grid itself is not shuffled
 
 
 def iou_pairs(dets: DataFrame, truths: DataFrame, same_class: bool = True, dense: int = DENSE) -> DataFrame:
@@ -92,12 +93,13 @@ def _pairs(dets: DataFrame, truths: DataFrame, same_class: bool, grids: DataFram
     keys = ["image_id", *(["class_id"] if same_class else [])]
     if grids is not None:
         d, t, keys = _in_cells(d, grids), _in_cells(t, grids), [*keys, "cell_x", "cell_y"]
-    t = t.select(*[F.col(c).alias(f"t_{c}") for c in dict.fromkeys([*keys, "tj", *CORNERS])])
+    firsts = [] if grids is None else ["first_x", "first_y"]
+    t = t.select(*[F.col(c).alias(f"t_{c}") for c in dict.fromkeys([*keys, "tj", *CORNERS, *firsts])])
     on = [F.col(k) == F.col(f"t_{k}") for k in keys]
     for axis in ("x", "y"):
         on += [F.col(f"{axis}1") < F.col(f"t_{axis}2"), F.col(f"t_{axis}1") < F.col(f"{axis}2")]
         if grids is not None:
-            on.append(_cell(F.greatest(f"{axis}1", f"t_{axis}1"), axis) == F.col(f"cell_{axis}"))
+            on.append(F.col(f"first_{axis}") | F.col(f"t_first_{axis}"))  # where the later one begins, the intersection does
     overlap = iou(tuple(F.col(c) for c in CORNERS), tuple(F.col(f"t_{c}") for c in CORNERS))
     if how != "inner":
         on.append(_is_solid())
@@ -209,8 +211,9 @@ def matched(dets: DataFrame, truths: DataFrame, threshold: float = 0.5, dense: i
     grids = _grids(truths, dense)
     if grids is None:
         return _streamed(_pairs(dets, truths, True, None, threshold, "left"), [threshold]).select(*GROUP, "di", "confidence", F.get("tjs", 0).alias("tj"))
-    pairs, large = _pairs(dets.where(_is_solid()), truths, True, grids, threshold), _dense_groups(truths, grids, dense)
-    settled = _settled(pairs.join(large, GROUP, "left_semi"), threshold, Scratch(dets.sparkSession, "settled"))
+    scratch, large = Scratch(dets.sparkSession, "settled"), _dense_groups(truths, grids, dense)
+    pairs = scratch.table(_pairs(dets.where(_is_solid()), truths, True, grids, threshold), "pairs")  # found once, read for both kinds of groups
+    settled = _settled(pairs.join(large, GROUP, "left_semi"), threshold, scratch)
     rest = _streamed(pairs.join(large, GROUP, "left_anti"), [threshold]).select(*GROUP, "di", F.get("tjs", 0).alias("tj"))
     return dets.select(*GROUP, "di", "confidence").join(rest.unionByName(settled), [*GROUP, "di"], "left")
 

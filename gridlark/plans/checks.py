@@ -176,7 +176,8 @@ def richest_image(spark, d):
 LEFT JOIN (SELECT image_id, count(*) AS n, sum(class_id)::BIGINT AS s FROM fx_det WHERE confidence >= 0.3 GROUP BY 1) d ON d.image_id = c.image_id
 LEFT JOIN (SELECT image_id, count(*) AS n, arg_min(x1, tj) AS x FROM fx_truth GROUP BY 1) t ON t.image_id = c.image_id""", "fx_hit", "fx_truth", "fx_box_image")
 def error_rows(spark, d):
-    rows = matching.error_rows(_hits(spark, d), S.detections(spark, d), S.truths(spark, d), S.box_images(spark, d), 0.3)
+    dets, truths = S.sides(spark, d)
+    rows = matching.error_rows(matching.matched(dets, truths), dets, truths, S.box_images(spark, d), 0.3)
     size = lambda c: F.coalesce(F.nullif(F.size(c), F.lit(-1)), F.lit(0)).cast("long")
     of = F.coalesce(F.aggregate("detections", F.lit(0).cast("long"), lambda s, x: s + x["class_id"]), F.lit(0).cast("long"))
     first = F.coalesce(F.get(F.get("truth", F.lit(0))["xyxy"], 0), F.lit(0.0))
@@ -214,7 +215,7 @@ ap AS (SELECT threshold, class_id, sum(coalesce(best, 0)) / 101 AS ap FROM (SELE
 
 @register(f"SELECT * FROM (WITH RECURSIVE {AT_LIMITS} SELECT threshold, count(*) AS classes, round(avg(ap), 9) AS map FROM ap GROUP BY threshold)", "fx_pair")
 def mean_average_precision(spark, d):
-    return matching.mean_average_precision(S.detections(spark, d), S.truths(spark, d), LIMITS).withColumn("map", F.round("map", 9))
+    return matching.mean_average_precision(*S.sides(spark, d), LIMITS).withColumn("map", F.round("map", 9))
 
 
 @register("""SELECT name, 0.4::DOUBLE AS conf, 'table' AS dataset_identity, true AS unchanged FROM (SELECT p_brand AS name, max(p_retailprice) AS m FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)""")

@@ -331,16 +331,17 @@ SCORED = f"""SELECT *, CASE WHEN "precision" + recall > 0 THEN 2 * "precision" *
 
 
 def _hits(spark, d):
-    return matching.matched(S.detections(spark, d), S.truths(spark, d))
+    return matching.matched(*S.sides(spark, d))
 
 
 @register("SELECT * FROM fx_pair WHERE iou > 0", "fx_pair")
 def iou_pairs(spark, d):
-    return matching.iou_pairs(S.detections(spark, d), S.truths(spark, d))
+    return matching.iou_pairs(*S.sides(spark, d))
 
 
 def _scenes(spark, d):
-    return S.scenes(S.detections(spark, d), "di"), S.scenes(S.truths(spark, d), "tj")
+    dets, truths = S.sides(spark, d)
+    return S.scenes(dets, "di"), S.scenes(truths, "tj")
 
 
 @register("SELECT * FROM fx_scene_pair", "fx_scene_pair")

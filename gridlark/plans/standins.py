@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridlark.scratch import Scratch
+
 BOX_ORDER = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
 ]
@@ -39,14 +41,27 @@ def boxes(spark, sf_dir) -> DataFrame:
     return b.withColumn("x1", F.col("x")).withColumn("y1", F.col("y")).withColumn("x2", F.col("x") + F.col("w")).withColumn("y2", F.col("y") + F.col("h"))
 
 
-def truths(spark, sf_dir) -> DataFrame:
-    return boxes(spark, sf_dir).select("image_id", F.col("idx").alias("tj"), "class_id", "x1", "y1", "x2", "y2")
+def numbered(spark, sf_dir) -> DataFrame:
+    """``boxes`` in a written table, for what reads them as truths and as detections: they are shuffled and sorted once."""
+    b = boxes(spark, sf_dir)
+    held = Scratch(spark, "boxes").table(b.drop("x1", "y1", "x2", "y2"), "boxes")
+    return held.withColumns({"x1": F.col("x"), "y1": F.col("y"), "x2": F.col("x") + F.col("w"), "y2": F.col("y") + F.col("h")})
+
+
+def sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Detections and truths of the same numbered boxes."""
+    b = numbered(spark, sf_dir)
+    return detections(spark, sf_dir, b), truths(spark, sf_dir, b)
+
+
+def truths(spark, sf_dir, of: DataFrame | None = None) -> DataFrame:
+    return (boxes(spark, sf_dir) if of is None else of).select("image_id", F.col("idx").alias("tj"), "class_id", "x1", "y1", "x2", "y2")
 
 
-def detections(spark, sf_dir) -> DataFrame:
+def detections(spark, sf_dir, of: DataFrame | None = None) -> DataFrame:
     shift = 8 * F.col("l_discount") * F.col("w")
     conf = (F.round(F.col("l_extendedprice") * 100).cast("long") % 1000).cast("double") / 1000.0
-    b = boxes(spark, sf_dir).where("idx % 3 <> 0")
+    b = (boxes(spark, sf_dir) if of is None else of).where("idx % 3 <> 0")
     return b.select("image_id", F.col("idx").alias("di"), "class_id", conf.alias("confidence"), (F.col("x1") + shift).alias("x1"), "y1", (F.col("x2") + shift).alias("x2"), "y2")
 
 

@@ -209,3 +209,25 @@ def test_dense_image_of_50000_boxes(spark):
         free.discard(want[q[1]])
     got = {r["di"]: r["tj"] for r in M.matched(spark.createDataFrame(dets, DET), spark.createDataFrame(truths, TRUTH), 0.3).collect()}
     assert got == want
+
+
+def _crowd(spark, n, seed=5):
+    rng = random.Random(seed)
+    box = lambda: (x := rng.uniform(0, 300), y := rng.uniform(0, 300), x + 10.0, y + 10.0)
+    truths = [(1, j, j % 2, *box()) for j in range(n)]
+    dets = [(1, j, t[2], rng.random(), t[3] + rng.uniform(0, 4), t[4], t[5] + 1, t[6]) for j, t in enumerate(truths)]
+    return dets, truths, spark.createDataFrame(dets, DET), spark.createDataFrame(truths, TRUTH)
+
+
+def test_cells_copy_a_box_about_twice_and_without_the_grid(spark):
+    _, truths, _, t = _crowd(spark, 900)
+    cells = M._in_cells(t, M._grids(t, 100))
+    assert set(cells.columns) == {*t.columns, "cell_x", "cell_y", "first_x", "first_y"} and cells.count() <= 2.5 * len(truths)
+    assert cells.where("first_x and first_y").select("tj").distinct().count() == cells.where("first_x and first_y").count() == len(truths)
+
+
+def test_dense_matching_finds_its_pairs_once(spark):
+    dets, truths, d, t = _crowd(spark, 300)
+    hits = M.matched(d, t, 0.4, dense=160)
+    assert {r["di"]: r["tj"] for r in hits.collect()} == plain_match(dets, truths, 0.4)
+    assert "cell_x" not in hits._jdf.queryExecution().optimizedPlan().toString()
