@@ -35,7 +35,7 @@ from .scratch import Scratch
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that the public vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SEQ_LEN, PER_SHARD, ROUNDS, MOST_SHARDS_PER_TASK, WAVES = 512, 16_384, 6, 64, 2
+SEQ_LEN, PER_SHARD, ROUNDS, MOST_SHARDS_PER_TASK, WAVES = 512, 16_384, 6, 64, 4
 #: The pattern's engine fails on runs of white space of several times this length.
 LONG_BLANK = 100_000
 #: Fixed value: the characters that Unicode calls white space.

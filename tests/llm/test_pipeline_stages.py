@@ -167,3 +167,15 @@ def test_order_stage(steps):
     assert Counter((r["doc_id"], r["seq_no"], r["n_tokens"], r["digest"]) for r in rows) == want
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
     assert all((r["shard"], r["byte_offset"]) == (r["slot"] // 16_384, r["slot"] % 16_384 * 1024) for r in rows)
+
+
+def test_a_wave_shuffles_a_quarter_of_the_shards(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    T = token_order
+    placed, waves = T._placed, []
+    monkeypatch.setattr(T, "_placed", lambda *a: waves.append(a[-1]) or placed(*a))
+    docs = spark.range(16).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    index = T.materialise(docs, Scratch(spark, "waves"), to=str(tmp_path / "shards"), per_shard=2)
+    assert [len(w) for w in waves] == [2, 2, 2, 2] and sorted(r["slot"] for r in index.collect()) == list(range(16))
+    assert len(T.read_sequences(str(tmp_path / "shards"), 0, 99)) == 16
