@@ -188,3 +188,50 @@ def test_digests_of_many_files(spark, many):
     want = {(f"file:{p}", hashlib.sha256(p.read_bytes()).hexdigest(), hashlib.md5(p.read_bytes()).hexdigest(), zlib.crc32(p.read_bytes())) for p in many.rglob("*") if p.is_file() and "hidden" not in p.name}
     assert {tuple(r) for r in got.collect()} == want and len(want) == 601
     assert got.rdd.getNumPartitions() == 4 and not got.inputFiles()  # no list of the files in the driver, tasks by share
+
+
+def test_a_document_is_put_together_by_ranges(spark, monkeypatch, tmp_path):
+    from gridlark.sources import sinks
+
+    monkeypatch.setattr(sinks, "RANGE", 1000)
+    images = spark.range(50).select("id", F.concat(F.lit("é"), "id").alias("file_name"), F.lit(1).alias("width"), F.lit(2).alias("height"))
+    notes = spark.range(3000).select("id", (F.col("id") % 50).alias("image_id"), F.lit(1).alias("category_id")).repartition(7)
+    coco_file(images, notes, spark.createDataFrame([(1, "x")], "id int, name string"), str(tmp_path / "a"))
+    doc = json.loads((tmp_path / "a").read_text(encoding="utf-8"))
+    assert [x["id"] for x in doc["annotations"]] == list(range(3000)) and [x["file_name"] for x in doc["images"]] == [f"é{i}" for i in range(50)] and list(doc) == ["images", "annotations", "categories"]
+    assert [p.name for p in tmp_path.iterdir()] == ["a"]
+    with pytest.raises(ConstraintError, match="exists"):
+        coco_file(images, notes, images.select("id"), str(tmp_path / "a"))
+
+
+@pytest.mark.parametrize("tail", ["", "\n"])
+def test_ranges_of_a_document_begin_anywhere(tail):
+    """Cut at any one brace, or at two, a document has the same elements; no range is shuffled."""
+    import pyarrow as pa
+
+    from gridlark.sources import coco
+
+    doc = {"info": {"s": '"images": [ {', "b": "x}\\\\"}, "images": [{"id": i, "n": ODD[i], "c": [[1], ["{"], {"d": "}"}]} for i in range(len(ODD))], "annotations": [], "categories": [{"id": 1}]}
+    text = (json.dumps(doc, ensure_ascii=False) + tail).encode()
+    pieces = text.split(b"}")
+    pieces = pieces[:-1] if not pieces[-1] else pieces
+
+    def elements(*cuts):
+        blocks, rows = [sum(k >= c for c in cuts) for k in range(len(pieces))], []
+        batch = pa.record_batch({"value": pa.array(pieces, pa.binary()), "file": pa.array(["f"] * len(pieces)), "block": pa.array(blocks, pa.int64()), "file_bytes": pa.array([len(text)] * len(pieces), pa.int64())})
+        batches = [batch.slice(k, 3) for k in range(0, len(pieces), 3)]
+        starts = coco._starts([tuple(r.values()) for b in coco._summed(iter(batches)) for r in b.to_pylist()])
+        for b in coco._cut_at(starts)(iter(batches)):
+            rows += b.to_pylist()
+        out, part = [], b""
+        for r in sorted(rows, key=lambda r: r["number"]):
+            part += r["text"] if r["body"] is None else r["body"].removeprefix(b", ")
+            if r["complete"]:
+                out.append((part.removeprefix(b", "), r["objects"], r["lists"]))
+                part = b""
+        return out, part
+
+    want = elements()
+    assert want[1] == tail.encode() and [json.loads(x) for x, o, n in want[0] if (o, n) == (1, 1) and x.startswith(b"{")][-len(ODD) + 1 :] == doc["images"][1:]
+    for a in range(1, len(pieces)):
+        assert elements(a) == want and elements(a, a + 2) == want
