@@ -64,8 +64,10 @@ def _label_lines(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     if not folders.readable(path):
         return spark.read.option("pathGlobFilter", f"*{suffix}").text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1).alias("name"), "value")
     found = folders.contents(folders.names(spark, path, suffix), path, unpack=True)
-    text = F.regexp_replace(F.col("content").cast("string"), r"^\x{feff}", "")
-    return found.select("name", F.explode(F.split(text, r"\r\n|\r|\n")).alias("value"))
+    raw = F.col("content").cast("string")
+    text = F.when(F.startswith(raw, F.lit("\ufeff")), F.substring(raw, 2, 2**31 - 1)).otherwise(raw)
+    text = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+    return found.select("name", F.explode(F.split(text, "\n")).alias("value"))  # one character is split at without a pattern
 
 
 def labels(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
@@ -98,7 +100,7 @@ def expected_labels(spark: SparkSession, path: str, stems: DataFrame) -> DataFra
 
 def label_tally(spark: SparkSession, path: str) -> DataFrame:
     """Objects by class over a folder of label files."""
-    first = F.get(F.split(F.trim("value"), r"\s+"), 0)
+    first = F.get(F.split(F.trim("value"), r"\s+", 2), 0)  # what follows the first is not split
     return _label_lines(spark, path).select(first.alias("class_id")).where("class_id <> ''").groupBy("class_id").agg(F.count("*").alias("objects"))
 
 

@@ -235,3 +235,34 @@ def test_ranges_of_a_document_begin_anywhere(tail):
     assert want[1] == tail.encode() and [json.loads(x) for x, o, n in want[0] if (o, n) == (1, 1) and x.startswith(b"{")][-len(ODD) + 1 :] == doc["images"][1:]
     for a in range(1, len(pieces)):
         assert elements(a) == want and elements(a, a + 2) == want
+
+
+def test_files_of_a_lost_attempt_are_replaced_and_new_ones_not_moved(monkeypatch, tmp_path):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from gridlark.sources import sinks
+
+    moves = []
+    replace = sinks._replace
+    monkeypatch.setattr(sinks, "_replace", lambda there, a, b: (moves.append(b), replace(there, a, b)))
+    monkeypatch.setattr(sinks.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    writer = sinks.FileWriter(str(tmp_path / "out"), False)
+    batch = pa.record_batch([[f"{i % 3}/{i}.txt" for i in range(30)], [f"text {i}" for i in range(30)]], ["name", "text"])
+    writer.write(iter([batch.slice(0, 4)]))
+    staged = next(p for p in tmp_path.iterdir()) / "files"
+    assert moves == []  # new files stay where they were written
+    (staged / "0/3.txt").write_text("te")  # half a file
+    done = writer.write(iter([batch]))
+    assert len(moves) == 4
+    writer.commit([done])
+    assert {p.name: p.read_text() for p in (tmp_path / "out").rglob("*.txt")} == {f"{i}.txt": f"text {i}" for i in range(30)} and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_lines_end_in_any_way(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("\ufeff0 1 1 1 1\r2 1 1 1 1\r\n \t0 1\n\n 3\t1 1\r\r".encode())
+    (tmp_path / "b.txt").write_bytes(b"0 1 1 1 1\n\n4")
+    got = R.label_tally(spark, str(tmp_path))
+    assert {r[0]: r[1] for r in got.collect()} == {"0": 2, "2": 1, "3": 1, "4": 1}
+    assert ", 2)" in got._jdf.queryExecution().optimizedPlan().toString()  # no line is split beyond its first word
