@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -117,36 +118,76 @@ def _turn() -> Column:
 
 
 def _in_turn(thresholds: list[float]):
-    """Each detection with what it takes at each threshold, over sorted pairs, one at a time."""
+    """Each detection with what it takes at each threshold, over sorted pairs.
+
+    A detection without a candidate, or with one that no other has, is settled with the
+    rest of its batch; only those that share a truth are gone through one at a time.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, now, used, got = None, None, [], []
+        held, group, used = None, None, []
         for batch in batches:
-            done = []
-            for image, cls, di, conf, tj, overlap in zip(*(batch.column(c).to_pylist() for c in (*GROUP, "di", "confidence", "tj", "iou")), strict=True):
-                if (image, cls) != group or (di, conf) != now:
-                    if now is not None:
-                        done.append((*group, *now, got))
-                    if (image, cls) != group:
-                        group, used = (image, cls), [set() for _ in thresholds]
-                    now, got = (di, conf), [None] * len(thresholds)
-                if tj is not None:
-                    for k, limit in enumerate(thresholds):
-                        if got[k] is None and overlap >= limit and tj not in used[k]:
-                            got[k] = tj
-                            used[k].add(tj)
-            kinds = batch.schema
-            yield _batch(done, kinds)
-        if now is not None:
-            yield _batch([(*group, *now, got)], kinds)
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            cut = int(_begins(batch, [*GROUP, "di"])[-1])  # the last detection may go on in the next batch
+            held = batch.slice(cut)
+            if cut:
+                done, group, used = _taken(batch.slice(0, cut), thresholds, group, used)
+                yield done
+        if held is not None:
+            yield _taken(held, thresholds, group, used)[0]
 
     return emit
 
 
-def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 5
-    types = [*[kinds.field(c).type for c in (*GROUP, "di", "confidence")], pa.list_(kinds.field("tj").type)]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [*GROUP, "di", "confidence", "tjs"])
+def _begins(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Rows that differ from the one before in a key, and the first."""
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _taken(batch: pa.RecordBatch, thresholds: list[float], group: tuple | None, used: list[set]) -> tuple[pa.RecordBatch, tuple, list[set]]:
+    """The detections of these pairs; ``group`` is that of the pairs before, ``used`` its truths taken so far."""
+    n, tj = batch.num_rows, batch.column("tj")
+    begins, groups = _begins(batch, [*GROUP, "di"]), _begins(batch, GROUP)
+    of = np.zeros(n, np.int64)
+    of[groups[1:]] = 1
+    of = np.cumsum(of)
+    has, overlap = tj.is_valid().to_numpy(zero_copy_only=False), batch.column("iou").to_numpy(zero_copy_only=False)
+    codes = tj.dictionary_encode(null_encoding="encode")
+    _, which, times = np.unique(of * (len(codes.dictionary) + 1) + codes.indices.to_numpy(), return_inverse=True, return_counts=True)
+    alone = (times[which] == 1) & (of > 0) & (of < of[-1])  # the first group and the last may go on outside
+    ends = np.append(begins[1:], n)
+    simple = (ends - begins == 1) & (~has[begins] | alone[begins])
+    rows = np.full((len(begins), len(thresholds)), -1, np.int64)
+    one = begins[simple]
+    rows[simple] = np.where(has[one, None] & (overlap[one, None] >= np.array(thresholds)), one[:, None], -1)
+    first, last = (tuple(batch.column(c)[k].as_py() for c in GROUP) for k in (0, n - 1))
+    now, fresh = 0, lambda: [set() for _ in thresholds]
+    if first != group:
+        used = fresh()
+    values, overlaps = tj.to_pylist(), overlap.tolist()
+    for d in np.flatnonzero(~simple).tolist():
+        if of[begins[d]] != now:
+            now, used = of[begins[d]], fresh()
+        for row in range(begins[d], ends[d]):
+            t = values[row]
+            for k, limit in enumerate(thresholds):
+                if t is not None and rows[d, k] < 0 and overlaps[row] >= limit and t not in used[k]:
+                    rows[d, k] = row
+                    used[k].add(t)
+    if now != of[-1]:
+        used = fresh()
+    flat = rows.ravel()
+    tjs = pa.ListArray.from_arrays(pa.array(np.arange(len(begins) + 1) * len(thresholds), pa.int32()), tj.take(pa.array(flat, mask=flat < 0)))
+    at = pa.array(begins)
+    return pa.record_batch([*[batch.column(c).take(at) for c in (*GROUP, "di", "confidence")], tjs], [*GROUP, "di", "confidence", "tjs"]), last, used
 
 
 def _streamed(pairs: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -231,3 +231,47 @@ def test_dense_matching_finds_its_pairs_once(spark):
     hits = M.matched(d, t, 0.4, dense=160)
     assert {r["di"]: r["tj"] for r in hits.collect()} == plain_match(dets, truths, 0.4)
     assert "cell_x" not in hits._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 100000])
+def test_detections_are_settled_by_batch_as_one_at_a_time(size):
+    """Groups, detections and contested truths that lie across batches, at several thresholds."""
+    import pyarrow as pa
+
+    draw, pairs = random.Random(5), []
+    for image in range(40):
+        for cls in range(draw.choice([1, 3])):
+            for di in range(draw.randrange(1, 9)):
+                conf = draw.choice([0.1, 0.5, 0.9, None])
+                found = draw.sample(range(draw.choice([3, 40])), draw.choice([0, 1, 1, 2, 3])) or [None]
+                pairs += [(f"i{image:02d}", cls, di, conf, tj, None if tj is None else draw.choice([0.5, 0.6, 0.6, 0.9])) for tj in found]
+    pairs.sort(key=lambda p: (p[0], p[1], p[3] is not None, -(p[3] or 0), p[2], -(p[5] or 0), -(p[4] or 0)))
+    limits, want, used = [0.5, 0.6, 0.9], {}, {}
+    for image, cls, di, conf, tj, overlap in pairs:
+        got = want.setdefault((image, cls, di, conf), [None] * 3)
+        for k, limit in enumerate(limits):
+            if tj is not None and got[k] is None and overlap >= limit and (image, cls, k, tj) not in used:
+                got[k] = tj
+                used[image, cls, k, tj] = di
+    kinds = pa.schema([("image_id", pa.string()), ("class_id", pa.int32()), ("di", pa.int32()), ("confidence", pa.float64()), ("tj", pa.int32()), ("iou", pa.float64())])
+    whole = pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*pairs, strict=True), kinds, strict=True)], schema=kinds)
+    out = [r for b in M._in_turn(limits)(whole.slice(k, size) for k in range(0, len(pairs), size)) for r in b.to_pylist()]
+    assert {(r["image_id"], r["class_id"], r["di"], r["confidence"]): r["tjs"] for r in out} == want and len(out) == len(want)
+    assert list(M._in_turn(limits)(iter([whole.slice(0, 0)]))) == []
+
+
+def test_detections_without_rivals_are_not_gone_through():
+    import numpy as np
+    import pyarrow as pa
+
+    n = 3000  # a detection and a truth of its own in each group; only the first and the last group may go on
+    cols = {"image_id": np.arange(n), "class_id": np.zeros(n, np.int32), "di": np.zeros(n, np.int32), "confidence": np.full(n, 0.5), "tj": np.ones(n, np.int32), "iou": np.linspace(0.4, 1, n)}
+    seen = []
+
+    class Counted(set):
+        def add(self, x):
+            seen.append(x)
+            super().add(x)
+
+    batch, _, _ = M._taken(pa.record_batch(cols), [0.5], (0, 0), [Counted()])
+    assert [r is not None for r in batch.column("tjs").flatten().to_pylist()] == (cols["iou"] >= 0.5).tolist() and len(seen) <= 1
